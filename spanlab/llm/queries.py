@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from spanlab.llm import quality_rules
+from spanlab.llm import license_scan, quality_rules
 
-QUERIES = {"op7_quality_rules": quality_rules.op7_quality_rules}
+QUERIES = {
+    "op2_license_scan": license_scan.op2_license_scan,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
+}
 
-ORACLE_SQL = {"op7_quality_rules": quality_rules.sql()}
+#: Queries that SQL can express; the others are tested against brute force, a round trip or held-out labels.
+ORACLE_SQL = {
+    "op7_quality_rules": quality_rules.sql(),
+}
