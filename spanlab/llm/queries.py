@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from spanlab.llm import license_scan, quality_rules
+from spanlab.llm import chat_format, license_scan, quality_rules
 
 QUERIES = {
     "op2_license_scan": license_scan.op2_license_scan,
+    "op4_chat_format": chat_format.op4_chat_format,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 
 #: Queries that SQL can express; the others are tested against brute force, a round trip or held-out labels.
 ORACLE_SQL = {
+    "op4_chat_format": chat_format.sql(),
     "op7_quality_rules": quality_rules.sql(),
 }
