@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spanlab.llm import chat_format, license_scan, quality_rules
+from spanlab.llm import bpe, chat_format, license_scan, quality_rules
 
 QUERIES = {
     "op2_license_scan": license_scan.op2_license_scan,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op5_bpe": bpe.op5_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 
