@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanlab.llm import bpe, chat_format, license_scan, quality_rules
+from spanlab.llm import bpe, chat_format, license_scan, mixing, quality_rules
 
 QUERIES = {
     "op2_license_scan": license_scan.op2_license_scan,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_bpe": bpe.op5_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 #: Queries that SQL can express; the others are tested against brute force, a round trip or held-out labels.
