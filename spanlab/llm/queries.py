@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanlab.llm import bpe, chat_format, license_scan, mixing, quality_rules
+from spanlab.llm import bpe, chat_format, license_scan, line_dedup, mixing, quality_rules
 
 QUERIES = {
     "op2_license_scan": license_scan.op2_license_scan,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_bpe": bpe.op5_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 
@@ -16,4 +17,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_chat_format": chat_format.sql(),
     "op7_quality_rules": quality_rules.sql(),
+    "op9_line_dedup": line_dedup.sql(),
 }
