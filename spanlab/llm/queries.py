@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spanlab.llm import bpe, chat_format, license_scan, line_dedup, mixing, quality_rules
+from spanlab.llm import bpe, chat_format, license_scan, line_dedup, minhash_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_bpe": bpe.op5_bpe,
