@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from spanlab.llm import bpe, chat_format, html_extract, license_scan, line_dedup, minhash_dedup, mixing, quality_rules
+from spanlab.llm import bpe, chat_format, cotraining, html_extract, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, topk_search
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op3_topk_search": topk_search.op3_topk_search,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_bpe": bpe.op5_bpe,
     "op6_html_extract": html_extract.op6_html_extract,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_cotraining": cotraining.op8_cotraining,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
