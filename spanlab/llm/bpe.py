@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,20 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+class _Kept(dict):
+    """Runs and what ``find`` gives for them, filled in as they are asked for."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, run: str):
+        if len(self) >= KEPT:
+            self.clear()
+        found = self[run] = self.find(run)
+        return found
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file's content."""
 
@@ -66,6 +81,7 @@ class Bpe:
         ends = np.cumsum([len(names.get(i, b"")) for i in range(max(names) + 1)])
         self.offsets = np.concatenate([[0], ends]).tolist()
         self.all_bytes = b"".join(names.get(i, b"") for i in range(max(names) + 1))
+        self.sizes = [b - a for a, b in zip(self.offsets, self.offsets[1:])]
         # Merges: the rank of a pair, and for each merged token its two halves and rank.
         self.merged: dict[tuple[int, int], tuple[int, int]] = {}
         self.halves: dict[int, tuple[int, int, int]] = {}
@@ -81,16 +97,16 @@ class Bpe:
         self.shorter: dict[int, int] = {}
         usable = {b: i for b, i in self.by_bytes.items() if self._reachable(i)}
         for b, i in usable.items():
-            self.matches.add_word(b.decode("latin-1"), (len(b), i))
+            self.matches.add_word(b.decode("latin-1"), (len(b) - 1, i))
             for k in range(len(b) - 1, 0, -1):
                 if b[:k] in usable:
                     self.shorter[i] = usable[b[:k]]
                     break
         self.matches.make_automaton()
         self.pieces = regex.compile(PIECES)
-        self.runs = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        self.runs = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.kept: dict[str, tuple[str, int, bytes]] = {}
+        self.kept = _Kept(self._run)
 
     def _reachable(self, token: int) -> bool:
         if token not in self.halves:
@@ -131,26 +147,26 @@ class Bpe:
         whole = self.by_bytes.get(raw)
         if whole is not None and whole in self.shorter or len(raw) == 1:
             return [whole]
-        longest: dict[int, tuple[int, int]] = {}
-        for end, (size, token) in self.matches.iter(raw.decode("latin-1")):
-            start = end - size + 1
-            if start not in longest or size > longest[start][0]:
-                longest[start] = (size, token)
+        size = len(raw)
+        longest = [0] * size
+        for end, (less, token) in self.matches.iter(raw.decode("latin-1")):
+            longest[end - less] = token  # matches come by their ends, so the last one of a place is the longest
         out: list[int] = []
-        at, dead, token = 0, set(), longest[0][1]
-        offsets = self.offsets
-        while at < len(raw):
-            end = at + offsets[token + 1] - offsets[token]
-            if end not in dead and (not out or self.compatible(out[-1], token)):
+        at, dead, token = 0, set(), longest[0]
+        sizes, pairs = self.sizes, self.pairs
+        while at < size:
+            end = at + sizes[token]
+            if end not in dead and (not out or pairs.get(pair := (out[-1], token)) or pair not in pairs and self.compatible(*pair)):
                 out.append(token)
                 at = end
-                token = longest[at][1] if at < len(raw) else -1
+                if at < size:
+                    token = longest[at]
             elif token in self.shorter:
                 token = self.shorter[token]
             else:
                 dead.add(at)
                 token = out.pop()
-                at -= offsets[token + 1] - offsets[token]
+                at -= sizes[token]
         return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
@@ -175,29 +191,26 @@ class Bpe:
 
     def _run(self, run: str) -> tuple[str, int, bytes]:
         """Ids as text, their number and their decoded bytes, for white space and what follows it up to the next."""
-        ids = [i for piece in self.pieces.findall(run) for i in self.encode_piece(piece)]
-        if len(self.kept) >= KEPT:
-            self.kept.clear()
-        found = self.kept[run] = (",".join(map(str, ids)), len(ids), self.decode_bytes(ids))
-        return found
+        if run[1:].isalpha() and run[0] == " ":  # letters after a space are one piece, as nearly all runs are
+            ids = self.encode_piece(run)
+        elif run[-1] in ".," and run[1:-1].isalpha() and run[0] == " ":
+            ids = self.encode_piece(run[:-1]) + self.encode_piece(run[-1])
+        else:
+            ids = [i for piece in self.pieces.findall(run) for i in self.encode_piece(piece)]
+        return ",".join(map(str, ids)), len(ids), self.decode_bytes(ids)
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, and the digests of the ids and of the decoded text. Pieces never cross from a run to the next."""
-        n, named, raw, kept = 0, [], [], self.kept
+        found = []
         for part in self._parts(text or ""):
             if part in self.special:
                 i = self.special[part]
-                n += 1
-                named.append(str(i))
-                raw.append(self.decode_bytes([i]))
-                continue
-            for run in self.runs.findall(part):
-                found = kept.get(run) or self._run(run)
-                named.append(found[0])
-                n += found[1]
-                raw.append(found[2])
+                found.append((str(i), 1, self.decode_bytes([i])))
+            else:
+                found += map(self.kept.__getitem__, self.runs.findall(part))
+        named, counts, raw = zip(*found) if found else ((), (), ())
         decoded = b"".join(raw).decode("utf-8", "replace")
-        return n, hashlib.sha256(",".join(named).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return sum(counts), hashlib.sha256(",".join(named).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 _loaded: dict[str, Bpe] = {}
