@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanlab.functions.binding import let
 from spanlab.functions.text import edit_ratio, norm_token
 
 
@@ -36,24 +37,27 @@ def detect_spans(chunks: DataFrame, keys: list[str], cfg: SpanConfig = SpanConfi
     as unmatched speech. Chunks are short, so the scan folds over one chunk's array.
     """
     target = cfg.first + cfg.second
-    n = F.transform(F.col("words"), lambda w: norm_token(F.coalesce(w["word"], F.lit(""))))
-    at = chunks.withColumn("__n", n)
-    kinds = F.transform(F.col("__n"), lambda w, i: F.when((w == cfg.first) & (F.get("__n", i + 1) == cfg.second), "complete").when(
-        F.get("__n", i + 1).isNotNull() & (edit_ratio(F.concat(w, F.coalesce(F.get("__n", i + 1), F.lit(""))), F.lit(target)) <= cfg.fuzzy), "fuzzy").when(
-        (w == cfg.first) | (edit_ratio(w, F.lit(cfg.second)) <= cfg.fuzzy), "partial"))
-    at = at.withColumn("__k", kinds)
+    normed = F.transform(F.col("words"), lambda w: norm_token(F.coalesce(w["word"], F.lit(""))))
+    at = chunks.withColumn("__n", normed)
+
+    def kind(n: Column, w: Column, i: Column) -> Column:
+        after = F.coalesce(F.get(n, i + 1), F.lit(""))
+        return F.when((w == cfg.first) & (after == cfg.second), "complete").when(
+            (i + 1 < F.size(n)) & (edit_ratio(F.concat(w, after), F.lit(target)) <= cfg.fuzzy), "fuzzy").when(
+            (w == cfg.first) | (edit_ratio(w, F.lit(cfg.second)) <= cfg.fuzzy), "partial")
+
+    kinds = let(normed, lambda n: F.transform(n, lambda w, i: F.struct(i.cast("int").alias("i"), kind(n, w, i).alias("k"))))
     start = F.struct(F.array().cast("array<struct<i:int,j:int,match_type:string>>").alias("out"), F.lit(0).alias("next"))
 
     def step(s: Column, x: Column) -> Column:
         size = F.when(x["k"].isin("complete", "fuzzy"), 2).otherwise(1)
         found = F.array_append(s["out"], F.struct(x["i"].alias("i"), (x["i"] + size - 1).cast("int").alias("j"), x["k"].alias("match_type")))
-        return F.when((x["i"] < s["next"]) | x["k"].isNull(), s).otherwise(F.struct(found.alias("out"), (x["i"] + size).cast("int").alias("next")))
+        return F.when(x["i"] < s["next"], s).otherwise(F.struct(found.alias("out"), (x["i"] + size).cast("int").alias("next")))
 
-    rows = F.transform(F.col("__k"), lambda k, i: F.struct(i.cast("int").alias("i"), k.alias("k")))
-    found = at.withColumn("__s", F.aggregate(rows, start, step, lambda s: s["out"]))
+    found = at.withColumn("__s", F.aggregate(F.filter(kinds, lambda x: x["k"].isNotNull()), start, step, lambda s: s["out"]))
     if positive is not None:
         whole = F.array(F.struct(F.lit(0).alias("i"), (F.size("__n") - 1).cast("int").alias("j"), F.when(edit_ratio(F.array_join("__n", ""), F.lit(target)) <= cfg.fuzzy, "fuzzy").otherwise("unmatched").alias("match_type")))
-        found = found.withColumn("__s", F.when((F.size("__s") == 0) & F.col(positive) & (F.size("__n") > 0), whole).otherwise(F.col("__s")))
+        found = found.withColumn("__s", let(F.col("__s"), lambda x: F.when((F.size(x) == 0) & F.col(positive) & (F.size("__n") > 0), whole).otherwise(x)))
     out = found.select(*keys, *([positive] if positive else []), "words", F.explode("__s").alias("s"))
     word = lambda c: F.get("words", F.col(c))
     span = F.slice("words", F.col("s.i") + 1, F.col("s.j") - F.col("s.i") + 1)
