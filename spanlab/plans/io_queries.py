@@ -1 +1,63 @@
-"""Queries to come."""
+"""Queries of sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spanlab.plans.registry import query
+from spanlab.plans.views import table
+from spanlab.sources import tables as S
+
+
+@query("src1_repeated_keys", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def src1(spark, d):
+    items = S.require_columns(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return S.repeated_keys(items, "l_orderkey")
+
+
+@query("src2_json_lines", "SELECT event_id, regexp_extract(props, '[0-9]+')::BIGINT AS k FROM events")
+def src2(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k long").alias("p")).select("event_id", "p.k")
+
+
+@query("src3_parquet_batches", "SELECT p_partkey, 'part' AS split FROM part")
+def src3(spark, d):
+    return S.read_parquet_batches(spark, f"{d}/part.parquet", r"^(part)").select("p_partkey", "split")
+
+
+@query("src5_file_fingerprint", "SELECT doc_id AS path, sha256(text) AS sha256, doc_id % 9 > 0 AS unchanged FROM documents")
+def src5(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    frozen = docs.select("path", F.when(F.col("path") % 9 > 0, F.sha2("content", 256)).otherwise("0").alias("sha256"))
+    return S.file_fingerprint(docs, frozen)
+
+
+_LISTS = "(SELECT l_returnflag AS list_name, l_linestatus AS split, 'part/' || l_partkey AS path FROM lineitem)"
+
+
+def _lists(spark, d):
+    refs = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("list_name"), F.col("l_linestatus").alias("split"), F.concat(F.lit("part/"), "l_partkey").alias("path"))
+    files = table(spark, d, "part").where("p_size > 25").select(F.concat(F.lit("part/"), "p_partkey").alias("path"))
+    return refs, files
+
+
+_GONE = "path NOT IN (SELECT 'part/' || p_partkey FROM part WHERE p_size > 25)"
+
+
+@query("src6_missing_paths", f"SELECT list_name, count(*) AS missing, min(path) AS example FROM {_LISTS} WHERE {_GONE} AND NOT regexp_matches(path, '7$') GROUP BY 1")
+def src6(spark, d):
+    refs, files = _lists(spark, d)
+    return S.missing_paths(refs, files, "7$")
+
+
+@query("src7_filter_available", f"SELECT list_name, split, CASE WHEN regexp_matches(path, '0$') THEN 'round' WHEN regexp_matches(path, '1$') THEN 'one' ELSE 'other' END AS pattern, count(*) AS left_out FROM {_LISTS} WHERE {_GONE} GROUP BY 1, 2, 3 UNION ALL SELECT list_name, split, 'kept', count(*) FROM {_LISTS} WHERE NOT ({_GONE}) GROUP BY 1, 2")
+def src7(spark, d):
+    refs, files = _lists(spark, d)
+    kept, out = S.filter_available(refs, files, {"round": "0$", "one": "1$"})
+    return out.unionByName(kept.groupBy("list_name", "split").agg(F.count("*").alias("left_out")).withColumn("pattern", F.lit("kept")))
+
+
+@query("snk2_append_rows", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def snk2(spark, d):
+    new = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey")
+    return S.new_rows(new, table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey")), "l_partkey")

@@ -1 +1,57 @@
-"""Queries to come."""
+"""Queries that run streams over the given tables."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from spanlab.plans.registry import query
+from spanlab.plans.views import micros, prop_k, sql, table
+from spanlab.streaming import streams as S
+
+
+def _stream(spark, d, name):
+    """The rows of a table as a stream, one file at a time."""
+    path = f"{d}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    folder = spark.read.parquet(path).inputFiles()
+    return reader.option("pathGlobFilter", "*.parquet").parquet(path if len(folder) > 1 else path.rsplit("/", 1)[0] + f"/{name}*.parquet")
+
+
+def _checkpoint(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanlab-")
+    return f"{base.rstrip('/')}/stream-{F.__name__.replace('.', '-')}-{id(object())}-{tempfile.mktemp(dir='').strip('/')}"
+
+
+@query("stm1_sliding_windows", "WITH e AS (SELECT user_id, value, epoch_us(ts) AS t FROM events), x AS (SELECT user_id, value, unnest([t // 600000000 * 600000000, t // 600000000 * 600000000 - 600000000, t // 600000000 * 600000000 - 1200000000]) AS s FROM e) SELECT user_id, s AS start_us, count(*) AS n, max(value) AS max_value FROM x GROUP BY 1, 2")
+def stm1(spark, d):
+    w = S.sliding_windows(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "user_id", "ts", "30 minutes", "10 minutes", "value")
+    return w.select("user_id", micros("w_start").alias("start_us"), "n", "max_value")
+
+
+@query("stm2_stream_triggers", sql("SELECT stream_id, t_us, event_id FROM v_triggers", "v_triggers"))
+def stm2(spark, d):
+    rows = _stream(spark, d, "events").select(F.col("user_id").alias("stream_id"), micros("ts").alias("t_us"), F.col("value").alias("score"), "event_id")
+    out = S.stream_triggers(rows, "stream_id", 60, 43_200_000_000, 2, 3)
+    return S.run_to_table(out, "stm2_triggers", "append", _checkpoint(spark)).select("stream_id", "t_us", "event_id")
+
+
+@query("stm3_capture_sessions")
+def stm3(spark, d):
+    rows = _stream(spark, d, "events").select(F.col("user_id").alias("stream_id"), micros("ts").alias("t_us"), F.col("value").alias("level"), (prop_k() < 20).alias("is_trigger"))
+    return S.run_to_table(S.capture_sessions(rows, "stream_id", 30, 15, 2, 2, 10, 4), "stm3_captures", "append", _checkpoint(spark))
+
+
+@query("stm4_running_metrics", "SELECT user_id, n, false_accepts FROM (SELECT user_id, count(*) AS n, count_if(event_type = 'error') AS false_accepts FROM events GROUP BY 1)")
+def stm4(spark, d):
+    rows = _stream(spark, d, "events")
+    out = S.running_metrics(rows, "user_id", F.col("event_type") == "error", F.lit(720.0))
+    return S.run_to_table(out, "stm4_metrics", "complete", _checkpoint(spark)).select("user_id", "n", "false_accepts")
+
+
+@query("stm5_dedupe_by_seq", "SELECT DISTINCT user_id FROM events")
+def stm5(spark, d):
+    rows = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts")
+    return S.run_to_table(S.dedupe_by_seq(rows, "user_id", "ts", "60 days"), "stm5_first", "append", _checkpoint(spark)).select("user_id")
