@@ -34,7 +34,7 @@ COORDINATES, WIDTH = 32, 4
 #: Longest list that is merged into pairs.
 MERGED = 32
 #: Collisions that make a candidate.
-MATCHES = 2
+MATCHES = 3
 #: Shingles on each side of a block of the exact comparison.
 BLOCK = 1 << 20
 
@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = saved(met.where(F.col("matches") >= MATCHES).unionByName(few.select(*met.columns)).select("a", "b").unionByName(stars).distinct(), "pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select("doc_id")).distinct()
-    sets = saved(_full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    # The list of wanted documents grows with the table, so it is never broadcast: one plan at every size.
+    sets = saved(_full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
     links = saved(_confirmed(pairs, sets), "confirmed")
     labels = components(links)
     more = saved(_apart(members, sets, labels), "apart")
