@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -230,42 +229,45 @@ def _content(path: str | None) -> str:
         return f.read()
 
 
+def _vocabulary(df: DataFrame, path: str | None):
+    """The driver reads the vocabulary (a few MB) and sends it to the workers."""
+    return df.sparkSession.sparkContext.broadcast(_content(path))
+
+
 def encode_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids (array<int>) of every text. The driver reads the vocabulary (a few MB) and sends it to the workers."""
-    content = docs.sparkSession.sparkContext.broadcast(_content(path))
+    """doc_id and ids (array<int>) of every text."""
+    content = _vocabulary(docs, path)
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def encoded(texts: pd.Series) -> pd.Series:
         bpe = load(content.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [bpe.encode(t or "") for t in b["text"]]})
+        return pd.Series([bpe.encode(t or "") for t in texts])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(encoded, "doc_id long, ids array<int>")
+    return docs.select("doc_id", encoded("text").alias("ids"))
 
 
 def decode_ids(ids: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of every row of (doc_id, ids)."""
-    content = ids.sparkSession.sparkContext.broadcast(_content(path))
+    content = _vocabulary(ids, path)
 
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def decoded(rows: pd.Series) -> pd.Series:
         bpe = load(content.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [bpe.decode([] if x is None else list(x)) for x in b["ids"]]})
+        return pd.Series([bpe.decode([] if x is None else list(x)) for x in rows])
 
-    return ids.select(F.col("doc_id").cast("long"), "ids").mapInPandas(decoded, "doc_id long, text string")
+    return ids.select("doc_id", decoded("ids").alias("text"))
 
 
 def digest_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded, then decoded from the ids."""
-    content = docs.sparkSession.sparkContext.broadcast(_content(path))
+    content = _vocabulary(docs, path)
 
-    def digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digested(texts: pd.Series) -> pd.DataFrame:
         bpe = load(content.value)
-        for b in batches:
-            rows = pd.DataFrame([bpe.digest(t) for t in b["text"]], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            rows.insert(0, "doc_id", b["doc_id"].array)
-            yield rows
+        return pd.DataFrame([bpe.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(digested, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", digested("text").alias("d")).select("doc_id", "d.*")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
