@@ -35,8 +35,7 @@ def norm_spoken(c: Column) -> Column:
     for short, full in CONTRACTIONS.items():
         c = F.regexp_replace(c, short, full)
     c = F.regexp_replace(F.regexp_replace(c, "%", " percent "), "°", " degrees ")
-    c = F.regexp_replace(c, "([0-9])(am|pm)", "$1 $2")
-    c = F.regexp_replace(F.regexp_replace(c, "(^| )am( |$)", "$1a m$2"), "(^| )pm( |$)", "$1p m$2")
+    c = F.regexp_replace(c, r"([0-9]) ?(a|p)m\b", "$1 $2 m")
     c = F.regexp_replace(F.regexp_replace(c, "([0-9]+):00", "$1"), "([0-9]+):([0-9]+)", "$1 $2")
     words = F.split(F.btrim(F.regexp_replace(c, "[^a-z0-9]+", " "), F.lit(" ")), " ")
     named = F.create_map(*[F.lit(x) for n in range(101) for x in (str(n), number_words(n))])

@@ -27,8 +27,7 @@ def _spoken_sql(x: str) -> str:
     for short, full in T.CONTRACTIONS.items():
         x = f"replace({x}, '{short.replace(chr(39), chr(39) * 2)}', '{full}')"
     x = f"replace(replace({x}, '%', ' percent '), '°', ' degrees ')"
-    x = f"regexp_replace({x}, '([0-9])(am|pm)', '\\1 \\2', 'g')"
-    x = f"regexp_replace(regexp_replace({x}, '(^| )am( |$)', '\\1a m\\2', 'g'), '(^| )pm( |$)', '\\1p m\\2', 'g')"
+    x = f"regexp_replace({x}, '([0-9]) ?(a|p)m\\b', '\\1 \\2 m', 'g')"
     x = f"regexp_replace(regexp_replace({x}, '([0-9]+):00', '\\1', 'g'), '([0-9]+):([0-9]+)', '\\1 \\2', 'g')"
     x = f"string_split(trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'), ' '), ' ')"
     cases = " ".join(f"WHEN '{n}' THEN '{T.number_words(n)}'" for n in range(101))
