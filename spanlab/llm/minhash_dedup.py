@@ -78,19 +78,16 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc_id, n (size of the set), same (equal for equal sets) and sig of every row."""
+
+    @F.pandas_udf("n long, same binary, sig binary")
+    def signed(texts: pd.Series) -> pd.DataFrame:
         import xxhash
 
-        for b in batches:
-            sets = [shingles(t) for t in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"],
-                "n": [len(s) for s in sets],
-                "same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                "sig": [signature(s).tobytes() for s in sets],
-            })
-
-    return docs.mapInPandas(signed, "doc_id long, n long, same binary, sig binary")
+        rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).tobytes()) for s in map(shingles, texts)]
+        return pd.DataFrame(rows, columns=["n", "same", "sig"])
+
+    return docs.select("doc_id", signed("text").alias("s")).select("doc_id", "s.*")
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
