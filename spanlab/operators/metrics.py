@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanlab.operators.aggregates import class_rates, macro_rates
+from spanlab.operators.aggregates import macro_rates
 
 Z95 = 1.959963984540054
 CHUNKS = 64

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanlab.functions.text import norm_basic
 from spanlab.operators import checks as C
 from spanlab.operators.splits import split_by_hash
 from spanlab.plans.registry import query

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlab.functions import keys as K
-from spanlab.functions import text as T
 from spanlab.plans.registry import query
-from spanlab.plans.views import prop_k, sql, table, v_clips
+from spanlab.plans.views import sql, table, v_clips
 
 _KINDS = {"purchase": "target", "click": "touch", "view": "touch", "error": "distractor", "signup": "target", "search": "touch", "login": "touch", "logout": "touch"}
 _KIND_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())

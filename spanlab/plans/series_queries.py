@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanlab.functions.keys import cosine
 from spanlab.operators import series as S
 from spanlab.operators import triggers as D
 from spanlab.plans.registry import query
-from spanlab.plans.views import micros, prop_k, sql, table, v_scores, v_spans
+from spanlab.plans.views import sql, table, v_scores, v_spans
 
 
 @query("wn1_smooth", sql("SELECT event_id, round(avg(score) OVER (PARTITION BY stream_id ORDER BY t_us, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS smoothed FROM v_scores", "v_scores"))

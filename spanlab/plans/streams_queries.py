@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,16 +14,14 @@ from spanlab.streaming import streams as S
 
 def _stream(spark, d, name):
     """The rows of a table as a stream, one file at a time."""
-    path = f"{d}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-    folder = spark.read.parquet(path).inputFiles()
-    return reader.option("pathGlobFilter", "*.parquet").parquet(path if len(folder) > 1 else path.rsplit("/", 1)[0] + f"/{name}*.parquet")
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    # A glob, as a stream's source is a folder and a table may be a single file.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/{name}*.parquet")
 
 
 def _checkpoint(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanlab-")
-    return f"{base.rstrip('/')}/stream-{F.__name__.replace('.', '-')}-{id(object())}-{tempfile.mktemp(dir='').strip('/')}"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query("stm1_sliding_windows", "WITH e AS (SELECT user_id, value, epoch_us(ts) AS t FROM events), x AS (SELECT user_id, value, unnest([t // 600000000 * 600000000, t // 600000000 * 600000000 - 600000000, t // 600000000 * 600000000 - 1200000000]) AS s FROM e) SELECT user_id, s AS start_us, count(*) AS n, max(value) AS max_value FROM x GROUP BY 1, 2")
