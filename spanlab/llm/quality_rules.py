@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.llm.common import SPACE, let, read_table, text_of, word_array
+from spanlab.llm.common import let, read_table, text_of, word_array
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
