@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanlab.llm.common import discard, read_table, saved
+from spanlab.llm.common import read_table, saved
 from spanlab.llm.license_scan import words_of
 
 K1, B = 1.2, 0.75
 TOP = 10
 #: Documents of a shard, and the least number of shards.
-SHARD, SHARDS = 40_000, 12
+SHARD, SHARDS = 16_000, 12
 #: Documents of a block.
 BLOCK = 64
 #: Terms of this share of a shard's documents or more keep an impact for every document.
@@ -136,12 +136,20 @@ class Shard:
         sizes = np.array([len(self.terms[i]) for i in order], np.int64) if self.n else np.zeros(0, np.int64)
         docs = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         terms = np.concatenate([self.terms[i] for i in order]) if self.n else np.zeros(0, np.int64)
-        tf = np.concatenate([self.counts[i] for i in order]) if self.n else np.zeros(0)
+        tf = np.concatenate([self.counts[i] for i in order]) if self.n else np.zeros(0, np.uint16)
         del self.terms, self.counts, self.ids, self.words
-        impacts = (tf * (K1 + 1) / (tf + norm[docs])).astype(np.float64)
         by_term = np.argsort(terms, kind="stable")
-        terms, self.docs, self.impacts = terms[by_term], docs[by_term], impacts[by_term]
-        self.known, self.starts = np.unique(terms, return_index=True)
+        terms = terms[by_term]
+        self.docs = docs[by_term]
+        tf = tf[by_term].astype(np.float64)
+        del docs, by_term
+        self.impacts = norm[self.docs]
+        self.impacts += tf
+        np.divide(tf, self.impacts, out=self.impacts)
+        self.impacts *= K1 + 1
+        del tf
+        self.starts = np.flatnonzero(np.append(len(terms) > 0, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
+        self.known = terms[self.starts]
         self.ends = np.append(self.starts[1:], len(terms))
         self.most = np.maximum.reduceat(self.impacts, self.starts) if len(terms) else np.zeros(0)
         self.blocks = self.n // BLOCK + 1
