@@ -40,11 +40,11 @@ def prj5(spark, d):
     return kept.select(F.lit("kept").alias("reason")).unionByName(out.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("prj6_membership_kind", """WITH h AS (SELECT DISTINCT substr(text, 1, 20) AS k FROM benchmark), t AS (SELECT DISTINCT substr(text, 1, 20) AS k FROM documents WHERE doc_id % 7 = 0)
-    SELECT doc_id, CASE WHEN h.k IS NOT NULL THEN 'held_out' WHEN t.k IS NOT NULL THEN 'trained' ELSE 'original' END AS kind FROM documents d LEFT JOIN h ON substr(d.text, 1, 20) = h.k LEFT JOIN t ON substr(d.text, 1, 20) = t.k""")
+@query("prj6_membership_kind", """WITH h AS (SELECT DISTINCT text AS k FROM benchmark), t AS (SELECT DISTINCT text AS k FROM documents WHERE doc_id % 7 = 0)
+    SELECT doc_id, CASE WHEN h.k IS NOT NULL THEN 'held_out' WHEN t.k IS NOT NULL THEN 'trained' ELSE 'original' END AS kind FROM documents d LEFT JOIN h ON d.text = h.k LEFT JOIN t ON d.text = t.k""")
 def prj6(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 20).alias("k"))
-    held = table(spark, d, "benchmark").select(F.substring("text", 1, 20).alias("k")).distinct().withColumn("h", F.lit(True))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("k"))
+    held = table(spark, d, "benchmark").select(F.col("text").alias("k")).distinct().withColumn("h", F.lit(True))
     trained = docs.where("doc_id % 7 = 0").select("k").distinct().withColumn("t", F.lit(True))
     return docs.join(held, "k", "left").join(trained, "k", "left").select("doc_id", F.when(F.col("h"), "held_out").when(F.col("t"), "trained").otherwise("original").alias("kind"))
 

@@ -45,14 +45,14 @@ def sg4(spark, d):
     return levels(spark, d).select("vec_id", G.refine_bounds(F.col("l"), F.lit(1), 6, 1, 2, 2).alias("b")).select("vec_id", "b.first", "b.last")
 
 
-@query("sg5_normalize_bins", "WITH s AS (SELECT i, avg(embedding[i]::DOUBLE) AS m, stddev_pop(embedding[i]::DOUBLE) AS s FROM embeddings, range(1, 65) t(i) GROUP BY 1) SELECT vec_id, (i - 1)::INT AS pos, round((embedding[i]::DOUBLE - m) / greatest(s, 1e-8), 5) AS z FROM embeddings, s WHERE i <= 4")
+@query("sg5_normalize_bins", "WITH s AS (SELECT i, avg(embedding[i]::DOUBLE) AS m, stddev_pop(embedding[i]::DOUBLE) AS s FROM embeddings, range(1, 65) t(i) GROUP BY 1) SELECT vec_id, (i - 1)::INT AS pos, round((embedding[i]::DOUBLE - m) / greatest(s, 1e-8), 5) AS z FROM embeddings, s")
 def sg5(spark, d):
     e = table(spark, d, "embeddings")
     m = bin_moments(e, "embedding", 64, -0.2, F.lit(True))
     stats = m.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("mean"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "std"))), lambda x: x["std"]).alias("std"))
     stats = stats.withColumn("split", F.lit("train")).withColumn("config_hash", F.lit("0"))
     out = G.normalize_bins(e.select("vec_id", "embedding"), "embedding", stats).select("vec_id", F.posexplode("normalized").alias("pos", "z"))
-    return out.where("pos < 4").select("vec_id", "pos", F.round("z", 5).alias("z"))
+    return out.select("vec_id", "pos", F.round("z", 5).alias("z"))
 
 
 @query("sg6_peak_gain_params", f"SELECT vec_id, round(least(-20 - 20 * log10(sqrt(list_sum(list_transform(v, lambda x: x * x)) / 64) + 1e-9), 20 * log10(0.999 / (list_max(list_transform(v, lambda x: abs(x))) + 1e-9))), 6) AS gain FROM {_LEVELS}")

@@ -58,9 +58,9 @@ def an4(spark, d):
 
 
 #: Edits derived from every ninth event: an ordered log with errors in it.
-_LOG = """l AS (SELECT event_id AS pos, ['accept', 'reject', 'correct_bounds', 'set_type', 'remove', 'add', 'note', 'bogus', 'correct_bounds'][(event_id // 9 % 9 + 1)::INT] AS action, 'ann/' || (event_id * 7 % 4000) AS target, user_id AS file_id,
+_LOG = """l AS (SELECT event_id AS pos, ['accept', 'reject', 'correct_bounds', 'set_type', 'remove', 'add', 'note', 'bogus', 'correct_bounds'][(event_id // 9 % 9 + 1)::INT] AS action, 'ann/' || (event_id * 7 % 12000) AS target, user_id AS file_id,
     CASE WHEN event_id // 9 % 9 IN (2, 5) THEN (event_id * 10)::VARCHAR WHEN event_id // 9 % 9 = 8 AND event_id % 2 = 0 THEN 'soon' END AS new_start, CASE WHEN event_id // 9 % 9 IN (2, 5, 8) THEN (event_id * 10 + 900)::VARCHAR END AS new_end, CASE WHEN event_id // 9 % 9 = 3 THEN 'partial' END AS new_type FROM events WHERE event_id % 9 = 0)"""
-_ANN = "a AS (SELECT 'ann/' || span_id AS annotation_id, file_id, CASE WHEN kind = 'error' THEN 'ground_truth' ELSE 'detected' END AS origin, 'complete' AS match_type, 'candidate' AS status, s_ms AS start_ms, e_ms AS end_ms FROM v_spans WHERE span_id < 3500)"
+_ANN = "a AS (SELECT 'ann/' || span_id AS annotation_id, file_id, CASE WHEN kind = 'error' THEN 'ground_truth' ELSE 'detected' END AS origin, 'complete' AS match_type, 'candidate' AS status, s_ms AS start_ms, e_ms AS end_ms FROM v_spans)"
 
 
 def override_log(spark, d):
@@ -68,13 +68,13 @@ def override_log(spark, d):
     e = F.col("event_id")
     actions = F.array(*[F.lit(x) for x in ("accept", "reject", "correct_bounds", "set_type", "remove", "add", "note", "bogus", "correct_bounds")])
     return table(spark, d, "events").where("event_id % 9 = 0").select(
-        e.alias("pos"), F.get(actions, k.cast("int")).alias("action"), F.concat(F.lit("ann/"), e * 7 % 4000).alias("target"), F.col("user_id").alias("file_id"),
+        e.alias("pos"), F.get(actions, k.cast("int")).alias("action"), F.concat(F.lit("ann/"), e * 7 % 12000).alias("target"), F.col("user_id").alias("file_id"),
         F.when(k.isin(2, 5), (e * 10).cast("string")).when((k == 8) & (e % 2 == 0), "soon").alias("new_start"), F.when(k.isin(2, 5, 8), (e * 10 + 900).cast("string")).alias("new_end"), F.when(k == 3, "partial").alias("new_type"),
     )
 
 
 def annotations(spark, d):
-    return v_spans(spark, d).where("span_id < 3500").select(F.concat(F.lit("ann/"), "span_id").alias("annotation_id"), "file_id", F.when(F.col("kind") == "error", "ground_truth").otherwise("detected").alias("origin"), F.lit("complete").alias("match_type"), F.lit("candidate").alias("status"), F.col("s_ms").alias("start_ms"), F.col("e_ms").alias("end_ms"))
+    return v_spans(spark, d).select(F.concat(F.lit("ann/"), "span_id").alias("annotation_id"), "file_id", F.when(F.col("kind") == "error", "ground_truth").otherwise("detected").alias("origin"), F.lit("complete").alias("match_type"), F.lit("candidate").alias("status"), F.col("s_ms").alias("start_ms"), F.col("e_ms").alias("end_ms"))
 
 
 _VALID = f"""{_LOG}, {_ANN}, m AS (SELECT 'override/' || pos AS annotation_id, file_id, 'manual' AS origin, coalesce(new_type, 'complete') AS match_type, 'accepted' AS status, new_start::BIGINT AS start_ms, new_end::BIGINT AS end_ms FROM l WHERE action = 'add'),
@@ -130,9 +130,9 @@ def an9(spark, d):
 _HEARD = "substr(t, 1, CASE turn % 3 WHEN 0 THEN length(t) WHEN 1 THEN length(t) // 2 ELSE 0 END::INT)"
 
 
-@query("an10_transcript_verdict", f"WITH x AS (SELECT conv_id, turn, substr({_BASIC}, 1, 80) AS t FROM conversations), y AS (SELECT *, {_HEARD} AS heard FROM x) SELECT conv_id, turn, CASE WHEN heard = '' THEN 'empty' WHEN levenshtein(heard, t) / greatest(length(heard), length(t), 1)::DOUBLE <= 0.25 THEN 'complete' WHEN starts_with(t, heard) AND length(heard) < length(t) THEN 'cut_off' ELSE 'other' END AS verdict FROM y")
+@query("an10_transcript_verdict", f"WITH x AS (SELECT conv_id, turn, {_BASIC} AS t FROM conversations), y AS (SELECT *, {_HEARD} AS heard FROM x) SELECT conv_id, turn, CASE WHEN heard = '' THEN 'empty' WHEN levenshtein(heard, t) / greatest(length(heard), length(t), 1)::DOUBLE <= 0.25 THEN 'complete' WHEN starts_with(t, heard) AND length(heard) < length(t) THEN 'cut_off' ELSE 'other' END AS verdict FROM y")
 def an10(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.substring(T.norm_basic(F.col("text")), 1, 80).alias("t"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", T.norm_basic(F.col("text")).alias("t"))
     n = F.when(F.col("turn") % 3 == 0, F.length("t")).when(F.col("turn") % 3 == 1, F.floor(F.length("t") / 2)).otherwise(0).cast("int")
     t = t.withColumn("heard", F.substring(F.col("t"), F.lit(1), n))
     return t.select("conv_id", "turn", S.transcript_verdict(F.col("t"), F.col("heard"), F.lit(1.0), F.lit(2.0)).alias("verdict"))
@@ -160,10 +160,10 @@ def an13(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", S.asr_keep(kind, F.col("l_quantity") > 25, (F.col("l_discount"), 0.02), (F.col("l_tax"), 0.01)).alias("keep"))
 
 
-@query("an14_relabel_ladder", f"""WITH x AS (SELECT conv_id, turn, role, substr({_BASIC}, 1, 40) AS n FROM conversations) SELECT conv_id, turn, CASE WHEN conv_id % 10 = 3 THEN 'prompt' WHEN role = 'system' THEN 'role' WHEN starts_with(n, 'the') THEN 'wording' ELSE 'default' END AS rule,
+@query("an14_relabel_ladder", f"""WITH x AS (SELECT conv_id, turn, role, {_BASIC} AS n FROM conversations) SELECT conv_id, turn, CASE WHEN conv_id % 10 = 3 THEN 'prompt' WHEN role = 'system' THEN 'role' WHEN starts_with(n, 'the') THEN 'wording' ELSE 'default' END AS rule,
     CASE WHEN conv_id % 10 = 3 THEN 'P' || turn WHEN role = 'system' THEN 'SYSTEM' WHEN starts_with(n, 'the') THEN 'THE' ELSE 'unknown' END AS label FROM x WHERE length(n) >= 20""")
 def an14(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", F.substring(T.norm_basic(F.col("text")), 1, 40).alias("n"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", T.norm_basic(F.col("text")).alias("n"))
     rules = [("prompt", F.when(F.col("conv_id") % 10 == 3, F.concat(F.lit("P"), "turn"))), ("role", F.when(F.col("role") == "system", "SYSTEM")), ("wording", F.when(F.col("n").startswith("the"), "THE"))]
     return S.relabel_ladder(c, rules, [("ambiguous", F.length("n") < 20)])[0].select("conv_id", "turn", "rule", "label")
 

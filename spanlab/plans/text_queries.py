@@ -115,12 +115,11 @@ def txt12(spark, d):
     return T.explode_composite(ids, "id")
 
 
-@query("jn8_nearest_reference", f"""WITH refs AS (SELECT {_spoken_sql('text')} AS ref FROM benchmark WHERE item_id < 20),
-    t AS (SELECT conv_id, turn, {_spoken_sql("substr(text, 1, 60)")} AS n FROM conversations WHERE role = 'user'),
-    s AS (SELECT conv_id, turn, n, ref, levenshtein(n, ref) / greatest(length(n), length(ref), 1)::DOUBLE AS ratio, list_filter(string_split(n, ' '), lambda w: w IN ({_NUM})) = list_filter(string_split(ref, ' '), lambda w: w IN ({_NUM})) AS ok FROM t, (SELECT DISTINCT substr(ref, 1, 60) AS ref FROM refs)),
-    b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY ratio, ref) AS k FROM s)
-    SELECT conv_id, turn, ref AS nearest, ratio, CASE WHEN n = '' THEN 'empty' WHEN ratio > 0.25 THEN 'too_far' WHEN NOT ok THEN 'other_number' ELSE 'match' END AS reason FROM b WHERE k = 1""")
+@query("jn8_nearest_reference", f"""WITH refs AS (SELECT DISTINCT replace(p_name, 'a', 'e') AS ref FROM part), t AS (SELECT p_partkey, {_spoken_sql('p_name')} AS n FROM part),
+    s AS (SELECT p_partkey, n, ref, levenshtein(n, ref) / greatest(length(n), length(ref), 1)::DOUBLE AS ratio, list_filter(string_split(n, ' '), lambda w: w IN ({_NUM})) = list_filter(string_split(ref, ' '), lambda w: w IN ({_NUM})) AS ok FROM t, refs),
+    b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY ratio, ref) AS k FROM s)
+    SELECT p_partkey, ref AS nearest, ratio, CASE WHEN n = '' THEN 'empty' WHEN ratio > 0.25 THEN 'too_far' WHEN NOT ok THEN 'other_number' ELSE 'match' END AS reason FROM b WHERE k = 1""")
 def jn8(spark, d):
-    refs = table(spark, d, "benchmark").where("item_id < 20").select(F.substring(T.norm_spoken(F.col("text")), 1, 60).alias("ref"))
-    turns = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 60).alias("text"))
-    return T.nearest_reference(turns, refs).drop("text")
+    part = table(spark, d, "part")
+    refs = part.select(F.replace(F.col("p_name"), F.lit("a"), F.lit("e")).alias("ref"))
+    return T.nearest_reference(part.select("p_partkey", F.col("p_name").alias("text")), refs).drop("text")
