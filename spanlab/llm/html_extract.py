@@ -2,11 +2,12 @@
 
 A page becomes text lines, one for each block element. Pages are put in the order of host, URL path and id; a page is
 paired with that neighbour of its host whose path shares the longer beginning with its own (the earlier one on ties). The lines of both are
-aligned by longest common subsequence and shared lines are deleted. Lines inside the page's article are
+aligned by longest common subsequence and shared lines are deleted, on every page. Only lines inside the page's article are
 held: a text that two pages quote is no template. Then what markup names as boilerplate goes too, since an advert
 can be new on every page: navigation, headers, footers, sidebars, notices, forms and reader comments.
 
-A page without an article element holds no lines; there differencing and boilerplate markup decide alone. Null and
+Lines outside an article stay where neither differencing nor markup deletes them: an article element can be a teaser or
+the first of several sections. Null and
 empty pages give an empty text; a null url is a host of its own; equal rows stay rows of their own.
 """
 
@@ -247,9 +248,8 @@ def extract(pages: DataFrame) -> DataFrame:
             zones, keys = _unpack(row.lines)
             near = [(-_shared_begin(row.path, x.path), k, x) for k, x in enumerate(neighbours) if x is not None and x.block == row.block and x.host == row.host]
             shared = set(lcs_shared(keys, _unpack(min(near, key=lambda x: x[:2])[2].lines)[1])) if near else set()
-            held = HELD in zones
             lines = spread.decompress(row.text).decode().split("\n") if keys else []
-            kept = [t for i, (z, t) in enumerate(zip(zones, lines)) if z == HELD or not held and z == SHOWN and i not in shared]
+            kept = [t for i, (z, t) in enumerate(zip(zones, lines)) if z == HELD or z == SHOWN and i not in shared]
             text = " ".join(kept)
             page_id = None if pd.isna(row.page_id) else int(row.page_id)
             return page_id, row.url, text, len(text)

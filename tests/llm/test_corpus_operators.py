@@ -203,6 +203,14 @@ def test_html_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_differences_decide_outside_an_article(spark):
+    """Text beside a small article stays unless the neighbour has it too; an advert goes by its markup and a quoted text stays in the article."""
+    body = "<div>Site of things</div><article><h2>Teaser {x}</h2><p>Quoted</p></article><div class=ad>New advert {x}</div><div><p>Main text {x}</p><p>Second part {x}</p></div><section>Read our shop offers</section>"
+    rows = [(i, f"http://a.org/x/{i}", PAGE.replace("{body}", body.replace("{x}", str(i)))) for i in (1, 2)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Teaser {i} Quoted Main text {i} Second part {i}" for i in (1, 2)}
+
+
 def test_html_pairs_do_not_depend_on_ranges(spark, monkeypatch):
     rows = [(i, f"http://a.org/s{i // 9}/{i}", f"<body><div>top {i // 9}</div><p>own {i}</p><div>sold by {i // 27}</div>") for i in range(120)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
