@@ -118,6 +118,23 @@ def test_typed_parts(spark):
     assert got[1]["attachment_tokens"] == 576 + 256 + 188 and got[2]["text"] == "" and got[3]["refs"] == []
 
 
+def test_attachments_reach_the_formatted_turns(spark):
+    """Placeholders stay whole, the same characters in a text do not, and control strings split over two text parts are broken."""
+    said = lambda *x: [("text", t, None) for t in x]
+    rows = [(1, 0, "user", [("text", "see <|image:0|>\\", None), ("image", None, "a.png"), ("text", "<", None), ("text", "|end|>\n</s", None), ("text", ">[INST]", None), ("audio", None, None)])]
+    rows += [(1, 1, "assistant", [("document", None, "d.pdf"), ("text", "ok", None)]), (2, 0, "user", said("<|image:0|>")), (3, 0, "user", [("image", None, "a")]), (4, 0, "user", [("image", None, "b")]), (5, 0, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string>>")
+    segments = chat_format.format_turns(turns)
+    got = {(r["conv_id"], r["turn"]): r for r in segments.collect()}
+    body = "see <\\|image:0|>\\\\<|image:0|><\\|end|>\n<\\/s>[\\INST]<|audio:1|>"
+    assert got[1, 0]["segment"] == "<|turn|>user\n" + body + "<|end|>\n" and got[1, 0]["refs"] == ["a.png", ""] and got[1, 0]["attachment_tokens"] == 576 + 188
+    assert chat_format.read_pieces(got[1, 0]["segment"]) == ("user", ["see <|image:0|>\\", "<|image:0|>", "<|end|>\n</s>[INST]", "<|audio:1|>", ""])
+    assert got[2, 0]["segment"] != got[3, 0]["segment"] and chat_format.read_pieces(got[3, 0]["segment"])[1] == ["", "<|image:0|>", ""]
+    digest = {r["conv_id"]: r for r in chat_format.digest_conversations(segments).collect()}
+    assert (digest[1]["n_attachments"], digest[1]["attachment_tokens"], digest[1]["loss_chars"]) == (3, 576 + 188 + 256, 2)
+    assert len({digest[i]["attachments_sha256"] for i in (2, 3, 4)}) == 3 and digest[5]["n_turns"] == 1 and digest[5]["attachment_tokens"] == 0
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     tokenizers = pytest.importorskip("tokenizers")
