@@ -12,6 +12,8 @@ from spanlab.llm.minhash_dedup import near_duplicates
 from spanlab.llm.mixing import mix
 from spanlab.llm.quality_rules import quality_rules
 
+NEAR = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
@@ -26,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    """One document of each group of near copies stays. Copies share NEAR percent of their shingles or more; op1's contract has its own bound."""
+    gone = near_duplicates(docs, NEAR).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -2,7 +2,7 @@
 
 A document's set holds its distinct 5-word shingles (A-Z lower-cased, words cut at white space); with fewer words, the
 whole sequence as one. Null or empty texts have an empty set and no links. Documents link when
-100 * intersection >= 85 * union, confirmed on full sets (64-bit shingle hashes).
+100 * intersection >= percent * union, confirmed on full sets (64-bit shingle hashes); percent is 85 where the caller names none.
 
 1. Equal sets fold into one class, whose smallest doc_id stands for it.
 2. Every class gets a signature of 32 coordinates, each mixed from 4 minima, and is posted under its coordinate-value pairs. A pair at
@@ -104,18 +104,18 @@ def _coordinates(classes: DataFrame) -> DataFrame:
     return classes.select("doc_id", "n", pair).select("key", "doc_id", "n")
 
 
-def _alike(a: str, b: str):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _alike(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return both.where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    return both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _apart(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links between members of a hub that no link found so far joins, for those outside the hub's component."""
     labelled = members.join(labels.toDF("doc_id", "label"), "doc_id", "left").select("hub", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
     own = labels.toDF("hub", "hub_label")
@@ -142,15 +142,15 @@ def _apart(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
                 lo, hi = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
                 at = np.concatenate([owner[i:j] for i, j in zip(lo, hi)])
                 both = np.bincount(at, minlength=len(has))
-                hit = (100 * both >= PERCENT * (sizes + len(s) - both)) & (label != mine)
+                hit = (100 * both >= percent * (sizes + len(s) - both)) & (label != mine)
                 found += [(doc, x) for x in ids[hit]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("hub", "x", "y").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of (doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of (doc_id, text); documents link from ``percent`` on."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = saved(_signed(docs), "signed")
     filled = signed.where("n > 0 AND doc_id IS NOT NULL")
@@ -161,22 +161,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     short = posted.where(F.col("c") <= MERGED)
     a, b = short.select("key", F.col("doc_id").alias("a"), F.col("n").alias("na")), short.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, "key").where((F.col("a") < F.col("b")) & _alike("na", "nb")).groupBy("a", "b").agg(F.count("*").alias("matches"))
+    met = a.join(b, "key").where((F.col("a") < F.col("b")) & _alike("na", "nb", percent)).groupBy("a", "b").agg(F.count("*").alias("matches"))
     skipped = posted.where(F.col("c") > MERGED)
     standing = skipped.groupBy("doc_id").agg(F.sum("c").alias("standing"))
     few = met.where(F.col("matches") < MATCHES).join(standing.select(F.col("doc_id").alias("a")), "a", "left_semi")
     hubs = skipped.join(standing, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("standing", -F.col("doc_id"))).alias("hub"))
     members = saved(skipped.join(hubs, "key").select("hub", "doc_id", "n").distinct(), "members")
     hub_n = classes.select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"))
-    stars = members.where("hub <> doc_id").join(hub_n, "hub").where(_alike("n", "hub_n")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    stars = members.where("hub <> doc_id").join(hub_n, "hub").where(_alike("n", "hub_n", percent)).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     pairs = saved(met.where(F.col("matches") >= MATCHES).unionByName(few.select(*met.columns)).select("a", "b").unionByName(stars).distinct(), "pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(members.select("doc_id")).distinct()
     # The list of wanted documents grows with the table, so it is never broadcast: one plan at every size.
     sets = saved(_full_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
-    links = saved(_confirmed(pairs, sets), "confirmed")
+    links = saved(_confirmed(pairs, sets, percent), "confirmed")
     labels = components(links)
-    more = saved(_apart(members, sets, labels), "apart")
+    more = saved(_apart(members, sets, labels, percent), "apart")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     for old in (posted, members, pairs, sets, links, more):

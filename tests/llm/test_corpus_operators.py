@@ -21,7 +21,7 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = {i: shingle_set(t) for i, t in rows}
     parent = {i: i for i in sets}
 
@@ -34,7 +34,7 @@ def brute_components(rows):
     for x, i in enumerate(ids):
         for j in ids[:x]:
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 p, q = find(i), find(j)
                 parent[max(p, q)] = min(p, q)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -72,6 +72,42 @@ def test_near_dedup_large_group(spark, edits, monkeypatch):
     check_near(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def similar(base, edits):
+    """``base`` with a word in every tenth place changed, ``edits`` times: each takes five shingles."""
+    w = base.split()
+    for k in range(edits):
+        w[10 + 10 * k] = f"edit{k}"
+    return " ".join(w)
+
+
+def test_near_dedup_percent(spark):
+    """The pipeline's stage links from 80 % on and op1 from 85 %; pairs under 80 % stay in both."""
+    base = [words(204, 50 + i) for i in range(3)]
+    rows = [(10 * i + k, t) for i, edits in enumerate((2, 4, 5)) for k, t in enumerate((base[i], similar(base[i], edits)))]
+    shares = [len(a & b) / len(a | b) for a, b in ((shingle_set(t), shingle_set(u)) for (_, t), (_, u) in zip(rows[::2], rows[1::2]))]
+    assert shares[0] > 0.85 > shares[1] > 0.8 > shares[2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in minhash_dedup.near_duplicates(df).where("kept").collect()) == [0, 10, 11, 20, 21]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect()) == [0, 10, 20, 21]
+
+
+def test_near_dedup_large_group_percent(spark, monkeypatch):
+    """Members of a skipped list on both sides of 80 % against brute force."""
+    random.seed(8)
+    monkeypatch.setattr(minhash_dedup, "MERGED", 8)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 1500)
+    base = words(90, 4).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(random.randint(0, 4)):
+            w[random.randrange(90)] = f"x{random.randrange(12)}"
+        rows.append((i, " ".join(w)))
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    want = brute_components(rows, 80)
+    assert want != brute_components(rows) and all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got) and len(got) == 60
+
+
 def test_components(spark):
     random.seed(5)
     pairs = [(random.randrange(300), random.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
