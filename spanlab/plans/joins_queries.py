@@ -72,6 +72,17 @@ def jn7(spark, d):
     return J.knn_band_join(a, b, [], 5, 6)
 
 
+@query("jn7_knn_band_join_whole", """WITH p AS (SELECT p_partkey, p_size::BIGINT AS x, floor(p_retailprice)::BIGINT % 60 AS y FROM part), m AS (SELECT a.p_partkey AS a_id, b.p_partkey AS b_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2
+    FROM p a JOIN p b ON b.p_partkey % 4 <> 0 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36 WHERE a.p_partkey % 4 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS rank FROM m)
+    SELECT a_id, b_id, d2, rank FROM k WHERE rank <= 5""")
+def jn7_whole(spark, d):
+    """jn7 with every row of part on one of the sides."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("x"), (F.floor("p_retailprice") % 60).alias("y"))
+    a = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = p.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return J.knn_band_join(a, b, [], 5, 6)
+
+
 @query("jn9_one_to_one_match", sql("""WITH k AS (SELECT g.stream_id, g.target_id AS e_id, t.t_us AS t, t.event_id AS o_id, row_number() OVER (PARTITION BY g.stream_id, g.target_id ORDER BY t.t_us, t.event_id) AS n
     FROM v_targets g LEFT JOIN v_triggers t ON g.stream_id = t.stream_id AND t.t_us BETWEEN g.s_us AND g.e_us + 43200000000) SELECT stream_id, e_id, t, o_id FROM k WHERE n = 1""", "v_targets", "v_triggers"))
 def jn9(spark, d):

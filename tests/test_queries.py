@@ -1,8 +1,10 @@
 """Every registered query of the engine's own operators runs at sf0.001, and equals its SQL where it has one."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from spanlab.functions import text
 from spanlab.plans import registry
 from tests.oracle import assert_same
 
@@ -20,3 +22,30 @@ def test_query(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_jn7_whole_joins_every_residue(spark):
+    rows = registry.QUERIES["jn7_knn_band_join_whole"](spark, SF).collect()
+    assert {r["b_id"] % 4 for r in rows} == {1, 2, 3} and {r["a_id"] % 4 for r in rows} == {0}
+
+
+def test_jn8_turns_match_brute_force(spark):
+    """Every turn's whole text against every item, by edit ratio and then wording."""
+    said = lambda name, *cols: spark.read.parquet(f"{SF}/{name}.parquet").select(*cols, text.norm_spoken(F.col("text")).alias("n"))
+    refs = sorted({r["n"] for r in said("benchmark").collect()})
+
+    def ratio(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1] / max(len(a), len(b), 1)
+
+    got = {(r["conv_id"], r["turn"]): r for r in registry.QUERIES["jn8_nearest_reference_turns"](spark, SF).collect()}
+    turns = said("conversations", "conv_id", "turn").collect()
+    assert len(got) == len({(r["conv_id"], r["turn"]) for r in turns}) and max(len(r["n"]) for r in turns) > 60
+    for r in sorted(turns, key=lambda r: (len(r["n"]), r["conv_id"], r["turn"]))[:12]:
+        best, ref = min((ratio(r["n"], x), x) for x in refs)
+        hit = got[r["conv_id"], r["turn"]]
+        assert hit["nearest"] == ref and abs(hit["ratio"] - best) < 1e-12
