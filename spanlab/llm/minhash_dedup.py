@@ -6,7 +6,8 @@ whole sequence as one. Null or empty texts have an empty set and no links. Docum
 
 1. Equal sets fold into one class, whose smallest doc_id stands for it.
 2. Every class gets a signature of 32 coordinates, each mixed from 4 minima, and is posted under its coordinate-value pairs. A pair at
-   the threshold misses all of them with a probability of 6e-11.
+   85 % misses all of them with a probability of 6e-11, and has fewer than MATCHES with 3.5e-8 (1.2e-5 at 80 %): without a skipped list
+   it is missed then.
 3. Prefix and skip merging: lists of one are dropped, lists of up to MERGED are merged, and pairs with enough collisions
    become candidates. Longer lists are skipped; each gets a hub, its member with most collisions, and all
    members are compared with that one. One collision is enough for documents of skipped lists.
