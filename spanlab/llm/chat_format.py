@@ -2,7 +2,8 @@
 
 A turn's content is an array of typed parts (struct<type, text, ref>), one text part for a plain text, and always goes through
 ``flatten_parts``. Rows of a conversation are ordered by turn (null first), then role, text and references; a null text or role is
-empty; rows that repeat a turn all stay; a null conv_id is a conversation of its own. Each turn is one segment
+empty; rows that repeat a turn all stay; a null conv_id is a conversation of its own. An empty table gives no conversations, a
+long text one long segment, and other columns are not read. Each turn is one segment
 
     <|turn|>role NEWLINE content <|end|> NEWLINE
 
@@ -25,8 +26,8 @@ from spanlab.llm.common import partitions, read_table
 
 START, END = "<|turn|>", "<|end|>\n"
 LEARNED = "assistant"
-#: Tokens that stand for one attachment of a type, whatever its size: parts don't carry sizes.
-EXPANDED = {"image": 576, "audio": 188, "document": 256}
+#: Tokens that stand for one attachment of a type, whatever its size: parts don't carry sizes. Parts of any type but these and text are ``other``.
+EXPANDED = {"image": 576, "audio": 188, "document": 256, "other": 256}
 
 _CONTROL = re.compile(r"\\|<(?=\||/?s>)|\[(?=/?INST\])")
 _PLACE = r"<\|(?:" + "|".join(EXPANDED) + r"):[0-9]+\|>"
@@ -86,24 +87,24 @@ def flatten_parts(parts: Column) -> Column:
     """Visit typed parts in order: a struct of the text with placeholders, attachment references and expanded token count.
 
     Text parts give their text, escaped; neighbours are joined before that, so no control string arises between them. Image,
-    audio and document parts give ``<|type:n|>``, n from 0 in order. A null array gives an empty text; parts of other types are left out.
+    audio and document parts give ``<|type:n|>``, n from 0 in order, and parts of any other type, or none, ``<|other:n|>``; a part without a reference
+    gives its text instead. Null parts are none, and a null array gives an empty text.
     """
-    kinds = list(EXPANDED)
     tokens = F.create_map(*[x for k, v in EXPANDED.items() for x in (F.lit(k), F.lit(v))])
     start = F.struct(F.lit("").alias("text"), F.lit("").alias("open"), F.array().cast("array<string>").alias("refs"), F.lit(0).cast("long").alias("attachment_tokens"))
     closed = lambda state: F.concat(state["text"], _escaped(state["open"]))
 
     def visit(state: Column, part: Column) -> Column:
-        kind = part["type"]
+        kind = F.when(part["type"].isin(*EXPANDED), part["type"]).otherwise("other")
         attached = F.struct(
             F.concat(closed(state), F.lit("<|"), kind, F.lit(":"), F.size(state["refs"]).cast("string"), F.lit("|>")).alias("text"),
             F.lit("").alias("open"),
-            F.array_append(state["refs"], F.coalesce(part["ref"], F.lit(""))).alias("refs"),
+            F.array_append(state["refs"], F.coalesce(part["ref"], part["text"], F.lit(""))).alias("refs"),
             (state["attachment_tokens"] + F.element_at(tokens, kind)).alias("attachment_tokens"),
         )
         joined = F.concat(state["open"], F.coalesce(part["text"], F.lit(""))).alias("open")
         plain = F.struct(state["text"].alias("text"), joined, state["refs"].alias("refs"), state["attachment_tokens"].alias("attachment_tokens"))
-        return F.when(kind.isin(*kinds), attached).when(kind == "text", plain).otherwise(state)
+        return F.when(part.isNull(), state).when(part["type"] == "text", plain).otherwise(attached)
 
     def finish(state: Column) -> Column:
         return F.struct(closed(state).alias("text"), state["refs"].alias("refs"), state["attachment_tokens"].alias("attachment_tokens"))

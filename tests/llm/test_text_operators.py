@@ -76,6 +76,50 @@ def test_license_expressions():
     assert license_scan.scan("// SPDX-License-Identifier: GPL-2.0 OR MIT\n all rights reserved")[4:] == ("reserved", "gpl,mit,reserved", 0.0)
 
 
+@pytest.mark.parametrize("text, labels, score", [
+    ("Licensed under GPL-3.0-or-later", "gpl", 0.4), ("SPDX-License-Identifier: GPL-2.0 OR MIT", "gpl,mit", 0.9), ("SPDX-License-Identifier: GPL-2.0 AND MIT", "gpl,mit", 0.4), ("SPDX-License-Identifier: MITNFA", "mit", 0.9),
+    ("/* SPDX-License-Identifier: MIT */ all rights reserved", "mit,reserved", 0.0), ("spdx-license-identifier: ISCX-1", "iscx-1", 0.3), ("iscx mitnfa", "", 0.0), ("SPDX-License-Identifier: CC-BY-4.0", "cc-by", 0.8),
+    ("# SPDX-License-Identifier: Apache-2.0\n# see LGPL-2.1", "apache,lgpl", 0.6), ("the GNU General Public License", "gpl", 0.4), ("SPDX-License-Identifier: (MIT\nCC BY-NC 4.0", "cc-by,cc-by-nc,spdx-malformed", 0.0), ("Tous droits réservés", "reserved", 0.0),
+])
+def test_license_labels(text, labels, score):
+    found = license_scan.scan(text)
+    assert found[5:] == (labels, score) and found[:4] == brute_scan(text) and set(found[4].split(",")) - {""} <= set(labels.split(","))
+
+
+def brute_notices(text):
+    """Labels and score of a text without tags: every phrase tried at every word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    found = {label for phrase, label in license_scan.phrases().items() if label for p in [phrase.split()] if any(words[i : i + len(p)] == p for i in range(len(words)))}
+    return ",".join(sorted(found)), min((license_scan.FREEDOM[x] for x in found), default=0.0)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*sorted({w for p in license_scan.phrases() for w in p.split()} - {"spdx"}), *license_scan.IDENTIFIERS, *license_scan.NOTICES, "x", "\n"]), max_size=12))
+def test_license_labels_random(parts):
+    text = " ".join(parts)
+    assert license_scan.scan(text)[5:] == brute_notices(text)
+
+
+def test_license_awkward_rows(spark):
+    long = "word " * 200_000 + "all rights reserved"
+    df = spark.createDataFrame([(1, long), (1, long), (2, None)], "doc_id long, text string").withColumn("labels", F.lit("clash"))
+    got = df.select("doc_id", "labels", license_scan.license_scan(F.col("text")).alias("s")).select("doc_id", F.col("labels").alias("own"), "s.*").collect()
+    assert sorted((r["doc_id"], r["own"], r["first_word"], r["labels"]) for r in got if r["doc_id"] == 1) == [(1, "clash", 200_000, "reserved")] * 2
+    assert [(r["n_words"], r["labels"], r["score"]) for r in got if r["doc_id"] == 2] == [(0, "", 0.0)]
+    assert df.limit(0).select(license_scan.license_scan(F.col("text")).alias("s")).count() == 0
+
+
+def test_license_query_labels(spark):
+    """The registered query over a given table, row by row against brute force where a text has no tag."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = license_scan.op2_license_scan(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts) and any(r["labels"] for r in rows)
+    for r in rows:
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == brute_scan(texts[r["doc_id"]])
+        if "spdx" not in (texts[r["doc_id"]] or "").lower():
+            assert (r["labels"], r["score"]) == brute_notices(texts[r["doc_id"]])
+
+
 def test_license_query(spark, tmp_path):
     d = save(documents(spark), tmp_path, "documents")
     rows = license_scan.op2_license_scan(spark, d).collect()
@@ -98,6 +142,16 @@ def test_chat_round_trip_random(text, role):
     assert chat_format.read_segment(chat_format.render(role, text)[0]) == (role, text)
 
 
+def test_chat_empty_table_and_long_text(spark, tmp_path):
+    schema = "conv_id long, turn long, role string, text string, parts string, segment string"
+    save(spark.createDataFrame([], schema), tmp_path, "conversations")
+    assert [r["conv_id"] for r in chat_format.op4_chat_format(spark, str(tmp_path)).collect()] == [-1]
+    text = "</s><|end|>\n\\" * 100_000
+    turns = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = chat_format.digest_conversations(chat_format.format_turns(turns.select("conv_id", "turn", "role", chat_format.text_part(F.col("text")).alias("parts")))).first()
+    assert got["loss_chars"] == len(text) and got["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_chat_query_on_awkward_rows(spark, tmp_path):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, None, None), (None, None, "assistant", "x"), (2**60 + 1, 0, "assistant", "</s>")]
     save(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tmp_path, "conversations")
@@ -111,11 +165,11 @@ def test_chat_query_on_awkward_rows(spark, tmp_path):
 
 
 def test_typed_parts(spark):
-    parts = [("text", "see ", None), ("image", None, "a.png"), ("document", None, None), ("video", None, "v"), ("audio", None, "c.wav"), ("text", None, None)]
+    parts = [("text", "see ", None), ("image", None, "a.png"), ("document", None, None), ("video", None, "v"), ("audio", None, "c.wav"), ("text", None, None), (None, "x = 1", None), None]
     df = spark.createDataFrame([(1, parts), (2, None), (3, [])], "id int, parts array<struct<type:string,text:string,ref:string>>")
     got = {r["id"]: r["f"] for r in df.select("id", chat_format.flatten_parts(F.col("parts")).alias("f")).collect()}
-    assert got[1]["text"] == "see <|image:0|><|document:1|><|audio:2|>" and got[1]["refs"] == ["a.png", "", "c.wav"]
-    assert got[1]["attachment_tokens"] == 576 + 256 + 188 and got[2]["text"] == "" and got[3]["refs"] == []
+    assert got[1]["text"] == "see <|image:0|><|document:1|><|other:2|><|audio:3|><|other:4|>" and got[1]["refs"] == ["a.png", "", "v", "c.wav", "x = 1"]
+    assert got[1]["attachment_tokens"] == 576 + 256 + 256 + 188 + 256 and got[2]["text"] == "" and got[3]["refs"] == []
 
 
 def test_attachments_reach_the_formatted_turns(spark):
