@@ -3,12 +3,14 @@
 A document's size is its number of words (null text: 0). Sources in code point order, null last, weigh 5, 2, 1,
 repeating, and share 150 % of all sizes; a source's target stops at twice its size and the excess is shared
 again by weight. Whole passes over a source come first; what is left of its budget is fitted over counts
-of documents by exact size, with a bounded-knapsack pass for the last part, and seeded hashes choose the documents of
-each size. A document is taken 0, 1 or 2 times. Empty tables give empty results; documents of size 0 are never taken.
+of documents by exact size, with bounded-knapsack passes for the last part, and seeded hashes choose the documents of
+each size. A document is taken 0, 1 or 2 times. Empty tables give empty results; documents of size 0 are never taken. Rows with a null
+doc_id are documents like others; equal rows are chosen apart. Very long texts only add a size, and other columns are not read.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +22,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 SEED = 17
 SALTS = 256
-#: Largest budget, in words, that the knapsack pass fits; what greedy steps leave above it stays untaken.
-KNAPSACK = 1 << 17
-#: Sizes offered to the knapsack pass: enough different ones to reach any remainder.
-OFFERED = 512
+#: Sums that one knapsack pass tells apart; larger remainders are fitted in units first.
+SUMS = 1 << 17
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -50,8 +50,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each size to take, so that their words come as near ``budget`` as they can, from below or at it.
 
-    An equal share of every size comes first, then single documents, largest first, and last a bounded-knapsack pass
-    over a bitset of reachable sums.
+    An equal share of every size comes first, then single documents, largest first, and last bounded-knapsack passes over what is left.
     """
     total = sum(s * n for s, n in zip(sizes, counts))
     if budget >= total:
@@ -60,35 +59,49 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
         return [0] * len(sizes)
     take = [n * budget // total for n in counts]
     left = budget - sum(s * n for s, n in zip(sizes, take))
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    floor = min(KNAPSACK, 4 * max(sizes))
-    for i in order:  # down to a remainder that the knapsack pass can hold
-        more = min(counts[i] - take[i], max(0, left - floor) // sizes[i]) if sizes[i] else 0
+    order = sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=lambda i: -sizes[i])
+    floor = min(SUMS, 4 * max(sizes))
+    for i in order:
+        more = min(counts[i] - take[i], max(0, left - floor) // sizes[i])
         take[i] += more
         left -= more * sizes[i]
-    room = [i for i in order if 0 < sizes[i] <= left and counts[i] > take[i]]
-    step = max(1, len(room) // OFFERED)
-    room = room[::step] + ([room[-1]] if room and (len(room) - 1) % step else [])
-    left_cap = min(left, KNAPSACK)
-    mask = (1 << (left_cap + 1)) - 1
-    reach, steps = 1, []
-    for i in room:
-        free, k = counts[i] - take[i], 1
-        while free > 0 and k * sizes[i] <= left_cap:
-            k = min(k, free)
-            new = (reach | (reach << (k * sizes[i]))) & mask
-            steps.append((i, k, reach))
-            reach, free, k = new, free - k, 2 * k
-            if reach >> left_cap & 1:
-                break
-        if reach >> left_cap & 1:
-            break
-    at = reach.bit_length() - 1
-    for i, k, before in reversed(steps):
-        if not before >> at & 1:
+    while True:
+        # A remainder with more sums than the table holds is fitted in units, rounded up, and what that leaves in smaller ones.
+        unit = -(-left // SUMS) if left else 1
+        room = [(i, -(-sizes[i] // unit), counts[i] - take[i]) for i in order if sizes[i] <= left and counts[i] > take[i]]
+        # In units, a size that just fits may seem too large: then the largest document that fits is taken.
+        for i, k in _knapsack(room, left // unit) or [(i, 1) for i, _, _ in room[: unit > 1]]:
             take[i] += k
-            at -= k * sizes[i]
-    return take
+            left -= k * sizes[i]
+        if unit == 1 or not any(sizes[i] <= left and counts[i] > take[i] for i in order):
+            return take
+
+
+def _knapsack(room: list[tuple[int, int, int]], most: int) -> list[tuple[int, int]]:
+    """(item, number) of items (item, size, copies) whose sizes add up to the largest reachable sum up to ``most``.
+
+    Sums are bits of one number. The table holds, for each sum, the step that first reached it; sums before a step are reached without
+    it, so no step is taken twice. Items are offered until ``most`` itself is reached.
+    """
+    reach, mask, steps = 1, (1 << (most + 1)) - 1, []
+    via = np.full(most + 1, -1, np.int32)
+    for i, size, free in room:
+        k = 1
+        while free > 0 and k * size <= most and not reach >> most & 1:
+            k = min(k, free)
+            fresh = (reach << (k * size)) & mask & ~reach
+            if fresh:
+                bits = np.unpackbits(np.frombuffer(fresh.to_bytes(most // 8 + 1, "little"), np.uint8), bitorder="little")
+                via[np.flatnonzero(bits)] = len(steps)
+                steps.append((i, k, size))
+                reach |= fresh
+            free, k = free - k, 2 * k
+    at, out = reach.bit_length() - 1, []
+    while at:
+        i, k, size = steps[via[at]]
+        out.append((i, k))
+        at -= k * size
+    return out
 
 
 def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
