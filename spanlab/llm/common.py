@@ -31,14 +31,23 @@ def word_array(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a cluster gets a folder in the warehouse, which its members share as they share tables; only where driver and
+    executors are one process (master ``local``) is it a temporary folder of the machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spanlab-")
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        found = tempfile.mkdtemp(prefix="spanlab-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/spanlab-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths that ``saved`` has written and nobody has discarded.
+_made: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
@@ -46,6 +55,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spanlab_path = path
+    _made.append(path)
     return out
 
 
@@ -53,9 +63,23 @@ def discard(df: DataFrame) -> None:
     """Delete what ``saved`` wrote, once nothing reads it any more."""
     path = getattr(df, "_spanlab_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def saved_alone(make, name: str) -> DataFrame:
+    """``saved(make(), name)``, after which what was written on the way is deleted."""
+    before = set(_made)
+    out = saved(make(), name)
+    for path in [p for p in _made if p not in before and p != out._spanlab_path]:
+        _delete(out.sparkSession, path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,7 +6,8 @@ estimate lies near the threshold are counted exactly. The first place of a boile
 position) stays, so one document keeps a passage that many repeat; every other place goes.
 
 Lines of fewer than three words stay. A null site counts as one site of its own, a null text as empty. Rows with a
-null doc_id stay as they are. Equal rows are treated alike; rows that share a doc_id with another text are kept apart.
+null doc_id stay as they are. Equal rows are treated alike; rows that share a doc_id with another text are kept apart. An empty table
+gives an empty result; columns of ``docs`` other than doc_id, text and the site pass through whatever their names, but for ``into``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,14 @@ LG_K = 12
 #: Estimates within this share of the threshold (one site at least) are counted exactly. Twelve index bits give 1.6 % error.
 BAND = 0.1
 BLANK = " \t\n\x0b\x0c\r"
+#: What names a line: two hashes of its text, 96 bits together.
+KEY = ["line", "proof"]
+#: A line with more than this share (one over it) of all places is dealt to salts.
+PARTS = 256
+#: Places from which on a line of one site is counted too, as it may be hot.
+FREQUENT = 1000
+#: Characters that three words take at least.
+SHORTEST = 5
 
 
 def _threshold(words: Column, spread) -> Column:
@@ -32,35 +41,59 @@ def _threshold(words: Column, spread) -> Column:
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """doc_id, text_hash, site, pos, line (its hash) and words, for every line of three words or more."""
+    """doc_id, text_hash, site, pos, the line's two hashes and the trimmed line, for every line that can hold three words."""
     text = text_of()
     cut = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(site), F.lit("\0")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    trimmed = F.btrim("raw", F.lit(BLANK))
-    cut = cut.select("doc_id", "text_hash", "site", "pos", trimmed.alias("trimmed"))
-    return cut.select("doc_id", "text_hash", "site", "pos", F.xxhash64("trimmed").alias("line"), F.size(word_array(F.col("trimmed"))).alias("words"))
+    cut = cut.select("doc_id", "text_hash", "site", "pos", F.btrim("raw", F.lit(BLANK)).alias("trimmed")).where((F.length("trimmed") >= SHORTEST) & F.col("doc_id").isNotNull())
+    return cut.select("doc_id", "text_hash", "site", "pos", F.xxhash64("trimmed").alias("line"), F.hash("trimmed").alias("proof"), "trimmed")
 
 
-def boilerplate(docs: DataFrame, site: str = "source", spread=SPREAD) -> tuple[DataFrame, DataFrame]:
-    """The boilerplate lines with their first places, and every place of lines on two sites or more."""
-    key = ["line", "words"]
-    lines = _lines(docs, site).where((F.col("words") >= spread[0][0]) & F.col("doc_id").isNotNull())
-    shared = lines.groupBy(key).agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select(*key)
-    places = saved(lines.join(shared, key, "left_semi"), "lines")
+class _Spread:
+    """Lines on two sites or more, and joins by line that no frequent line can gather in one task.
+
+    A line with more than 1 / PARTS of all places is hot. There are fewer than PARTS of them, so they are broadcast; their places are dealt to
+    salts of about that size, and the one row of such a line stands once for each salt.
+    """
+
+    def __init__(self, lines: DataFrame, least: int):
+        counted = lines.groupBy(*KEY).agg(F.min("site").alias("a"), F.max("site").alias("b"), F.count("*").alias("n"), F.max(F.size(word_array(F.col("trimmed")))).alias("words"))
+        counted = saved(counted.where((F.col("a") != F.col("b")) | (F.col("n") >= FREQUENT)), "counted")
+        total = counted.agg(F.sum("n")).first()[0] or 1
+        share = F.ceil(F.col("n") * PARTS / total).cast("int")
+        self.hot = F.broadcast(counted.where(F.col("n") * PARTS > total).select(*KEY, share.alias("salts")))
+        self.shared = counted.where((F.col("a") != F.col("b")) & (F.col("words") >= least)).select(*KEY, "words")
+
+    def salted(self, places: DataFrame) -> DataFrame:
+        salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "pos"), F.col("salts")), F.lit(0)).cast("int")
+        return places.join(self.hot, KEY, "left").withColumn("salt", salt).drop("salts")
+
+    def join(self, places: DataFrame, lines: DataFrame) -> DataFrame:
+        """``places`` with their salts and the row of ``lines`` (one for a line)."""
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+        return places.join(lines.join(self.hot, KEY, "left").withColumn("salt", each).drop("salts"), [*KEY, "salt"])
+
+
+def boilerplate(docs: DataFrame, site: str = "source", spread=SPREAD) -> tuple[DataFrame, DataFrame, _Spread]:
+    """The boilerplate lines with their first places, every place of lines on two sites or more, and how to join them."""
+    lines = _lines(docs, site)
+    by = _Spread(lines, spread[0][0])
+    places = saved(by.join(by.salted(lines.drop("trimmed")), by.shared), "lines")
     first = F.min(F.struct("doc_id", "pos")).alias("first")
-    sketched = places.groupBy(key).agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), first)
-    sketched = sketched.select(*key, F.hll_sketch_estimate("sketch").alias("sites"), _threshold(F.col("words"), spread).alias("least"), "first")
+    sketched = places.groupBy(*KEY).agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), first, F.max("words").alias("words"))
+    sketched = sketched.select(*KEY, F.hll_sketch_estimate("sketch").alias("sites"), _threshold(F.col("words"), spread).alias("least"), "first")
+    sketched = saved(sketched, "sketched")
     band = F.greatest(F.lit(1.0), F.col("least") * BAND)
     near = F.abs(F.col("sites") - F.col("least")) <= band
-    clear = sketched.where(~near & (F.col("sites") >= F.col("least"))).select(*key, "first")
-    exact = places.join(sketched.where(near).select(*key, "least", "first"), key).groupBy(*key, "least", "first", "site").agg(F.count("*").alias("n"))
-    exact = exact.groupBy(*key, "least", "first").agg(F.count("*").alias("sites")).where("sites >= least").select(*key, "first")
-    return clear.unionByName(exact), places
+    clear = sketched.where(~near & (F.col("sites") >= F.col("least"))).select(*KEY, "first")
+    exact = by.join(places, sketched.where(near).select(*KEY, "least", "first")).groupBy(*KEY, "least", "first", "site").agg(F.count("*").alias("n"))
+    exact = exact.groupBy(*KEY, "least", "first").agg(F.count("*").alias("sites")).where("sites >= least").select(*KEY, "first")
+    return clear.unionByName(exact), places, by
 
 
 def line_dedup(docs: DataFrame, site: str = "source", spread=SPREAD, into: str = "lines") -> DataFrame:
     """``docs`` with text cleaned and a struct ``into`` of n_lines, n_removed, removed_words and left (any words left)."""
-    lines, places = boilerplate(docs, site, spread)
-    again = places.join(lines, ["line", "words"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
+    lines, places, by = boilerplate(docs, site, spread)
+    again = by.join(places, lines).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     gone = again.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("__gone"), F.collect_set(F.struct("pos", "words")).alias("__places"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone", "__places")
     text = text_of()
@@ -86,7 +119,7 @@ def sql(spread=SPREAD) -> str:
     least = "CASE " + " ".join(f"WHEN words >= {w} THEN {s}" for w, s in reversed(spread)) + " END"
     blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 p AS (SELECT doc_id, site, ls, unnest(range(1, len(ls) + 1)) AS i FROM d),
 l AS (SELECT doc_id, site, i, trim(ls[i], {blank}) AS line FROM p),
 w AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM l),

@@ -1,5 +1,6 @@
 """Near-dedup, line dedup, mixing, search, HTML, classifier and the pipeline."""
 
+import html
 import math
 import random
 import re
@@ -139,6 +140,15 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_frequent_line(spark, monkeypatch):
+    """A line with a third of all places is dealt to salts and still keeps its first place alone; one on a single site stays everywhere."""
+    monkeypatch.setattr(line_dedup, "PARTS", 4)
+    monkeypatch.setattr(line_dedup, "FREQUENT", 5)
+    rows = [(i, f"a line of all sites\nown words number {i} here\none site says this" if i % 2 == 0 else f"a line of all sites\nother words number {i} here", f"s{i % 2 * (i % 7 + 1)}") for i in range(60)]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "text", "lines.*").collect()}
+    assert got[0]["text"] == rows[0][1] and all(got[i]["text"] == rows[i][1].split("\n", 1)[1] and got[i]["n_removed"] == 1 and got[i]["removed_words"] == 5 for i in range(1, 60))
+
+
 def brute_targets(sizes):
     """Share the excess again and again, as the contract words it."""
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
@@ -192,6 +202,27 @@ def test_fit_counts_reaches_the_budget():
         assert all(0 <= t <= c for t, c in zip(take, counts)) and 0 <= budget - used <= max(sizes)
 
 
+def test_fit_counts_beyond_the_table(monkeypatch):
+    """Long documents take part in the fit, and nothing that still fits is left out."""
+    assert mixing.fit_counts([400_000, 1_000_000], [1, 3], 1_500_000) == [1, 1]
+    monkeypatch.setattr(mixing, "SUMS", 64)
+    random.seed(4)
+    for _ in range(200):
+        sizes = sorted(random.sample(range(1, 5000), random.randint(1, 12)))
+        counts = [random.randint(1, 6) for _ in sizes]
+        budget = random.randint(0, sum(s * n for s, n in zip(sizes, counts)))
+        take = mixing.fit_counts(sizes, counts, budget)
+        left = budget - sum(s * n for s, n in zip(sizes, take))
+        assert left >= 0 and not any(s <= left and t < c for s, t, c in zip(sizes, take, counts))
+
+
+def test_fit_counts_many_sizes():
+    """Even sizes and an odd budget: every size is offered, and one word stays over."""
+    sizes = list(range(2, 40_000, 2))
+    take = mixing.fit_counts(sizes, [1] * len(sizes), 30_000_001)
+    assert 30_000_001 - sum(s * t for s, t in zip(sizes, take)) == 1
+
+
 def brute_search(docs, queries, k=10):
     bags = {i: Counter(topk_search.words_of(t)) for i, t in docs}
     n, df = len(bags), Counter(w for b in bags.values() for w in b)
@@ -257,10 +288,49 @@ def test_html_pairs_do_not_depend_on_ranges(spark, monkeypatch):
     assert found[0] == found[1] == found[2] and found[0][5] == (5, "own 5")
 
 
-def test_lcs():
+ARTICLE = "<article><p>Share this</p><h2 id='search-results'>Results {x}</h2><p id=share-prices>Share prices fell {x}</p><div class='post-header'><h1>Title {x}</h1></div><p class=notice>Note {x}</p><math><mi>y</mi></math><object>chart {x}</object><p>Quoted</p><p>own {x}</p><div class='comment-list'><p>nice {x}</p></div><div>Read on</div></article>"
+
+
+def test_html_templates_inside_articles(spark):
+    """Lines at an article's ends that all four nearest pages have go; quoted lines between own ones, ids of headings and names of a post stay."""
+    rows = [(i, f"http://a.org/x/{i}", PAGE.replace("{body}", ARTICLE.replace("{x}", str(i)))) for i in range(6)]
+    rows += [(10 + i, f"http://b.org/x/{i}", PAGE.replace("{body}", ARTICLE.replace("{x}", str(i)))) for i in range(2)]
+    rows += [(20 + i, f"http://c.org/x/{i}", PAGE.replace("{body}", ARTICLE.replace("{x}", "0"))) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda x: f"Results {x} Share prices fell {x} Title {x} Note {x} y chart {x} Quoted own {x}"
+    assert [got[i] for i in (2, 3)] == [own(2), own(3)]
+    whole = lambda x: f"Share this {own(x)} Read on"
+    assert got[0] == whole(0) and got[11] == whole(1), "too few pages on both sides tell nothing"
+    assert {got[20 + i] for i in range(6)} == {whole(0)}, "copies of one article protect it"
+
+
+def brute_article(page):
+    """The article of a page of the given tables: what stands between its tags, cut at blocks."""
+    inner = re.search(r"<article>(.*?)</article>", page or "", re.DOTALL)
+    cut = re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", inner[1] if inner else "")
+    return " ".join(t for t in (" ".join(html.unescape(re.sub("<[^>]*>", "", re.sub("<br[^>]*>", " ", x))).split()) for x in cut) if t)
+
+
+def test_html_query_matches_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    got = html_extract.op6_html_extract(spark, d).collect()
+    assert len(got) == len(pages) and all(r["text"] == brute_article(pages[r["page_id"]]["html"]) and r["url"] == pages[r["page_id"]]["url"] for r in got)
+
+
+def test_html_long_pages(spark):
+    lines = [f"<p>line {i % 97}</p>" for i in range(20_000)]
+    rows = [(i, f"http://a.org/{i}", "".join(lines) + f"<p>own {i}</p>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "own 0", 1: "own 1"}
+
+
+@pytest.mark.parametrize("kept", [2, 256])
+def test_lcs(kept, monkeypatch):
+    monkeypatch.setattr(html_extract, "KEPT_ROWS", kept)
     random.seed(1)
     for _ in range(300):
-        a, b = [[random.randrange(5) for _ in range(random.randrange(9))] for _ in range(2)]
+        a, b = [[random.randrange(5) for _ in range(random.randrange(12))] for _ in range(2)]
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
