@@ -2,13 +2,20 @@
 
 A page becomes text lines, one for each block element. Pages are put in the order of host, URL path and id; a page is
 paired with that neighbour of its host whose path shares the longer beginning with its own (the earlier one on ties). The lines of both are
-aligned by longest common subsequence and shared lines are deleted, on every page. Only lines inside the page's article are
-held: a text that two pages quote is no template. Then what markup names as boilerplate goes too, since an advert
-can be new on every page: navigation, headers, footers, sidebars, notices, forms and reader comments.
+aligned by longest common subsequence, and shared lines are deleted:
+
+- outside an article, a line that the paired page has too;
+- inside an article, where two pages may quote one text, a line that each of the SPREAD nearest pages of the host has too (half of them before and half
+  behind the page), and that stands, with others of its kind, before the first or behind the last line of the article's own. Copies of a whole article
+  tell nothing about templates and protect it.
+
+Then what markup names as boilerplate goes too, since menus and adverts can be new on every page: navigation, headers, footers, sidebars,
+notices, forms and reader comments. A class, id or role names boilerplate when a whole name of it does; inside an article only those of
+containers count, so headings and paragraphs stay whatever they are called.
 
 Lines outside an article stay where neither differencing nor markup deletes them: an article element can be a teaser or
-the first of several sections. Null and
-empty pages give an empty text; a null url is a host of its own; equal rows stay rows of their own.
+the first of several sections. Null and empty pages give an empty text, an empty table an empty result; a null url is a host of its own;
+equal rows stay rows of their own, and other columns are not read. Long pages are aligned with bit rows, of which only some are kept.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 import struct
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +33,7 @@ from pyspark.sql import functions as F
 from spanlab.llm.common import partitions, read_table
 
 # Element names by role, and words in class, id or role that name boilerplate.
-UNSEEN = frozenset("script style noscript template iframe svg math canvas object video audio select textarea title".split())
+UNSEEN = frozenset("script style noscript template iframe svg canvas video audio select textarea title".split())
 APART = frozenset("nav header footer aside form button menu dialog fieldset".split())
 ARTICLE = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,24 +44,43 @@ NAMED = frozenset(
     "signup login search share sharing social related recommended comments comment disqus respond reply replies widget "
     "pagination pager skip complementary contentinfo alert toolbar".split()
 )
+#: Names that may stand beside those words in one name, as in comment-list or top-menu.
+BESIDE = frozenset(
+    "list section area box wrap wrapper container block inner outer item items bar site page global main thread form button buttons link links slot unit "
+    "top bottom left right js copyright legal posts trail primary secondary fixed sticky mobile desktop google dfp region zone holder panel".split()
+)
+#: Elements whose names count inside an article, and words that don't count there: they may be an article's own heading.
+CONTAINERS = frozenset("div section ul ol dl table span figure".split())
+HEADING = frozenset(("header", "masthead"))
 #: Elements that an open p ends at, and those that end an open element of their own kind.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[a-z0-9]+")
 _PIECES = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)([^?#]*)")
 
 SHOWN, HELD, DROPPED = 0, 1, 2
+#: Pages around a page that a template inside articles must stand on: half before, half behind it.
+SPREAD = 4
+#: Rows of an alignment that are made again at a time.
+KEPT_ROWS = 256
 
 
-def _boilerplate(attributes: str) -> bool:
+def _boilerplate(name: str, attributes: str, zone: int) -> bool:
+    """Whether an element's class, role or id names boilerplate: a name made of such words, and of words that go with them, only."""
+    if zone == HELD and name not in CONTAINERS:
+        return False
+    named = NAMED - HEADING if zone == HELD else NAMED
     for m in _ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if any(not NAMED.isdisjoint(_NAME.findall(_PIECES.sub(" ", word).lower())) for word in value.split()):
-            return True
+        if zone == HELD and name == "section" and m[1].lower() == "id":
+            continue  # made of its heading
+        for value in (m[2] or m[3] or m[4] or "").split():
+            words = [w for w in _NAME.findall(_PIECES.sub(" ", value).lower()) if w.isalpha()]
+            if not named.isdisjoint(words) and all(w in named or w in BESIDE for w in words):
+                return True
     return False
 
 
@@ -114,7 +141,7 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
         inner = zone
         if zone != DROPPED:
             # A header inside an article is often its heading; outside it is the site's.
-            if name in APART and not (name == "header" and zone == HELD) or _boilerplate(m[3]) and name not in ("html", "body", "article", "main"):
+            if name in APART and not (name == "header" and zone == HELD) or _boilerplate(name, m[3], zone) and name not in ("html", "body", "article", "main"):
                 inner = DROPPED
             elif name in ARTICLE or 'itemprop="articlebody"' in m[3].lower():
                 inner = HELD
@@ -128,7 +155,7 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
 
 
 def lcs_shared(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b``: common ends first, then rows of the table in between."""
+    """Positions in ``a`` of a longest common subsequence with ``b``: common ends first, then what lies in between."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -137,25 +164,50 @@ def lcs_shared(a: list[int], b: list[int]) -> list[int]:
         hi += 1
     out = [*range(lo), *range(len(a) - hi, len(a))]
     both = set(a[lo : len(a) - hi]) & set(b[lo : len(b) - hi])
-    x = [i for i in range(lo, len(a) - hi) if a[i] in both]
-    y = [j for j in range(lo, len(b) - hi) if b[j] in both]
-    if not x:
+    if not both:
         return out
-    rows = [[0] * (len(y) + 1)]
-    for i in x:
-        last, row = rows[-1], [0]
-        for k, j in enumerate(y):
-            row.append(last[k] + 1 if a[i] == b[j] else max(last[k + 1], row[k]))
-        rows.append(row)
-    i, k = len(x), len(y)
-    while i and k:
-        if a[x[i - 1]] == b[y[k - 1]]:
-            out.append(x[i - 1])
-            i, k = i - 1, k - 1
-        elif rows[i - 1][k] >= rows[i][k - 1]:
-            i -= 1
-        else:
-            k -= 1
+    x = [i for i in range(lo, len(a) - hi) if a[i] in both]
+    places: dict[int, int] = {}
+    n = 0
+    for k in b[lo : len(b) - hi]:
+        if k in both:
+            places[k] = places.get(k, 0) | 1 << n
+            n += 1
+    return out + [x[i] for i in _aligned([places[a[i]] for i in x], n)]
+
+
+def _aligned(places: list[int], n: int) -> list[int]:
+    """Rows that a longest common subsequence uses, from each row's bit set of equal columns.
+
+    A row of the table is a number of ``n`` bits: a 0 where the length grows. Rows at the beginning of each stretch of KEPT_ROWS are kept, the others
+    made again on the way back, so a long page needs no whole table.
+    """
+    full = (1 << n) - 1
+
+    def below(row: int, at: int) -> int:
+        same = row & places[at]
+        return (row + same | row - same) & full
+
+    row, marks = full, []
+    for at in range(len(places)):
+        if at % KEPT_ROWS == 0:
+            marks.append(row)
+        row = below(row, at)
+    out: list[int] = []
+    i, j = len(places), n
+    while marks and j:
+        first = (len(marks) - 1) * KEPT_ROWS
+        rows = [marks.pop()]
+        for at in range(first, i):
+            rows.append(below(rows[-1], at))
+        while i > first and j:
+            if rows[i - first] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if rows[i - first] >> (j - 1) & 1:  # the row above doesn't grow here: this row's own match
+                    out.append(i)
+                    j -= 1
     return out
 
 
@@ -186,20 +238,65 @@ def _shared_begin(a: str, b: str) -> int:
     return n
 
 
-def _bounds(pages: DataFrame) -> list[tuple[str, str, int]]:
-    """First and last key of each of a fixed number of ranges of (host, path, page_id)."""
-    n = partitions(pages.sparkSession) * 2
-    dealt = pages.select("host", "path", "page_id").repartitionByRange(n, "host", "path", "page_id").withColumn("p", F.spark_partition_id())
-    key = F.struct("host", "path", "page_id")
-    ends = dealt.groupBy("p").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()  # two keys a partition, whatever the size of the table
-    return sorted((tuple(r["lo"]), tuple(r["hi"])) for r in ends)
+def _ranges(keyed: DataFrame) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """First key of each range of (host, path, page_id), and the ranges that a row is also sent to, by its key.
+
+    There are ranges in proportion to the input's splits. The driver gets the first and last SPREAD / 2 keys of each, whatever a range holds.
+    """
+    n = max(partitions(keyed.sparkSession), keyed.rdd.getNumPartitions()) * 2
+    near = SPREAD // 2
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first: list[tuple] = []
+        last: list[tuple] = []
+        for b in batches:
+            rows = list(zip(b["host"], b["path"], b["page_id"].tolist()))
+            first += rows[: max(0, near - len(first))]
+            last = (last + rows)[-near:]
+        keys = [*[(0, *k) for k in first], *[(1, *k) for k in last]]
+        yield pd.DataFrame([(first[0][0], first[0][1], first[0][2], *k) for k in keys] if keys else [], columns=["h", "p", "i", "side", "host", "path", "page_id"])
+
+    dealt = keyed.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    found: dict[tuple, tuple[list, list]] = {}
+    for r in dealt.mapInPandas(ends, "h string, p string, i long, side int, host string, path string, page_id long").collect():  # a few keys a range
+        found.setdefault((r["h"], r["p"], r["i"]), ([], []))[r["side"]].append((r["host"], r["path"], r["page_id"]))
+    los = sorted(found)
+    sent: dict[tuple, list[int]] = {}
+    for k in range(len(los)):
+        for step, side in ((-1, 1), (1, 0)):
+            other, missing = k + step, near
+            while 0 <= other < len(los) and missing > 0:
+                keys = found[los[other]][side]
+                for key in keys[-missing:] if side else keys[:missing]:
+                    if k not in sent.setdefault(key, []):
+                        sent[key].append(k)
+                missing -= len(keys)
+                other += step
+    return los, sent
+
+
+def _own_lines(zones: bytes, keys: list[int], path: str, before: list, after: list) -> list[int]:
+    """Positions of the lines that are the page's own. ``before`` and ``after``: neighbours of its host (path, zones, keys), nearest first."""
+    pair = min([(-_shared_begin(path, x[0]), k, x) for k, side in enumerate((before, after)) for x in side[:1]], default=None, key=lambda x: x[:2])
+    gone = {i for i in lcs_shared(keys, pair[2][2]) if zones[i] == SHOWN} if pair else set()
+    article = [i for i, z in enumerate(zones) if z == HELD]
+    if article and len(before) + len(after) == SPREAD:
+        mine = [keys[i] for i in article]
+        spread = set(range(len(mine)))
+        for _, z, other in (*before, *after):
+            shared = lcs_shared(mine, [k for k, y in zip(other, z) if y == HELD])
+            spread &= set(shared) if len(shared) < len(mine) else set()
+        lo = next((i for i in range(len(mine)) if i not in spread), len(mine))
+        hi = next((i for i in range(len(mine)) if len(mine) - 1 - i not in spread), len(mine))
+        gone |= {*article[:lo], *article[len(mine) - hi :]}
+    return [i for i, z in enumerate(zones) if z != DROPPED and i not in gone]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of (page_id, url, html).
 
-    Texts move once, compressed, to the range of their URL. The last page of a range and the first of the next are also sent
-    to each other's range, so pairs do not depend on how many ranges there are.
+    Texts move once, compressed, to the range of their URL. Pages near the border of a range are also sent, without their
+    texts, to the ranges whose pages they are neighbours of, so results do not depend on how many ranges there are.
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
@@ -209,7 +306,8 @@ def extract(pages: DataFrame) -> DataFrame:
         return pd.DataFrame([split_url(u) for u in url], columns=["host", "path"])
 
     keyed = pages.select(F.coalesce("page_id", F.lit(-(2**63))).alias("page_id"), parts("url").alias("u")).select("page_id", "u.host", "u.path")
-    bounds = spark.sparkContext.broadcast(_bounds(keyed))
+    los, sent = _ranges(keyed)
+    bounds = spark.sparkContext.broadcast((los, sent))
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from bisect import bisect_right
@@ -218,9 +316,7 @@ def extract(pages: DataFrame) -> DataFrame:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(3).compress
-        los = [lo for lo, _ in bounds.value]
-        first = {lo: k for k, (lo, _) in enumerate(bounds.value)}
-        last = {hi: k for k, (_, hi) in enumerate(bounds.value)}
+        los, sent = bounds.value
         for b in batches:
             rows = []
             for page_id, url, page in zip(b["page_id"], b["url"], b["html"]):
@@ -230,45 +326,49 @@ def extract(pages: DataFrame) -> DataFrame:
                 found = page_lines(page)
                 lines = _pack([z for z, _ in found], [xxhash.xxh3_64_intdigest(t) - (1 << 63) for _, t in found])
                 text = squeeze("\n".join(t for _, t in found).encode())
-                own = max(0, bisect_right(los, key) - 1)
-                rows.append((own, 1, host, path, page_id, url, lines, text))
-                if key in first and own > 0:
-                    rows.append((own - 1, 0, host, path, page_id, None, lines, None))
-                if key in last and own + 1 < len(los):
-                    rows.append((own + 1, 0, host, path, page_id, None, lines, None))
+                rows.append((max(0, bisect_right(los, key) - 1), 1, host, path, page_id, url, lines, text))
+                rows += [(k, 0, host, path, page_id, url, lines, None) for k in sent.get(key, ())]
             yield pd.DataFrame(rows, columns=["block", "own", "host", "path", "page_id", "url", "lines", "text"]).astype({"page_id": "Int64"})
 
     def differenced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sorted rows, one after another, with only their neighbours in memory."""
         import zstandard
 
-        spread = zstandard.ZstdDecompressor()
+        spread, near = zstandard.ZstdDecompressor(), SPREAD // 2
+        window: deque = deque(maxlen=SPREAD + 1)
 
-        def finish(row, neighbours) -> tuple:
+        def finish() -> list[tuple]:
+            row = window[near]
+            if row is None or not row.own:
+                return []
+            of = lambda xs: [(x.path, *_unpack(x.lines)) for x in xs if x is not None and x.host == row.host]
             zones, keys = _unpack(row.lines)
-            near = [(-_shared_begin(row.path, x.path), k, x) for k, x in enumerate(neighbours) if x is not None and x.block == row.block and x.host == row.host]
-            shared = set(lcs_shared(keys, _unpack(min(near, key=lambda x: x[:2])[2].lines)[1])) if near else set()
+            before, after = of([window[k] for k in range(near - 1, -1, -1)]), of([window[k] for k in range(near + 1, SPREAD + 1)])
             lines = spread.decompress(row.text).decode().split("\n") if keys else []
-            kept = [t for i, (z, t) in enumerate(zip(zones, lines)) if z == HELD or z == SHOWN and i not in shared]
-            text = " ".join(kept)
-            page_id = None if pd.isna(row.page_id) else int(row.page_id)
-            return page_id, row.url, text, len(text)
+            text = " ".join(lines[i] for i in _own_lines(zones, keys, row.path, before, after))
+            return [(None if pd.isna(row.page_id) else int(row.page_id), row.url, text, len(text))]
 
-        before = now = None
+        window.extend([None] * (SPREAD + 1))
         for b in batches:
             rows = []
             for row in b.itertuples(index=False):
-                if now is not None and now.own:
-                    rows.append(finish(now, (before, row)))
-                before, now = now, row
-            yield pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
-        if now is not None and now.own:
-            yield pd.DataFrame([finish(now, (before, None))], columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
+                window.append(row)
+                rows += finish()
+            yield _told(rows)
+        rows = []
+        for _ in range(near):
+            window.append(None)
+            rows += finish()
+        yield _told(rows)
 
     schema = "block int, own int, host string, path string, page_id long, url string, lines binary, text binary"
-    dealt = pages.mapInPandas(parsed, schema).repartition(partitions(spark), "block").sortWithinPartitions("block", "host", "path", "page_id", "url", "own")
+    dealt = pages.mapInPandas(parsed, schema).repartitionById(max(1, len(los)), "block").sortWithinPartitions("host", "path", "page_id", "url", "lines", "own")
     return dealt.mapInPandas(differenced, "page_id long, url string, text string, n_chars long")
 
 
+def _told(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"]).astype({"page_id": "Int64"})
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages"))
