@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Number words.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-CONTRACTIONS = {"what's": "what is", "it's": "it is", "i'm": "i am", "don't": "do not"}
+CONTRACTIONS = {"what's": "what is", "it's": "it is", "i'm": "i am", "let's": "let us"}
 NUMBERS = tuple(ONES) + tuple(TENS) + ("hundred",)
 
 
@@ -30,17 +30,21 @@ def number_words(n: int) -> str:
 
 
 def norm_spoken(c: Column) -> Column:
-    """A text as it is said: signs, clock times, and numbers up to 100 as words; letters only."""
-    c = F.lower(c)
-    for short, full in CONTRACTIONS.items():
-        c = F.regexp_replace(c, short, full)
-    c = F.regexp_replace(F.regexp_replace(c, "%", " percent "), "°", " degrees ")
-    c = F.regexp_replace(c, r"([0-9]) ?(a|p)m\b", "$1 $2 m")
-    c = F.regexp_replace(F.regexp_replace(c, "([0-9]+):00", "$1"), "([0-9]+):([0-9]+)", "$1 $2")
-    words = F.split(F.btrim(F.regexp_replace(c, "[^a-z0-9]+", " "), F.lit(" ")), " ")
+    """A text as it is said: signs, clock times, and whole numbers up to 100 as words; letters only.
+
+    A digit parts from a letter behind it; ``am`` and ``pm`` are said letter by letter wherever they stand.
+    """
+    c = F.regexp_replace(F.regexp_replace(F.lower(c), "%", " percent "), "°", " degrees ")
+    c = F.regexp_replace(c, "([0-9])([a-z])", "$1 $2")
+    c = F.regexp_replace(F.regexp_replace(c, r"\b([0-9]{1,2}):00\b", "$1"), r"\b([0-9]{1,2}):([0-9]{2})\b", "$1 $2")
+    c = F.regexp_replace(c, r"\b(a|p)\.?\s?m\.?\b", "$1 m")
     named = F.create_map(*[F.lit(x) for n in range(101) for x in (str(n), number_words(n))])
-    said = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(named, w), w)), " ")
-    return F.btrim(F.regexp_replace(said, "[^a-z]+", " "), F.lit(" "))
+    # Words and what lies between them, so that a number is told by its borders alone.
+    pieces = F.regexp_extract_all(c, F.lit(r"([0-9A-Za-z_]+|[^0-9A-Za-z_]+)"), F.lit(1))
+    c = F.array_join(F.transform(pieces, lambda w: F.when(w.rlike("^[0-9]+$"), F.coalesce(F.try_element_at(named, F.regexp_replace(w, "^0+(?=.)", "")), w)).otherwise(w)), "")
+    for short, full in CONTRACTIONS.items():
+        c = F.replace(c, F.lit(short), F.lit(full))
+    return F.btrim(F.regexp_replace(c, "[^a-z]+", " "), F.lit(" "))
 
 
 def edit_ratio(a: Column, b: Column, mode: str = "max") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlab.operators.intervals import union_length
-from spanlab.operators.joins import one_to_one_match
+from spanlab.operators.joins import HOUR_US, one_to_one_match, points_in
 from spanlab.operators.triggers import k_of_n, refractory
 
 
@@ -21,7 +21,7 @@ def match(triggers: DataFrame, targets: DataFrame, key: str, before: int, after:
     told = targets.join(pairs, [key, "target_id"], "left").withColumn("latency", F.col("hit_t") - F.col("e"))
     hits = pairs.where("hit_id IS NOT NULL").select(key, F.col("hit_id").alias("trigger_id"), "target_id")
     zones = targets.select(key, (F.col("s") - before).alias("z0"), (F.col("e") + after).alias("z1"))
-    inside = triggers.join(zones, key).where(F.col("t").between(F.col("z0"), F.col("z1"))).select(key, "trigger_id").distinct().withColumn("inside", F.lit(True))
+    inside = points_in(triggers, "t", zones, "z0", "z1", [key], max(before + after, HOUR_US)).select(key, "trigger_id").distinct().withColumn("inside", F.lit(True))
     out = triggers.join(hits, [key, "trigger_id"], "left").join(inside, [key, "trigger_id"], "left")
     return out.withColumn("outcome", F.when(F.col("target_id").isNotNull(), "hit").when(F.col("inside"), "duplicate").otherwise("false_accept")).drop("inside"), told
 

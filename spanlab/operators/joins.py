@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, key: str, required: list[str] = ()) -> DataFrame:
@@ -60,31 +66,67 @@ def knn_band_join(a: DataFrame, b: DataFrame, keys: list[str], k: int, radius: f
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "a_id", "b_id", "d2", "rank")
 
 
-def one_to_one_match(expected: DataFrame, observed: DataFrame, key: str, lo: int, hi: int) -> DataFrame:
+def points_in(points: DataFrame, t: str, zones: DataFrame, z0: str, z1: str, keys: list[str], width: int) -> DataFrame:
+    """Pairs of points and closed zones that hold them under the same keys. Zones stand in each bucket of ``width`` that they touch, so a busy key spreads over its buckets."""
+    cut = zones.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(z0) / width), F.floor(F.col(z1) / width))))
+    at = points.withColumn("__bucket", F.floor(F.col(t) / width))
+    return at.join(cut, [*keys, "__bucket"]).where(F.col(t).between(F.col(z0), F.col(z1))).drop("__bucket")
+
+
+#: Width of the buckets that points and zones meet in, where nothing else is said: an hour in microseconds.
+HOUR_US = 3_600_000_000
+
+
+def one_to_one_match(expected: DataFrame, observed: DataFrame, key: str, lo: int, hi: int, width: int | None = None) -> DataFrame:
     """Each expected event (e_id, a, b) takes the earliest unused observed time (o_id, t) in [a - lo, b + hi].
 
-    Zones that do not overlap need only the earliest time of each. Zones that do form islands, and a fold walks each
-    island's expected events in order. One row per expected event, o_id null where it has none.
+    Zones that overlap form islands, which are dealt to tasks apart. There, times go in order to the first zone (by start, then id) that waits for
+    one; only waiting zones are in memory. One row per expected event, o_id null where it has none.
     """
     zones = expected.select(key, "e_id", (F.col("a") - lo).alias("z0"), (F.col("b") + hi).alias("z1"))
     order = W.partitionBy(key).orderBy("z0", "e_id")
     before = F.max("z1").over(order.rowsBetween(W.unboundedPreceding, -1))
     fresh = F.when(before.isNull() | (before < F.col("z0")), 1).otherwise(0)
-    zones = zones.withColumn("island", F.sum(F.col("f")).over(order)) if "f" in zones.columns else zones.withColumn("f", fresh).withColumn("island", F.sum("f").over(order)).drop("f")
-    isles = zones.groupBy(key, "island").agg(F.min("z0").alias("i0"), F.max("z1").alias("i1"), F.sort_array(F.collect_list(F.struct("z0", "e_id", "z1"))).alias("zs"))
-    inside = observed.join(isles.select(key, "island", "i0", "i1"), key).where((F.col("t") >= F.col("i0")) & (F.col("t") <= F.col("i1")))
-    times = inside.groupBy(key, "island").agg(F.sort_array(F.collect_list(F.struct("t", "o_id"))).alias("ts"))
-    start = F.struct(F.array().cast("array<struct<e_id:bigint,t:bigint,o_id:bigint>>").alias("out"), F.coalesce(F.col("ts"), F.array().cast("array<struct<t:bigint,o_id:bigint>>")).alias("left"))
-
-    def step(s: Column, z: Column) -> Column:
-        hit = F.get(F.filter(s["left"], lambda x: (x["t"] >= z["z0"]) & (x["t"] <= z["z1"])), F.lit(0))
-        return F.struct(
-            F.array_append(s["out"], F.struct(z["e_id"].alias("e_id"), hit["t"].alias("t"), hit["o_id"].alias("o_id"))).alias("out"),
-            F.filter(s["left"], lambda x: ~x.eqNullSafe(hit)).alias("left"),
-        )
-
-    folded = isles.join(times, [key, "island"], "left").select(key, F.explode(F.aggregate("zs", start, step, lambda s: s["out"])).alias("m"))
-    return folded.select(key, "m.e_id", "m.t", "m.o_id")
+    zones = zones.withColumn("f", fresh).withColumn("island", F.sum("f").over(order)).drop("f")
+    inside = points_in(observed.select(key, "t", "o_id"), "t", zones, "z0", "z1", [key], width or max(lo + hi, HOUR_US)).select(key, "island", "t", "o_id").distinct()
+    rows = zones.select(key, "island", F.col("z0").alias("at"), F.lit(0).alias("kind"), F.col("e_id").alias("id"), "z1")
+    rows = rows.unionByName(inside.select(key, "island", F.col("t").alias("at"), F.lit(1).alias("kind"), F.col("o_id").alias("id"), F.lit(None).cast("long").alias("z1")))
+    dealt = rows.repartition(key, "island").sortWithinPartitions(key, "island", "at", "kind", "id")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, waiting = None, deque()
+
+        def left(out: list) -> None:
+            out += [(where[0], e_id, None, None) for e_id, _ in waiting]
+            waiting.clear()
+
+        for b in batches:
+            out: list[tuple] = []
+            for k, island, at, kind, ident, z1 in zip(*(b.column(c).to_pylist() for c in range(6))):
+                if where != (k, island):
+                    left(out)
+                    where = k, island
+                if kind == 0:
+                    waiting.append((ident, z1))
+                    continue
+                while waiting:
+                    e_id, z1 = waiting.popleft()
+                    out.append((k, e_id, at, ident) if at <= z1 else (k, e_id, None, None))
+                    if at <= z1:
+                        break
+            yield told(out)
+        if waiting:
+            out = []
+            left(out)
+            yield told(out)
+
+    schema = T.StructType([rows.schema[key], T.StructField("e_id", T.LongType()), T.StructField("t", T.LongType()), T.StructField("o_id", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(arrow.names, x)) for x in out], schema=arrow)
+
+    return dealt.mapInArrow(walk, schema)
 
 
 def seq_join(trials: DataFrame, answers: DataFrame, key: str, own: str, other: str) -> DataFrame:

@@ -18,7 +18,9 @@ class SpanConfig:
 
     first: str = "hey"
     second: str = "delta"
-    fuzzy: float = 0.34
+    fuzzy_pair: float = 0.34
+    fuzzy_word: float = 0.34
+    flag_unmatched: bool = True
     probability: float = 0.3
     gap: float = 0.35
     collapsed: float = 0.02
@@ -29,42 +31,58 @@ class SpanConfig:
 WORD = "struct<word:string,start:double,end:double,probability:double>"
 
 
-def detect_spans(chunks: DataFrame, keys: list[str], cfg: SpanConfig = SpanConfig(), positive: str | None = None) -> DataFrame:
-    """Spans of the phrase in word arrays (keys, words): match_type, first and last word positions and times.
+def detect_spans(chunks: DataFrame, keys: list[str], cfg: SpanConfig = SpanConfig(), positive: str | None = None, bounds: tuple[str, str] | None = None) -> DataFrame:
+    """Spans of the phrase in word arrays (keys, words): match_type, why, first and last word positions, and times.
 
-    A left-to-right scan: the exact pair is complete and uses two words; a pair whose words together are close enough is fuzzy and uses two;
-    a lone word like the second, or the first, is partial. A chunk without any, in a ``positive`` file, is tried as a whole, else reported
-    as unmatched speech. Chunks are short, so the scan folds over one chunk's array.
+    Words that normalise to nothing are left out first. Then a left-to-right scan: the exact pair is complete and uses two words; a pair that lies within
+    ``fuzzy_pair`` of the phrase, with the space, is fuzzy and uses two; a lone word like the second, within ``fuzzy_word``, or equal to the first is partial.
+    Where the scan finds nothing at all, the whole chunk may be a fuzzy phrase. Where there is no complete or fuzzy span, a chunk of a ``positive``
+    file is reported as unmatched speech too. ``bounds`` are the chunk's start and end columns, which clip spans; raw times stay beside them.
+    Chunks are short, so the scan folds over one chunk's array.
     """
-    target = cfg.first + cfg.second
-    normed = F.transform(F.col("words"), lambda w: norm_token(F.coalesce(w["word"], F.lit(""))))
-    at = chunks.withColumn("__n", normed)
-
-    def kind(n: Column, w: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(n, i + 1), F.lit(""))
-        return F.when((w == cfg.first) & (after == cfg.second), "complete").when(
-            (i + 1 < F.size(n)) & (edit_ratio(F.concat(w, after), F.lit(target)) <= cfg.fuzzy), "fuzzy").when(
-            (w == cfg.first) | (edit_ratio(w, F.lit(cfg.second)) <= cfg.fuzzy), "partial")
-
-    kinds = let(normed, lambda n: F.transform(n, lambda w, i: F.struct(i.cast("int").alias("i"), kind(n, w, i).alias("k"))))
-    start = F.struct(F.array().cast("array<struct<i:int,j:int,match_type:string>>").alias("out"), F.lit(0).alias("next"))
+    target = f"{cfg.first} {cfg.second}"
+    said = F.transform(F.col("words"), lambda w, i: F.struct(i.cast("int").alias("at"), norm_token(F.coalesce(w["word"], F.lit(""))).alias("n")))
+    at = chunks.withColumn("__n", F.filter(said, lambda x: x["n"] != "")).withColumn("__text", F.array_join(F.transform("__n", lambda x: x["n"]), " "))
+
+    def kind(n: Column, x: Column, i: Column) -> Column:
+        w, after = x["n"], F.get(n, i + 1)["n"]
+        pair = edit_ratio(F.concat_ws(" ", w, after), F.lit(target))
+        of = lambda name, why, ratio, size: F.struct(F.lit(name).alias("match_type"), F.lit(why).alias("why"), ratio.cast("double").alias("edit_ratio"), F.lit(size).alias("size"))
+        word = edit_ratio(w, F.lit(cfg.second))
+        return (
+            F.when((w == cfg.first) & (after == cfg.second), of("complete", "exact_pair", F.lit(0.0), 2)).when(after.isNotNull() & (pair <= cfg.fuzzy_pair), of("fuzzy", "fuzzy_text_match", pair, 2))
+            .when((w == cfg.second) | (word <= cfg.fuzzy_word), of("partial", "isolated_second_token", word, 1)).when(w == cfg.first, of("partial", "isolated_first_token", F.lit(0.0), 1))
+        )
+
+    kinds = let(F.col("__n"), lambda n: F.transform(n, lambda x, i: F.struct(i.cast("int").alias("i"), kind(n, x, i).alias("k"))))
+    found = "struct<i:int,j:int,match_type:string,why:string,edit_ratio:double>"
+    start = F.struct(F.array().cast(f"array<{found}>").alias("out"), F.lit(0).alias("next"))
+    span = lambda i, j, name, why, ratio: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), name.alias("match_type"), why.alias("why"), ratio.cast("double").alias("edit_ratio"))
 
     def step(s: Column, x: Column) -> Column:
-        size = F.when(x["k"].isin("complete", "fuzzy"), 2).otherwise(1)
-        found = F.array_append(s["out"], F.struct(x["i"].alias("i"), (x["i"] + size - 1).cast("int").alias("j"), x["k"].alias("match_type")))
-        return F.when(x["i"] < s["next"], s).otherwise(F.struct(found.alias("out"), (x["i"] + size).cast("int").alias("next")))
-
-    found = at.withColumn("__s", F.aggregate(F.filter(kinds, lambda x: x["k"].isNotNull()), start, step, lambda s: s["out"]))
-    if positive is not None:
-        whole = F.array(F.struct(F.lit(0).alias("i"), (F.size("__n") - 1).cast("int").alias("j"), F.when(edit_ratio(F.array_join("__n", ""), F.lit(target)) <= cfg.fuzzy, "fuzzy").otherwise("unmatched").alias("match_type")))
-        found = found.withColumn("__s", let(F.col("__s"), lambda x: F.when((F.size(x) == 0) & F.col(positive) & (F.size("__n") > 0), whole).otherwise(x)))
-    out = found.select(*keys, *([positive] if positive else []), "words", F.explode("__s").alias("s"))
-    word = lambda c: F.get("words", F.col(c))
-    span = F.slice("words", F.col("s.i") + 1, F.col("s.j") - F.col("s.i") + 1)
+        k = x["k"]
+        one = span(x["i"], x["i"] + k["size"] - 1, k["match_type"], k["why"], k["edit_ratio"])
+        return F.when(x["i"] < s["next"], s).otherwise(F.struct(F.array_append(s["out"], one).alias("out"), (x["i"] + k["size"]).cast("int").alias("next")))
+
+    scanned = F.aggregate(F.filter(kinds, lambda x: x["k"].isNotNull()), start, step, lambda s: s["out"])
+    whole = lambda name, why, ratio: F.array(span(F.lit(0), F.size("__n") - 1, F.lit(name), F.lit(why), ratio).cast(found))
+    ratio = F.when(F.col("__text") == "", 1.0).otherwise(edit_ratio(F.col("__text"), F.lit(target)))
+    tried = let(scanned, lambda x: F.when((F.size(x) == 0) & (F.col("__text") != "") & (ratio <= cfg.fuzzy_pair), whole("fuzzy", "fuzzy_chunk_text_match", ratio)).otherwise(x))
+    if positive is not None and cfg.flag_unmatched:
+        missed = lambda x: F.col(positive) & ~F.exists(x, lambda s: s["match_type"].isin("complete", "fuzzy"))
+        tried = let(tried, lambda x: F.when(missed(x), F.concat(x, whole("unmatched", "no_phrase_in_positive_file", ratio))).otherwise(x))
+    limits = [F.col(b).cast("double") for b in bounds] if bounds else [F.array_min(F.transform("words", lambda w: w["start"])), F.array_max(F.transform("words", lambda w: w["end"]))]
+    kept = [*keys, *([positive] if positive else [])]
+    out = at.select(*kept, "words", "__n", limits[0].alias("__c0"), limits[1].alias("__c1"), F.explode(tried).alias("s"))
+    used = F.transform(F.slice("__n", F.col("s.i") + 1, F.greatest(F.col("s.j") - F.col("s.i") + 1, F.lit(0))), lambda x: F.get("words", x["at"]))
+    out = out.withColumn("__w", used).withColumn("__whole", F.col("s.why").isin("fuzzy_chunk_text_match", "no_phrase_in_positive_file"))
+    raw = [F.when(F.col("__whole"), F.col("__c0")).otherwise(F.array_min(F.transform("__w", lambda w: w["start"]))), F.when(F.col("__whole"), F.col("__c1")).otherwise(F.array_max(F.transform("__w", lambda w: w["end"])))]
+    pair = ~F.col("__whole") & (F.size("__w") == 2)
+    place = lambda c: F.get("__n", F.col(c))["at"]
     return out.select(
-        *keys, *([positive] if positive else []), "s.match_type", F.col("s.i").alias("first_word"), F.col("s.j").alias("last_word"), word("s.i")["start"].alias("start_sec"), word("s.j")["end"].alias("end_sec"),
-        F.array_min(F.transform(span, lambda w: w["probability"])).alias("min_probability"), F.when(F.col("s.j") > F.col("s.i"), word("s.j")["start"] - word("s.i")["end"]).alias("gap_sec"),
-        F.array_min(F.transform(span, lambda w: w["end"] - w["start"])).alias("shortest_word"),
+        *kept, "s.match_type", "s.why", "s.edit_ratio", place("s.i").alias("first_word"), F.when(F.size("__n") > 0, place("s.j")).alias("last_word"), F.greatest(raw[0], F.col("__c0")).alias("start_sec"), F.least(raw[1], F.col("__c1")).alias("end_sec"),
+        raw[0].alias("raw_start_sec"), raw[1].alias("raw_end_sec"), F.array_min(F.transform("__w", lambda w: w["probability"])).alias("min_probability"), F.when(pair, F.get("__w", F.lit(1))["start"] - F.get("__w", F.lit(0))["end"]).alias("gap_sec"),
+        F.array_min(F.transform("__w", lambda w: w["end"] - w["start"])).alias("shortest_word"),
     )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,34 +18,49 @@ def smooth(df: DataFrame, stream: str, t: str, score: str, k: int, into: str, ti
 
 
 def k_of_n(df: DataFrame, stream: str, t: str, score: str, threshold: float | Column, k: int, n: int, into: str, tie: str | None = None) -> DataFrame:
-    """True where the score is above the threshold and at least k of the last n scores are."""
+    """True where the score reaches the threshold and at least k of the last n scores do."""
     if not 1 <= k <= n:
         raise ValueError(f"1 <= k <= n expected, not k={k}, n={n}")
     w = W.partitionBy(stream).orderBy(*[x for x in (t, tie) if x]).rowsBetween(-(n - 1), 0)
-    above = (F.col(score) > threshold).cast("int")
-    return df.withColumn(into, (above == 1) & (F.sum(above).over(w) >= k))
+    reached = (F.col(score) >= threshold).cast("int")
+    return df.withColumn(into, (reached == 1) & (F.sum(reached).over(w) >= k))
 
 
 def refractory(cands: DataFrame, streams: list[str], t: str, gap: int, payload: list[str], tie: str | None = None) -> DataFrame:
     """Keep a candidate when at least ``gap`` has passed since the last one that was kept.
 
     A candidate that comes ``gap`` or more after the one before it is always kept, whatever happened earlier, so candidates fall into
-    islands there; only inside an island does a fold decide.
+    islands there, and islands are dealt to tasks apart. Inside an island a walk over sorted batches leaps from each kept one to the first that
+    is far enough behind it: it holds one time, however long the island is.
     """
     order = [x for x in (t, tie) if x]
+    cols = [*streams, *order, *[c for c in payload if c not in order]]
     w = W.partitionBy(*streams).orderBy(*order)
     fresh = F.when(F.coalesce(F.col(t) - F.lag(t).over(w) >= gap, F.lit(True)), 1).otherwise(0)
-    isles = cands.withColumn("__f", fresh).withColumn("__island", F.sum("__f").over(w))
-    row = F.struct(*order, *[c for c in payload if c not in order])
-    grouped = isles.groupBy(*streams, "__island").agg(F.sort_array(F.collect_list(row)).alias("__rows"))
+    isles = cands.select(*cols).withColumn("__first", fresh).withColumn("__island", F.sum("__first").over(w))
+    dealt = isles.repartition(*streams, "__island").sortWithinPartitions(*streams, "__island", *order)
 
-    def keep(kept: Column, x: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)[t]
-        return F.when(last.isNull() | (x[t] - last >= gap), F.array_append(kept, x)).otherwise(kept)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            times = b.column(b.schema.get_field_index(t)).to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero(b.column(b.schema.get_field_index("__first")).to_numpy(zero_copy_only=False))
+            kept: list[int] = []
+            # Rows before the first head go on with the island of the batch before.
+            for k, (at, end) in enumerate(zip(np.append(0, heads), np.append(heads, len(times)))):
+                if k:
+                    last = None
+                while at < end:
+                    if last is not None:
+                        at += np.searchsorted(times[at:end], last + gap)
+                        if at >= end:
+                            break
+                    kept.append(at)
+                    last = times[at]
+                    at += 1
+            yield b.take(pa.array(kept, pa.int64())).select(cols)
 
-    alone = F.size("__rows") == 1
-    folded = F.when(alone, F.col("__rows")).otherwise(F.aggregate("__rows", F.slice("__rows", 1, 0), keep))
-    return grouped.select(*streams, F.explode(folded).alias("__x")).select(*streams, "__x.*")
+    return dealt.mapInArrow(walk, dealt.select(*cols).schema)
 
 
 def detect(scores: DataFrame, stream: str, t: str, score: str, threshold: float, gap: int, k: int = 1, n: int = 1, smoothing: int = 1, tie: str | None = None) -> DataFrame:

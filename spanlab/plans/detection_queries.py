@@ -61,8 +61,8 @@ def dt4(spark, d):
     return D.stream_report(exposed(spark, d), t, g, "stream_id", ["condition", "set_name"])
 
 
-@query("dt5_sweep", sql("""WITH g AS (SELECT unnest([40.0, 60.0, 80.0])::DOUBLE AS threshold), f AS (SELECT s.*, threshold, sum((score > threshold)::INT) OVER (PARTITION BY stream_id, threshold ORDER BY t_us, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS above FROM v_scores s, g),
-    c AS (SELECT *, row_number() OVER (PARTITION BY stream_id, threshold ORDER BY t_us, event_id) AS n FROM f WHERE score > threshold AND above >= 2),
+@query("dt5_sweep", sql("""WITH g AS (SELECT unnest([40.0, 60.0, 80.0])::DOUBLE AS threshold), f AS (SELECT s.*, threshold, sum((score >= threshold)::INT) OVER (PARTITION BY stream_id, threshold ORDER BY t_us, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS above FROM v_scores s, g),
+    c AS (SELECT *, row_number() OVER (PARTITION BY stream_id, threshold ORDER BY t_us, event_id) AS n FROM f WHERE score >= threshold AND above >= 2),
     w AS (SELECT stream_id, threshold, n, t_us AS last, true AS hit FROM c WHERE n = 1 UNION ALL SELECT c.stream_id, c.threshold, c.n, CASE WHEN c.t_us - w.last >= 43200000000 THEN c.t_us ELSE w.last END, c.t_us - w.last >= 43200000000 FROM w JOIN c ON c.stream_id = w.stream_id AND c.threshold = w.threshold AND c.n = w.n + 1)
     SELECT threshold, count(*) AS triggers FROM w WHERE hit GROUP BY 1""", "v_scores").replace("WITH v_scores", "WITH RECURSIVE v_scores"))
 def dt5(spark, d):

@@ -15,7 +15,7 @@ def wn1(spark, d):
     return D.smooth(v_scores(spark, d), "stream_id", "t_us", "score", 3, "s", "event_id").select("event_id", F.round("s", 6).alias("smoothed"))
 
 
-@query("wn2_k_of_n", sql("SELECT event_id, score > 60 AND above >= 2 AS on_now FROM v_flags", "v_flags"))
+@query("wn2_k_of_n", sql("SELECT event_id, score >= 60 AND above >= 2 AS on_now FROM v_flags", "v_flags"))
 def wn2(spark, d):
     return D.k_of_n(v_scores(spark, d), "stream_id", "t_us", "score", 60, 2, 3, "on_now", "event_id").select("event_id", "on_now")
 

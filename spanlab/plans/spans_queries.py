@@ -10,18 +10,19 @@ from spanlab.plans.registry import query
 from spanlab.plans.text_queries import _BASIC, _W
 from spanlab.plans.views import prop_k, sql, table, v_spans
 
-CFG = S.SpanConfig(first="the", second="and", shortest=0.2, longest=0.5)
+CFG = S.SpanConfig(first="the", second="and", fuzzy_pair=0.3, fuzzy_word=0.4, shortest=0.2, longest=0.5)
 
 
 def chunks(spark, d):
     """Turns as chunks: word i lies at i * 0.25 to i * 0.25 + 0.2 seconds, with a probability from its length."""
     w = T.words_array(T.norm_basic(F.col("text")))
     words = F.transform(w, lambda x, i: F.struct(x.alias("word"), (i * 0.25).cast("double").alias("start"), (i * 0.25 + 0.2).cast("double").alias("end"), (F.length(x) / 20.0).cast("double").alias("probability")))
-    return table(spark, d, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("positive"), words.alias("words"))
+    n = F.size(w)
+    return table(spark, d, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("positive"), words.alias("words"), F.lit(0.1).alias("c0"), (n * 0.25 - 0.1).cast("double").alias("c1"))
 
 
 def detected(spark, d):
-    return S.status_of(S.quality_gates(S.detect_spans(chunks(spark, d), ["conv_id", "turn"], CFG, "positive"), CFG))
+    return S.status_of(S.quality_gates(S.detect_spans(chunks(spark, d), ["conv_id", "turn"], CFG, "positive", ("c0", "c1")), CFG))
 
 
 _PAIRS = f"w AS (SELECT conv_id, turn, role = 'user' AS positive, {_W} AS ws FROM conversations), p AS (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w), e AS (SELECT *, (i - 1)::INT AS first_word FROM p WHERE ws[i] = 'the' AND ws[i + 1] = 'and')"
@@ -32,9 +33,24 @@ def an1(spark, d):
     return S.detect_spans(chunks(spark, d), ["conv_id", "turn"], CFG, "positive").where("match_type = 'complete'").select("conv_id", "turn", "first_word")
 
 
-@query("an1_detect_all")
+def _near(a: str, b: str) -> str:
+    return f"levenshtein({a}, '{b}') / greatest(length({a}), {len(b)})::DOUBLE"
+
+
+#: The scan as a walk over positions; phrase and bounds are written out.
+_SCAN = f"""WITH RECURSIVE w AS (SELECT conv_id, turn, role = 'user' AS positive, {_W} AS ws FROM conversations), p AS (SELECT conv_id, turn, i - 1 AS i, ws[i] AS a, ws[i + 1] AS b FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+    k AS (SELECT *, CASE WHEN a = 'the' AND b = 'and' THEN 'complete' WHEN b IS NOT NULL AND {_near("(a || ' ' || b)", 'the and')} <= 0.3 THEN 'fuzzy' WHEN a = 'and' OR {_near('a', 'and')} <= 0.4 THEN 'partial' WHEN a = 'the' THEN 'partial' END AS kind FROM p),
+    s AS (SELECT conv_id, turn, i, kind FROM k WHERE i = 0 UNION ALL SELECT k.conv_id, k.turn, k.i, k.kind FROM s JOIN k ON k.conv_id = s.conv_id AND k.turn = s.turn AND k.i = s.i + CASE WHEN s.kind IN ('complete', 'fuzzy') THEN 2 ELSE 1 END),
+    f AS (SELECT conv_id, turn, kind AS match_type, i AS first_word, i + CASE WHEN kind IN ('complete', 'fuzzy') THEN 1 ELSE 0 END AS last_word FROM s WHERE kind IS NOT NULL),
+    c AS (SELECT w.*, array_to_string(ws, ' ') AS text, (SELECT count(*) FROM f WHERE f.conv_id = w.conv_id AND f.turn = w.turn) AS n, (SELECT count(*) FROM f WHERE f.conv_id = w.conv_id AND f.turn = w.turn AND match_type <> 'partial') AS whole FROM w),
+    h AS (SELECT conv_id, turn, positive, ws, text, n, whole, n = 0 AND text <> '' AND {_near('text', 'the and')} <= 0.3 AS fallback FROM c)"""
+
+
+@query("an1_detect_all", f"""{_SCAN}, a AS (SELECT f.conv_id, f.turn, match_type, first_word, last_word, greatest(first_word * 0.25::DOUBLE, 0.1::DOUBLE) AS start_sec, least(last_word * 0.25::DOUBLE + 0.2::DOUBLE, len(ws) * 0.25::DOUBLE - 0.1::DOUBLE) AS end_sec FROM f JOIN w ON w.conv_id = f.conv_id AND w.turn = f.turn
+    UNION ALL SELECT conv_id, turn, 'fuzzy', 0, len(ws) - 1, 0.1::DOUBLE, len(ws) * 0.25::DOUBLE - 0.1::DOUBLE FROM h WHERE fallback UNION ALL SELECT conv_id, turn, 'unmatched', CASE WHEN len(ws) > 0 THEN 0 END, CASE WHEN len(ws) > 0 THEN len(ws) - 1 END, 0.1::DOUBLE, len(ws) * 0.25::DOUBLE - 0.1::DOUBLE FROM h WHERE positive AND whole = 0 AND NOT fallback)
+    SELECT conv_id, turn, match_type, first_word::INT AS first_word, last_word::INT AS last_word, start_sec, end_sec FROM a""")
 def an1_all(spark, d):
-    return S.detect_spans(chunks(spark, d), ["conv_id", "turn"], CFG, "positive")
+    return S.detect_spans(chunks(spark, d), ["conv_id", "turn"], CFG, "positive", ("c0", "c1")).select("conv_id", "turn", "match_type", "first_word", "last_word", "start_sec", "end_sec")
 
 
 _GATES = f"WITH {_PAIRS}, r AS (SELECT *, array_to_string(list_filter(['low_probability', CASE WHEN NOT positive THEN 'found_in_negative_file' END], lambda x: x IS NOT NULL), ',') AS reasons FROM e)"

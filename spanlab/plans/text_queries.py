@@ -22,16 +22,20 @@ def txt2(spark, d):
     return table(spark, d, "documents").select("doc_id", T.norm_token(F.col("text")).alias("norm"))
 
 
+_SAID = """list_transform(regexp_extract_all({x}, '([0-9A-Za-z_]+|[^0-9A-Za-z_]+)'), lambda w: CASE WHEN regexp_matches(w, '^[0-9]+$') AND length(ltrim(w, '0')) <= 3 AND ('0' || ltrim(w, '0'))::INT <= 100
+    THEN CASE WHEN w::INT = 100 THEN 'one hundred' WHEN w::INT < 20 THEN ['zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'thirteen', 'fourteen', 'fifteen', 'sixteen', 'seventeen', 'eighteen', 'nineteen'][w::INT + 1]
+    ELSE ['twenty', 'thirty', 'forty', 'fifty', 'sixty', 'seventy', 'eighty', 'ninety'][w::INT // 10 - 1] || CASE WHEN w::INT % 10 > 0 THEN ' ' || ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'][w::INT % 10] ELSE '' END END ELSE w END)"""
+
+
 def _spoken_sql(x: str) -> str:
-    x = f"lower({x})"
-    for short, full in T.CONTRACTIONS.items():
-        x = f"replace({x}, '{short.replace(chr(39), chr(39) * 2)}', '{full}')"
-    x = f"replace(replace({x}, '%', ' percent '), '°', ' degrees ')"
-    x = f"regexp_replace({x}, '([0-9]) ?(a|p)m\\b', '\\1 \\2 m', 'g')"
-    x = f"regexp_replace(regexp_replace({x}, '([0-9]+):00', '\\1', 'g'), '([0-9]+):([0-9]+)', '\\1 \\2', 'g')"
-    x = f"string_split(trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'), ' '), ' ')"
-    cases = " ".join(f"WHEN '{n}' THEN '{T.number_words(n)}'" for n in range(101))
-    return f"trim(regexp_replace(array_to_string(list_transform({x}, lambda w: CASE w {cases} ELSE w END), ' '), '[^a-z]+', ' ', 'g'), ' ')"
+    """Spoken forms with constants of their own, so that the engine's can be wrong."""
+    x = f"replace(replace(lower({x}), '%', ' percent '), '°', ' degrees ')"
+    x = f"regexp_replace({x}, '([0-9])([a-z])', '\\1 \\2', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '\\b([0-9]{{1,2}}):00\\b', '\\1', 'g'), '\\b([0-9]{{1,2}}):([0-9]{{2}})\\b', '\\1 \\2', 'g')"
+    x = f"regexp_replace({x}, '\\b(a|p)\\.?\\s?m\\.?\\b', '\\1 m', 'g')"
+    x = f"array_to_string({_SAID.format(x=x)}, '')"
+    x = f"replace(replace(replace(replace({x}, 'what''s', 'what is'), 'it''s', 'it is'), 'i''m', 'i am'), 'let''s', 'let us')"
+    return f"trim(regexp_replace({x}, '[^a-z]+', ' ', 'g'), ' ')"
 
 
 @query("txt3_norm_spoken", f"SELECT conv_id, turn, {_spoken_sql('text')} AS spoken FROM conversations")

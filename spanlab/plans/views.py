@@ -113,9 +113,9 @@ SQL = {
     "v_distractors": f"SELECT user_id AS stream_id, event_id, epoch_us(ts) AS s_us, epoch_us(ts) + ({_K} + 1) * 60000000 AS e_us FROM events WHERE event_type = 'error'",
     "v_streams": """SELECT DISTINCT user_id AS stream_id, 2592000000000 AS duration_us, CASE user_id % 3 WHEN 0 THEN 'quiet' WHEN 1 THEN 'noise' ELSE 'mixed' END AS condition,
         CASE user_id % 2 WHEN 0 THEN 'A' ELSE 'B' END AS set_name FROM events""",
-    # Triggers: 2 of 3 scores above 60, then 12 hours without a further one.
-    "v_flags": """SELECT *, sum((score > 60)::INT) OVER (PARTITION BY stream_id ORDER BY t_us, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS above FROM v_scores""",
-    "v_cands": "SELECT stream_id, t_us, score, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY t_us, event_id) AS n FROM v_flags WHERE score > 60 AND above >= 2",
+    # Triggers: 2 of 3 scores at 60 or above, then 12 hours without a further one.
+    "v_flags": """SELECT *, sum((score >= 60)::INT) OVER (PARTITION BY stream_id ORDER BY t_us, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS above FROM v_scores""",
+    "v_cands": "SELECT stream_id, t_us, score, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY t_us, event_id) AS n FROM v_flags WHERE score >= 60 AND above >= 2",
     "v_walk": """SELECT stream_id, n, t_us, score, event_id, t_us AS last, true AS hit FROM v_cands WHERE n = 1 UNION ALL
         SELECT c.stream_id, c.n, c.t_us, c.score, c.event_id, CASE WHEN c.t_us - w.last >= 43200000000 THEN c.t_us ELSE w.last END, c.t_us - w.last >= 43200000000
         FROM v_walk w JOIN v_cands c ON c.stream_id = w.stream_id AND c.n = w.n + 1""",

@@ -1,17 +1,26 @@
 """Structured Streaming forms: sliding windows, triggers, capture sessions, running counts, dedup, late data.
 
-Late rows are dropped once the watermark (10 seconds unless told otherwise) has passed them.
+Event time is a timestamp column under a watermark (10 seconds late unless told otherwise). Rows that come later than that are dropped and counted
+(``late_rows``). Triggers and captures depend on the order of a stream's rows, so its rows wait in state until the watermark has
+passed them and are then taken in time order: results don't depend on how rows are cut into batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanlab.sources.shared import fresh_path
+
 LATE = "10 seconds"
 
 
@@ -22,67 +31,121 @@ def sliding_windows(rows: DataFrame, key: str, ts: str, size: str, slide: str, v
     return marked.groupBy(key, w.alias("w")).agg(F.count("*").alias("n"), F.max(value).alias("max_value")).select(key, F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), "n", "max_value")
 
 
-def stream_triggers(rows: DataFrame, stream: str, threshold: float, gap_us: int, k: int, n: int) -> DataFrame:
-    """k-of-n triggers with a refractory period over rows of (stream, t_us, score, event_id), continuously.
+def in_order(rows: DataFrame, key: str, ts: str, t: str, cols: dict[str, str], late: str, step: Callable, start: Callable, kept: str, out: str) -> DataFrame:
+    """``step`` over the rows of each key in the order of ``t`` (microseconds of ``ts``), once the watermark has passed them.
 
-    State: the last n flags and the last trigger. Rows of a batch are taken in time order.
+    ``step(state, columns)`` gets numpy columns of (t, *cols), sorted, and returns the new state and output rows; ``start()`` is the first state. ``kept`` is the
+    state's schema and ``out`` that of the output behind the key. State holds, besides, only the rows that the watermark hasn't passed.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flags, last = state.get if state.exists else ("", None)
+    names = [t, *cols]
+    held_schema = ", ".join(f"h{i} array<{kind}>" for i, kind in enumerate(["long", *cols.values()]))
+
+    def run(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            *own, held = [*state.get[: -len(names)], [np.asarray(x) for x in state.get[-len(names) :]]]
+        else:
+            own, held = start(), [np.zeros(0, np.int64) for _ in names]
+        if not state.hasTimedOut:
+            parts = [[b[n].to_numpy() for n in names] for b in batches]
+            held = [np.concatenate([h, *[p[i] for p in parts]]) if len(h) else np.concatenate([p[i] for p in parts]) for i, h in enumerate(held)]
+        order = np.lexsort([*held[:0:-1], held[0]])
+        held = [h[order] for h in held]
+        mark = state.getCurrentWatermarkMs()
+        ready = int(np.searchsorted(held[0], mark * 1000, "left"))
+        own, told = step(own, [h[:ready] for h in held]) if ready else (own, [])
+        held = [h[ready:] for h in held]
+        state.update((*own, *[h.tolist() for h in held]))
+        if len(held[0]):
+            state.setTimeoutTimestamp(max(int(held[0][0]) // 1000, mark + 1))
+        if told:
+            yield pd.DataFrame([(who[0], *x) for x in told], columns=[key, *[c.split()[0] for c in out.split(", ")]])
+
+    kind = dict(rows.dtypes)[key]
+    marked = rows.select(key, ts, t, *cols).withWatermark(ts, late)
+    return marked.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, {out}", f"{kept}, {held_schema}", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_triggers(rows: DataFrame, stream: str, ts: str, threshold: float, gap_us: int, k: int, n: int, late: str = LATE) -> DataFrame:
+    """k-of-n triggers with a refractory period over rows of (stream, ts, t_us, score, event_id), continuously. State: the last n flags and the last trigger."""
+
+    def step(own: list, columns: list) -> tuple[list, list]:
+        flags, last = own
         out = []
-        rows = pd.concat(list(batches)).sort_values(["t_us", "event_id"])
-        for t, score, event in zip(rows["t_us"], rows["score"], rows["event_id"]):
-            on = score > threshold
+        for t, score, event in zip(*columns):
+            on = score >= threshold
             flags = (flags + ("1" if on else "0"))[-n:]
             if on and flags.count("1") >= k and (last is None or t - last >= gap_us):
                 last = int(t)
-                out.append((key[0], last, float(score), int(event)))
-        state.update((flags, last))
-        yield pd.DataFrame(out, columns=[stream, "t_us", "score", "event_id"])
+                out.append((last, float(score), int(event)))
+        return [flags, last], out
 
-    kind = dict(rows.dtypes)[stream]
-    schema = f"`{stream}` {kind}, t_us long, score double, event_id long"
-    return rows.groupBy(stream).applyInPandasWithState(step, schema, "flags string, last long", "append", GroupStateTimeout.NoTimeout)
+    return in_order(rows, stream, ts, "t_us", {"score": "double", "event_id": "long"}, late, step, lambda: ["", None], "flags string, last long", "t_us long, score double, event_id long")
 
 
-def capture_sessions(rows: DataFrame, stream: str, on: float, off: float, start_run: int, silence_run: int, longest: int, no_speech: int) -> DataFrame:
-    """Captures after a trigger row: (stream, start_t, end_t, reason) from rows of (stream, t_us, level, is_trigger).
+@dataclass(frozen=True)
+class CaptureConfig:
+    """Rules of a capture; times in microseconds, levels in dB."""
 
-    A trigger opens a capture. Speech begins after ``start_run`` levels at ``on`` or above; it ends after ``silence_run`` levels under ``off``, at ``longest``
-    rows, or without any speech for ``no_speech`` rows. Triggers inside a capture are ignored.
-    """
+    ignore_us: int = 300_000
+    smooth_rows: int = 5
+    start_margin: float = 10.0
+    continue_margin: float = 5.0
+    speech_rows: int = 8
+    silence_us: int = 800_000
+    longest_us: int = 8_000_000
+    wait_us: int = 4_000_000
+    cooldown_us: int = 1_000_000
+    background_us: int = 10_000_000
+    background_rows: int = 25
+    quiet: float = -60.0
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        phase, start, seen, loud, quiet = state.get if state.exists else ("idle", 0, 0, 0, 0)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("t_us")
-        for t, level, trigger in zip(rows["t_us"], rows["level"], rows["is_trigger"]):
-            if phase == "idle":
-                if trigger:
-                    phase, start, seen, loud, quiet = "waiting", int(t), 0, 0, 0
-                continue
-            seen += 1
-            reason = None
-            if phase == "waiting":
-                loud = loud + 1 if level >= on else 0
-                if loud >= start_run:
-                    phase, quiet = "speech", 0
-                elif seen >= no_speech:
-                    reason = "no_speech"
-            else:
-                quiet = quiet + 1 if level < off else 0
-                reason = "silence" if quiet >= silence_run else None
-            if reason is None and seen >= longest:
-                reason = "max_length"
-            if reason:
-                out.append((key[0], start, int(t), reason))
-                phase = "idle"
-        state.update((phase, start, seen, loud, quiet))
-        yield pd.DataFrame(out, columns=[stream, "start_t", "end_t", "reason"])
-
-    kind = dict(rows.dtypes)[stream]
-    return rows.groupBy(stream).applyInPandasWithState(step, f"`{stream}` {kind}, start_t long, end_t long, reason string", "phase string, start long, seen int, loud int, quiet int", "append", GroupStateTimeout.NoTimeout)
+
+def capture_walk(own: list, columns: list, cfg: CaptureConfig) -> tuple[list, list]:
+    """One stream's captures over sorted (t, level, trigger) columns.
+
+    While listening, levels of the last ``background_us`` are kept; their 20th percentile is the background (``quiet`` under ``background_rows`` of them). A trigger
+    behind the cooldown opens a capture. There, levels are averaged as powers over ``smooth_rows``; a row is speech from ``start_margin`` above the background on, and from
+    ``continue_margin`` once ``speech_rows`` of them have started the command. The first ``ignore_us`` don't count. A capture ends after ``silence_us``
+    without speech, at ``longest_us`` from its start, or where nothing started for ``wait_us``; then the cooldown begins.
+    """
+    floor_t, floor_db, powers = deque(own[0]), deque(own[1]), deque(own[2], maxlen=cfg.smooth_rows)
+    opened, started, spoken, speech, cooled = own[3:]
+    out = []
+    for t, level, trigger in zip(*columns):
+        t = int(t)
+        if opened is None:
+            floor_t.append(t)
+            floor_db.append(float(level))
+            while floor_t[0] <= t - cfg.background_us:
+                floor_t.popleft()
+                floor_db.popleft()
+            if trigger and t >= cooled:
+                opened, started, spoken, speech = t, None, None, 0
+                powers.clear()
+            continue
+        powers.append(10 ** (float(level) / 10))
+        smooth = 10 * np.log10(np.mean(powers) + 1e-18)
+        background = float(np.percentile(floor_db, 20)) if len(floor_db) >= cfg.background_rows else cfg.quiet
+        if t - opened >= cfg.ignore_us and smooth >= background + (cfg.start_margin if started is None else cfg.continue_margin):
+            speech, spoken = speech + 1, t
+            if started is None and speech >= cfg.speech_rows:
+                started = t
+        if started is None:
+            reason = "no_speech" if t - opened >= cfg.wait_us else None
+        else:
+            reason = "end_of_speech" if t - spoken >= cfg.silence_us else "max_length" if t - started >= cfg.longest_us else None
+        if reason:
+            out.append((opened, t, reason))
+            opened, cooled = None, t + cfg.cooldown_us
+    return [list(floor_t), list(floor_db), list(powers), opened, started, spoken, speech, cooled], out
+
+
+def capture_sessions(rows: DataFrame, stream: str, ts: str, cfg: CaptureConfig = CaptureConfig(), late: str = LATE) -> DataFrame:
+    """Captures after trigger rows: (stream, start_t, end_t, reason) from rows of (stream, ts, t_us, level, is_trigger); rules in ``capture_walk``."""
+    kept = "floor_t array<long>, floor_db array<double>, powers array<double>, opened long, started long, spoken long, speech int, cooled long"
+    return in_order(
+        rows, stream, ts, "t_us", {"level": "double", "is_trigger": "boolean"}, late, lambda own, columns: capture_walk(own, columns, cfg), lambda: [[], [], [], None, None, None, 0, 0], kept, "start_t long, end_t long, reason string"
+    )
 
 
 def running_metrics(rows: DataFrame, key: str, false_accept: Column, hours: Column) -> DataFrame:
@@ -97,12 +160,34 @@ def dedupe_by_seq(rows: DataFrame, key: str, ts: str, late: str = LATE) -> DataF
     return rows.dropDuplicates([key])
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what its source has now, into an in-memory table."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query dropped because the watermark had passed them, over the batches that its progress still tells of (100 unless configured otherwise)."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", query: list | None = None) -> DataFrame:
+    """Run a stream over what its source has now, into files of the shared folder, and read them.
+
+    In append mode they are a parquet sink's; in complete mode every batch writes its whole result beside the others and the last one counts. Only executors
+    touch rows. ``query`` gets the finished StreamingQuery.
+    """
     spark = stream.sparkSession
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    q = writer.start()
+    path = fresh_path(spark, name)
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", fresh_path(spark, f"{name}-checkpoint"))
+    if mode == "append":
+        q = writer.format("parquet").start(path)
+    else:
+        q = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")).start()
     q.awaitTermination()
-    return spark.table(name)
+    if query is not None:
+        query.append(q)
+    try:
+        out = spark.read.schema(stream.schema).parquet(path) if mode == "append" else spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], stream.schema)
+    if mode == "append":
+        return out
+    last = out.agg(F.max("batch")).first()[0]  # one number, from the folders' names
+    return out.where(F.col("batch") == last).drop("batch")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from spanlab.functions import keys, text, udfs
 from spanlab.operators import checks, detection, intervals, joins, metrics, sampling, series, spans, splits, triggers
+from spanlab.plans import registry, streams_queries
+from spanlab.plans.views import micros, prop_k
 from spanlab.sources import tables
 from spanlab.streaming import streams
 
@@ -41,6 +43,25 @@ def test_k_of_n(spark):
         triggers.detect(scores(spark, v), "stream", "t", "score", 0.5, 500, k=4, n=3)
 
 
+def test_score_at_the_threshold_counts(spark):
+    v = [0.0, 0.5, 0.5, 0.0]
+    assert trigger_times(triggers.detect(scores(spark, v), "stream", "t", "score", 0.5, 1000, tie="id")) == [100]
+    assert [r["on"] for r in triggers.k_of_n(scores(spark, v), "stream", "t", "score", 0.5, 2, 3, "on", "id").orderBy("t").collect()] == [False, False, True, False]
+    both = detection.sweep(scores(spark, v), [0.5, 0.51], "stream", "t", "score", 1000, 1, 1, "id").collect()
+    assert [(r["threshold"], r["t"]) for r in both] == [(0.5, 100)]
+
+
+def test_refractory_over_batches(spark):
+    """One island over many batches, null and large keys, and payloads that stay whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(s, i * 3, 2**60 + i) for s in (None, 2**60 + 1) for i in range(200)]
+        got = triggers.refractory(spark.createDataFrame(rows, "stream long, t long, id long"), ["stream"], "t", 10, ["id"], "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((str(r["stream"]), r["t"], r["id"]) for r in got) == sorted((str(s), i * 3, 2**60 + i) for s in (None, 2**60 + 1) for i in range(0, 200, 4))
+
+
 def test_refractory_equals_a_plain_walk(spark):
     random.seed(3)
     rows = [(s, t, 1.0, i) for s in "abc" for i, t in enumerate(sorted(random.randrange(5000) for _ in range(200)))]
@@ -70,6 +91,23 @@ def test_overlapping_zones_take_triggers_in_order(spark):
     assert {r["e_id"]: r["o_id"] for r in joins.one_to_one_match(e, o, "k", 0, 0).collect()} == {1: 1, 2: 2, 3: None}
 
 
+def test_one_to_one_equals_brute_force(spark):
+    """Zones that overlap in long islands, several times per zone and ties, against the plain greedy rule."""
+    random.seed(11)
+    events = [(k, i, a, a + random.randrange(40)) for k in "ab" for i in range(60) for a in [random.randrange(600)]]
+    times = [(k, random.randrange(650), i) for k in "ab" for i in range(90)]
+    e, o = spark.createDataFrame(events, "k string, e_id long, a long, b long"), spark.createDataFrame(times, "k string, t long, o_id long")
+    got = {(r["k"], r["e_id"]): r["o_id"] for r in joins.one_to_one_match(e, o, "k", 3, 5, width=50).collect()}
+    want = {}
+    for k in "ab":
+        free = sorted((t, i) for q, t, i in times if q == k)
+        for a, i, b in sorted((a - 3, i, b + 5) for q, i, a, b in events if q == k):
+            hit = next(((t, x) for t, x in free if a <= t <= b), None)
+            want[k, i] = hit[1] if hit else None
+            free = [x for x in free if x != hit]
+    assert got == want
+
+
 def test_attribution(spark):
     t = spark.createDataFrame([("s", 11200, 1), ("s", 30900, 2), ("s", 50000, 3)], "k string, t long, trigger_id long")
     e = spark.createDataFrame([("s", 10, 10000, 11000), ("s", 11, 30000, 31000)], "k string, event_id long, e0 long, e1 long")
@@ -110,8 +148,62 @@ def chunk(spark, said, positive):
 
 
 def test_span_kinds(spark):
-    assert chunk(spark, "Hey Delta!", True) == ["complete"] and chunk(spark, "Hey Dota!", True) == ["fuzzy"] and chunk(spark, "Delta", True) == ["partial"]
+    assert chunk(spark, "Hey Delta!", True) == ["complete"] and chunk(spark, "Hey Dota!", True) == ["fuzzy"] and chunk(spark, "Delta", True) == ["partial", "unmatched"] and chunk(spark, "Delta", False) == ["partial"]
     assert chunk(spark, "He built that.", True) == ["unmatched"] and chunk(spark, "Thank you.", False) == []
+    assert chunk(spark, "hey - delta", True) == ["complete"], "words without letters are left out first"
+    assert chunk(spark, "Heydelta", False) == ["fuzzy"], "every chunk is tried as a whole"
+    assert chunk(spark, "hey there", True) == ["partial", "unmatched"], "partial spans don't hide unmatched speech"
+    assert chunk(spark, "...", True) == ["unmatched"] and chunk(spark, "...", False) == []
+    assert chunk(spark, "hey delta hey delta delta", True) == ["complete", "complete", "partial"]
+
+
+def plain_scan(words, positive, pair, word):
+    """The scan by its rules, word by word."""
+
+    def ratio(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1] / max(len(a), len(b), 1)
+
+    kept = [(i, "".join(c for c in w.lower() if c.isascii() and c.isalnum())) for i, w in enumerate(words)]
+    kept = [x for x in kept if x[1]]
+    out, i = [], 0
+    while i < len(kept):
+        (at, a), (end, b) = kept[i], kept[i + 1] if i + 1 < len(kept) else (None, None)
+        if b is not None and (a, b) == ("hey", "delta") or b is not None and ratio(f"{a} {b}", "hey delta") <= pair:
+            out.append(("complete" if (a, b) == ("hey", "delta") else "fuzzy", at, end))
+            i += 2
+            continue
+        if ratio(a, "delta") <= word or a == "hey":
+            out.append(("partial", at, at))
+        i += 1
+    said = " ".join(w for _, w in kept)
+    ends = (kept[0][0], kept[-1][0]) if kept else (None, None)
+    if not out and said and ratio(said, "hey delta") <= pair:
+        out.append(("fuzzy", *ends))
+    if positive and all(k == "partial" for k, _, _ in out):
+        out.append(("unmatched", *ends))
+    return out
+
+
+def test_spans_equal_a_plain_scan(spark):
+    random.seed(4)
+    pool = ["hey", "Hey,", "delta", "Delta!", "dealt", "hay", "heydelta", "-", "the", "belta", "hey-delta", "de", "lta", "?"]
+    rows = []
+    for n in range(300):
+        words = [random.choice(pool) for _ in range(random.randrange(6))]
+        rows.append((n, n % 2 == 0, [{"word": w, "start": 0.4 * i, "end": 0.4 * i + 0.35, "probability": 0.9} for i, w in enumerate(words)], 0.1, 1.5))
+    df = spark.createDataFrame(rows, f"id int, positive boolean, words array<{spans.WORD}>, c0 double, c1 double")
+    cfg = spans.SpanConfig(fuzzy_pair=0.3, fuzzy_word=0.4)
+    got = {}
+    for r in spans.detect_spans(df, ["id"], cfg, "positive", ("c0", "c1")).collect():
+        got.setdefault(r["id"], []).append((r["match_type"], r["first_word"], r["last_word"]))
+        assert r["start_sec"] >= 0.1 and r["end_sec"] <= 1.5
+    want = {n: x for n, p, w, _, _ in rows if (x := plain_scan([y["word"] for y in w], p, 0.3, 0.4))}
+    assert got == want and len({k for x in want.values() for k, _, _ in x}) == 4
 
 
 def test_span_too_long_for_a_window(spark):
@@ -162,6 +254,14 @@ def test_spoken_numbers():
     assert text.number_words(42) == "forty two" and text.number_words(100) == "one hundred"
 
 
+@pytest.mark.parametrize("said, spoken", [
+    ("let's go 20kg", "let us go twenty kg"), ("wake me at 6:05pm", "wake me at six five p m"), ("7:00 a.m.", "seven a m"), ("I'm 100% sure it's 21°", "i am one hundred percent sure it is twenty one degrees"),
+    ("don't take 007 or 101", "don t take seven or"), ("What's x5 and 3.5", "what is x and three five"), ("I am here at 12:45", "i a m here at twelve forty five"),
+])
+def test_spoken_forms(spark, said, spoken):
+    assert spark.createDataFrame([(said,)], "t string").select(text.norm_spoken(F.col("t")).alias("s")).first()["s"] == spoken
+
+
 def test_normal_forms(spark):
     df = spark.createDataFrame([("Set it to 6am, 50% at 10:30!",)], "t string")
     r = df.select(text.norm_spoken(F.col("t")).alias("s"), text.norm_basic(F.col("t")).alias("b"), text.norm_token(F.col("t")).alias("k")).first()
@@ -197,28 +297,89 @@ def test_frozen_sets(spark, tmp_path):
         checks.verify_frozen(df.limit(1), ["k", "v"], path)
 
 
-def test_stream_triggers_equal_batch_under_any_chunking(spark, tmp_path):
+def staged(spark, tmp_path, name, rows, schema, size):
+    """``rows`` as a stream of batches of ``size``."""
+    for k in range(0, len(rows), size):
+        spark.createDataFrame(rows[k : k + size], schema).coalesce(1).write.parquet(str(tmp_path / name / f"b{k:05d}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/*").withColumn("ts", F.timestamp_micros("t_us"))
+
+
+@pytest.mark.parametrize("size", [300, 90, 37])
+def test_stream_triggers_equal_batch_under_any_chunking(spark, tmp_path, size):
+    """Rows up to ten seconds out of order, and streams that end under the watermark."""
     random.seed(9)
-    rows = [(random.choice("ab"), i * 10, random.random() * 100, i) for i in range(300)]
+    rows = [(random.choice("ab"), (1000 + i) * 1_000_000, float(random.choice([60, random.random() * 100])), i) for i in range(300)] + [("z", 1_400_000_000, 0.0, 300)]
+    rows.sort(key=lambda r: r[1] + random.Random(r[3]).randrange(9_000_000))
     schema = "stream_id string, t_us long, score double, event_id long"
-    batch = triggers.detect(spark.createDataFrame(rows, schema), "stream_id", "t_us", "score", 60, 150, k=2, n=3, tie="event_id")
+    batch = triggers.detect(spark.createDataFrame(rows, schema), "stream_id", "t_us", "score", 60, 15_000_000, k=2, n=3, tie="event_id")
     want = sorted((r["stream_id"], r["t_us"]) for r in batch.collect())
-    for size in (300, 90, 37):
-        folder = tmp_path / f"in{size}"
-        for k in range(0, 300, size):
-            spark.createDataFrame(rows[k : k + size], schema).coalesce(1).write.mode("append").parquet(str(folder / f"b{k:04d}"))
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
-        got = streams.run_to_table(streams.stream_triggers(stream, "stream_id", 60, 150, 2, 3), f"chunks_{size}", "append", str(tmp_path / f"c{size}")).collect()
-        assert sorted((r["stream_id"], r["t_us"]) for r in got) == want
-
-
-def test_late_rows_are_dropped(spark, tmp_path):
+    got = streams.run_to_table(streams.stream_triggers(staged(spark, tmp_path, "in", rows, schema, size), "stream_id", "ts", 60, 15_000_000, 2, 3), "chunks").collect()
+    assert sorted((r["stream_id"], r["t_us"]) for r in got) == want and len(want) > 10
+
+
+def plain_captures(rows, c):
+    """Captures of one stream by their rules, with the whole past in lists."""
+    out, state, quiet_until, heard = [], None, 0, []
+    for t, level, trigger in rows:
+        if state is None:
+            heard.append((t, level))
+            if trigger and t >= quiet_until:
+                state = {"t": t, "levels": [], "speech": [], "start": None}
+            continue
+        state["levels"].append(level)
+        last = state["levels"][-c.smooth_rows :]
+        smooth = 10 * math.log10(sum(10 ** (x / 10) for x in last) / len(last) + 1e-18)
+        near = sorted(x for u, x in heard if u > heard[-1][0] - c.background_us)
+        at = 0.2 * (len(near) - 1)
+        floor = near[int(at)] + (near[min(int(at) + 1, len(near) - 1)] - near[int(at)]) * (at - int(at)) if len(near) >= c.background_rows else c.quiet
+        if t - state["t"] >= c.ignore_us and smooth >= floor + (c.start_margin if state["start"] is None else c.continue_margin):
+            state["speech"].append(t)
+            if state["start"] is None and len(state["speech"]) >= c.speech_rows:
+                state["start"] = t
+        why = None
+        if state["start"] is None:
+            why = "no_speech" if t - state["t"] >= c.wait_us else None
+        elif t - state["speech"][-1] >= c.silence_us:
+            why = "end_of_speech"
+        elif t - state["start"] >= c.longest_us:
+            why = "max_length"
+        if why:
+            out.append((state["t"], t, why))
+            state, quiet_until = None, t + c.cooldown_us
+    return out
+
+
+def test_captures_equal_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    config = streams.CaptureConfig(ignore_us=100_000, smooth_rows=3, speech_rows=3, silence_us=400_000, longest_us=2_000_000, wait_us=1_000_000, cooldown_us=300_000, background_us=3_000_000, background_rows=10)
+    rows, loud = [], 0
+    for i in range(3000):
+        loud = max(0, loud - 1) if loud else (rng.choice([5, 20, 60, 150]) if rng.random() < 0.03 else 0)
+        rows.append((rng.choice("ab"), i * 20_000, (-25.0 if loud else -55.0) + rng.random() * 8, rng.random() < 0.05))
+    rows.append(("z", 200_000_000, -50.0, False))
+    schema = "stream string, t_us long, level double, is_trigger boolean"
+    want = sorted((s, *x) for s in "ab" for x in plain_captures([r[1:] for r in rows if r[0] == s], config))
+    got = streams.run_to_table(streams.capture_sessions(staged(spark, tmp_path, "captures", rows, schema, 800), "stream", "ts", config), "captures").collect()
+    assert sorted(map(tuple, got)) == want and {x[3] for x in want} == {"no_speech", "end_of_speech", "max_length"}
+
+
+def test_captures_of_events_equal_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, registry.QUERIES["stm3_capture_sessions"](spark, d).collect()))
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id"), micros("ts").alias("t"), "value", (prop_k() < 20).alias("on"), "event_id").orderBy("t", "value", "on").collect()
+    mark = (max(r["t"] for r in rows) // 1000 - 10_000) * 1000
+    want = sorted((u, *x) for u in {r["user_id"] for r in rows} for x in plain_captures([(r["t"], r["value"], r["on"]) for r in rows if r["user_id"] == u and r["t"] < mark], streams_queries.CAPTURE))
+    assert got == want and got
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     schema = "k string, ts timestamp, value double"
     for n, rows in enumerate(["('a', timestamp'2024-01-01 00:00:05', 1D), ('a', timestamp'2024-01-01 00:05:00', 2D)", "('a', timestamp'2024-01-01 00:10:00', 3D)", "('a', timestamp'2024-01-01 00:00:06', 9D), ('a', timestamp'2024-01-01 00:20:00', 3D)"]):
         spark.sql(f"SELECT * FROM VALUES {rows} AS t(k, ts, value)").coalesce(1).write.mode("append").parquet(str(tmp_path / "late" / f"b{n}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/late/*")
-    got = streams.run_to_table(streams.sliding_windows(stream, "k", "ts", "1 minute", "1 minute", "value"), "late_rows", "append", str(tmp_path / "lc")).collect()
-    assert {r["w_start"].minute: r["max_value"] for r in got}[0] == 1.0
+    ran = []
+    got = streams.run_to_table(streams.sliding_windows(stream, "k", "ts", "1 minute", "1 minute", "value"), "late_rows", query=ran).collect()
+    assert {r["w_start"].minute: r["max_value"] for r in got}[0] == 1.0 and streams.late_rows(ran[0]) == 1
 
 
 def test_merge_and_runs(spark):
