@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlab.sources.shared import fresh_path
+
 #: Java regular expression of the white space between words.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -30,20 +29,6 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a cluster gets a folder in the warehouse, which its members share as they share tables; only where driver and
-    executors are one process (master ``local``) is it a temporary folder of the machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        alone = spark.sparkContext.master.split("[")[0] == "local"
-        found = tempfile.mkdtemp(prefix="spanlab-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/spanlab-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 #: Paths that ``saved`` has written and nobody has discarded.
 _made: list[str] = []
 
@@ -51,7 +36,7 @@ _made: list[str] = []
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanlab-{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spanlab_path = path
@@ -82,5 +67,24 @@ def _delete(spark: SparkSession, path: str) -> None:
         _made.remove(path)
 
 
+#: A key with more than this share (one over it) of all rows is hot.
+HOT = 256
+
+
+def hot_keys(counted: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """(keys, salts) of the hot keys among rows that are one per key with their numbers ``n``. There are fewer than HOT of them, so they are broadcast."""
+    rows = counted.where(F.col(n) * HOT > total).select(*keys, F.ceil(F.col(n) * HOT / max(total, 1)).cast("int").alias("__salts"))
+    return F.broadcast(rows)
+
+
+def salted_join(rows: DataFrame, once: DataFrame, keys: list[str], hot: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join with a table of one row per key. Rows of a hot key are dealt to salts by ``by``, and its one row stands once for each salt."""
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("__salts")), F.lit(0)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    left = rows.join(hot, keys, "left").withColumn("__salt", salt).drop("__salts")
+    right = once.join(hot, keys, "left").withColumn("__salt", each).drop("__salts")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.llm.common import read_table, saved, text_of, word_array
+from spanlab.llm.common import hot_keys, read_table, salted_join, saved, text_of, word_array
 
 #: (least number of words, distinct sites): the last row that fits holds.
 SPREAD = ((3, 5), (10, 3), (50, 2))
@@ -25,8 +25,6 @@ BAND = 0.1
 BLANK = " \t\n\x0b\x0c\r"
 #: What names a line: two hashes of its text, 96 bits together.
 KEY = ["line", "proof"]
-#: A line with more than this share (one over it) of all places is dealt to salts.
-PARTS = 256
 #: Places from which on a line of one site is counted too, as it may be hot.
 FREQUENT = 1000
 #: Characters that three words take at least.
@@ -48,36 +46,14 @@ def _lines(docs: DataFrame, site: str) -> DataFrame:
     return cut.select("doc_id", "text_hash", "site", "pos", F.xxhash64("trimmed").alias("line"), F.hash("trimmed").alias("proof"), "trimmed")
 
 
-class _Spread:
-    """Lines on two sites or more, and joins by line that no frequent line can gather in one task.
-
-    A line with more than 1 / PARTS of all places is hot. There are fewer than PARTS of them, so they are broadcast; their places are dealt to
-    salts of about that size, and the one row of such a line stands once for each salt.
-    """
-
-    def __init__(self, lines: DataFrame, least: int):
-        counted = lines.groupBy(*KEY).agg(F.min("site").alias("a"), F.max("site").alias("b"), F.count("*").alias("n"), F.max(F.size(word_array(F.col("trimmed")))).alias("words"))
-        counted = saved(counted.where((F.col("a") != F.col("b")) | (F.col("n") >= FREQUENT)), "counted")
-        total = counted.agg(F.sum("n")).first()[0] or 1
-        share = F.ceil(F.col("n") * PARTS / total).cast("int")
-        self.hot = F.broadcast(counted.where(F.col("n") * PARTS > total).select(*KEY, share.alias("salts")))
-        self.shared = counted.where((F.col("a") != F.col("b")) & (F.col("words") >= least)).select(*KEY, "words")
-
-    def salted(self, places: DataFrame) -> DataFrame:
-        salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "pos"), F.col("salts")), F.lit(0)).cast("int")
-        return places.join(self.hot, KEY, "left").withColumn("salt", salt).drop("salts")
-
-    def join(self, places: DataFrame, lines: DataFrame) -> DataFrame:
-        """``places`` with their salts and the row of ``lines`` (one for a line)."""
-        each = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-        return places.join(lines.join(self.hot, KEY, "left").withColumn("salt", each).drop("salts"), [*KEY, "salt"])
-
-
-def boilerplate(docs: DataFrame, site: str = "source", spread=SPREAD) -> tuple[DataFrame, DataFrame, _Spread]:
-    """The boilerplate lines with their first places, every place of lines on two sites or more, and how to join them."""
+def boilerplate(docs: DataFrame, site: str = "source", spread=SPREAD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The boilerplate lines with their first places, every place of lines on two sites or more, and the hot lines."""
     lines = _lines(docs, site)
-    by = _Spread(lines, spread[0][0])
-    places = saved(by.join(by.salted(lines.drop("trimmed")), by.shared), "lines")
+    counted = lines.groupBy(*KEY).agg(F.min("site").alias("a"), F.max("site").alias("b"), F.count("*").alias("n"), F.max(F.size(word_array(F.col("trimmed")))).alias("words"))
+    counted = saved(counted.where((F.col("a") != F.col("b")) | (F.col("n") >= FREQUENT)), "counted")
+    hot = hot_keys(counted, KEY, "n", counted.agg(F.sum("n")).first()[0] or 0)
+    shared = counted.where((F.col("a") != F.col("b")) & (F.col("words") >= spread[0][0])).select(*KEY, "words")
+    places = saved(salted_join(lines.drop("trimmed"), shared, KEY, hot, ["doc_id", "pos"]), "lines")
     first = F.min(F.struct("doc_id", "pos")).alias("first")
     sketched = places.groupBy(*KEY).agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), first, F.max("words").alias("words"))
     sketched = sketched.select(*KEY, F.hll_sketch_estimate("sketch").alias("sites"), _threshold(F.col("words"), spread).alias("least"), "first")
@@ -85,15 +61,15 @@ def boilerplate(docs: DataFrame, site: str = "source", spread=SPREAD) -> tuple[D
     band = F.greatest(F.lit(1.0), F.col("least") * BAND)
     near = F.abs(F.col("sites") - F.col("least")) <= band
     clear = sketched.where(~near & (F.col("sites") >= F.col("least"))).select(*KEY, "first")
-    exact = by.join(places, sketched.where(near).select(*KEY, "least", "first")).groupBy(*KEY, "least", "first", "site").agg(F.count("*").alias("n"))
+    exact = salted_join(places, sketched.where(near).select(*KEY, "least", "first"), KEY, hot, ["doc_id", "pos"]).groupBy(*KEY, "least", "first", "site").agg(F.count("*").alias("n"))
     exact = exact.groupBy(*KEY, "least", "first").agg(F.count("*").alias("sites")).where("sites >= least").select(*KEY, "first")
-    return clear.unionByName(exact), places, by
+    return clear.unionByName(exact), places, hot
 
 
 def line_dedup(docs: DataFrame, site: str = "source", spread=SPREAD, into: str = "lines") -> DataFrame:
     """``docs`` with text cleaned and a struct ``into`` of n_lines, n_removed, removed_words and left (any words left)."""
-    lines, places, by = boilerplate(docs, site, spread)
-    again = by.join(places, lines).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
+    lines, places, hot = boilerplate(docs, site, spread)
+    again = salted_join(places, lines, KEY, hot, ["doc_id", "pos"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     gone = again.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("__gone"), F.collect_set(F.struct("pos", "words")).alias("__places"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone", "__places")
     text = text_of()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanlab.llm import components, cotraining, html_extract, line_dedup, minhash_dedup, mixing, topk_search
+from spanlab.llm import common, components, cotraining, html_extract, line_dedup, minhash_dedup, mixing, topk_search
 from tests.llm.fixtures import documents, empty, row, save, words
 
 SPACES = r"[^\x20\x09-\x0D]+"
@@ -109,6 +109,25 @@ def test_near_dedup_large_group_percent(spark, monkeypatch):
     assert want != brute_components(rows) and all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got) and len(got) == 60
 
 
+def test_near_dedup_repeated_ids(spark):
+    """Texts that share an id are documents of their own; equal rows are one; every row gets the smallest id that its text reaches."""
+    a, b, c = words(80, 21), words(80, 22), words(80, 23)
+    rows = [(5, a), (5, b), (7, b + " more"), (9, a), (9, a), (3, c), (5, c), (8, None), (8, a)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash"))).collect())
+    n = len(shingle_set(a))
+    assert got == sorted([(5, n, 5, True), (5, n, 5, True), (7, n + 1, 5, False), (9, n, 5, False), (9, n, 5, False), (3, n, 3, True), (5, n, 3, False), (8, 0, 8, True), (8, n, 5, False)])
+
+
+def test_near_dedup_hot_copies(spark, monkeypatch):
+    """A third of all rows are copies of one text, and keys are dealt to salts."""
+    monkeypatch.setattr(common, "HOT", 4)
+    monkeypatch.setattr(minhash_dedup, "MERGED", 4)
+    monkeypatch.setattr(minhash_dedup, "ROWS", 8)
+    base = words(90, 4)
+    rows = [(i, base) for i in range(20)] + [(20 + i, similar(base, i % 4)) for i in range(12)] + [(40 + i, words(70, 300 + i)) for i in range(20)]
+    check_near(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_components(spark):
     random.seed(5)
     pairs = [(random.randrange(300), random.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]
@@ -142,7 +161,7 @@ def test_line_dedup(spark):
 
 def test_line_dedup_frequent_line(spark, monkeypatch):
     """A line with a third of all places is dealt to salts and still keeps its first place alone; one on a single site stays everywhere."""
-    monkeypatch.setattr(line_dedup, "PARTS", 4)
+    monkeypatch.setattr(common, "HOT", 4)
     monkeypatch.setattr(line_dedup, "FREQUENT", 5)
     rows = [(i, f"a line of all sites\nown words number {i} here\none site says this" if i % 2 == 0 else f"a line of all sites\nother words number {i} here", f"s{i % 2 * (i % 7 + 1)}") for i in range(60)]
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "text", "lines.*").collect()}
@@ -238,13 +257,44 @@ def brute_search(docs, queries, k=10):
     return out
 
 
+@pytest.mark.parametrize("first, few, dense", [(1, 1.0, 1 / 16), (2, 0.0, 1 / 16), (4, 0.1, 1 / 16), (2, 0.1, 2), (1, 0.3, 0)])
+def test_shard_equals_full_scoring(first, few, dense, monkeypatch):
+    """Pruning by blocks and pivots against scores of every document, with copies, ties and queries of one and many terms."""
+    monkeypatch.setattr(topk_search, "DENSE", dense)
+    monkeypatch.setattr(topk_search, "FIRST", first)
+    monkeypatch.setattr(topk_search, "FEW", few)
+    rng = random.Random(first)
+    shard, bags = topk_search.Shard(20.0), {}
+    for i in range(700):
+        bags[i] = Counter(min(int(rng.expovariate(0.05)), 400) for _ in range(rng.randint(0, 40))) if i % 7 else Counter({i % 3: 2, 5: 1})
+        terms = np.array(sorted(bags[i]), np.int64)
+        shard.add(i, sum(bags[i].values()), terms.tobytes(), np.array([bags[i][t] for t in terms], np.uint16).tobytes())
+    shard.close()
+    for _ in range(60):
+        terms = rng.sample(range(450), rng.randint(1, 120))
+        weights = {t: rng.choice([0.01, 0.5, 3.0, 9.0]) * rng.random() for t in terms}
+        want = sorted((-round(s, 6), i) for i, b in bags.items() for s in [sum(w * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / 20.0)) for t, w in weights.items() if t in b)] if s > 0)[:10]
+        got = shard.search(np.array(list(weights), np.int64), np.array(list(weights.values())), 10)
+        assert [i for i, _ in got] == [i for _, i in want] and np.allclose([s for _, s in got], [-s for s, _ in want], atol=2e-6)
+
+
+def test_search_awkward_rows(spark):
+    """Rows without an id count nowhere; texts under one id are queries of their own, and equal rows are one query and several documents."""
+    docs = spark.createDataFrame([(1, "a b c", 0), (1, "a b c", 0), (1, "d e", 0), (None, "a a a", 0), (2, "a", 0), (3, None, 0), (4, "x " * 70_000 + "a", 0)], "doc_id long, text string, score int")
+    got = topk_search.search(docs, docs.where("doc_id <> 4")).orderBy("query_id", "rank", "doc_id").collect()
+    want = brute_search([(i, t) for i, (d, t) in enumerate([(1, "a b c"), (1, "a b c"), (1, "d e"), (2, "a"), (3, ""), (4, "x " * 70_000 + "a")])], [(0, "a b c"), (2, "d e"), (3, "a")])
+    ids = [1, 1, 1, 2, 3, 4]
+    got, want = sorted((r["query_id"], r["doc_id"], r["score"]) for r in got), sorted((ids[q], ids[i], s) for q, hits in want.items() for i, s in hits)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
+
+
 def test_topk_search(spark):
     docs = documents(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text")
     more = spark.createDataFrame([(1000 + i, words(30 + i % 40, i % 25)) for i in range(300)], "doc_id long, text string")
     docs = docs.unionByName(more)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = defaultdict(list)
-    for r in topk_search.search(docs, docs.where("doc_id % 5 = 0"), shard_size=40).orderBy("query_id", "rank").collect():
+    for r in topk_search.search(docs, docs.where("doc_id % 5 = 0"), shard_size=500).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["doc_id"], r["score"]))
     want = brute_search(rows, [(i, t) for i, t in rows if i % 5 == 0])
     assert set(got) == {q for q, hits in want.items() if hits}
@@ -349,8 +399,20 @@ def test_cotraining_held_out(spark):
     assert len(told) > 50 and sum(r["kept"] == (r["quality"] == 1) for r in told) / len(told) > 0.9
 
 
+def test_cotraining_sees_content(spark):
+    """Texts alike in every statistic and in their metadata, told apart by their words; the native score equals the one from the matrix."""
+    rng = random.Random(6)
+    pools = ["alpha beta gamma delta sigma".split(), "kappa theta omega lamda zetas".split()]
+    rows = [(i, " ".join(rng.choice(pools[i % 2]) for _ in range(40)), "en", "s", 200, "clash") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, label string")
+    model = cotraining.train(docs, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int"))
+    told = cotraining.score_documents(docs, model).where("doc_id >= 300").collect()
+    assert len(told) == 300 and sum(r["kept"] == (r["doc_id"] % 2 == 1) for r in told) > 285
+
+
 def test_cotraining_awkward_rows(spark):
-    docs = documents(spark)
+    docs = documents(spark).withColumn("label", F.lit("clash"))
+    assert cotraining.train(docs.limit(0), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")) is None
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert cotraining.train(docs, none) is None
     assert {r["score"] for r in cotraining.score_documents(docs, None).collect()} == {1.0}
