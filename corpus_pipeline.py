@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlab.llm.bpe import digest_texts
-from spanlab.llm.common import discard, read_table, saved
+from spanlab.llm.common import discard, read_table, saved_alone
 from spanlab.llm.line_dedup import line_dedup
 from spanlab.llm.minhash_dedup import near_duplicates
 from spanlab.llm.mixing import mix
@@ -29,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays. Copies share NEAR percent of their shingles or more; op1's contract has its own bound."""
-    gone = near_duplicates(docs, NEAR).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, NEAR).where("NOT kept").select("doc_id", F.col("text_hash").alias("__text")).distinct()
+    return docs.withColumn("__text", F.xxhash64("text")).join(gone, ["doc_id", "__text"], "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents, writing and rereading what each returns."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        before, docs = docs, saved_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
         discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
