@@ -1,14 +1,18 @@
 """Quality classifier by co-training of a text view and a page-metadata view.
 
-Text statistics and metadata (language, source, length) make two views of a document. A logistic model of each view is
-fitted on a bounded sample of labelled documents; over ROUNDS rounds each model gives the unlabelled documents of
-the sample that it is most sure of to the other as pseudo-labels. Both are calibrated on held-out labels and
-combined, and one native projection scores every document.
-
-The sample is bounded by SAMPLE (labelled rows looked for, by hashed doc_id; the same share of unlabelled rows is the pool), so the driver
-fits a matrix of a few MB whatever the size of the table. Documents with several label rows take the largest
-label; labels other than 0 and 1, or null, are left out. Without labels of both kinds every score is 1.
-Null texts are empty, a null language or source is a value of its own, a null n_chars is the text's length. Equal rows get equal scores.
+The text view has hashed words and word pairs, as shares of all of them, and a few statistics; the metadata view has language, source and length. A logistic
+model of each view is fitted on a bounded sample of labelled documents; over ROUNDS rounds each model gives the unlabelled documents
+of the pool that it is most sure of to the other as pseudo-labels. Both are calibrated on held-out labels, combined on
+others, and one native projection scores every document.
+
+Bounds: the fit takes up to SAMPLE labelled rows and a pool of up to POOL unlabelled ones, both by hashed doc_id. A model looks at a row at a time, so scoring all
+unlabelled rows and then drawing the pool by hash would give the same pool. The driver holds a matrix of 4 bytes for each of these rows and
+features, whatever the size of the table; sampling error is all that the bounds cost. Scores cover all rows.
+
+Documents with several label rows take the largest
+label; labels other than 0 and 1, or null, are left out. Without labels of both kinds every score is 1, and an empty table has none.
+Null texts are empty, a null language or source is a value of its own, a null n_chars is the text's length. Equal rows get equal scores; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -16,16 +20,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.llm.common import let, read_table, text_of
+from spanlab.llm.common import let, read_table, text_of, word_array
 from spanlab.llm.quality_rules import text_statistics
 
-SAMPLE = 20_000
+SAMPLE, POOL = 20_000, 40_000
 ROUNDS = 3
-#: Pseudo-labels of each kind that a model gives in a round, and how sure it must be.
-GIVEN, SURE = 1_000, 0.95
+#: Share of the pool that a model labels with each kind in a round, and how sure it must be.
+GIVEN, SURE = 0.05, 0.95
+#: Features of hashed words and word pairs.
+HASHED = 256
 THRESHOLD = 0.5
 PARTS = 1_000_000
 # The languages with a feature of their own.
@@ -37,17 +44,33 @@ def _ratio(a: Column, b: Column) -> Column:
     return a / F.greatest(b, F.lit(1))
 
 
+STATISTICS = 8
+CHUNK = 4096
+
+
 def text_view(text: Column) -> Column:
-    return let(text_statistics(text), lambda s: F.array(
-        F.log1p(s["n_words"]),
-        _ratio(s["word_chars"], s["n_words"]),
-        F.log1p(100 * _ratio(s["n_symbols"], s["n_words"])),
-        F.log1p(100 * _ratio(s["n_marks"], s["n_words"])),
-        _ratio(s["n_stop"], s["n_words"]),
-        _ratio(s["n_repeat_words"], s["n_words"]),
-        _ratio(s["n_dup_lines"], s["n_lines"]),
-        (s["n_words"] < 20).cast("double"),
-    ))
+    """A struct of stats (numbers) and grams (the hashed feature of every word and every pair of neighbours)."""
+
+    def of_words(words: Column) -> Column:
+        return F.struct(text_statistics(text, words).alias("s"), let(F.transform(words, lambda w: F.xxhash64(w)), grams).alias("g"))
+
+    def grams(h: Column) -> Column:
+        pairs = F.transform(F.slice(h, 2, F.size(h)), lambda x, i: F.xxhash64(F.get(h, i), x))
+        return F.transform(F.concat(h, pairs), lambda x: F.pmod(x, F.lit(HASHED)).cast("int"))
+
+    def numbers(s: Column) -> Column:
+        return F.array(
+            F.log1p(s["n_words"]),
+            _ratio(s["word_chars"], s["n_words"]),
+            F.log1p(100 * _ratio(s["n_symbols"], s["n_words"])),
+            F.log1p(100 * _ratio(s["n_marks"], s["n_words"])),
+            _ratio(s["n_stop"], s["n_words"]),
+            _ratio(s["n_repeat_words"], s["n_words"]),
+            _ratio(s["n_dup_lines"], s["n_lines"]),
+            (s["n_words"] < 20).cast("double"),
+        )
+
+    return let(let(word_array(text), of_words), lambda v: F.struct(numbers(v["s"]).alias("stats"), v["g"].alias("grams")))
 
 
 def page_view(lang: Column, source: Column, n_chars: Column) -> Column:
@@ -61,17 +84,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
-    """Weights and, last, the intercept, by damped Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, keep = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge * len(x)), 1e-6)
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights and, last, the intercept, by damped Newton steps over CHUNK rows at a time."""
+    keep = np.append(np.full(x.shape[1], ridge * len(x)), 1e-6)
+    w = np.zeros(len(keep)) if start is None else start.copy()
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        slope = x.T @ (p - y) + keep * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-9)
+        slope, bend = keep * w, np.diag(keep + 1e-9)
+        for at in range(0, len(x), CHUNK):
+            part = np.append(x[at : at + CHUNK], np.ones((len(x[at : at + CHUNK]), 1)), axis=1).astype(float)
+            p = sigmoid(part @ w)
+            slope += part.T @ (p - y[at : at + CHUNK])
+            bend += (part * (p * (1 - p))[:, None]).T @ part
         step = np.linalg.solve(bend, slope)
         w -= step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -84,10 +110,15 @@ class Model:
     calibration: list[np.ndarray] = field(default_factory=list)
     combination: np.ndarray | None = None
 
-    def logit(self, k: int, view: Column) -> Column:
+    def logit(self, k: int, view: Column, grams: Column | None = None) -> Column:
+        """The calibrated log-odds of view ``k``, its numbers in ``view``; ``grams`` add the mean weight of their features."""
         w, (slope, shift) = self.weights[k], self.calibration[k]
-        terms = [F.get(view, i) * float(v * slope) for i, v in enumerate(w[:-1])]
-        return sum(terms, F.lit(float(w[-1] * slope + shift)))
+        n = len(w) - 1 - (HASHED if grams is not None else 0)
+        told = sum((F.get(view, i) * float(v * slope) for i, v in enumerate(w[:n])), F.lit(float(w[-1] * slope + shift)))
+        if grams is None:
+            return told
+        named = F.array(*[F.lit(float(v * slope)) for v in w[n:-1]])
+        return told + F.aggregate(grams, F.lit(0.0), lambda a, x: a + F.get(named, x)) / F.greatest(F.size(grams), F.lit(1))
 
 
 def _raw(w: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -95,15 +126,18 @@ def _raw(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def cotrain(views: list[np.ndarray], labels: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """Fit both views. labels: 0, 1 or -1 for the pool; held: rows kept for calibration."""
-    scale = [(v.mean(axis=0), np.where(v.std(axis=0) > 1e-9, v.std(axis=0), 1.0)) for v in views]
-    scaled = [(v - m) / s for v, (m, s) in zip(views, scale)]
-    known, check = (labels >= 0) & ~held, (labels >= 0) & held
-    if any(len(set(labels[x])) < 2 for x in (known, check)):
+    """Fit both views. labels: 0, 1 or -1 for the pool; held: 1 for rows kept for calibration, 2 for those kept for the combination."""
+    spread = [v.std(axis=0, dtype=float) for v in views]
+    scale = [(v.mean(axis=0, dtype=float), np.where(s > 1e-9, s, 1.0)) for v, s in zip(views, spread)]
+    scaled = [((v - m) / s).astype(np.float32) for v, (m, s) in zip(views, scale)]
+    known, check, both = ((labels >= 0) & (held == k) for k in range(3))
+    if any(len(set(labels[x])) < 2 for x in (known, check, both)):
         return None
+    given = max(1, int(GIVEN * (labels < 0).sum()))
     own = [np.where(known, labels, -1) for _ in views]
+    fitted: list[np.ndarray | None] = [None] * len(views)
     for turn in range(rounds + 1):
-        fitted = [fit_logistic(x[y >= 0], y[y >= 0]) for x, y in zip(scaled, own)]
+        fitted = [fit_logistic(x[y >= 0], y[y >= 0], start=w) for x, y, w in zip(scaled, own, fitted)]
         if turn == rounds:
             break
         for k, w in enumerate(fitted):
@@ -111,32 +145,41 @@ def cotrain(views: list[np.ndarray], labels: np.ndarray, held: np.ndarray, round
             free = np.flatnonzero((labels < 0) & (own[other] < 0))
             p = sigmoid(_raw(w, scaled[k][free]))
             for kind, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:GIVEN]
+                best = np.argsort(-sure, kind="stable")[:given]
                 own[other][free[best[sure[best] >= SURE]]] = kind
     model, logits = Model(), []
     for x, w, (m, s) in zip(scaled, fitted, scale):
         raw = _raw(w, x[check])
         model.calibration.append(fit_logistic(raw[:, None], labels[check], ridge=1e-4))
         model.weights.append(np.append(w[:-1] / s, w[-1] - (w[:-1] * m / s).sum()))
-        logits.append(raw * model.calibration[-1][0] + model.calibration[-1][1])
-    model.combination = fit_logistic(np.stack(logits, axis=1), labels[check], ridge=1e-4)
+        logits.append(_raw(w, x[both]) * model.calibration[-1][0] + model.calibration[-1][1])
+    model.combination = fit_logistic(np.stack(logits, axis=1), labels[both], ridge=1e-4)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", pool: int = POOL) -> Model | None:
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     clean = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    n = clean.count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
-    cut = PARTS if n <= sample else PARTS * sample // n
-    # Pool and labels come from the same share of the table, so a table with few labels has its pool bounded apart.
-    share = min(cut, PARTS * 4 * sample // max(1, docs.count()))
-    chosen = docs.where(part < cut).join(clean.where(part < cut), "doc_id", "left").where(F.col("label").isNotNull() | (part < share))
-    viewed = chosen.select("doc_id", "label", text_view(text_of()).alias("text_view"), page_view(F.col("lang"), F.col("source"), F.coalesce("n_chars", F.length(text_of()))).alias("page_view"))
-    rows = viewed.select(F.coalesce("label", F.lit(-1)).alias("label"), (F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(4)) == 0).alias("held"), "text_view", "page_view", "doc_id").toPandas()
-    if not len(rows):
+    cut = min(PARTS, PARTS * sample // max(1, clean.count()))
+    share = min(PARTS, PARTS * pool // max(1, docs.count()))
+    chosen = docs.where(part < max(cut, share)).join(clean.where(part < max(cut, share)), "doc_id", "left").where(F.when(F.col("label").isNull(), part < share).otherwise(part < cut))
+
+    @F.pandas_udf("array<float>")
+    def shares(grams: pd.Series) -> pd.Series:
+        return pd.Series([(np.bincount(g, minlength=HASHED) / max(1, len(g))).astype(np.float32) for g in grams])
+
+    page = page_view(F.col("lang"), F.col("source"), F.coalesce("n_chars", F.length(text_of())))
+    viewed = chosen.select("doc_id", "label", text_view(text_of()).alias("v"), page.alias("page"))
+    held = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(6))
+    kept = viewed.select("doc_id", F.coalesce("label", F.lit(-1)).alias("label"), F.when(held < 2, held + 1).otherwise(0).cast("int").alias("held"), F.col("v.stats").cast("array<float>").alias("stats"), shares("v.grams").alias("grams"), F.col("page").cast("array<float>").alias("page"))
+    rows = kept.toArrow()  # bounded by SAMPLE and POOL
+    if not rows.num_rows:
         return None
-    rows = rows.iloc[np.lexsort([rows["text_view"].map(tuple), rows["doc_id"]])]  # reruns fit the same matrix
-    return cotrain([np.stack(rows[v].to_list()).astype(float) for v in ("text_view", "page_view")], rows["label"].to_numpy(int), rows["held"].to_numpy(bool))
+    matrix = {c: rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) for c in ("stats", "grams", "page")}
+    text = np.hstack([matrix["stats"], matrix["grams"]])
+    order = np.lexsort([*text[:, : STATISTICS + 8].T, rows.column("doc_id").to_numpy()])  # reruns fit the same matrix
+    return cotrain([text[order], matrix["page"][order]], rows.column("label").to_numpy()[order], rows.column("held").to_numpy()[order])
 
 
 def score_documents(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -144,7 +187,7 @@ def score_documents(docs: DataFrame, model: Model | None, threshold: float = THR
     if model is None:
         one = F.lit(1.0)
         return docs.select("doc_id", one.alias("text_score"), one.alias("page_score"), one.alias("score"), F.lit(True).alias("kept"))
-    text = let(text_view(text_of()), lambda v: model.logit(0, v))
+    text = let(text_view(text_of()), lambda v: model.logit(0, v["stats"], v["grams"]))
     page = let(page_view(F.col("lang"), F.col("source"), F.coalesce("n_chars", F.length(text_of()))), lambda v: model.logit(1, v))
     a, b, c = map(float, model.combination)
     odds = let(F.struct(text.alias("t"), page.alias("p")), lambda s: F.struct(s["t"].alias("t"), s["p"].alias("p"), (s["t"] * a + s["p"] * b + c).alias("all")))

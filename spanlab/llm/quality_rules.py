@@ -64,15 +64,15 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, let(windows, covered)).otherwise(F.lit(0).cast("long"))
 
 
-def text_statistics(text: Column) -> Column:
-    """A struct of the counts that the rules name."""
+def text_statistics(text: Column, words: Column | None = None) -> Column:
+    """A struct of the counts that the rules name. ``words``: the text's word array, where the caller has it."""
 
     def without(chars: str) -> Column:
         return F.length(text) - F.length(F.translate(text, chars, ""))
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     stop = [F.lit(w) for w in dict.fromkeys(STOP_WORDS)]
-    of_words = let(word_array(text), lambda w: F.struct(
+    of_words = let(word_array(text) if words is None else words, lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         _repeat_words(w).alias("n_repeat_words"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(*stop))).cast("long").alias("n_stop"),
