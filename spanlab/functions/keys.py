@@ -39,8 +39,9 @@ def config_hash(config: dict) -> str:
 
 
 def frame_fingerprint(df: DataFrame, *cols: str) -> DataFrame:
-    """One row: count, sum and xor of the rows' 60-bit hashes; the order of rows doesn't matter, repeated rows do."""
-    h = hash60(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols])
+    """One row: count, sum and xor of the rows' 60-bit hashes; the order of rows doesn't matter, repeated rows do. Separators inside values are escaped, so none moves across columns."""
+    plain = lambda c: F.regexp_replace(F.col(c).cast("string"), r"([\\|])", r"\\$1")
+    h = hash60(*[F.coalesce(plain(c), F.lit("\0")) for c in cols])
     return df.select(h.alias("h")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)") % 1_000_000_007).cast("long").alias("total"), F.bit_xor("h").alias("parity"))
 
 

@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlab.operators.ranks import quantiles
+
+
+def beside(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables of one row per key side by side; null keys meet."""
+    if not keys:
+        return a.crossJoin(F.broadcast(b))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"__a.{k}").eqNullSafe(F.col(f"__b.{k}"))
+    return a.alias("__a").join(b.alias("__b"), on, "left").select("__a.*", *[F.col(f"__b.{c}") for c in b.columns if c not in keys])
+
 
 def counts_by(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -42,12 +54,14 @@ def share_within(df: DataFrame, keys: list[str], subset: list[str], weight: str
 
 def quantile_summary(df: DataFrame, keys: list[str], col: str, qs: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """n, min, exact linear quantiles and max of the values that aren't null."""
-    out = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(F.count(col).alias("n"), F.min(col).alias("min"), F.percentile(col, F.array(*[F.lit(q) for q in qs])).alias("q"), F.max(col).alias("max"))
-    return out.select(*keys, "n", "min", *[F.get("q", F.lit(i)).alias(f"p{round(100 * q)}") for i, q in enumerate(qs)], "max")
+    out = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(F.count(col).alias("n"), F.min(col).alias("min"), F.max(col).alias("max"))
+    names = {f"p{round(100 * q)}": q for q in qs}
+    return beside(out, quantiles(df, keys, col, names), keys).select(*keys, "n", "min", *names, "max")
 
 
 def latency_summary(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    return df.where(F.col(col).isNotNull()).groupBy(*keys).agg(F.count(col).alias("n"), F.percentile(col, 0.5).alias("median"), F.percentile(col, 0.9).alias("p90"), F.percentile(col, 0.95).alias("p95"), F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"))
+    out = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.min(col).alias("min"), F.max(col).alias("max"))
+    return beside(out, quantiles(df, keys, col, {"median": 0.5, "p90": 0.9, "p95": 0.95}), keys).select(*keys, "n", "median", "p90", "p95", "mean", "min", "max")
 
 
 def class_rates(df: DataFrame, truth: str, pred: str, group: str, rejected: str) -> DataFrame:
@@ -122,6 +136,6 @@ def provenance_rates(df: DataFrame, bucket: str, params: str, names: list[str])
 
 def quantile_outliers(df: DataFrame, col: str, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
     """Rows below the low or above the high quantile, with the side."""
-    q = df.agg(F.percentile(col, F.array(F.lit(lo), F.lit(hi))).alias("q"))  # one row
-    side = F.when(F.col(col) < F.get("q", F.lit(0)), "low").when(F.col(col) > F.get("q", F.lit(1)), "high")
-    return df.crossJoin(F.broadcast(q)).withColumn("side", side).where("side IS NOT NULL").drop("q")
+    q = quantiles(df, [], col, {"__lo": lo, "__hi": hi})  # one row
+    side = F.when(F.col(col) < F.col("__lo"), "low").when(F.col(col) > F.col("__hi"), "high")
+    return df.crossJoin(F.broadcast(q)).withColumn("side", side).where("side IS NOT NULL").drop("__lo", "__hi")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlab.functions.keys import cosine, hash60
+from spanlab.functions.keys import cosine, hash60, vec_normalize
+from spanlab.operators.aggregates import beside
 from spanlab.operators.joins import knn_band_join
 from spanlab.operators.metrics import roc_auc
+from spanlab.operators.ranks import quantiles
 
 
 def source_auc(df: DataFrame, score: str, is_source: Column) -> DataFrame:
@@ -42,7 +48,10 @@ def cluster_bootstrap(df: DataFrame, group: str, value: str, reps: int, seed: in
 
 
 def before_after(df: DataFrame, keys: list[str], before: str, after: str, threshold: float) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(before, 0.5).alias("median_before"), F.percentile(after, 0.5).alias("median_after"), F.avg(F.col(after) - F.col(before)).alias("mean_change"), F.count_if(F.col(before) > threshold).alias("above_before"), F.count_if(F.col(after) > threshold).alias("above_after"))
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col(after) - F.col(before)).alias("mean_change"), F.count_if(F.col(before) > threshold).alias("above_before"), F.count_if(F.col(after) > threshold).alias("above_after"))
+    for c, name in ((before, "median_before"), (after, "median_after")):
+        out = beside(out, quantiles(df, keys, c, {name: 0.5}), keys)
+    return out.select(*keys, "n", "median_before", "median_after", "mean_change", "above_before", "above_after")
 
 
 def ablation_delta(full: DataFrame, without: DataFrame, key: str, value: str) -> DataFrame:
@@ -80,11 +89,54 @@ def cluster_two(df: DataFrame, ident: str, vector: str, k: int = 2, seed: int =
 
 
 def position_uniformity(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
-    """Quartiles of relative positions and the mean, per key."""
-    return df.withColumn("__x", x).groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("__x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*keys, "n", *[F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)])
+    """Rows and quartiles of relative positions, per key."""
+    at = df.withColumn("__x", x)
+    return beside(at.groupBy(*keys).agg(F.count("*").alias("n")), quantiles(at, keys, "__x", {"q1": 0.25, "q2": 0.5, "q3": 0.75}), keys)
+
+
+#: References of one block of the exact comparison.
+BLOCK = 4096
+#: Salts that the rows of a block are dealt to.
+ROWS = 8
 
 
 def near_duplicate_max(a: DataFrame, refs: DataFrame, key: str, ident: str, vector: str) -> DataFrame:
-    """The largest cosine similarity of each row to any reference under the same key; null where the key has none."""
-    j = a.select(key, ident, vector).join(refs.select(key, F.col(vector).alias("__r")), key, "left")
-    return j.groupBy(key, ident).agg(F.max(F.when(F.col("__r").isNotNull(), cosine(F.col(vector), F.col("__r")))).alias("max_similarity"))
+    """The largest cosine similarity of each row to any reference under the same key; null where the key has none.
+
+    References are normalised and dealt to blocks of at most about BLOCK of a key, and each row goes to every block of its key; a block is one matrix product per batch of
+    rows, and the blocks' maxima are joined. So a key with many rows spreads, and nothing pairs rows one by one.
+    """
+    sizes = refs.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__n"))
+    unit = lambda c: vec_normalize(c).alias("__v")
+    kinds = dict(a.dtypes)
+    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__block")
+    left = a.select(key, ident, unit(F.col(vector))).join(sizes, key).select(key, every, F.lit(1).alias("__side"), ident, "__v", F.pmod(F.xxhash64(ident), F.lit(ROWS)).alias("__salt"))
+    right = refs.select(key, unit(F.col(vector)), F.xxhash64(vector).alias("__h")).join(sizes, key)
+    right = right.select(key, F.pmod("__h", F.col("__n")).cast("int").alias("__block"), F.lit(0).alias("__side"), F.lit(None).cast(kinds[ident]).alias(ident), "__v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ROWS - 1).cast("long"))).alias("__salt"))
+    dealt = left.unionByName(right).repartition(key, "__block", "__salt").sortWithinPartitions(key, "__block", "__salt", "__side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, held, matrix = None, [], None
+        for b in batches:
+            at = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist()))
+            sides, vectors = b.column(2).to_pylist(), b.column(4)
+            kept, best, i = [], [], 0
+            while i < len(at):
+                j = i
+                while j < len(at) and at[j] == at[i] and sides[j] == sides[i]:
+                    j += 1
+                rows = vectors.slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1)
+                if at[i] != where:
+                    where, held, matrix = at[i], [], None
+                if sides[i] == 0:
+                    held, matrix = [*held, rows], None
+                elif held:
+                    matrix = np.concatenate(held) if matrix is None else matrix
+                    kept += range(i, j)
+                    best.append((rows @ matrix.T).max(axis=1))
+                i = j
+            told = b.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([told.column(0), told.column(3), pa.array(np.concatenate(best) if best else np.zeros(0))], names=[key, ident, "s"])
+
+    met = dealt.mapInArrow(compare, f"`{key}` {kinds[key]}, `{ident}` {kinds[ident]}, s double").groupBy(key, ident).agg(F.max("s").alias("max_similarity"))
+    return a.select(key, ident).join(met, [key, ident], "left")

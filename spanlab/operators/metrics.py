@@ -4,33 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanlab.operators.aggregates import macro_rates
+from spanlab.operators.ranks import cumulative, place, quantiles
+from spanlab.operators.series import running_precision
 
 Z95 = 1.959963984540054
-CHUNKS = 64
-
-
-def cumulative(df: DataFrame, keys: list[str], order: str, sums: list[str], descending: bool = False) -> DataFrame:
-    """``before_<c>``: totals of all rows ahead in ``order``, for rows that are distinct in (keys, order).
-
-    Rows are dealt to ranges of the order's hash-free quantiles, summed per range, and only then summed in a window inside each range, so that
-    one key with many values still spreads over many tasks.
-    """
-    edges = df.groupBy(*keys).agg(F.percentile_approx(order, F.array(*[F.lit(i / CHUNKS) for i in range(1, CHUNKS)]), 1000).alias("__e"))
-    joined = df.join(F.broadcast(edges), keys) if not keys else df.join(edges, keys)
-    part = F.size(F.filter("__e", lambda e: e < F.col(order)))
-    cut = joined.withColumn("__part", -part if descending else part).drop("__e")
-    total = cut.groupBy(*keys, "__part").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
-    wp = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    ahead = total.select(*keys, "__part", *[F.coalesce(F.sum(f"__t_{c}").over(wp), F.lit(0)).alias(f"__a_{c}") for c in sums])
-    wi = W.partitionBy(*keys, "__part").orderBy(F.col(order).desc() if descending else F.col(order)).rowsBetween(W.unboundedPreceding, -1)
-    out = cut.join(ahead, [*keys, "__part"])
-    return out.select(*df.columns, *[(F.col(f"__a_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0))).alias(f"before_{c}") for c in sums])
 
 
 def roc_auc(df: DataFrame, score: str, positive: Column, keys: list[str] = ()) -> DataFrame:
@@ -46,77 +30,158 @@ def roc_auc(df: DataFrame, score: str, positive: Column, keys: list[str] = ()) -
 
 def average_precision(df: DataFrame, keys: list[str], score: str, positive: Column, tie: list[str]) -> DataFrame:
     """Mean of the precision at each positive, in score order with an explicit tie key."""
-    w = W.partitionBy(*keys).orderBy(F.col(score).desc(), *tie)
-    p = df.withColumn("__p", positive.cast("int")).withColumn("__i", F.row_number().over(w)).withColumn("__h", F.sum("__p").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return p.groupBy(*keys).agg((F.sum(F.when(F.col("__p") == 1, F.col("__h") / F.col("__i")).otherwise(0.0)) / F.greatest(F.lit(1), F.sum("__p"))).alias("ap"))
+    p = running_precision(df.withColumn("__p", positive.cast("int")), keys, score, tie, F.col("__p") == 1)
+    return p.groupBy(*keys).agg((F.sum(F.when(F.col("__p") == 1, F.col("precision")).otherwise(0.0)) / F.greatest(F.lit(1), F.sum("__p"))).alias("ap"))
 
 
 def threshold_at_fpr(df: DataFrame, keys: list[str], score: str, target: float) -> DataFrame:
     """(boundary, strict): accept scores above the (k + 1)-th largest negative, k = floor(target * n); with k >= n, from the smallest on."""
-    counts = df.groupBy(*keys, score).agg(F.count("*").alias("c"))
-    run = cumulative(counts, keys, score, ["c"], descending=True)
-    total = df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("k", F.floor(F.col("n") * target))
-    j = run.join(total, keys)
-    at = (F.col("before_c") <= F.col("k")) & (F.col("before_c") + F.col("c") > F.col("k"))
-    return j.groupBy(*keys, "n", "k").agg(F.coalesce(F.max(F.when(at, F.col(score))), F.min(score)).alias("boundary"), F.coalesce(F.bool_or(at), F.lit(False)).alias("strict")).drop("k")
+    run = cumulative(df.groupBy(*keys, score).agg(F.count("*").alias("c")), keys, score, ["c"], descending=True)
+    k = F.floor(F.col("all_c") * target)
+    at = (F.col("before_c") <= k) & (F.col("before_c") + F.col("c") > k)
+    return run.groupBy(*keys).agg(F.max("all_c").alias("n"), F.coalesce(F.max(F.when(at, F.col(score))), F.min(score)).alias("boundary"), F.coalesce(F.bool_or(at), F.lit(False)).alias("strict"))
 
 
 def choose_threshold(df: DataFrame, category: str, subset: str, excluded: list, score: str, target: float, min_n: int) -> DataFrame:
-    """Boundaries per category and for the pool of small ones; ``operating`` is the largest of them."""
+    """Boundaries per category and for the pool of small ones; ``operating`` is the largest of them. One row per pool, so the window over them is small."""
     rows = df.where(~F.col(subset).isin(*excluded))
     n = rows.groupBy(category).agg(F.count("*").alias("__n"))
-    pooled = rows.join(n, category).withColumn("pool", F.when(F.col("__n") < min_n, "pooled").otherwise(F.col(category)))
-    t = threshold_at_fpr(pooled, ["pool"], score, target)
-    return t.crossJoin(F.broadcast(t.agg(F.max("boundary").alias("operating"))))
+    pooled = rows.join(n, category).select(F.when(F.col("__n") < min_n, "pooled").otherwise(F.col(category)).alias("pool"), score)
+    return threshold_at_fpr(pooled, ["pool"], score, target).withColumn("operating", F.max("boundary").over(W.partitionBy()))
 
 
 def rate_table(df: DataFrame, groups: list[str], hit: Column, score: str) -> DataFrame:
     """n, k (hits), rate and score statistics by each column and their combination; a column that isn't grouped by shows null and its flag 0."""
-    flagged = df.withColumn("__hit", hit.cast("int"))
-    out = flagged.cube(*groups).agg(*[(1 - F.grouping(g)).cast("int").alias(f"by_{g}") for g in groups], F.count("*").alias("n"), F.sum("__hit").alias("k"), F.avg("__hit").alias("rate"), F.max(score).alias("max_score"), F.percentile(score, 0.99).alias("p99"))
-    return out.where(" OR ".join(f"by_{g} = 1" for g in groups))
-
-
-def _binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X >= k) for n trials."""
-    if k <= 0:
-        return 1.0
-    if p <= 0 or p >= 1:
-        return float(p >= 1)
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    flags = [f"by_{g}" for g in groups]
+    cells = df.groupBy(*groups, score).agg(F.count("*").alias("__n"), F.count_if(hit).alias("__k"))
+    sets = F.explode(F.array(*[F.struct(*[F.lit(mask >> i & 1).alias(f) for i, f in enumerate(flags)]) for mask in range(1, 1 << len(groups))])).alias("by")
+    wide = cells.select(score, "__n", "__k", *groups, sets).select(score, "__n", "__k", "by.*", *[F.when(F.col(f"by.{f}") == 1, F.col(g)).alias(g) for g, f in zip(groups, flags)])
+    keys = [*groups, *flags]
+    told = wide.groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum("__k").alias("k"), (F.sum("__k") / F.sum("__n")).alias("rate"), F.max(score).alias("max_score"))
+    p99 = quantiles(wide, keys, score, {"p99": 0.99}, "__n").withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return told.join(p99, on, "left").select(*groups, *flags, "n", "k", "rate", "max_score", "p99")
+
+
+_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return _lgamma(x).astype(float)
+
+
+def _fraction(terms, x: np.ndarray) -> np.ndarray:
+    """A continued fraction b0 + a1 / (b1 + a2 / (b2 + ...)) by Lentz's method; ``terms(j)`` gives (a_j, b_j). Arrays go on until the last has settled."""
+    tiny = 1e-300
+    f = np.where((b := terms(0)[1]) == 0, tiny, b) * np.ones_like(x)
+    c, d = f.copy(), np.zeros_like(x)
+    for j in range(1, 200_000):
+        a, b = terms(j)
+        d, c = b + a * d, b + a / c
+        d, c = 1 / np.where(d == 0, tiny, d), np.where(c == 0, tiny, c)
+        f = f * (step := c * d)
+        if np.all(np.abs(step - 1) < 1e-14):
+            break
+    return f
+
+
+def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function: the chance of a or more hits in a + b - 1 trials at x."""
+    flip = x > (a + 1) / (a + b + 2)
+    y, p, q = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+
+    def terms(j: int) -> tuple:
+        m = j // 2
+        if j == 0:
+            return 0.0, np.ones_like(y)
+        return (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)) if j % 2 == 0 else -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))), 1.0
+
+    with np.errstate(divide="ignore"):
+        front = np.exp(p * np.log(y) + q * np.log1p(-y) - (_log_gamma(p) + _log_gamma(q) - _log_gamma(p + q))) / p
+    part = np.where((y <= 0) | (y >= 1), (y >= 1).astype(float), front / _fraction(terms, y))
+    return np.where(flip, 1 - part, part)
+
+
+def gamma_share(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The regularised lower incomplete gamma function: the chance of a or more events at mean x."""
+    with np.errstate(divide="ignore"):
+        front = np.exp(a * np.log(x) - x - _log_gamma(a))
+    low = x < a + 1
+    y, total, term, n = np.where(low, x, 0.0), 1 / a, 1 / a, a.copy()
+    for _ in range(200_000):
+        n = n + 1
+        term = term * y / n
+        total = total + term
+        if np.all(term < total * 1e-15):
+            break
+    z = np.where(low, a + 2, x)
+    upper = front / _fraction(lambda j: (-j * (j - a), z + 2 * j + 1 - a), z)
+    return np.where(x <= 0, 0.0, np.where(low, front * total, 1 - upper))
+
+
+def _crossing(f, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, slope) -> np.ndarray:
+    """Where each rising f crosses 0 in [lo, hi]: Newton steps that fall back to the middle where they leave the interval."""
+    x = np.clip(start, lo, hi)
+    for _ in range(100):
+        v = f(x)
+        lo, hi = np.where(v < 0, x, lo), np.where(v < 0, hi, x)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            new = x - v / slope(x)
+        new = np.where((new > lo) & (new < hi), new, (lo + hi) / 2)
+        if np.all(np.abs(new - x) <= 1e-13 * np.maximum(np.abs(x), 1e-300)):
+            return new
+        x = new
+    return x
+
+
+def clopper_pearson_rows(k: np.ndarray, n: np.ndarray, alpha: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    k, n = np.asarray(k, float), np.asarray(n, float)
+    low, high = np.where(n > 0, 0.0, np.nan), np.where(n > 0, 1.0, np.nan)
+
+    def bound(on: np.ndarray, a: np.ndarray, b: np.ndarray, level: float) -> np.ndarray:
+        norm = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
+        density = lambda x: np.exp(norm + (a - 1) * np.log(x) + (b - 1) * np.log1p(-x))
+        mid = a / (a + b)
+        near = mid + np.sign(level - 0.5) * 2 * np.sqrt(mid * (1 - mid) / (a + b + 1))
+        return _crossing(lambda x: beta_share(x, a, b) - level, np.full(len(a), 1e-300), np.full(len(a), 1 - 1e-16), np.clip(near, 1e-12, 1 - 1e-12), density)
+
+    on = (n > 0) & (k > 0)
+    if on.any():
+        low[on] = bound(on, k[on], n[on] - k[on] + 1, alpha / 2)
+    on = (n > 0) & (k < n)
+    if on.any():
+        high[on] = bound(on, k[on] + 1, n[on] - k[on], 1 - alpha / 2)
+    return low, high
 
 
-def _poisson_tail(k: int, m: float) -> float:
-    """P(X >= k) at mean m."""
-    if k <= 0:
-        return 1.0
-    return 1.0 - min(1.0, math.fsum(math.exp(i * math.log(m) - m - math.lgamma(i + 1)) for i in range(k))) if m > 0 else 0.0
+def garwood_rows(k: np.ndarray, hours: np.ndarray, alpha: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    k, hours = np.asarray(k, float), np.asarray(hours, float)
+    known = hours > 0
+    low, high = np.where(known, 0.0, np.nan), np.full(len(k), np.nan)
 
+    def bound(a: np.ndarray, level: float) -> np.ndarray:
+        norm = _log_gamma(a)
+        near = np.maximum(a + np.sign(level - 0.5) * 2 * np.sqrt(a), 1e-3)
+        return _crossing(lambda x: gamma_share(x, a) - level, np.full(len(a), 1e-300), a + 20 * np.sqrt(a) + 50, near, lambda x: np.exp((a - 1) * np.log(x) - x - norm))
 
-def _bisect(f, lo: float, hi: float) -> float:
-    """Where the rising function f crosses 0."""
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return (lo + hi) / 2
+    on = known & (k > 0)
+    if on.any():
+        low[on] = bound(k[on], alpha / 2) / hours[on]
+    if known.any():
+        high[known] = bound(k[known] + 1, 1 - alpha / 2) / hours[known]
+    return low, high
 
 
 def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
-    if n <= 0:
-        return math.nan, math.nan
-    low = 0.0 if k == 0 else _bisect(lambda p: _binomial_tail(k, n, p) - alpha / 2, 0.0, 1.0)
-    high = 1.0 if k == n else _bisect(lambda p: _binomial_tail(k + 1, n, p) - (1 - alpha / 2), 0.0, 1.0)
-    return low, high
+    low, high = clopper_pearson_rows([k], [n], alpha)
+    return float(low[0]), float(high[0])
 
 
 def garwood(k: int, hours: float, alpha: float = 0.05) -> tuple[float, float]:
-    if not hours > 0:
-        return math.nan, math.nan
-    top = k + 10 * math.sqrt(k + 1) + 20
-    low = 0.0 if k == 0 else _bisect(lambda m: _poisson_tail(k, m) - alpha / 2, 0.0, top)
-    return low / hours, _bisect(lambda m: _poisson_tail(k + 1, m) - (1 - alpha / 2), 0.0, top) / hours
+    low, high = garwood_rows([k], [hours], alpha)
+    return float(low[0]), float(high[0])
 
 
 def proportion_ci(k: Column, n: Column) -> Column:
@@ -124,15 +189,17 @@ def proportion_ci(k: Column, n: Column) -> Column:
 
     @F.pandas_udf("low double, high double")
     def ci(ks: pd.Series, ns: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([clopper_pearson(int(a), int(b)) for a, b in zip(ks, ns)], columns=["low", "high"])
+        return pd.DataFrame(dict(zip(("low", "high"), clopper_pearson_rows(ks, ns))))
 
     return ci(k.cast("long"), n.cast("long"))
 
 
 def poisson_rate_ci(k: Column, hours: Column) -> Column:
+    """Exact interval of a rate, for rows that are already aggregated."""
+
     @F.pandas_udf("low double, high double")
     def ci(ks: pd.Series, hs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([garwood(int(a), float(b)) for a, b in zip(ks, hs)], columns=["low", "high"])
+        return pd.DataFrame(dict(zip(("low", "high"), garwood_rows(ks, hs))))
 
     return ci(k.cast("long"), hours.cast("double"))
 
@@ -144,11 +211,11 @@ def wilson_ci(k: Column, n: Column, z: float = Z95) -> Column:
 
 
 def sweep_roc(df: DataFrame, score: str, positive: Column, points: int) -> DataFrame:
-    """Detection rate and false positive rate at each of the distinct quantiles of the score, by one pass over counted scores."""
-    grid = df.agg(F.array_distinct(F.percentile(score, F.array(*[F.lit(i / (points - 1)) for i in range(points)]))).alias("__g"))
-    rows = df.crossJoin(F.broadcast(grid)).select(positive.alias("hit"), F.size(F.filter("__g", lambda g: g <= F.col(score))).alias("m"), "__g")
-    hist = rows.groupBy("m", "__g").agg(F.count_if("hit").alias("p"), F.count_if(~F.col("hit")).alias("n"))
-    reach = hist.select(F.explode(F.slice(F.col("__g"), F.lit(1), F.col("m"))).alias("threshold"), "p", "n")
+    """Detection rate and false positive rate at each of the distinct quantiles of the score, by one pass over rows placed on that grid. The driver holds the grid."""
+    found = quantiles(df, [], score, {f"q{i}": i / (points - 1) for i in range(points)}).first()
+    grid = sorted({x for x in found if x is not None})
+    hist = df.select(positive.alias("hit"), place(F.col(score), grid).alias("m")).groupBy("m").agg(F.count_if("hit").alias("p"), F.count_if(~F.col("hit")).alias("n"))
+    reach = hist.select(F.explode(F.slice(F.array(*[F.lit(x) for x in grid]), F.lit(1), F.col("m"))).alias("threshold"), "p", "n")
     whole = hist.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
     return reach.groupBy("threshold").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).crossJoin(F.broadcast(whole)).select("threshold", (F.col("p") / F.col("positives")).alias("detection_rate"), (F.col("n") / F.col("negatives")).alias("fpr"))
 
@@ -164,8 +231,10 @@ def choose_cutoff(df: DataFrame, group: str, p: str, wrong: Column, target: floa
 
     ``wrong``: the row acts wrongly when its p reaches the cutoff. Each row is placed on the grid once, and one reverse running sum gives every rate.
     """
-    grid = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
-    at = df.withColumn("__g", F.size(F.filter(grid, lambda c: c <= F.col(p))) - 1)
+    g = F.least(F.floor(F.col(p) * steps), F.lit(steps))
+    # The product may round over a grid point, so its neighbours are looked at too.
+    up, down = (g + 1) / F.lit(float(steps)) <= F.col(p), g / F.lit(float(steps)) > F.col(p)
+    at = df.withColumn("__g", F.greatest(F.when(up & (g < steps), g + 1).when(down, g - 1).otherwise(g), F.lit(-1)).cast("int"))
     total = df.groupBy(group).agg(F.count("*").alias("n"))
     hist = at.where(wrong).groupBy(group, "__g").agg(F.count("*").alias("c"))
     full = total.withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(steps)))).join(hist, [group, "__g"], "left")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanlab.operators.ranks import cumulative
+
 
 def sessionize(df: DataFrame, key: str, t: str, gap: int, tie: str) -> DataFrame:
     """``session`` from 0: a new one starts when more than ``gap`` has passed."""
@@ -30,9 +32,10 @@ def rank_avg(df: DataFrame, keys: list[str], col: str) -> DataFrame:
 
 
 def running_precision(df: DataFrame, keys: list[str], score: str, tie: list[str], positive: Column) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(F.col(score).desc(), *tie)
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("position", F.row_number().over(w)).withColumn("hits", F.sum(positive.cast("int")).over(run)).withColumn("precision", F.col("hits") / F.col("position"))
+    """Position, positives so far and their share, in score order with an explicit tie key."""
+    run = cumulative(df.withColumn("__one", F.lit(1)).withColumn("__hit", positive.cast("int")), keys, score, ["__one", "__hit"], descending=True, tie=tie)
+    run = run.withColumn("position", F.col("before___one") + 1).withColumn("hits", F.col("before___hit") + F.col("__hit"))
+    return run.select(*df.columns, "position", "hits", (F.col("hits") / F.col("position")).alias("precision"))
 
 
 def gaps_between(df: DataFrame, key: str, start: str, end: str, tie: str) -> DataFrame:
@@ -66,15 +69,18 @@ def longest_run(df: DataFrame, key: str, order: list[str], flag: Column) -> Data
 def linspace_cap(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """Up to n rows of each key, evenly spaced by index with both ends, each once."""
     w = W.partitionBy(key)
-    numbered = df.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__c", F.count("*").over(w))
-    wanted = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.floor((2 * j * (F.col("__c") - 1) + (n - 1)) / (2 * max(1, n - 1)))))
-    return numbered.where((F.col("__c") <= n) | F.array_contains(wanted, F.col("__i").cast("long"))).drop("__i", "__c")
+    numbered = df.withColumn("__i", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("__c", F.count("*").over(w))
+    # Index i is taken when i is j * (c - 1) / (n - 1), rounded half up, of some j: of the least j that reaches i - 1/2, if it stays under i + 1/2.
+    j = F.expr(f"((2 * __i - 1) * {n - 1} + 2 * (__c - 1) - 1) div (2 * greatest(__c - 1, 1))")
+    taken = (F.col("__i") == 0) | ((2 * j * (F.col("__c") - 1) < (2 * F.col("__i") + 1) * (n - 1)) & (j <= n - 1))
+    return numbered.where((F.col("__c") <= n) | taken).drop("__i", "__c")
 
 
 def running_balance(df: DataFrame, stratum: str, order: list, weight: str) -> DataFrame:
     """Weight up to and including each row, and its share of the stratum's."""
-    w = W.partitionBy(stratum).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(weight).over(w)).withColumn("share", F.col("running") / F.sum(weight).over(W.partitionBy(stratum)))
+    run = cumulative(df, [stratum], order[0], [weight], tie=order[1:])
+    running = F.col(f"before_{weight}") + F.col(weight)
+    return run.select(*df.columns, running.alias("running"), (running / F.col(f"all_{weight}")).alias("share"))
 
 
 def number_within(df: DataFrame, key: str, order: list[str], digits: int = 5) -> DataFrame:

@@ -65,13 +65,22 @@ def peak_gain(samples: Column, target_db: Column, limit: float = 0.999) -> Colum
     return F.least(target_db - 20 * F.log10(rms + 1e-9), 20 * F.log10(limit / (peak + 1e-9)))
 
 
-def speech_start(levels: Column, smoothing: int, above: float, run: int) -> Column:
-    """The first frame from which ``run`` smoothed levels in a row lie ``above`` the floor; null without one."""
+def speech_start(levels: Column, smoothing: int, above: float, run: int, first: int = 0) -> Column:
+    """The first frame, from ``first`` on, of ``run`` levels in a row that lie ``above`` the floor or higher; null without one.
+
+    Levels in dB are averaged as powers over the last ``smoothing`` frames, silence before the first; the floor is the 20th percentile of the plain levels.
+    """
     def smooth(v: Column) -> Column:
-        return F.transform(v, lambda _, i: F.aggregate(F.slice(v, F.greatest(i - (smoothing - 1), F.lit(0)) + 1, F.least(i + 1, F.lit(smoothing))), F.lit(0.0), lambda a, x: a + x) / F.least(i + 1, F.lit(smoothing)))
+        power = lambda i: F.aggregate(F.slice(v, F.greatest(i - (smoothing - 1), F.lit(0)) + 1, F.least(i + 1, F.lit(smoothing))), F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x / 10))
+        return F.transform(v, lambda _, i: 10 * F.log10(power(i) / smoothing + 1e-18))
+
+    def floor(v: Column) -> Column:
+        at = (F.size(v) - 1) * 0.2
+        low = lambda s: F.get(s, F.floor(at).cast("int"))
+        return let(F.sort_array(v), lambda s: low(s) + (F.get(s, F.ceil(at).cast("int")) - low(s)) * (at - F.floor(at)))
 
-    def first(s: Column) -> Column:
-        on = F.transform(s, lambda x: x >= F.array_min(s) + above)
+    def begin(v: Column) -> Column:
+        on = let(floor(v), lambda least: F.transform(smooth(v), lambda x, i: (x >= least + above) & (i >= first)))
         return let(on, lambda f: F.array_min(F.filter(F.transform(f, lambda _, i: F.when((i + run <= F.size(f)) & ~F.exists(F.slice(f, i + 1, F.lit(run)), lambda x: ~x), i)), lambda i: i.isNotNull())))
 
-    return let(levels, lambda v: let(smooth(v), first))
+    return let(levels, begin)

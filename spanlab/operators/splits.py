@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from spanlab.functions.keys import md5_mod, stable_hash64
+from spanlab.operators.ranks import cumulative
 
 RATIOS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 #: Groups of a stratum that the greedy rule takes in one task.
@@ -30,12 +28,10 @@ def split_by_rule(speaker: Column, clock: Column, owner: str, lo: str, hi: str)
 def split_balanced(df: DataFrame, group: str, stratum: str, weight: str, ratios: dict[str, float] = RATIOS, seed: int = 0) -> DataFrame:
     """(stratum, group, weight, split): groups in hash order; where a group's weight begins within its stratum decides.
 
-    A split's share is off by no more than the largest group. Rows are one per group, so a stratum's window holds its groups only.
+    A split's share is off by no more than the largest group.
     """
-    groups = df.where(F.col(group).isNotNull()).groupBy(stratum, group).agg(F.sum(weight).alias(weight))
-    w = W.partitionBy(stratum).orderBy(stable_hash64(F.lit(seed), F.col(group)), group)
-    before = F.coalesce(F.sum(weight).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    share = before / F.sum(weight).over(W.partitionBy(stratum))
+    groups = df.where(F.col(group).isNotNull()).groupBy(stratum, group).agg(F.sum(weight).alias(weight)).withColumn("__h", stable_hash64(F.lit(seed), F.col(group)))
+    run = cumulative(groups, [stratum], "__h", [weight], tie=[group]).withColumn("__share", F.col(f"before_{weight}") / F.col(f"all_{weight}"))
     edge, out, names = 0.0, F.lit(list(ratios)[-1]), list(ratios)
     edges = []
     for n in names[:-1]:
@@ -43,41 +39,33 @@ def split_balanced(df: DataFrame, group: str, stratum: str, weight: str, ratios:
         edges.append((n, edge))
     for n, e in reversed(edges):
         out = F.when(F.col("__share") < e, n).otherwise(out)
-    return groups.withColumn("__share", share).withColumn("split", out).drop("__share")
+    return run.select(stratum, group, weight, out.alias("split"))
 
 
 def split_greedy_deficit(df: DataFrame, group: str, stratum: str, weight: str, ratios: dict[str, float] = RATIOS, seed: int = 0, frozen: DataFrame | None = None) -> DataFrame:
-    """Largest group first (ties by hash) to the split that lacks most of its share, stratum by stratum in parallel.
+    """Largest group first to the split that lacks most of its share, stratum by stratum in parallel. Equal weights and equal lacks go by the smaller hash.
 
     ``frozen`` (group, split) fixes groups that keep their split and count towards the totals. A stratum with more groups than
     GREEDY_GROUPS fails the job; ``split_balanced`` has no such bound.
     """
-    groups = df.where(F.col(group).isNotNull()).groupBy(stratum, group).agg(F.sum(weight).cast("double").alias("__w"))
-    if frozen is None:
-        groups = groups.withColumn("__fixed", F.lit(None).cast("string"))
-    else:
-        groups = groups.join(frozen.select(group, F.col("split").alias("__fixed")), group, "left")
-    names = list(ratios)
-
-    def tie(*parts) -> str:
-        return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:16]
+    groups = df.where(F.col(group).isNotNull()).groupBy(stratum, group).agg(F.sum(weight).cast("double").alias("weight"))
+    known = groups.withColumn("split", F.lit(None).cast("string")) if frozen is None else groups.join(frozen.select(group, "split"), group, "left")
+    hashed = known.withColumn("__h", stable_hash64(F.lit(seed), F.col(group))).withColumn("__hs", F.array(*[stable_hash64(F.lit(seed), F.col(group), F.lit(n)) for n in ratios]))
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) > GREEDY_GROUPS:
             raise ValueError(f"{len(rows)} groups in a stratum; split_balanced takes any number")
-        total, have = rows["__w"].sum(), dict.fromkeys(names, 0.0)
-        for s, x in rows.dropna(subset=["__fixed"]).groupby("__fixed")["__w"].sum().items():
-            have[s] = have.get(s, 0.0) + x
-        out = {i: s for i, s in rows["__fixed"].dropna().items()}
-        free = rows[rows["__fixed"].isna()]
-        for i in sorted(free.index, key=lambda i: (-free.at[i, "__w"], tie(seed, free.at[i, group]))):
-            s = max(names, key=lambda n: (ratios[n] * total - have[n], tie(seed, free.at[i, group], n)))
-            have[s] += free.at[i, "__w"]
-            out[i] = s
-        return pd.DataFrame({stratum: rows[stratum], group: rows[group], "weight": rows["__w"], "split": [out[i] for i in rows.index]})
+        given = rows.groupby("split")["weight"].sum()
+        lacks = {n: share * rows["weight"].sum() - given.get(n, 0.0) for n, share in ratios.items()}
+        for at in rows[rows["split"].isna()].sort_values(["weight", "__h"], ascending=[False, True]).index:
+            most = max(lacks.values())
+            chosen = min((h, n) for n, h in zip(ratios, rows.at[at, "__hs"]) if lacks[n] == most)[1]
+            lacks[chosen] -= rows.at[at, "weight"]
+            rows.at[at, "split"] = chosen
+        return rows[[stratum, group, "weight", "split"]]
 
     kinds = dict(groups.dtypes)
-    return groups.groupBy(stratum).applyInPandas(assign, f"`{stratum}` {kinds[stratum]}, `{group}` {kinds[group]}, weight double, split string")
+    return hashed.groupBy(stratum).applyInPandas(deal, f"`{stratum}` {kinds[stratum]}, `{group}` {kinds[group]}, weight double, split string")
 
 
 def extend_split(new: DataFrame, frozen: DataFrame, group: str, stratum: str, weight: str, ratios: dict[str, float] = RATIOS, seed: int = 0) -> DataFrame:

@@ -66,9 +66,9 @@ def ag9(spark, d):
 _LANGS = ("en", "fr", "de", "es")
 
 
-@query("ag10_coverage_matrix", "SELECT source, count(*) AS clips, count(DISTINCT substr(text, 1, 2)) AS voices, " + ", ".join(f"count_if(lang = '{x}') AS clips_{x}, count(DISTINCT CASE WHEN lang = '{x}' THEN substr(text, 1, 2) END) AS voices_{x}" for x in _LANGS) + " FROM documents GROUP BY 1")
+@query("ag10_coverage_matrix", "SELECT source, count(*) AS clips, count(DISTINCT text) AS voices, " + ", ".join(f"count_if(lang = '{x}') AS clips_{x}, count(DISTINCT CASE WHEN lang = '{x}' THEN text END) AS voices_{x}" for x in _LANGS) + " FROM documents GROUP BY 1")
 def ag10(spark, d):
-    docs = table(spark, d, "documents").select("source", "lang", F.substring("text", 1, 2).alias("voice"))
+    docs = table(spark, d, "documents").select("source", "lang", F.col("text").alias("voice"))
     return A.coverage_matrix(docs, "source", "lang", list(_LANGS), "voice")
 
 

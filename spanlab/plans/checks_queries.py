@@ -9,6 +9,7 @@ from spanlab.operators.splits import split_by_hash
 from spanlab.plans.registry import query
 from spanlab.plans.splits_queries import _M
 from spanlab.plans.views import sql, table, v_clips, v_spans
+from spanlab.sources.shared import fresh_path
 
 _SPLIT = f"CASE WHEN {_M.format(x='doc_id')} < 80 THEN 'train' WHEN {_M.format(x='doc_id')} < 90 THEN 'validation' ELSE 'test' END"
 _LEAK = "s AS (SELECT *, " + _SPLIT + " AS split FROM v_clips)"
@@ -44,6 +45,22 @@ def gd3(spark, d):
     return C.text_novelty(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), "text", "All rights reserved").select("doc_id", "problem")
 
 
+@query("gd4_verify_frozen", "SELECT step, outcome, n FROM (SELECT count(*) AS n FROM orders), (VALUES ('first', 'frozen'), ('again', 'verified'), ('changed', 'refused'), ('moved', 'refused')) v(step, outcome)")
+def gd4(spark, d):
+    """Orders are frozen, dealt anew, changed in one row, and changed by a text that moves to the next column."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    path, first = fresh_path(spark, "frozen"), F.col("o_orderkey") == orders.agg(F.min("o_orderkey")).first()[0]
+    changed = orders.withColumn("o_orderstatus", F.when(first, "X").otherwise(F.col("o_orderstatus")))
+    moved = orders.withColumns({"o_orderstatus": F.when(first, F.concat("o_orderstatus", F.lit("|"), "o_orderpriority")).otherwise(F.col("o_orderstatus")), "o_orderpriority": F.when(first, "").otherwise(F.col("o_orderpriority"))})
+    told = []
+    for step, rows in (("first", orders), ("again", orders.repartition(5, "o_orderpriority")), ("changed", changed), ("moved", moved)):
+        try:
+            told.append((step, C.verify_frozen(rows, ["o_orderkey", "o_orderstatus", "o_orderpriority"], path)))
+        except ValueError:
+            told.append((step, "refused"))
+    return orders.agg(F.count("*").alias("n")).crossJoin(F.broadcast(spark.createDataFrame(told, "step string, outcome string"))).select("step", "outcome", "n")
+
+
 @query("gd5_verify_set", """WITH s AS (SELECT doc_id % 900 AS stream_id, doc_id AS path, sha256(text || CASE WHEN doc_id % 50 = 0 THEN 'x' ELSE '' END) AS h FROM documents), f AS (SELECT doc_id AS path, sha256(text) AS found FROM documents WHERE doc_id % 33 > 0), t AS (SELECT DISTINCT doc_id AS path FROM labels WHERE quality = 0)
     SELECT stream_id, CASE WHEN found IS NULL THEN 'missing_file' ELSE 'hash_differs' END AS problem FROM s LEFT JOIN f USING (path) WHERE found IS NULL OR found <> h UNION ALL SELECT stream_id, 'seen_in_training' FROM s JOIN t USING (path) UNION ALL SELECT stream_id, 'repeated_id' FROM s GROUP BY stream_id HAVING count(*) > 1""")
 def gd5(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanlab.plans.registry import query
 from spanlab.plans.views import table
 from spanlab.sources import tables as S
+from spanlab.sources.shared import fresh_path
 
 
 @query("src1_repeated_keys", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
@@ -25,6 +26,27 @@ def src3(spark, d):
     return S.read_parquet_batches(spark, f"{d}/part.parquet", r"^(part)").select("p_partkey", "split")
 
 
+@query("src4_scan_new_files", "SELECT 'p_size=' || p_size AS category, CASE WHEN p_size % 3 = 0 THEN 'third' END AS label, 1::BIGINT AS files FROM (SELECT DISTINCT p_size FROM part) WHERE p_size % 2 = 1")
+def src4(spark, d):
+    """Files of part, one folder a size: the manifest knows those of even sizes, and a lost file of every third size."""
+    root = fresh_path(spark, "scan")
+    S.write_partitioned(table(spark, d, "part").select("p_partkey", "p_size"), root, ["p_size"])
+    size = F.regexp_extract("category", "([0-9]+)$", 1).cast("int")
+    nothing = spark.createDataFrame([], "filepath string, category string, label string")
+    there = S.scan_new_files(spark, root, nothing, "part-", ["parquet"]).select(F.col("path").alias("filepath"), "category", F.when(size % 3 == 0, "third").otherwise("even").alias("label"))
+    known = there.where(size % 2 == 0).unionByName(there.where(size % 3 == 0).withColumn("filepath", F.lit("gone/part-lost.parquet")))
+    return S.scan_new_files(spark, root, known, "part-", ["parquet"]).groupBy("category", "label").agg(F.count("*").alias("files"))
+
+
+@query("snk1_write_partitioned", "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, count(DISTINCT o_orderstatus) AS folders FROM orders GROUP BY 1")
+def snk1(spark, d):
+    path = fresh_path(spark, "partitioned")
+    S.write_partitioned(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), path, ["o_orderstatus"])
+    folder = F.regexp_extract("_metadata.file_path", "o_orderstatus=([^/]*)/", 1)
+    back = spark.read.parquet(path).select("o_orderstatus", "o_orderkey", folder.alias("folder"))
+    return back.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.count_distinct("folder").alias("folders"))
+
+
 @query("src5_file_fingerprint", "SELECT doc_id AS path, sha256(text) AS sha256, doc_id % 9 > 0 AS unchanged FROM documents")
 def src5(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))

@@ -64,6 +64,14 @@ def me7(spark, d):
     return g.select("*", M.poisson_rate_ci(F.col("k"), F.lit(720.0)).alias("ci")).select("user_id", "k", "ci.low", "ci.high")
 
 
+@query("udf2_exact_ci")
+def udf2(spark, d):
+    """Both exact intervals of each group's errors: as a share of its rows, and as a rate over its rows as hours."""
+    g = v_pred(spark, d).groupBy("grp", "truth").agg(F.count_if(F.col("truth") != F.col("pred")).alias("k"), F.count("*").alias("n"))
+    both = g.select("*", M.proportion_ci(F.col("k"), F.col("n")).alias("share"), M.poisson_rate_ci(F.col("k"), F.col("n")).alias("rate"))
+    return both.select("grp", "truth", "k", "n", F.col("share.low").alias("share_low"), F.col("share.high").alias("share_high"), F.col("rate.low").alias("rate_low"), F.col("rate.high").alias("rate_high"))
+
+
 _Z = "1.959963984540054::DOUBLE"
 
 
