@@ -104,14 +104,14 @@ def _knapsack(room: list[tuple[int, int, int]], most: int) -> list[tuple[int, in
     return out
 
 
-def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every row of (doc_id, text, source). Equal rows stay rows of their own."""
+def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE, most: float = MOST, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target and taken for every row of (doc_id, text, source), and the columns ``also``. Equal rows stay rows of their own."""
     size = F.size(word_array(text_of())).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"))
+    sized = docs.select("doc_id", *also, "source", size.alias("size"))
     # Counts by exact length: the histogram that all the rest is planned on.
-    salt = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), *also), F.lit(SALTS)).cast("int")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sized = sized.select("doc_id", "source", key.alias("key"), "size", salt.alias("salt"))
+    sized = sized.select("doc_id", *also, "source", key.alias("key"), "size", salt.alias("salt"))
     salted = sized.groupBy("source", "key", "size", "salt").agg(F.count("*").alias("n"))
     counted = salted.groupBy("source", "key", "size").agg(F.sum("n").alias("n"))
     sources = counted.groupBy("source", "key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -131,9 +131,9 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, share: float = SHARE
     upto = F.coalesce(F.sum("n").over(W.partitionBy("key", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     quota = salted.select("key", "size", "salt", "n", upto.alias("upto")).join(plan, ["key", "size"])
     quota = quota.select("key", "size", "salt", "source_size", "target", "passes", F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - F.col("upto"))).alias("quota"))
-    ranked = sized.select("doc_id", "key", "size", "salt", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id")).alias("rank"))
+    ranked = sized.select("doc_id", *also, "key", "size", "salt", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), *also), "doc_id", *also)).alias("rank"))
     chosen = F.col("passes") + F.when(F.col("rank") <= F.col("quota"), 1).otherwise(0)
-    return ranked.join(quota, ["key", "size", "salt"]).select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * chosen).otherwise(0).cast("long").alias("taken"))
+    return ranked.join(quota, ["key", "size", "salt"]).select("doc_id", *also, "size", "source_size", "target", F.when(F.col("size") > 0, F.col("size") * chosen).otherwise(0).cast("long").alias("taken"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -422,6 +422,31 @@ def test_cotraining_awkward_rows(spark):
     assert cotraining.score_documents(docs.limit(0), model).count() == 0
 
 
+def check_mixture(before, after):
+    """Whole rows, each up to twice, and every source near its target by brute force: within its longest document."""
+    count = lambda r: len(re.findall(SPACES, r["text"] or ""))
+    sizes, taken, longest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in before:
+        sizes[r["source"]] += count(r)
+        longest[r["source"]] = max(longest[r["source"]], count(r))
+    for r in after:
+        taken[r["source"]] += count(r)
+    held, stand = Counter(map(tuple, before)), Counter(map(tuple, after))
+    assert all(n <= 2 * held[r] for r, n in stand.items())
+    for s, target in brute_targets(sizes).items():
+        assert 0 <= target - taken[s] + 0.5 and target - taken[s] <= longest[s]
+
+
+def test_mixture_of_awkward_rows(spark):
+    """Rows without an id, several texts under one id and equal rows each have a place of their own."""
+    rows = [row(None, words(20 + i, i), source="a") for i in range(6)] + [row(7, words(30 + i, 40 + i), source="b") for i in range(6)] + [row(8, words(25, 90), source="c")] * 4 + [row(9, None), row(10, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, taken boolean, c long, d string, e string")
+    after = corpus_pipeline.mixture(spark, docs, "").collect()
+    check_mixture(docs.collect(), after)
+    assert Counter(map(tuple, after)) == Counter(map(tuple, corpus_pipeline.mixture(spark, docs.repartition(7), "").collect()))
+    assert {r["source"] for r in after} == {"a", "b", "c"} and corpus_pipeline.mixture(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     """Stage by stage against brute force on a small corpus."""
     plain = "It was the first of many days on which the river rose and nobody in the town had thought of what to do about it until then. "
@@ -444,5 +469,6 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(str, ids("near_dedup"))) == sorted(map(str, [None, *[i for i, (_, c) in want.items() if i == c]]))
     times = Counter(ids("mixing"))
     assert set(times.values()) <= {1, 2} and set(times) <= set(ids("near_dedup"))
+    check_mixture(seen["near_dedup"], seen["mixing"])
     assert Counter(ids("bpe")) == times
-    assert sorted(map(tuple, corpus_pipeline.run(spark, d).collect())) == sorted(map(tuple, seen["bpe"]))
+    assert Counter(map(tuple, corpus_pipeline.run(spark, d).collect())) == Counter(map(tuple, seen["bpe"]))
