@@ -34,12 +34,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stands as often as the mix takes it: not at all, once or twice.
+    """Every row stands as often as the mix takes it: not at all, once or twice. Texts without words aren't taken.
 
-    Texts without words and rows with a null doc_id aren't taken; equal rows stand as often as the one that is taken most.
+    A row is known by two hashes of all its columns, so one without a doc_id, or with that of another, has a place of its own; equal rows stand as often as they are
+    taken together.
     """
-    taken = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    return docs.join(taken, "doc_id").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    row = ["__row", "__proof"]
+    marked = docs.withColumns({"__row": F.xxhash64(*docs.columns), "__proof": F.hash(*docs.columns)})
+    taken = mix(marked, also=tuple(row)).where("taken > 0").groupBy(*row).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    return marked.dropDuplicates(row).join(taken, row).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

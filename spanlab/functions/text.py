@@ -107,9 +107,9 @@ def explode_composite(df: DataFrame, col: str, sep: str = "|") -> DataFrame:
 
 
 def nearest_reference(texts: DataFrame, refs: DataFrame, text: str = "text", ref: str = "ref", worst: float = 0.25) -> DataFrame:
-    """The closest reference wording of each distinct text by edit ratio, under the numbers guard, and why or why not.
+    """The closest reference wording of each text by edit ratio, under the numbers guard, and why or why not.
 
-    ``refs`` is a list of wordings of fixed size, sent to every task as one array column.
+    ``refs`` is a list of wordings of fixed size, sent to every task as one array column. Rows don't move: equal texts are compared anew each.
     """
     listed = [r[0] for r in refs.select(ref).distinct().orderBy(ref).limit(1001).collect()]
     if len(listed) > 1000:
