@@ -17,7 +17,7 @@ def borders(df: DataFrame, order: str) -> list:
 
 
 def place(value: Column, cuts: list) -> Column:
-    """How many of the ascending ``cuts`` lie at or below a value, by a tree of comparisons. Null and NaN are beyond them all."""
+    """How many of the ascending ``cuts`` lie at or below a value, by a tree of comparisons. NaN is beyond them all."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -32,9 +32,9 @@ def cumulative(df: DataFrame, keys: list[str], order: str, sums: list[str], desc
     """``before_<c>``: totals of the key's rows ahead in ``order`` (then ``tie``), and ``all_<c>``: those of all its rows.
 
     Rows are dealt to ranges of ``order`` with borders fixed beforehand, summed per range, and only then summed in a window inside each range. Rows that are equal in
-    ``order`` share a range.
+    ``order`` share a range. Nulls come first, or last where it is descending.
     """
-    part = place(F.col(order), borders(df, order))
+    part = F.when(F.col(order).isNull(), F.lit(-1)).otherwise(place(F.col(order), borders(df, order)))
     cut = df.withColumn("__part", -part if descending else part)
     total = cut.groupBy(*keys, "__part").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
     wp = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)

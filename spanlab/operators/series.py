@@ -25,10 +25,8 @@ def head_per_group(df: DataFrame, keys: list[str], order: list, n: int = 1) -> D
 
 def rank_avg(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Ranks from 1 with ties at their mean, from counts of distinct values."""
-    counts = df.groupBy(*keys, col).agg(F.count("*").alias("__c"))
-    below = F.sum("__c").over(W.partitionBy(*keys).orderBy(col)) - F.col("__c")
-    ranks = counts.select(*keys, col, (below + (F.col("__c") + 1) / 2).alias("rank"))
-    return df.join(ranks, [*keys, col])
+    run = cumulative(df.groupBy(*keys, col).agg(F.count("*").alias("__c")), keys, col, ["__c"])
+    return df.join(run.select(*keys, col, (F.col("before___c") + (F.col("__c") + 1) / 2).alias("rank")), [*keys, col])
 
 
 def running_precision(df: DataFrame, keys: list[str], score: str, tie: list[str], positive: Column) -> DataFrame:
@@ -84,8 +82,9 @@ def running_balance(df: DataFrame, stratum: str, order: list, weight: str) -> Da
 
 
 def number_within(df: DataFrame, key: str, order: list[str], digits: int = 5) -> DataFrame:
-    n = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return df.withColumn("name", F.concat_ws("_", F.col(key), F.lpad(n.cast("string"), digits, "0")))
+    """``name``: the key and the row's number in its key, from 1."""
+    run = cumulative(df.withColumn("__one", F.lit(1)), [key], order[0], ["__one"], tie=order[1:])
+    return run.select(*df.columns, F.concat_ws("_", F.col(key), F.lpad((F.col("before___one") + 1).cast("string"), digits, "0")).alias("name"))
 
 
 def top_fraction(df: DataFrame, keys: list[str], score: str, fraction_ppm: int, cap: int, tie: list[str]) -> DataFrame:
