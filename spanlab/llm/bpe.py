@@ -5,7 +5,8 @@ neighbours must be a compatible pair: merging their bytes would leave both stand
 the next shorter token at that place, or steps back and marks the place as dead. This gives the ids of the merge
 procedure, in time linear in the piece. Decoding reads token bytes through an offset table.
 
-A null text is empty: no ids and an empty decoded text. A special token written in a text is encoded as that token, as the
+A null text is empty: no ids and an empty decoded text. Long texts are encoded whole, equal rows give equal results, an empty table none, and other columns
+are not read. A special token written in a text is encoded as that token, as the
 tokenizers library does unless told otherwise.
 """
 

@@ -1,6 +1,6 @@
 """Quality rules: a threshold table compiled into one native projection.
 
-Null and empty texts have no words, so they fail the base rule. Ratios are compared as
+Null and empty texts have no words, so they fail the base rule; long ones are read whole; equal rows get equal results and an empty table none. Ratios are compared as
 integers (100 * part against bound * whole), so every engine decides ties alike.
 """
 
