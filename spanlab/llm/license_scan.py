@@ -106,14 +106,14 @@ TAG = "spdx license identifier"
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
-_LOWER = re.compile(r"[A-Z]+")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _EXPRESSION = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)")
 _ITEM = re.compile(r"[()]|[a-z0-9][a-z0-9.+\-:]*")
 
 
 def lower_ascii(text: str) -> str:
-    return _LOWER.sub(lambda m: m[0].lower(), text)
+    """Lower case for A-Z alone, which bytes have."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def words_of(text: str | None) -> list[str]:

@@ -1,18 +1,25 @@
-"""Exact top-k search by BM25: an inverted index per shard with block-max pruning, merged by global statistics.
+"""Exact top-k search by BM25: an inverted index per shard with block-max WAND pruning, merged by global statistics.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased; a query's word counts as often as
-the query has it. Documents are dealt to shards by hashed id. A shard keeps, for each term, its postings in document order
-with their impacts and the largest impact in each block of documents. A query's terms, best first, are read in full
-until the bound of the others falls under the k-th score so far (the WAND pivot); those others are then
-looked up only in documents whose own score plus the block maxima of the rest can reach the k-th score. Scores
-are rounded to six decimals; ties go to the smaller doc_id. Inverse document frequencies and the mean length are global,
+the query has it. Documents are dealt to shards by hashed id, one shard a task, as many as their postings ask for. A shard keeps, for each term, its
+postings in document order with their impacts, and for each block of BLOCK documents that a term stands in its largest impact there.
+
+A query visits blocks in the order of their bounds (the sum of its terms' block maxima) until that falls under the k-th score so far, in growing groups, so that numpy
+does the work. In a block, terms stand in an order (short lists first, then frequent terms by bound), and a document goes on behind a term only where its score so far and
+the block maxima of the terms left reach the k-th score: where they don't, those terms are the ones behind its pivot. A frequent term has its
+postings as one cell for each document.
+
+Scores are rounded to six decimals; ties go to the smaller doc_id. Inverse document frequencies and the mean length are global,
 so merging the shards' k best gives the k best of all.
 
-A null or empty text matches nothing and, as a query, finds nothing. Equal rows are documents of their own.
+A null or empty text matches nothing and, as a query, finds nothing. Rows with a null doc_id are no documents: they count nowhere. Equal rows are documents
+of their own, and one query; texts that share an id are queries of their own under that id. Other columns are not read; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,30 +33,58 @@ from spanlab.llm.license_scan import words_of
 
 K1, B = 1.2, 0.75
 TOP = 10
-#: Documents of a shard, and the least number of shards.
-SHARD, SHARDS = 16_000, 12
-#: Documents of a block.
-BLOCK = 64
-#: Terms of this share of a shard's documents or more keep an impact for every document.
+#: Postings of a shard, and the least number of shards.
+SHARD, SHARDS = 4_000_000, 12
+#: Terms of this share of a shard's documents or more have a cell for every document.
 DENSE = 1 / 16
+#: Documents of a block, and blocks that are scored first; eight times as many come with each step.
+BLOCK, FIRST = 64, 4
+#: Places among a query's frequent terms where documents are given up, and the share of documents from which on the others are scored one by one.
+CHECKS, FEW = 6, 0.1
+#: Scores this far under the k-th one still count as equal to it, as scores are rounded.
+SLACK = 2e-6
 EVERY = 100
+#: Words whose hashes a worker keeps at once.
+KEPT = 100_000
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= KEPT:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        return found
+
+
+_hashes = _Hashes()
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes of a text's terms, ascending, their counts, and the number of words."""
-    import xxhash
-
     words = words_of(text)
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    terms = np.fromiter((xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in counts), np.int64, len(counts))
-    found = np.fromiter(counts.values(), np.int32, len(counts))
+    counts = Counter(words)
+    terms = np.array([_hashes[w] for w in counts], np.int64)
     order = np.argsort(terms)
-    return terms[order], found[order], len(words)
+    return terms[order], np.array(list(counts.values()), np.int32)[order], len(words)
 
 
-def _frequencies(docs: DataFrame) -> DataFrame:
+def _vectors(docs: DataFrame) -> DataFrame:
+    """id, words, terms and counts (as bytes) of every document."""
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc_id, text in zip(b["doc_id"], b["text"]):
+                terms, counts, n = term_counts(text)
+                rows.append((doc_id, n, terms.tobytes(), counts.astype(np.uint16).tobytes() if n < 65536 else counts.tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "words", "terms", "weights"])
+
+    return docs.mapInPandas(vectors, "id long, words long, terms binary, weights binary")
+
+
+def _frequencies(vectors: DataFrame) -> DataFrame:
     """(term, df): documents of each term, summed inside a task before anything is shuffled."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,8 +97,8 @@ def _frequencies(docs: DataFrame) -> DataFrame:
             return pd.DataFrame({"term": terms, "df": n})
 
         for b in batches:
-            for t in b["text"]:
-                held.append(term_counts(t)[0])
+            for blob in b["terms"]:
+                held.append(np.frombuffer(blob, np.int64))
                 size += len(held[-1])
                 if size > 4_000_000:
                     yield out()
@@ -71,47 +106,41 @@ def _frequencies(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("text").mapInPandas(counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-
-
-def _vectors(docs: DataFrame, shards: int) -> DataFrame:
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                terms, counts, n = term_counts(text)
-                rows.append((doc_id, n, terms.tobytes(), np.minimum(counts, 65535).astype(np.uint16).tobytes() if len(counts) == 0 or counts.max() < 65536 else counts.tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "words", "terms", "weights"])
-
-    found = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(vectors, "id long, words long, terms binary, weights binary")
-    return found.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(0).alias("copy"), "id", "words", "terms", "weights")
+    return vectors.select("terms").mapInPandas(counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def _queries(queries: DataFrame, df: DataFrame, n_docs: int, shards: int) -> DataFrame:
-    """Query vectors, terms by idf times count, largest first, one copy for each shard."""
+    """Query vectors with the weight (idf times count) of each term, one copy for each shard."""
 
     def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for query_id, text in zip(b["doc_id"], b["text"]):
+            for query_id, said, text in zip(b["doc_id"], b["said"], b["text"]):
                 terms, counts, _ = term_counts(text)
-                yield pd.DataFrame({"query_id": query_id, "term": terms, "n": counts.astype("int64")})
+                yield pd.DataFrame({"query_id": query_id, "said": said, "term": terms, "n": counts.astype("int64")})
 
-    terms = queries.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(exploded, "query_id long, term long, n long")
+    terms = queries.withColumn("said", F.xxhash64("text")).mapInPandas(exploded, "query_id long, said long, term long, n long")
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = terms.join(df, "term").select("query_id", F.struct((F.col("n") * idf).alias("w"), "term").alias("t"))
-    grouped = weighed.groupBy("query_id").agg(F.sort_array(F.collect_set("t"), asc=False).alias("ts"))
+    weighed = terms.join(df, "term").select("query_id", "said", F.struct((F.col("n") * idf).alias("w"), "term").alias("t"))
+    grouped = weighed.groupBy("query_id", "said").agg(F.sort_array(F.collect_set("t"), asc=False).alias("ts"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({
                 "id": b["query_id"],
+                "words": b["said"],
                 "terms": [np.array(list(x), np.int64).tobytes() for x in b["terms"]],
                 "weights": [np.array(list(x), np.float64).tobytes() for x in b["weights"]],
             })
 
-    flat = grouped.select("query_id", F.col("ts.term").alias("terms"), F.col("ts.w").alias("weights"))
-    blobs = flat.mapInPandas(packed, "id long, terms binary, weights binary")
-    return blobs.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("copy"), "id", F.lit(0).cast("long").alias("words"), "terms", "weights")
+    flat = grouped.select("query_id", "said", F.col("ts.term").alias("terms"), F.col("ts.w").alias("weights"))
+    blobs = flat.mapInPandas(packed, "id long, words long, terms binary, weights binary")
+    return blobs.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "words", "terms", "weights")
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of the ranges, one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
 
 
 class Shard:
@@ -129,39 +158,55 @@ class Shard:
         self.counts.append(np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(found) else np.int32).astype(np.float32))
 
     def close(self) -> None:
+        """Build the index. Each array goes as soon as the next is made, since this is where a shard is largest."""
         order = np.argsort(np.array(self.ids, np.int64), kind="stable")
         self.n = len(order)
         self.doc_ids = np.array(self.ids, np.int64)[order]
         norm = K1 * (1 - B + B * np.array(self.words, np.float64)[order] / max(self.mean, 1e-9))
-        sizes = np.array([len(self.terms[i]) for i in order], np.int64) if self.n else np.zeros(0, np.int64)
-        docs = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        counts = np.array([len(self.terms[i]) for i in order], np.int64)
         terms = np.concatenate([self.terms[i] for i in order]) if self.n else np.zeros(0, np.int64)
-        tf = np.concatenate([self.counts[i] for i in order]) if self.n else np.zeros(0, np.uint16)
-        del self.terms, self.counts, self.ids, self.words
-        by_term = np.argsort(terms, kind="stable")
+        del self.terms
+        tf = np.concatenate([self.counts[i] for i in order]) if self.n else np.zeros(0, np.float32)
+        del self.counts, self.ids, self.words
+        by_term = np.argsort(terms, kind="stable").astype(np.int32)
         terms = terms[by_term]
-        self.docs = docs[by_term]
-        tf = tf[by_term].astype(np.float64)
-        del docs, by_term
+        fresh = np.append(True, terms[1:] != terms[:-1]) if len(terms) else np.zeros(0, bool)
+        self.known = terms[fresh]
+        del terms
+        sizes = np.diff(np.append(np.flatnonzero(fresh), len(fresh)))
+        del fresh
+        self.docs = np.repeat(np.arange(self.n, dtype=np.int32), counts)[by_term]
+        tf = tf[by_term]
+        del by_term
         self.impacts = norm[self.docs]
         self.impacts += tf
         np.divide(tf, self.impacts, out=self.impacts)
         self.impacts *= K1 + 1
         del tf
-        self.starts = np.flatnonzero(np.append(len(terms) > 0, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
-        self.known = terms[self.starts]
-        self.ends = np.append(self.starts[1:], len(terms))
-        self.most = np.maximum.reduceat(self.impacts, self.starts) if len(terms) else np.zeros(0)
-        self.blocks = self.n // BLOCK + 1
-        self.dense: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _dense(self, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """A frequent term's impact on every document, and its largest in every block."""
-        if t not in self.dense:
-            full = np.zeros(self.blocks * BLOCK)
-            full[self.docs[self.starts[t] : self.ends[t]]] = self.impacts[self.starts[t] : self.ends[t]]
-            self.dense[t] = full, full.reshape(self.blocks, BLOCK).max(axis=1)
-        return self.dense[t]
+        self.blocks = -(-self.n // BLOCK)
+        # Frequent terms have a cell for every document, the others postings.
+        often = sizes >= max(DENSE * self.n, BLOCK)
+        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        self.cells = np.zeros((np.count_nonzero(often), self.blocks * BLOCK))
+        dense = np.repeat(often, sizes)
+        self.cells[np.repeat(self.row[often], sizes[often]), self.docs[dense]] = self.impacts[dense]
+        self.cells = self.cells.reshape(len(self.cells), self.blocks, BLOCK)
+        self.cells_most = self.cells.max(axis=2)
+        self.docs = self.docs[~dense]
+        self.impacts = self.impacts[~dense]
+        del dense
+        code = np.repeat(np.flatnonzero(~often).astype(np.int32), sizes[~often])
+        # One entry for each block of each other term: its block, first posting and largest impact.
+        block = self.docs // BLOCK
+        starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1]))) if len(code) else np.zeros(0, np.int64)
+        self.entry_block = block[starts]
+        self.entry_start = np.append(starts, len(code)).astype(np.int32)
+        # Bounds may be coarse but not too low, so they are rounded up.
+        self.entry_most = np.nextafter(np.maximum.reduceat(self.impacts, starts).astype(np.float32), np.float32(np.inf)) if len(starts) else np.zeros(0, np.float32)
+        self.first_entry = np.searchsorted(code[starts], np.arange(len(self.known) + 1))
+        self.most = np.zeros(len(self.known))
+        np.maximum.at(self.most, code[starts], self.entry_most.astype(float))
+        self.most[often] = self.cells_most.max(axis=1) if len(self.cells) else 0.0
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, float]]:
         if not len(terms) or not len(self.known):
@@ -171,73 +216,90 @@ class Shard:
         at, weights = at[here], weights[here]
         if not len(at):
             return []
-        bounds = weights * self.most[at]
-        long = self.ends[at] - self.starts[at] >= DENSE * self.n
-        # Lists that aren't frequent are read in full; so are frequent ones until the rest can't make a new hit alone.
-        score = np.zeros(self.n)
-        for t, w in zip(at[~long], weights[~long]):
-            s = slice(self.starts[t], self.ends[t])
-            score[self.docs[s]] += w * self.impacts[s]
-        order = np.argsort(-bounds[long], kind="stable")
-        often, often_w, often_b = at[long][order], weights[long][order], bounds[long][order]
-        rest = np.append(np.cumsum(often_b[::-1])[::-1], 0.0)
-        need = min(k, self.n)
-        p = 0
+        order = np.argsort(-weights * self.most[at], kind="stable")
+        at, weights = at[order], weights[order]
+        often, rare = np.flatnonzero(self.row[at] >= 0), np.flatnonzero(self.row[at] < 0)
+        rows, often_weights = self.row[at[often]], weights[often]
+        often_bound = self.cells_most[rows] * often_weights[:, None]
+        counts = self.first_entry[at[rare] + 1] - self.first_entry[at[rare]]
+        entry, weight = _spread(self.first_entry[at[rare]], counts), np.repeat(weights[rare], counts)
+        block = self.entry_block[entry]
+        whole = np.bincount(block, self.entry_most[entry] * weight, minlength=self.blocks) + often_bound.sum(axis=0)
+        ranked = np.argsort(-whole, kind="stable")[: np.count_nonzero(whole)]
+        docs, scores, least = np.zeros(0, np.int64), np.zeros(0), -np.inf
+        done, step = 0, FIRST
+        while done < len(ranked) and whole[ranked[done]] >= least - SLACK:
+            taken = ranked[done : done + step]
+            taken = np.sort(taken[whole[taken] >= least - SLACK])
+            done, step = done + step, 8 * step
+            slot = np.full(self.blocks, -1)
+            slot[taken] = np.arange(len(taken))
+            here = slot[block] >= 0
+            more_docs, more_scores, least = self._score(rows, often_weights, often_bound[:, taken], taken, entry[here], weight[here], slot[block[here]], scores, least, k)
+            docs, scores = np.append(docs, more_docs), np.append(scores, more_scores)
+            good = scores >= least - SLACK
+            docs, scores = docs[good], scores[good]
+        told = np.round(scores, 6)
+        best = np.lexsort((self.doc_ids[docs], -told))[:k]
+        return [(int(self.doc_ids[docs[i]]), float(told[i])) for i in best]
+
+    def _score(self, rows, weights, bound, taken, entry, entry_weight, slot, scores, least, k) -> tuple[np.ndarray, np.ndarray, float]:
+        """Documents of the blocks ``taken`` that can still be hits, their scores, and the k-th score known now.
+
+        Short lists of a block are read whole, frequent terms in the order of their bounds. In between, a document goes on only where its score and the block maxima of
+        the terms left reach the k-th score; what is scored so far may raise that, as it is a lower bound.
+        """
+        counts = self.entry_start[entry + 1] - self.entry_start[entry]
+        posting = _spread(self.entry_start[entry], counts)
+        cell = np.repeat(slot * BLOCK, counts) + self.docs[posting] % BLOCK
+        part = np.bincount(cell, self.impacts[posting] * np.repeat(entry_weight, counts), minlength=len(taken) * BLOCK).astype(float).reshape(-1, BLOCK)
+        rest = np.append(bound, np.zeros((1, len(taken))), axis=0)[::-1].cumsum(axis=0)[::-1]
+        stride, i = max(1, -(-len(rows) // CHECKS)), 0
         while True:
-            least = np.partition(score, self.n - need)[self.n - need]
-            if rest[p] < least or p == len(often):
+            known = np.append(scores, part)
+            if len(known) >= k:
+                least = max(least, np.partition(known, len(known) - k)[len(known) - k])
+            alive = part + rest[i][:, None] >= least - SLACK
+            if i == len(rows) or np.count_nonzero(alive) < FEW * alive.size:
                 break
-            step = min(len(often), p + max(1, (len(often) - p) // 4))
-            for t, w in zip(often[p:step], often_w[p:step]):
-                score += w * self._dense(t)[0][: self.n]
-            p = step
-        slack = 1e-6
-        found = np.flatnonzero(score + rest[p] >= least - slack)
-        if p < len(often):
-            # Block maxima: what the terms left over can add in each block at most.
-            hit = np.unique(found // BLOCK)
-            add = np.zeros(len(hit))
-            for t, w in zip(often[p:], often_w[p:]):
-                add += w * self._dense(t)[1][hit]
-            found = found[score[found] + add[np.searchsorted(hit, found // BLOCK)] >= least - slack]
-            for t, w in zip(often[p:], often_w[p:]):
-                score[found] += w * self._dense(t)[0][found]
-        found = found[score[found] > 0]
-        told = np.round(score[found], 6)
-        best = np.lexsort((self.doc_ids[found], -told))[:k]
-        return [(int(self.doc_ids[found[i]]), float(told[i])) for i in best]
+            on = alive.any(axis=1)
+            if not on.all():
+                part, taken, rest = part[on], taken[on], rest[:, on]
+            for row, weight in zip(rows[i : i + stride], weights[i : i + stride]):
+                part += self.cells[row, taken] * weight
+            i = min(i + stride, len(rows))
+        slot, place = np.nonzero(alive)
+        found = part[slot, place] + weights[i:] @ self.cells[rows[i:, None], taken[slot], place]
+        hit = found > 0
+        least = max(least, np.partition(known, len(known) - k)[len(known) - k]) if len(known := np.append(scores, found)) >= k else least
+        return (taken[slot] * BLOCK + place)[hit], found[hit], least
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_size: int = SHARD) -> DataFrame:
     """query_id, rank, doc_id and score: the k best rows of ``docs`` (doc_id, text) for each row of ``queries``."""
-    one = docs.select(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
-    n_docs = one["n"]
-    shards = max(SHARDS, -(-n_docs // shard_size))
-    df = _frequencies(docs)
-    vectors = saved(_vectors(docs, shards), "vectors")
-    mean = float(vectors.agg(F.avg("words")).first()[0] or 0.0)
-    rows = vectors.unionByName(_queries(queries, df, n_docs, shards))
+    named = lambda x: x.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    vectors = saved(_vectors(named(docs)), "vectors")
+    one = vectors.agg(F.count("*").alias("n"), F.avg("words").alias("mean"), F.sum(F.length("terms") / 8).alias("postings")).first()
+    shards, mean = max(SHARDS, math.ceil((one["postings"] or 0) / shard_size)), float(one["mean"] or 0.0)
+    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "*")
+    rows = dealt.unionByName(_queries(named(queries), _frequencies(vectors), one["n"], shards))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, number, closed = None, None, False
+        shard, closed = Shard(mean), False
         for b in batches:
             found = []
             for r in b.itertuples(index=False):
-                if r.shard != number:
-                    shard, number, closed = Shard(mean), r.shard, False
                 if r.kind == 0:
                     shard.add(r.id, r.words, r.terms, r.weights)
                     continue
                 if not closed:
                     shard.close()
                     closed = True
-                hits = shard.search(np.frombuffer(r.terms, np.int64), np.frombuffer(r.weights, np.float64), k)
-                found += [(r.id, d, s) for d, s in hits]
-            yield pd.DataFrame(found, columns=["query_id", "doc_id", "score"])
+                found += [(r.id, r.words, d, s) for d, s in shard.search(np.frombuffer(r.terms, np.int64), np.frombuffer(r.weights, np.float64), k)]
+            yield pd.DataFrame(found, columns=["query_id", "said", "doc_id", "score"])
 
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
-    hits = dealt.mapInPandas(run, "query_id long, doc_id long, score double")
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    hits = rows.repartitionById(shards, "shard").sortWithinPartitions("kind", "id").mapInPandas(run, "query_id long, said long, doc_id long, score double")
+    best = W.partitionBy("query_id", "said").orderBy(F.col("score").desc(), "doc_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
