@@ -33,6 +33,8 @@ from spanlab.llm.minhash_dedup import _alike, _apart, _confirmed, _finish, _full
 PERCENT = 80
 #: Longest list that is merged into pairs.
 MERGED = 32
+#: Members that a piece of a longer list holds, about.
+PIECE = 1000
 #: Bits of a block, as a power of two.
 BLOCK_BITS = 16
 _BLOCK, _FOLD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -117,6 +119,18 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * hamming("sa", "sb") <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _long_lists(skipped: DataFrame) -> DataFrame:
+    """(key, nodes, best): lists in pieces of about PIECE members, each with its member that stands in most long lists, by their lengths.
+
+    A member carries its keys, no more than its text has, so neither a list nor its members are joined row by row.
+    """
+    standing = skipped.groupBy("node", "n").agg(F.sum("c").alias("standing"), F.collect_list(F.struct("key", "c")).alias("keys"))
+    rows = standing.select("node", "n", "standing", F.explode("keys").alias("k"))
+    piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("k.c") / PIECE)).alias("piece")
+    best = F.max(F.struct("standing", (-F.col("node")).alias("order"), "n")).alias("best")
+    return saved(rows.groupBy(F.col("k.key").alias("key"), piece).agg(F.collect_list(F.struct("node", "n")).alias("nodes"), best).drop("piece"), "lists")
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of (doc_id, text); documents link from ``percent`` on."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -134,10 +148,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     short = posted.where(F.col("c") <= MERGED)
     a, b = (short.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     met = a.join(b, "key").where((F.col("a") < F.col("b")) & _alike("na", "nb", percent)).select("a", "b")
-    skipped = posted.where(F.col("c") > MERGED).select("key", "node", "n", "c")
-    standing = skipped.groupBy("node").agg(F.sum("c").alias("standing"))
-    hubs = skipped.join(standing, "node").groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("standing", -F.col("node"))).alias("hub"))
-    members = saved(salted_join(skipped.drop("c"), hubs, ["key"], hot, ["node"]).select("hub.node", "hub.n", F.col("node").alias("m"), F.col("n").alias("mn")).toDF("hub", "hub_n", "node", "n").distinct(), "members")
+    lists = _long_lists(posted.where(F.col("c") > MERGED))
+    hubs = lists.groupBy("key").agg(F.max("best").alias("best"))
+    listed = lists.drop("best").join(hubs, "key").select(F.col("best.n").alias("hub_n"), (-F.col("best.order")).alias("hub"), F.explode("nodes").alias("m"))
+    members = saved(listed.select("hub", "hub_n", "m.node", "m.n").distinct(), "members")
     stars = members.where(F.col("hub") != F.col("node")).where(_alike("n", "hub_n", percent)).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     pairs = saved(_near(met.unionByName(stars).distinct(), classes, percent), "pairs")
     discard(counted)
@@ -155,7 +169,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labelled = classes.select("same", "doc_id", "copies", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     roots = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     told = saved(labelled.join(roots, "label").select("same", "copies", "component_id"), "told")
-    for old in (members, pairs, sets, links, more, labels, classes):
+    for old in (lists, members, pairs, sets, links, more, labels, classes):
         discard(old)
     often = hot_keys(told, ["same"], "copies", size["rows"])
     joined = salted_join(filled.select("doc_id", "n", "same"), told.drop("copies"), ["same"], often, ["doc_id"]).select("doc_id", "n", "component_id")
