@@ -16,8 +16,8 @@ from spanlab.functions.text import edit_ratio, norm_token
 class SpanConfig:
     """The phrase looked for and the bounds of its quality gates."""
 
-    first: str = "hey"
-    second: str = "delta"
+    first: str
+    second: str
     fuzzy_pair: float = 0.34
     fuzzy_word: float = 0.34
     flag_unmatched: bool = True
@@ -31,7 +31,7 @@ class SpanConfig:
 WORD = "struct<word:string,start:double,end:double,probability:double>"
 
 
-def detect_spans(chunks: DataFrame, keys: list[str], cfg: SpanConfig = SpanConfig(), positive: str | None = None, bounds: tuple[str, str] | None = None) -> DataFrame:
+def detect_spans(chunks: DataFrame, keys: list[str], cfg: SpanConfig, positive: str | None = None, bounds: tuple[str, str] | None = None) -> DataFrame:
     """Spans of the phrase in word arrays (keys, words): match_type, why, first and last word positions, and times.
 
     Words that normalise to nothing are left out first. Then a left-to-right scan: the exact pair is complete and uses two words; a pair that lies within
@@ -86,7 +86,7 @@ def detect_spans(chunks: DataFrame, keys: list[str], cfg: SpanConfig = SpanConfi
     )
 
 
-def quality_gates(spans: DataFrame, cfg: SpanConfig = SpanConfig(), positive: str = "positive") -> DataFrame:
+def quality_gates(spans: DataFrame, cfg: SpanConfig, positive: str = "positive") -> DataFrame:
     """``reasons``: everything that speaks against a span."""
     d = F.col("end_sec") - F.col("start_sec")
     return spans.withColumn("reasons", F.array_compact(F.array(

@@ -32,17 +32,24 @@ def _staged(spark, df, parts: int, part):
 _MARK = "(SELECT (max(epoch_us(ts)) // 1000 - 10000) * 1000 FROM events)"
 
 
-@query("stm1_sliding_windows", f"WITH e AS (SELECT user_id, value, epoch_us(ts) AS t FROM events), x AS (SELECT user_id, value, unnest([t // 600000000 * 600000000, t // 600000000 * 600000000 - 600000000, t // 600000000 * 600000000 - 1200000000]) AS s FROM e) SELECT user_id, s AS start_us, count(*) AS n, max(value) AS max_value FROM x WHERE s + 1800000000 <= {_MARK} GROUP BY 1, 2")
+def _windows(upto: str) -> str:
+    """Windows of 30 minutes every 10 from each stream's first event on, of which one is complete at ``upto``."""
+    return f"""WITH e AS (SELECT user_id, value, epoch_us(ts) AS t, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS origin FROM events),
+    x AS (SELECT *, unnest(range(greatest(0, (t - origin) // 600000000 - 2), (t - origin) // 600000000 + 1)) AS w FROM e)
+    SELECT user_id, origin + w * 600000000 AS start_us, count(*) AS n, sum(value) / count(*) AS mean_value, max(value) AS max_value FROM x WHERE origin + w * 600000000 + 1800000000 <= {upto} GROUP BY user_id, origin, w"""
+
+
+@query("stm1_sliding_windows", _windows(_MARK))
 def stm1(spark, d):
     rows = _stream(spark, d, "events").select("user_id", _event(), "value")
     w = S.run_to_table(S.sliding_windows(rows, "user_id", "ts", "30 minutes", "10 minutes", "value"), "stm1")
-    return w.select("user_id", (F.unix_micros("w_start")).alias("start_us"), "n", "max_value")
+    return w.select("user_id", (F.unix_micros("w_start")).alias("start_us"), "n", "mean_value", "max_value")
 
 
-@query("stm1_sliding_windows_batch", "WITH e AS (SELECT user_id, value, epoch_us(ts) AS t FROM events), x AS (SELECT user_id, value, unnest([t // 600000000 * 600000000, t // 600000000 * 600000000 - 600000000, t // 600000000 * 600000000 - 1200000000]) AS s FROM e) SELECT user_id, s AS start_us, count(*) AS n, max(value) AS max_value FROM x GROUP BY 1, 2")
+@query("stm1_sliding_windows_batch", _windows("(SELECT max(epoch_us(ts)) FROM events)"))
 def stm1_batch(spark, d):
     w = S.sliding_windows(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "user_id", "ts", "30 minutes", "10 minutes", "value")
-    return w.select("user_id", micros("w_start").alias("start_us"), "n", "max_value")
+    return w.select("user_id", micros("w_start").alias("start_us"), "n", "mean_value", "max_value")
 
 
 @query("stm2_stream_triggers", sql(f"SELECT stream_id, t_us, event_id FROM v_triggers WHERE t_us < {_MARK}", "v_triggers"))
@@ -64,6 +71,12 @@ def stm3(spark, d):
     return S.run_to_table(S.capture_sessions(rows, "stream_id", "ts", CAPTURE), "stm3")
 
 
+@query("stm2_device_sessions")
+def stm2_device(spark, d):
+    rows = _stream(spark, d, "events").select(F.col("user_id").alias("stream_id"), _event(), micros("ts").alias("t_us"), F.col("value").alias("level"), F.col("value").alias("score"))
+    return S.run_to_table(S.device_sessions(rows, "stream_id", "ts", 60, 2, 3, CAPTURE), "stm2_device")
+
+
 @query("stm4_running_metrics", "SELECT user_id, n, false_accepts FROM (SELECT user_id, count(*) AS n, count_if(event_type = 'error') AS false_accepts FROM events GROUP BY 1)")
 def stm4(spark, d):
     rows = _stream(spark, d, "events")

@@ -7,62 +7,206 @@ passed them and are then taken in time order: results don't depend on how rows a
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from math import gcd, inf
 
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from spanlab.sources.shared import fresh_path
 
 LATE = "10 seconds"
 
 
-def sliding_windows(rows: DataFrame, key: str, ts: str, size: str, slide: str, value: str, late: str = LATE) -> DataFrame:
-    """Every complete window once, in append mode: count, mean and maximum. Batch input gives the same rows."""
-    w = F.window(ts, size, slide)
-    marked = rows.withWatermark(ts, late) if rows.isStreaming else rows
-    return marked.groupBy(key, w.alias("w")).agg(F.count("*").alias("n"), F.max(value).alias("max_value")).select(key, F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), "n", "max_value")
+#: Where stateful processors keep their state: on executors' disks, with a changelog in the checkpoint.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Waiting rows share a state entry by the time that this many microseconds cut.
+BUCKET_US = 10_000_000
 
 
-def in_order(rows: DataFrame, key: str, ts: str, t: str, cols: dict[str, str], late: str, step: Callable, start: Callable, kept: str, out: str) -> DataFrame:
-    """``step`` over the rows of each key in the order of ``t`` (microseconds of ``ts``), once the watermark has passed them.
+def _timer(handle: StatefulProcessorHandle, at_ms: int, now_ms: int) -> None:
+    """One timer at a time: those that wait are dropped for the new one."""
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(max(at_ms, now_ms + 1))
 
-    ``step(state, columns)`` gets numpy columns of (t, *cols), sorted, and returns the new state and output rows; ``start()`` is the first state. ``kept`` is the
-    state's schema and ``out`` that of the output behind the key. State holds, besides, only the rows that the watermark hasn't passed.
+
+def _micros_since(size: str) -> int:
+    """Microseconds of a length of time such as ``30 minutes``."""
+    n, unit = size.split()
+    return round(float(n) * {"microsecond": 1, "millisecond": 1000, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86_400 * 10**6}[unit.rstrip("s")])
+
+
+class PaneWindows(StatefulProcessor):
+    """Windows of one stream by its own schedule: they start at its first row and every slide from there.
+
+    Rows wait until the watermark has passed the first of them, as an earlier one may come till then. From there on the origin stands, and a row goes into its pane: count, sum,
+    maximum. A window is put together from its panes when the watermark has passed its end; panes that no later window needs go. State: panes of one window, whatever the number of rows.
     """
-    names = [t, *cols]
-    held_schema = ", ".join(f"h{i} array<{kind}>" for i, kind in enumerate(["long", *cols.values()]))
 
-    def run(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            *own, held = [*state.get[: -len(names)], [np.asarray(x) for x in state.get[-len(names) :]]]
+    def __init__(self, size: int, slide: int):
+        self.size, self.slide, self.pane = size, slide, gcd(size, slide)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "origin long, following long")
+        self.early = handle.getListState("early", "t long, value double")
+        self.panes = handle.getMapState("panes", "pane long", "n long, total double, top double")
+
+    def _put(self, origin: int, times: np.ndarray, values: np.ndarray) -> None:
+        for pane, mine in pd.DataFrame({"v": values}).groupby((times - origin) // self.pane)["v"]:
+            old = self.panes.getValue((int(pane),)) if self.panes.containsKey((int(pane),)) else (0, 0.0, -inf)
+            self.panes.updateValue((int(pane),), (old[0] + len(mine), old[1] + float(mine.sum()), max(old[2], float(mine.max()))))
+
+    def handleInputRows(self, key, rows, timerValues):
+        now = timerValues.getCurrentWatermarkInMs()
+        got = pd.concat(list(rows))
+        times, values = got["t"].to_numpy(np.int64), got["value"].to_numpy(float)
+        head = self.head.get()
+        if head is not None:
+            self._put(head[0], times, values)
+            self._wait(head, now)
         else:
-            own, held = start(), [np.zeros(0, np.int64) for _ in names]
-        if not state.hasTimedOut:
-            parts = [[b[n].to_numpy() for n in names] for b in batches]
-            held = [np.concatenate([h, *[p[i] for p in parts]]) if len(h) else np.concatenate([p[i] for p in parts]) for i, h in enumerate(held)]
+            first = min([int(times.min()), *[r[0] for r in self.early.get()]])
+            self.early.appendList(list(zip(times.tolist(), values.tolist())))
+            _timer(self.handle, first // 1000 + 1, now)
+        return iter(())
+
+    def _wait(self, head, now: int) -> None:
+        _timer(self.handle, -(-(head[0] + head[1] * self.slide + self.size) // 1000), now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        head = self.head.get()
+        if head is None:
+            times, values = (np.array(x) for x in zip(*self.early.get()))
+            self.early.clear()
+            head = (int(times.min()), 0)
+            self._put(head[0], times, values)
+        origin, following = head
+        panes = {k[0]: v for k, v in self.panes.iterator()}
+        per, step, done = self.size // self.pane, self.slide // self.pane, following
+        told = []
+        if panes:
+            done = max(following, (now * 1000 - self.size - origin) // self.slide + 1)
+            # Only windows that a pane lies in: a stream may be silent for long.
+            for w in sorted({w for p in panes for w in range(max(following, -(-(p - per + 1) // step)), min(done, p // step + 1))}):
+                mine = [panes[p] for p in range(w * step, w * step + per) if p in panes]
+                start = origin + w * self.slide
+                told.append((key[0], start, start + self.size, sum(m[0] for m in mine), sum(m[1] for m in mine), max(m[2] for m in mine)))
+            for p in [p for p in panes if p < done * step]:
+                self.panes.removeKey((p,))
+                del panes[p]
+        self.head.update((origin, done))
+        if panes:
+            self._wait((origin, max(done, (min(panes) - per) // step)), now)
+        if told:
+            yield pd.DataFrame(told, columns=["key", "w_start", "w_end", "n", "total", "max_value"])
+
+    def close(self) -> None:
+        pass
+
+
+def sliding_windows(rows: DataFrame, key: str, ts: str, size: str, slide: str, value: str, late: str = LATE) -> DataFrame:
+    """Every complete window that holds rows, once: (key, w_start, w_end, n, mean_value, max_value).
+
+    A key's windows start at its first row and every ``slide`` from there, so none begins before it. Rows are summed into panes (the common divisor of size and slide) and
+    panes into windows. A stream's window is complete when the watermark has passed its end, a table's when the table's newest row has reached it. Rows without a key, time or
+    value are left out.
+    """
+    width, hop = _micros_since(size), _micros_since(slide)
+    used = rows.where(F.col(ts).isNotNull() & F.col(key).isNotNull() & F.col(value).isNotNull())
+    back = F.timestamp_micros
+    if rows.isStreaming:
+        marked = used.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("t"), F.col(value).cast("double").alias("value")).withWatermark("ts", late)
+        kind = dict(marked.dtypes)["key"]
+        out = marked.groupBy("key").transformWithStateInPandas(PaneWindows(width, hop), f"key {kind}, w_start long, w_end long, n long, total double, max_value double", "append", "eventTime")
+    else:
+        g = gcd(width, hop)
+        per, step = width // g, hop // g
+        micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(`{ts}` AS TIMESTAMP_NTZ))") if dict(rows.dtypes)[ts] == "timestamp_ntz" else F.unix_micros(ts)
+        timed = used.select(F.col(key).alias("key"), micros.alias("t"), F.col(value).cast("double").alias("value"))
+        back = (lambda c: F.timestamp_micros(c).cast("timestamp_ntz")) if dict(rows.dtypes)[ts] == "timestamp_ntz" else back
+        origins = timed.groupBy("key").agg(F.min("t").alias("origin"))
+        pane = F.floor((F.col("t") - F.col("origin")) / g)
+        panes = timed.join(origins, "key").groupBy("key", "origin", pane.alias("pane")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("max_value"))
+        inside = F.sequence(F.greatest(F.ceil((F.col("pane") - (per - 1)) / step), F.lit(0)), F.floor(F.col("pane") / step))
+        windows = panes.where(F.floor(F.col("pane") / step) * step + per > F.col("pane")).withColumn("w", F.explode(inside)).groupBy("key", "origin", "w").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("max_value").alias("max_value"))
+        newest = timed.agg(F.max("t").alias("newest"))
+        start = F.col("origin") + F.col("w") * hop
+        out = windows.crossJoin(F.broadcast(newest)).where(start + width <= F.col("newest")).select("key", start.alias("w_start"), (start + width).alias("w_end"), "n", "total", "max_value")
+    mean = F.col("total") / F.col("n")
+    return out.select(F.col("key").alias(key), back("w_start").alias("w_start"), back("w_end").alias("w_end"), "n", mean.alias("mean_value"), "max_value")
+
+
+class InOrder(StatefulProcessor):
+    """The rows of one key, in the order of time, through ``step`` once the watermark has passed them.
+
+    Waiting rows stand in state by stretches of BUCKET_US, so a batch touches only the stretches that its rows fall in; ``own`` is what ``step`` carries on.
+    """
+
+    def __init__(self, names: list[str], kinds: list[str], step: Callable, start: Callable, kept: str, out: list[str]):
+        self.names, self.kinds, self.step, self.start, self.kept, self.out = names, kinds, step, start, kept, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.own = handle.getValueState("own", self.kept)
+        self.waiting = handle.getMapState("waiting", "bucket long", ", ".join(f"h{i} array<{k}>" for i, k in enumerate(self.kinds)))
+
+    def handleInputRows(self, key, rows, timerValues):
+        got = pd.concat(list(rows))
+        columns = [got[n].to_numpy() for n in self.names]
+        bucket = columns[0] // BUCKET_US
+        for b in np.unique(bucket).tolist():
+            mine = bucket == b
+            old = self.waiting.getValue((b,)) if self.waiting.containsKey((b,)) else [[]] * len(columns)
+            self.waiting.updateValue((b,), tuple([*o, *c[mine].tolist()] for o, c in zip(old, columns)))
+        first = min(k[0] for k in self.waiting.keys())
+        _timer(self.handle, min(self.waiting.getValue((first,))[0]) // 1000 + 1, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        buckets = sorted(k[0] for k in self.waiting.keys())
+        passed = [b for b in buckets if b * BUCKET_US < mark * 1000]
+        held = [np.concatenate(c) for c in zip(*[[np.asarray(x) for x in self.waiting.getValue((b,))] for b in passed])]
         order = np.lexsort([*held[:0:-1], held[0]])
         held = [h[order] for h in held]
-        mark = state.getCurrentWatermarkMs()
         ready = int(np.searchsorted(held[0], mark * 1000, "left"))
-        own, told = step(own, [h[:ready] for h in held]) if ready else (own, [])
-        held = [h[ready:] for h in held]
-        state.update((*own, *[h.tolist() for h in held]))
-        if len(held[0]):
-            state.setTimeoutTimestamp(max(int(held[0][0]) // 1000, mark + 1))
+        for b in passed:
+            self.waiting.removeKey((b,))
+        if ready < len(held[0]):
+            # Only the stretch that the watermark stands in can have a rest.
+            self.waiting.updateValue((passed[-1],), tuple(h[ready:].tolist() for h in held))
+        left = [int(held[0][ready])] if ready < len(held[0]) else [min(self.waiting.getValue((b,))[0]) for b in buckets if b not in passed][:1]
+        if left:
+            _timer(self.handle, left[0] // 1000 + 1, mark)
+        own = self.own.get()
+        own, told = self.step(list(own) if own is not None else self.start(), [h[:ready] for h in held])
+        self.own.update(tuple(own))
         if told:
-            yield pd.DataFrame([(who[0], *x) for x in told], columns=[key, *[c.split()[0] for c in out.split(", ")]])
+            yield pd.DataFrame([(key[0], *x) for x in told], columns=["key", *self.out])
+
+    def close(self) -> None:
+        pass
 
+
+def in_order(rows: DataFrame, key: str, ts: str, t: str, cols: dict[str, str], late: str, step: Callable, start: Callable, kept: str, out: str) -> DataFrame:
+    """``step`` over the rows of each key in the order of ``t`` (microseconds of ``ts``), once the watermark has passed them.
+
+    ``step(state, columns)`` gets numpy columns of (t, *cols), sorted, and returns the new state and output rows; ``start()`` is the first state. ``kept`` is the
+    state's schema and ``out`` that of the output behind the key. The query needs the state store of STORE, which ``run_to_table`` sets.
+    """
+    names = [c.split()[0] for c in out.split(", ")]
     kind = dict(rows.dtypes)[key]
-    marked = rows.select(key, ts, t, *cols).withWatermark(ts, late)
-    return marked.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, {out}", f"{kept}, {held_schema}", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = rows.select(F.col(key).alias("key"), F.col(ts).alias("__ts"), t, *[F.col(c).cast(k).alias(c) for c, k in cols.items()]).withWatermark("__ts", late)
+    processor = InOrder([t, *cols], ["long", *cols.values()], step, start, kept, names)
+    return marked.groupBy("key").transformWithStateInPandas(processor, f"key {kind}, {out}", "append", "eventTime").select(F.col("key").alias(key), *names)
 
 
 def stream_triggers(rows: DataFrame, stream: str, ts: str, threshold: float, gap_us: int, k: int, n: int, late: str = LATE) -> DataFrame:
@@ -70,21 +214,31 @@ def stream_triggers(rows: DataFrame, stream: str, ts: str, threshold: float, gap
 
     def step(own: list, columns: list) -> tuple[list, list]:
         flags, last = own
+        t, score, event = columns
+        at, flags = _reached(flags, score >= threshold, k, n)
         out = []
-        for t, score, event in zip(*columns):
-            on = score >= threshold
-            flags = (flags + ("1" if on else "0"))[-n:]
-            if on and flags.count("1") >= k and (last is None or t - last >= gap_us):
-                last = int(t)
-                out.append((last, float(score), int(event)))
+        for i in at.tolist():
+            if last is None or t[i] - last >= gap_us:
+                last = int(t[i])
+                out.append((last, float(score[i]), int(event[i])))
         return [flags, last], out
 
     return in_order(rows, stream, ts, "t_us", {"score": "double", "event_id": "long"}, late, step, lambda: ["", None], "flags string, last long", "t_us long, score double, event_id long")
 
 
+def _reached(flags: str, on: np.ndarray, k: int, n: int) -> tuple[np.ndarray, str]:
+    """Rows that are on with at least k of the last n on, behind ``flags`` of the rows before, and the flags for the next ones."""
+    before = np.frombuffer(flags.encode(), np.uint8) == ord("1")
+    every = np.concatenate([before, on]).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(every)])
+    end = np.arange(len(before), len(every)) + 1
+    among = total[end] - total[np.maximum(end - n, 0)]
+    return np.flatnonzero(on & (among >= k)), "".join("1" if x else "0" for x in every[len(every) - min(n, len(every)) :])
+
+
 @dataclass(frozen=True)
 class CaptureConfig:
-    """Rules of a capture; times in microseconds, levels in dB."""
+    """Rules of a capture; times in microseconds, levels in dB. The values given here are fixed ones, as are QUIETEST and SHARE."""
 
     ignore_us: int = 300_000
     smooth_rows: int = 5
@@ -100,52 +254,128 @@ class CaptureConfig:
     quiet: float = -60.0
 
 
-def capture_walk(own: list, columns: list, cfg: CaptureConfig) -> tuple[list, list]:
-    """One stream's captures over sorted (t, level, trigger) columns.
+#: The power added before a logarithm, and the per cent point of levels that is the background.
+QUIETEST, SHARE = 1e-18, 20
 
-    While listening, levels of the last ``background_us`` are kept; their 20th percentile is the background (``quiet`` under ``background_rows`` of them). A trigger
-    behind the cooldown opens a capture. There, levels are averaged as powers over ``smooth_rows``; a row is speech from ``start_margin`` above the background on, and from
-    ``continue_margin`` once ``speech_rows`` of them have started the command. The first ``ignore_us`` don't count. A capture ends after ``silence_us``
-    without speech, at ``longest_us`` from its start, or where nothing started for ``wait_us``; then the cooldown begins.
+CAPTURE_STATE = "floor_t array<long>, floor_db array<double>, powers array<double>, opened long, started long, spoken long, speech int, cooled long, flags string"
+
+
+class Captures:
+    """One stream's phases over sorted columns of (t, level, *marks): listening up to the row that opens a capture, and the capture up to the row that ends it.
+
+    While listening, levels of the last ``background_us`` are kept; their SHARE per cent point is the background of the next capture (``quiet`` under
+    ``background_rows`` of them). ``opens(captures, t, marks)`` finds the row behind the cooldown that opens one. In a capture, levels are averaged as powers over
+    ``smooth_rows``; a row is speech from ``start_margin`` above the background on, and from ``continue_margin`` once ``speech_rows`` of them have started the command. The first
+    ``ignore_us`` don't count. A capture ends after ``silence_us`` without speech, at ``longest_us`` from its start, or where nothing started for ``wait_us``; then the cooldown begins.
+    Each phase is found at once in arrays, not row by row.
     """
-    floor_t, floor_db, powers = deque(own[0]), deque(own[1]), deque(own[2], maxlen=cfg.smooth_rows)
-    opened, started, spoken, speech, cooled = own[3:]
-    out = []
-    for t, level, trigger in zip(*columns):
-        t = int(t)
-        if opened is None:
-            floor_t.append(t)
-            floor_db.append(float(level))
-            while floor_t[0] <= t - cfg.background_us:
-                floor_t.popleft()
-                floor_db.popleft()
-            if trigger and t >= cooled:
-                opened, started, spoken, speech = t, None, None, 0
-                powers.clear()
-            continue
-        powers.append(10 ** (float(level) / 10))
-        smooth = 10 * np.log10(np.mean(powers) + 1e-18)
-        background = float(np.percentile(floor_db, 20)) if len(floor_db) >= cfg.background_rows else cfg.quiet
-        if t - opened >= cfg.ignore_us and smooth >= background + (cfg.start_margin if started is None else cfg.continue_margin):
-            speech, spoken = speech + 1, t
-            if started is None and speech >= cfg.speech_rows:
-                started = t
-        if started is None:
-            reason = "no_speech" if t - opened >= cfg.wait_us else None
-        else:
-            reason = "end_of_speech" if t - spoken >= cfg.silence_us else "max_length" if t - started >= cfg.longest_us else None
-        if reason:
-            out.append((opened, t, reason))
-            opened, cooled = None, t + cfg.cooldown_us
-    return [list(floor_t), list(floor_db), list(powers), opened, started, spoken, speech, cooled], out
+
+    def __init__(self, own: list, cfg: CaptureConfig, opens: Callable):
+        floor_t, floor_db, powers, self.opened, self.started, self.spoken, self.speech, self.cooled, self.flags = own
+        self.floor_t, self.floor_db, self.powers = np.array(floor_t, np.int64), np.array(floor_db, float), np.array(powers, float)
+        self.cfg, self.opens, self.out = cfg, opens, []
+
+    def own(self) -> list:
+        return [self.floor_t.tolist(), self.floor_db.tolist(), self.powers.tolist(), self.opened, self.started, self.spoken, self.speech, self.cooled, self.flags]
+
+    def walk(self, columns: list) -> None:
+        while len(columns[0]):
+            used = self._listen(*columns) if self.opened is None else self._capture(*columns[:2])
+            columns = [c[used:] for c in columns]
+
+    def _listen(self, t: np.ndarray, level: np.ndarray, *marks: np.ndarray) -> int:
+        at = self.opens(self, t, marks)
+        used = len(t) if at is None else at + 1
+        heard = np.concatenate([self.floor_t, t[:used]])
+        old = np.searchsorted(heard, heard[-1] - self.cfg.background_us, "right")
+        self.floor_t, self.floor_db = heard[old:], np.concatenate([self.floor_db, level[:used]])[old:]
+        if at is not None:
+            self.opened, self.started, self.spoken, self.speech, self.powers = int(t[at]), None, None, 0, np.zeros(0)
+        return used
+
+    def _smooth(self, level: np.ndarray) -> np.ndarray:
+        """Levels averaged as powers over the last rows of this capture."""
+        rows, before = self.cfg.smooth_rows, len(self.powers)
+        power = np.concatenate([self.powers, 10 ** (level / 10)])
+        total, seen = np.zeros(len(level)), np.minimum(np.arange(before, len(power)) + 1, rows)
+        for back in range(rows - 1, -1, -1):
+            from_ = np.arange(before, len(power)) - back
+            total = total + np.where(from_ >= 0, power[np.maximum(from_, 0)], 0.0)
+        self.powers = power[len(power) - min(rows, len(power)) :]
+        return 10 * np.log10(total / seen + QUIETEST)
+
+    def _capture(self, t: np.ndarray, level: np.ndarray) -> int:
+        cfg = self.cfg
+        # It ends no later than this, so rows behind it are not looked at.
+        far = int(np.searchsorted(t, self.opened + cfg.wait_us + cfg.longest_us, "left")) + 1
+        t, smooth = t[:far], self._smooth(level[:far])
+        background = float(np.percentile(self.floor_db, SHARE)) if len(self.floor_db) >= cfg.background_rows else cfg.quiet
+        loud = lambda margin: (t - self.opened >= cfg.ignore_us) & (smooth >= background + margin)
+        start = 0
+        if self.started is None:
+            speech = loud(cfg.start_margin)
+            count = self.speech + np.cumsum(speech)
+            begun, waited = np.flatnonzero(speech & (count >= cfg.speech_rows)), np.flatnonzero(t - self.opened >= cfg.wait_us)
+            if not len(begun) or len(waited) and waited[0] < begun[0]:
+                if len(waited):
+                    return self._end(t, int(waited[0]), "no_speech")
+                self.speech = int(count[-1])
+                return len(t)
+            start = int(begun[0])
+            self.started = self.spoken = int(t[start])
+        said = loud(cfg.continue_margin)
+        said[:start] = False
+        spoken = np.maximum.accumulate(np.where(said, t, self.spoken))[start:]
+        silent, long = t[start:] - spoken >= cfg.silence_us, t[start:] - self.started >= cfg.longest_us
+        over = np.flatnonzero(silent | long)
+        if len(over):
+            return self._end(t, start + int(over[0]), "end_of_speech" if silent[over[0]] else "max_length")
+        self.spoken = int(spoken[-1])
+        return len(t)
+
+    def _end(self, t: np.ndarray, at: int, reason: str) -> int:
+        self.out.append((self.opened, int(t[at]), reason))
+        self.opened, self.cooled, self.powers, self.flags = None, int(t[at]) + self.cfg.cooldown_us, np.zeros(0), ""
+        return at + 1
+
+
+def _captured(rows: DataFrame, stream: str, ts: str, marks: dict[str, str], cfg: CaptureConfig, opens: Callable, late: str) -> DataFrame:
+    def step(own: list, columns: list) -> tuple[list, list]:
+        c = Captures(own, cfg, opens)
+        c.walk(columns)
+        return c.own(), c.out
+
+    return in_order(rows, stream, ts, "t_us", {"level": "double", **marks}, late, step, lambda: [[], [], [], None, None, None, 0, 0, ""], CAPTURE_STATE, "start_t long, end_t long, reason string")
 
 
 def capture_sessions(rows: DataFrame, stream: str, ts: str, cfg: CaptureConfig = CaptureConfig(), late: str = LATE) -> DataFrame:
-    """Captures after trigger rows: (stream, start_t, end_t, reason) from rows of (stream, ts, t_us, level, is_trigger); rules in ``capture_walk``."""
-    kept = "floor_t array<long>, floor_db array<double>, powers array<double>, opened long, started long, spoken long, speech int, cooled long"
-    return in_order(
-        rows, stream, ts, "t_us", {"level": "double", "is_trigger": "boolean"}, late, lambda own, columns: capture_walk(own, columns, cfg), lambda: [[], [], [], None, None, None, 0, 0], kept, "start_t long, end_t long, reason string"
-    )
+    """Captures after trigger rows: (stream, start_t, end_t, reason) from rows of (stream, ts, t_us, level, is_trigger); rules in ``Captures``."""
+
+    def opens(c: Captures, t: np.ndarray, marks: list) -> int | None:
+        found = np.flatnonzero(marks[0].astype(bool) & (t >= c.cooled))
+        return int(found[0]) if len(found) else None
+
+    return _captured(rows, stream, ts, {"is_trigger": "boolean"}, cfg, opens, late)
+
+
+def device_sessions(rows: DataFrame, stream: str, ts: str, threshold: float, k: int, n: int, cfg: CaptureConfig = CaptureConfig(), late: str = LATE) -> DataFrame:
+    """Triggers and captures in one state, as a device has them: (stream, start_t, end_t, reason) from rows of (stream, ts, t_us, level, score).
+
+    A capture opens at a score that reaches the threshold with at least k of the last n scores doing so. Scores of a capture and its cooldown are not
+    among them, as the device doesn't score then, and those from before it are forgotten.
+    """
+
+    def opens(c: Captures, t: np.ndarray, marks: list) -> int | None:
+        first = int(np.searchsorted(t, c.cooled, "left"))
+        on = marks[0][first:] >= threshold
+        found, after = _reached(c.flags, on, k, n)
+        if not len(found):
+            c.flags = after
+            return None
+        c.flags = _reached(c.flags, on[: found[0] + 1], k, n)[1]
+        return first + int(found[0])
+
+    return _captured(rows, stream, ts, {"score": "double"}, cfg, opens, late)
 
 
 def running_metrics(rows: DataFrame, key: str, false_accept: Column, hours: Column) -> DataFrame:
@@ -173,6 +403,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", query: list
     """
     spark = stream.sparkSession
     path = fresh_path(spark, name)
+    spark.conf.set(*STORE)
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", fresh_path(spark, f"{name}-checkpoint"))
     if mode == "append":
         q = writer.format("parquet").start(path)

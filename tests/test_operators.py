@@ -141,20 +141,23 @@ def test_category_policy(spark):
         assert sum(s > t[0]["operating"] for s in mine) / len(mine) <= 0.01
 
 
+PHRASE = spans.SpanConfig("ola", "mango")
+
+
 def chunk(spark, said, positive):
     w = [{"word": x, "start": 0.4 * i, "end": 0.4 * i + 0.35, "probability": 0.9} for i, x in enumerate(said.split())]
     df = spark.createDataFrame([(1, positive, w)], f"id int, positive boolean, words array<{spans.WORD}>")
-    return [r["match_type"] for r in spans.status_of(spans.quality_gates(spans.detect_spans(df, ["id"], positive="positive"))).collect()]
+    return [r["match_type"] for r in spans.status_of(spans.quality_gates(spans.detect_spans(df, ["id"], PHRASE, positive="positive"), PHRASE)).collect()]
 
 
 def test_span_kinds(spark):
-    assert chunk(spark, "Hey Delta!", True) == ["complete"] and chunk(spark, "Hey Dota!", True) == ["fuzzy"] and chunk(spark, "Delta", True) == ["partial", "unmatched"] and chunk(spark, "Delta", False) == ["partial"]
+    assert chunk(spark, "Ola Mango!", True) == ["complete"] and chunk(spark, "Ola Mano!", True) == ["fuzzy"] and chunk(spark, "Mango", True) == ["partial", "unmatched"] and chunk(spark, "Mango", False) == ["partial"]
     assert chunk(spark, "He built that.", True) == ["unmatched"] and chunk(spark, "Thank you.", False) == []
-    assert chunk(spark, "hey - delta", True) == ["complete"], "words without letters are left out first"
-    assert chunk(spark, "Heydelta", False) == ["fuzzy"], "every chunk is tried as a whole"
-    assert chunk(spark, "hey there", True) == ["partial", "unmatched"], "partial spans don't hide unmatched speech"
+    assert chunk(spark, "ola - mango", True) == ["complete"], "words without letters are left out first"
+    assert chunk(spark, "Olamango", False) == ["fuzzy"], "every chunk is tried as a whole"
+    assert chunk(spark, "ola there", True) == ["partial", "unmatched"], "partial spans don't hide unmatched speech"
     assert chunk(spark, "...", True) == ["unmatched"] and chunk(spark, "...", False) == []
-    assert chunk(spark, "hey delta hey delta delta", True) == ["complete", "complete", "partial"]
+    assert chunk(spark, "ola mango ola mango mango", True) == ["complete", "complete", "partial"]
 
 
 def plain_scan(words, positive, pair, word):
@@ -173,16 +176,16 @@ def plain_scan(words, positive, pair, word):
     out, i = [], 0
     while i < len(kept):
         (at, a), (end, b) = kept[i], kept[i + 1] if i + 1 < len(kept) else (None, None)
-        if b is not None and (a, b) == ("hey", "delta") or b is not None and ratio(f"{a} {b}", "hey delta") <= pair:
-            out.append(("complete" if (a, b) == ("hey", "delta") else "fuzzy", at, end))
+        if b is not None and (a, b) == ("ola", "mango") or b is not None and ratio(f"{a} {b}", "ola mango") <= pair:
+            out.append(("complete" if (a, b) == ("ola", "mango") else "fuzzy", at, end))
             i += 2
             continue
-        if ratio(a, "delta") <= word or a == "hey":
+        if ratio(a, "mango") <= word or a == "ola":
             out.append(("partial", at, at))
         i += 1
     said = " ".join(w for _, w in kept)
     ends = (kept[0][0], kept[-1][0]) if kept else (None, None)
-    if not out and said and ratio(said, "hey delta") <= pair:
+    if not out and said and ratio(said, "ola mango") <= pair:
         out.append(("fuzzy", *ends))
     if positive and all(k == "partial" for k, _, _ in out):
         out.append(("unmatched", *ends))
@@ -191,13 +194,13 @@ def plain_scan(words, positive, pair, word):
 
 def test_spans_equal_a_plain_scan(spark):
     random.seed(4)
-    pool = ["hey", "Hey,", "delta", "Delta!", "dealt", "hay", "heydelta", "-", "the", "belta", "hey-delta", "de", "lta", "?"]
+    pool = ["ola", "Ola,", "mango", "Mango!", "magno", "ala", "olamango", "-", "the", "tango", "ola-mango", "ma", "ngo", "?"]
     rows = []
     for n in range(300):
         words = [random.choice(pool) for _ in range(random.randrange(6))]
         rows.append((n, n % 2 == 0, [{"word": w, "start": 0.4 * i, "end": 0.4 * i + 0.35, "probability": 0.9} for i, w in enumerate(words)], 0.1, 1.5))
     df = spark.createDataFrame(rows, f"id int, positive boolean, words array<{spans.WORD}>, c0 double, c1 double")
-    cfg = spans.SpanConfig(fuzzy_pair=0.3, fuzzy_word=0.4)
+    cfg = spans.SpanConfig("ola", "mango", fuzzy_pair=0.3, fuzzy_word=0.4)
     got = {}
     for r in spans.detect_spans(df, ["id"], cfg, "positive", ("c0", "c1")).collect():
         got.setdefault(r["id"], []).append((r["match_type"], r["first_word"], r["last_word"]))
@@ -372,6 +375,69 @@ def test_captures_of_events_equal_brute_force(spark):
     assert got == want and got
 
 
+def plain_device(rows, threshold, k, n, c):
+    """Scores and captures of one stream, row by row."""
+    out, flags, at, marked = [], [], 0, []
+    while at < len(rows):
+        t, level, score = rows[at]
+        marked.append((t, level, False))
+        at += 1
+        if out and t < out[-1][1] + c.cooldown_us:
+            continue
+        flags.append(score >= threshold)
+        if flags[-1] and sum(flags[-n:]) >= k:
+            marked[-1] = (t, level, True)
+            # The capture runs to its end whatever the scores say.
+            ends = [x for x in plain_captures(marked + [(u, v, False) for u, v, _ in rows[at:]], c) if x[0] == t]
+            if not ends:
+                break
+            out += ends
+            held = [(u, v, False) for u, v, _ in rows[at:] if u <= ends[0][1]]
+            marked, at, flags = marked + held, at + len(held), []
+    return out
+
+
+@pytest.mark.parametrize("size", [3000, 700, 400])
+def test_device_sessions_equal_a_plain_walk(spark, tmp_path, size):
+    rng = random.Random(6)
+    config = streams.CaptureConfig(ignore_us=100_000, smooth_rows=3, speech_rows=3, silence_us=400_000, longest_us=2_000_000, wait_us=1_000_000, cooldown_us=300_000, background_us=3_000_000, background_rows=10)
+    rows, loud = [], 0
+    for i in range(2400):
+        loud = max(0, loud - 1) if loud else (rng.choice([5, 20, 60, 150]) if rng.random() < 0.03 else 0)
+        rows.append((rng.choice("ab"), i * 20_000, (-25.0 if loud else -55.0) + rng.random() * 8, rng.random()))
+    rows.append(("z", 200_000_000, -50.0, 0.0))
+    schema, ran = "stream string, t_us long, level double, score double", []
+    want = sorted((s, *x) for s in "ab" for x in plain_device([r[1:] for r in rows if r[0] == s], 0.8, 2, 4, config))
+    got = streams.run_to_table(streams.device_sessions(staged(spark, tmp_path, "device", rows, schema, size), "stream", "ts", 0.8, 2, 4, config), "device", query=ran).collect()
+    assert sorted(map(tuple, got)) == want and len({x[3] for x in want}) > 1 and len(want) > 20
+    # What is held doesn't grow with the batches: each stream's own state and timer, and the rows that the watermark hasn't passed.
+    assert ran[0].lastProgress["stateOperators"][0]["numRowsTotal"] <= 12
+
+
+@pytest.mark.parametrize(("size", "slide"), [(30, 10), (25, 10), (10, 15)])
+def test_windows_by_a_streams_own_schedule(spark, tmp_path, size, slide):
+    """Rows up to nine seconds out of order and silent stretches: the same windows under three chunkings, none before the first row, and those of the table."""
+    rng = random.Random(size)
+    rows = [(k, 5_000_000_000 + int(t * 1e6), rng.random()) for k in "abc" for t in sorted(rng.choice([0, 400, 3000]) + rng.random() * 150 for _ in range(120))]
+    rows = sorted(rows, key=lambda r: r[1] + random.Random(r[1]).randrange(9_000_000)) + [("z", 9_000_000_000, 0.0)]
+    want = {}
+    for k in "abc":
+        mine = [(t, v) for key, t, v in rows if key == k]
+        first = min(t for t, _ in mine)
+        for w in range(0, 4000 // slide):
+            lo = first + w * slide * 1_000_000
+            held = [v for t, v in mine if lo <= t < lo + size * 1_000_000]
+            if held:
+                want[k, lo] = (len(held), round(sum(held) / len(held), 9), max(held))
+    told = lambda df: {(r["k"], r["at"]): (r["n"], round(r["mean_value"], 9), r["max_value"]) for r in df.withColumn("at", F.unix_micros("w_start")).collect()}
+    table = spark.createDataFrame(rows, "k string, t_us long, value double").withColumn("ts", F.timestamp_micros("t_us"))
+    assert told(streams.sliding_windows(table, "k", "ts", f"{size} seconds", f"{slide} seconds", "value")) == want
+    for chunk_size in (400, 111, 60):
+        stream = staged(spark, tmp_path, f"w{chunk_size}", rows, "k string, t_us long, value double", chunk_size)
+        got = streams.run_to_table(streams.sliding_windows(stream, "k", "ts", f"{size} seconds", f"{slide} seconds", "value"), "windows")
+        assert told(got) == want and got.count() == len(want)
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     schema = "k string, ts timestamp, value double"
     for n, rows in enumerate(["('a', timestamp'2024-01-01 00:00:05', 1D), ('a', timestamp'2024-01-01 00:05:00', 2D)", "('a', timestamp'2024-01-01 00:10:00', 3D)", "('a', timestamp'2024-01-01 00:00:06', 9D), ('a', timestamp'2024-01-01 00:20:00', 3D)"]):
