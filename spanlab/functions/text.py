@@ -104,20 +104,3 @@ def regex_route(c: Column, rules: list[tuple[str, str, int]], reason: str) -> Co
 
 def explode_composite(df: DataFrame, col: str, sep: str = "|") -> DataFrame:
     return df.withColumn(col, F.explode(F.split(F.col(col), "\\" + sep)))
-
-
-def nearest_reference(texts: DataFrame, refs: DataFrame, text: str = "text", ref: str = "ref", worst: float = 0.25) -> DataFrame:
-    """The closest reference wording of each text by edit ratio, under the numbers guard, and why or why not.
-
-    ``refs`` is a list of wordings of fixed size, sent to every task as one array column. Rows don't move: equal texts are compared anew each.
-    """
-    listed = [r[0] for r in refs.select(ref).distinct().orderBy(ref).limit(1001).collect()]
-    if len(listed) > 1000:
-        raise ValueError("nearest_reference takes up to 1000 wordings")
-    wordings = F.array(*[F.lit(x) for x in listed])
-    n = norm_spoken(F.col(text))
-    scored = F.transform(wordings, lambda r: F.struct(F.levenshtein(F.col("n"), r).alias("d"), r.alias("ref"), F.greatest(F.length(F.col("n")), F.length(r), F.lit(1)).alias("m"), (number_list(words_array(F.col("n"))) == number_list(words_array(r))).alias("ok")))
-    best = F.array_min(F.transform(F.col("s"), lambda x: F.struct((x["d"] / x["m"]).alias("ratio"), x["ref"].alias("ref"), x["ok"].alias("ok"))))
-    out = texts.withColumn("n", n).withColumn("s", scored).withColumn("b", best)
-    reason = F.when(F.col("n") == "", "empty").when(F.col("b.ratio") > worst, "too_far").when(~F.col("b.ok"), "other_number").otherwise("match")
-    return out.select(*texts.columns, F.col("b.ref").alias("nearest"), F.col("b.ratio").alias("ratio"), reason.alias("reason"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,16 +80,50 @@ def verify_set(streams: DataFrame, files: DataFrame, training: DataFrame) -> Dat
     return j.select("stream_id", F.explode(problems).alias("problem")).unionByName(twice)
 
 
-def run_checks(checks: list[tuple[str, DataFrame, str]], examples: int = 5) -> DataFrame:
-    """A suite of (name, violating rows, id column) as one job: (check_name, status, violations, examples)."""
-    out = None
-    for name, bad, key in checks:
-        ids = bad.select(F.lit(name).alias("check_name"), F.col(key).cast("string").alias("id"))
-        out = ids if out is None else out.unionByName(ids)
-    names = out.sparkSession.createDataFrame([(n,) for n, _, _ in checks], "check_name string")
-    told = out.groupBy("check_name").agg(F.count("*").alias("violations"), F.min_by("id", F.struct(F.length("id"), "id")).alias("first"))
-    j = names.join(told, "check_name", "left")
-    return j.select("check_name", F.when(F.coalesce("violations", F.lit(0)) == 0, "PASS").otherwise("FAIL").alias("status"), F.coalesce("violations", F.lit(0)).alias("violations"), "first")
+@dataclass(frozen=True)
+class Check:
+    """Rows of ``table`` where ``violates`` holds are violations, named by ``ident``; ``detail`` tells more of one."""
+
+    name: str
+    table: DataFrame
+    violates: Column
+    ident: str
+    detail: Column
+
+
+def run_checks(checks: list[Check], examples: int = 5) -> DataFrame:
+    """A suite as one job: (check_name, status, violations, detail, examples), the examples being the smallest ids (shorter ones first), comma-joined, and the detail that of the first.
+
+    All predicates of a table are one projection of one scan, out of which only violations go on. Each task keeps a count and the ``examples`` smallest different ids of each check,
+    and those buffers are merged, so a check that every row violates costs no more memory than one that few do. A predicate that is null is no violation.
+    """
+    smallest = lambda told: sorted(told.items(), key=lambda x: (len(x[0]), x[0]))[:examples]
+
+    def buffer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[str, int] = {}
+        kept: dict[str, dict[str, str]] = {}
+        for b in batches:
+            for name, rows in b.groupby("check_name"):
+                counts[name] = counts.get(name, 0) + len(rows)
+                mine = kept.setdefault(name, {})
+                rows = rows.assign(size=rows["id"].str.len()).sort_values(["size", "id", "detail"]).drop_duplicates("id").head(examples)
+                for i, d in zip(rows["id"], rows["detail"]):
+                    mine[i] = min(d, mine.get(i, d))
+                kept[name] = dict(smallest(mine))
+        yield pd.DataFrame([(n, c, [i for i, _ in smallest(kept[n])], [d for _, d in smallest(kept[n])]) for n, c in counts.items()], columns=["check_name", "n", "ids", "details"])
+
+    parts = []
+    for source in {id(c.table): c.table for c in checks}.values():
+        mine = [c for c in checks if c.table is source]
+        failed = F.array_compact(F.array(*[F.when(c.violates, F.struct(F.lit(c.name).alias("check_name"), F.coalesce(F.col(c.ident).cast("string"), F.lit("")).alias("id"), F.coalesce(c.detail.cast("string"), F.lit("")).alias("detail"))) for c in mine]))
+        parts.append(source.select(F.explode(failed).alias("f")).select("f.*").mapInPandas(buffer, "check_name string, n long, ids array<string>, details array<string>"))
+    all_parts = reduce(DataFrame.unionByName, parts)
+    each = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(F.arrays_zip("ids", "details"), lambda x: F.struct(F.length(x["ids"]).alias("size"), x["ids"].alias("id"), x["details"].alias("detail")))))))
+    told = all_parts.groupBy("check_name").agg(F.sum("n").alias("violations"), each.alias("kept"))
+    names = checks[0].table.sparkSession.createDataFrame([(c.name,) for c in checks], "check_name string")
+    ids = F.slice(F.array_distinct(F.transform("kept", lambda x: x["id"])), 1, examples)
+    n = F.coalesce("violations", F.lit(0))
+    return names.join(told, "check_name", "left").select("check_name", F.when(n == 0, "PASS").otherwise("FAIL").alias("status"), n.alias("violations"), F.get("kept", F.lit(0))["detail"].alias("detail"), F.array_join(ids, ",").alias("examples"))
 
 
 def config_consistency(measured: DataFrame, cited: dict[str, float], inside: dict[str, tuple[str, str, float]], tolerance: float) -> DataFrame:

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from spanlab.functions.keys import cosine, hash60, vec_normalize
+from spanlab.functions.keys import cosine, hash60, vec_dot, vec_normalize
 from spanlab.operators.aggregates import beside
 from spanlab.operators.joins import knn_band_join
 from spanlab.operators.metrics import roc_auc
 from spanlab.operators.ranks import quantiles
+from spanlab.sources.shared import settled
 
 
 def source_auc(df: DataFrame, score: str, is_source: Column) -> DataFrame:
@@ -94,49 +97,110 @@ def position_uniformity(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
     return beside(at.groupBy(*keys).agg(F.count("*").alias("n")), quantiles(at, keys, "__x", {"q1": 0.25, "q2": 0.5, "q3": 0.75}), keys)
 
 
-#: References of one block of the exact comparison.
-BLOCK = 4096
-#: Salts that the rows of a block are dealt to.
-ROWS = 8
+#: References and rows of one block of a comparison.
+BLOCK, ROWS = 4096, 65_536
+#: References of a key that others are dealt by.
+PIVOTS = 32
 
 
-def near_duplicate_max(a: DataFrame, refs: DataFrame, key: str, ident: str, vector: str) -> DataFrame:
-    """The largest cosine similarity of each row to any reference under the same key; null where the key has none.
+def _compared(rows: DataFrame, refs: DataFrame, ident: str) -> DataFrame:
+    """(ident, max_similarity, compared) of rows (k, ident, v) against all references (k, v) of their k, unit vectors all: the largest product, and how many were made.
 
-    References are normalised and dealt to blocks of at most about BLOCK of a key, and each row goes to every block of its key; a block is one matrix product per batch of
-    rows, and the blocks' maxima are joined. So a key with many rows spreads, and nothing pairs rows one by one.
+    References are dealt to blocks of about BLOCK and rows to blocks of about ROWS of a k; a pair of blocks is one matrix product for each batch of rows. A row may
+    stand under several k.
     """
-    sizes = refs.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__n"))
-    unit = lambda c: vec_normalize(c).alias("__v")
-    kinds = dict(a.dtypes)
-    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__block")
-    left = a.select(key, ident, unit(F.col(vector))).join(sizes, key).select(key, every, F.lit(1).alias("__side"), ident, "__v", F.pmod(F.xxhash64(ident), F.lit(ROWS)).alias("__salt"))
-    right = refs.select(key, unit(F.col(vector)), F.xxhash64(vector).alias("__h")).join(sizes, key)
-    right = right.select(key, F.pmod("__h", F.col("__n")).cast("int").alias("__block"), F.lit(0).alias("__side"), F.lit(None).cast(kinds[ident]).alias(ident), "__v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ROWS - 1).cast("long"))).alias("__salt"))
-    dealt = left.unionByName(right).repartition(key, "__block", "__salt").sortWithinPartitions(key, "__block", "__salt", "__side")
+    blocks = refs.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__n")).join(rows.groupBy("k").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("__m")), "k")
+    kinds = dict(rows.dtypes)
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = rows.join(blocks, "k").select("k", each("__n").alias("__block"), F.lit(1).alias("__side"), F.col(ident).alias("__id"), "v", F.pmod(F.xxhash64(ident), F.col("__m")).cast("int").alias("__salt"))
+    right = refs.join(blocks, "k").select("k", F.pmod(F.xxhash64("v"), F.col("__n")).cast("int").alias("__block"), F.lit(0).alias("__side"), F.lit(None).cast(kinds[ident]).alias("__id"), "v", each("__m").alias("__salt"))
+    dealt = left.unionByName(right).repartition("k", "__block", "__salt").sortWithinPartitions("k", "__block", "__salt", "__side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, held, matrix = None, [], None
         for b in batches:
             at = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist()))
             sides, vectors = b.column(2).to_pylist(), b.column(4)
-            kept, best, i = [], [], 0
+            kept, best, made, i = [], [], [], 0
             while i < len(at):
                 j = i
                 while j < len(at) and at[j] == at[i] and sides[j] == sides[i]:
                     j += 1
-                rows = vectors.slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1)
+                mine = vectors.slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1)
                 if at[i] != where:
                     where, held, matrix = at[i], [], None
                 if sides[i] == 0:
-                    held, matrix = [*held, rows], None
+                    held, matrix = [*held, mine], None
                 elif held:
                     matrix = np.concatenate(held) if matrix is None else matrix
                     kept += range(i, j)
-                    best.append((rows @ matrix.T).max(axis=1))
+                    best.append((mine @ matrix.T).max(axis=1))
+                    made += [len(matrix)] * (j - i)
                 i = j
             told = b.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([told.column(0), told.column(3), pa.array(np.concatenate(best) if best else np.zeros(0))], names=[key, ident, "s"])
+            yield pa.RecordBatch.from_arrays([told.column(3), pa.array(np.concatenate(best) if best else np.zeros(0)), pa.array(made, pa.int64())], names=[ident, "s", "c"])
+
+    met = dealt.mapInArrow(compare, f"`{ident}` {kinds[ident]}, s double, c long")
+    return met.groupBy(ident).agg(F.max("s").alias("max_similarity"), F.sum("c").alias("compared"))
+
+
+def near_duplicate_max(a: DataFrame, refs: DataFrame, key: str, ident: str, vector: str) -> DataFrame:
+    """The largest cosine similarity of each row to any reference under the same key, null where the key has none, and the number of references it was compared with.
+
+    Exact, by the triangle inequality on angles. A key's references are dealt to the nearest of up to PIVOTS of them; a cell knows its widest angle. A row is compared with the cell of its own nearest
+    pivot first. A cell whose best possible similarity, that of the angle to the pivot less the cell's widest, lies under what was found is left out, and the row goes to the others. Equal
+    references are one.
+    """
+    unit = refs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), vec_normalize(F.col(vector)).alias("v")).distinct()
+    unit = settled(unit, "references")
+    first = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("v"), "v"))
+    pivots = unit.withColumn("__n", first).where(F.col("__n") <= PIVOTS).groupBy("key").agg(F.array_sort(F.collect_list("v")).alias("pivots"))
+    products = F.transform("pivots", lambda p: vec_dot(F.col("v"), p))
+    near = lambda products: F.array_max(F.transform(products, lambda s, i: F.struct(s.alias("s"), i.alias("cell"))))
+    celled = unit.join(pivots, "key").select("key", "v", near(products).alias("at")).select("key", "v", "at.cell", "at.s")
+    celled = settled(celled, "cells")
+    cells = celled.groupBy("key", "cell").agg(F.min("s").alias("low")).groupBy("key").agg(F.collect_list(F.struct("cell", "low")).alias("cells"))
+    rows = a.select(F.col(key).alias("key"), F.col(ident).alias(ident), vec_normalize(F.col(vector)).alias("v"))
+    seen = rows.join(pivots.join(cells, "key"), "key").withColumn("s", products)
+    told = F.transform("cells", lambda c: F.struct(F.get(F.col("s"), c["cell"]).alias("s"), c["cell"].alias("cell"), c["low"].alias("low")))
+    seen = settled(seen.select("key", ident, "v", told.alias("cells")).withColumn("own", F.array_max("cells")["cell"]), "rows")
+    k = lambda cell: F.concat_ws(":", F.col("key").cast("string"), cell.cast("string")).alias("k")
+    dealt = celled.select(k(F.col("cell")), "v")
+    found = settled(_compared(seen.select(k(F.col("own")), ident, "v"), dealt, ident), "own")
+    angle = lambda s: F.acos(F.greatest(F.least(s, F.lit(1.0)), F.lit(-1.0)))
+    # A vector of zeros has the product 0 with all, so no bound lies under 0.
+    most = lambda c: F.greatest(F.cos(F.greatest(angle(c["s"]) - angle(c["low"]), F.lit(0.0))), F.lit(0.0)) + 1e-9
+    more = seen.join(found, ident).withColumn("cell", F.explode(F.filter("cells", lambda c: (c["cell"] != F.col("own")) & (most(c) > F.col("max_similarity")))))
+    others = _compared(more.select(k(F.col("cell.cell")), ident, "v"), dealt, ident)
+    best = found.unionByName(others).groupBy(ident).agg(F.max("max_similarity").alias("max_similarity"), F.sum("compared").alias("compared"))
+    return a.select(key, ident).join(best, ident, "left").select(key, ident, "max_similarity", F.coalesce("compared", F.lit(0)).alias("compared"))
+
+
+def near_duplicate_lsh(a: DataFrame, refs: DataFrame, key: str, ident: str, vector: str, bits: int = 12, tables: int = 12, probes: int = 4, seed: int = 5) -> DataFrame:
+    """As ``near_duplicate_max``, among references whose signed random projections agree: what is found is never too high, and null where none is met.
+
+    A vector has ``bits`` signs of random projections in each of ``tables``. A row looks under its own signs and under those with one of its ``probes`` least certain ones turned round. A
+    reference at an angle of 20 degrees (0.94) has all 12 signs, or all but a probed one, in half of the tables, so 12 tables miss one of some thousands.
+    """
 
-    met = dealt.mapInArrow(compare, f"`{key}` {kinds[key]}, `{ident}` {kinds[ident]}, s double").groupBy(key, ident).agg(F.max("s").alias("max_similarity"))
-    return a.select(key, ident).join(met, [key, ident], "left")
+    @F.pandas_udf("array<array<long>>")
+    def codes(vectors: pd.Series, asks: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        matrix = np.stack(vectors.to_numpy())
+        planes = np.random.default_rng(seed).normal(size=(matrix.shape[1], tables * bits))
+        said = (matrix @ planes).reshape(len(matrix), tables, bits)
+        weight = np.int64(1) << np.arange(bits, dtype=np.int64)
+        own = ((said >= 0) * weight).sum(axis=2)
+        turned = own[:, :, None] ^ weight[np.argsort(np.abs(said), axis=2)[:, :, :probes]]
+        every = np.concatenate([own[:, :, None], turned], axis=2)
+        return pd.Series([e.tolist() if ask else e[:, :1].tolist() for e, ask in zip(every, asks)])
+
+    def dealt(df: DataFrame, *cols: str, asks: bool) -> DataFrame:
+        coded = df.select("key", *cols, "v", F.posexplode(codes("v", F.lit(asks))).alias("table", "codes"))
+        coded = coded.select("key", "table", *cols, "v", F.explode("codes").alias("code"))
+        return coded.select(F.concat_ws(":", F.col("key").cast("string"), "table", F.col("code").cast("string")).alias("k"), *cols, "v")
+
+    unit = lambda df, *cols: df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *cols, vec_normalize(F.col(vector)).alias("v"))
+    best = _compared(dealt(unit(a, ident), ident, asks=True), dealt(unit(refs).distinct(), asks=False), ident)
+    return a.select(key, ident).join(best, ident, "left").select(key, ident, "max_similarity", F.coalesce("compared", F.lit(0)).alias("compared"))

@@ -190,11 +190,27 @@ def transcript_verdict(target: Column, heard: Column, end: Column, duration: Col
 
 
 def best_subspan(words: DataFrame, keys: list[str], target: Column, longest: int = 12, worst: float = 0.2) -> DataFrame:
-    """The run of up to ``longest`` words closest to the target (ties: earliest, shortest), where it is close enough."""
-    at = words.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("words") - 1))).withColumn("j", F.explode(F.sequence(F.col("i"), F.least(F.col("i") + (longest - 1), F.size("words") - 1))))
-    said = F.array_join(F.slice("words", F.col("i") + 1, F.col("j") - F.col("i") + 1), " ")
-    best = at.withColumn("ratio", edit_ratio(said, target)).groupBy(*keys).agg(F.min(F.struct("ratio", "i", "j")).alias("b"))
-    return best.where(F.col("b.ratio") <= worst).select(*keys, "b.i", "b.j", "b.ratio")
+    """The run of up to ``longest`` words closest to the target (ties: earliest, shortest), where it is close enough.
+
+    A text stays one row: its runs are told by their borders, those whose length is too far from the target's are skipped, and the others are measured in the band that ``worst`` allows.
+    Texts without words give no row.
+    """
+    goal = F.length(target)
+
+    def run(ends: Column, i: Column, j: Column) -> Column:
+        long = F.get(ends, j) - F.coalesce(F.get(ends, i - 1), F.lit(0)) - 1
+        whole = F.greatest(long, goal, F.lit(1))
+        said = F.array_join(F.slice("words", i + 1, j - i + 1), " ")
+        d = F.when(F.abs(long - goal) <= worst * whole, F.call_function("levenshtein", said, target, F.floor(worst * whole).cast("int")))
+        return F.when((d >= 0) & (d <= worst * whole), F.struct((d / whole).alias("ratio"), i.alias("i"), j.alias("j")))
+
+    # Where each word ends, counting a space behind it.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    ends = F.aggregate("words", start, lambda s, w: F.struct((s["at"] + F.length(w) + 1).alias("at"), F.concat(s["ends"], F.array(s["at"] + F.length(w) + 1)).alias("ends")))["ends"]
+    last = F.size("words") - 1
+    each = lambda e: F.transform(F.sequence(F.lit(0), last), lambda i: F.array_min(F.transform(F.sequence(i, F.least(i + (longest - 1), last)), lambda j: run(e, i, j))))
+    best = words.where(F.size("words") > 0).withColumn("b", let(ends, lambda e: F.array_min(each(e)))).where("b IS NOT NULL")
+    return best.select(*keys, "b.i", "b.j", "b.ratio")
 
 
 def cut_before(words: DataFrame, keys: list[str], deciders: list[str], fillers: list[str], shortest: int, lead: int = 30) -> DataFrame:

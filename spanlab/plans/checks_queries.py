@@ -70,15 +70,19 @@ def gd5(spark, d):
     return C.verify_set(streams, files, table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("path")))
 
 
-@query("gd6_run_checks", sql("""WITH b AS (SELECT 'span_has_length' AS check_name, span_id::VARCHAR AS id FROM v_spans WHERE e_ms <= s_ms UNION ALL SELECT 'span_inside_day', span_id::VARCHAR FROM v_spans WHERE e_ms > 86400000 UNION ALL SELECT 'discount_in_range', l_orderkey::VARCHAR FROM lineitem WHERE l_discount NOT BETWEEN 0 AND 0.09 UNION ALL
-    SELECT 'order_exists', l_orderkey::VARCHAR FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)), n AS (SELECT unnest(['span_has_length', 'span_inside_day', 'discount_in_range', 'order_exists']) AS check_name)
-    SELECT n.check_name, CASE WHEN count(id) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(id) AS violations, arg_min(id, lpad(id, 12, '0')) AS first FROM n LEFT JOIN b ON n.check_name = b.check_name GROUP BY 1""", "v_spans"))
+@query("gd6_run_checks", sql("""WITH b AS (SELECT 'span_has_length' AS check_name, span_id AS id, 'ends at ' || e_ms AS detail FROM v_spans WHERE e_ms <= s_ms UNION ALL SELECT 'span_inside_day', span_id, 'ends at ' || e_ms FROM v_spans WHERE e_ms > 86400000 UNION ALL SELECT 'discount_in_range', l_orderkey, 'line ' || l_linenumber FROM lineitem WHERE l_discount NOT BETWEEN 0 AND 0.09
+    UNION ALL SELECT 'quantity_is_small', l_orderkey, 'quantity ' || l_quantity::BIGINT FROM lineitem WHERE l_quantity > 49 UNION ALL SELECT 'order_exists', l_orderkey, 'no order' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)), n AS (SELECT unnest(['span_has_length', 'span_inside_day', 'discount_in_range', 'quantity_is_small', 'order_exists']) AS check_name),
+    i AS (SELECT check_name, id, min(detail) AS detail, row_number() OVER (PARTITION BY check_name ORDER BY id) AS k FROM b GROUP BY 1, 2), e AS (SELECT check_name, string_agg(id::VARCHAR, ',' ORDER BY k) AS examples, min(CASE WHEN k = 1 THEN detail END) AS detail FROM i WHERE k <= 5 GROUP BY 1)
+    SELECT n.check_name, CASE WHEN count(id) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(id) AS violations, any_value(e.detail) AS detail, any_value(e.examples) AS examples FROM n LEFT JOIN b ON n.check_name = b.check_name LEFT JOIN e ON n.check_name = e.check_name GROUP BY 1""", "v_spans"))
 def gd6(spark, d):
     s, items = v_spans(spark, d), table(spark, d, "lineitem")
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    ends = F.concat(F.lit("ends at "), F.col("e_ms"))
     return C.run_checks([
-        ("span_has_length", s.where("e_ms <= s_ms"), "span_id"), ("span_inside_day", s.where("e_ms > 86400000"), "span_id"),
-        ("discount_in_range", items.where("NOT l_discount BETWEEN 0 AND 0.09"), "l_orderkey"), ("order_exists", items.join(orders, "l_orderkey", "left_anti"), "l_orderkey"),
+        C.Check("span_has_length", s, F.col("e_ms") <= F.col("s_ms"), "span_id", ends), C.Check("span_inside_day", s, F.col("e_ms") > 86_400_000, "span_id", ends),
+        C.Check("discount_in_range", items, ~F.col("l_discount").between(0, 0.09), "l_orderkey", F.concat(F.lit("line "), F.col("l_linenumber"))),
+        C.Check("quantity_is_small", items, F.col("l_quantity") > 49, "l_orderkey", F.concat(F.lit("quantity "), F.col("l_quantity").cast("long"))),
+        C.Check("order_exists", items.join(orders, "l_orderkey", "left_anti"), F.lit(True), "l_orderkey", F.lit("no order")),
     ])
 
 

@@ -74,6 +74,13 @@ def dg8(spark, d):
     return out.select("label", "vec_id", F.round("max_similarity", 9).alias("max_similarity"))
 
 
+@query("dg8_near_duplicate_lsh")
+def dg8_lsh(spark, d):
+    """Every vector against all whose id ends in 0 or 5, under one key: what the projections find."""
+    e = table(spark, d, "embeddings").withColumn("all", F.lit("all"))
+    return D.near_duplicate_lsh(e.where("vec_id % 5 > 0"), e.where("vec_id % 5 = 0"), "all", "vec_id", "embedding", bits=4).select("vec_id", F.round("max_similarity", 9).alias("max_similarity"), "compared")
+
+
 @query("udf1_score_with", "SELECT vec_id, round(1 / (1 + exp(-(embedding[1]::DOUBLE * 2 - embedding[2]::DOUBLE))), 6) AS score FROM embeddings")
 def udf1(spark, d):
     import numpy as np

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlab.functions import text as T
+from spanlab.operators.wordings import nearest_reference
 from spanlab.plans.registry import query
 from spanlab.plans.views import table
 
@@ -126,11 +127,11 @@ def txt12(spark, d):
 def jn8(spark, d):
     part = table(spark, d, "part")
     refs = part.select(F.replace(F.col("p_name"), F.lit("a"), F.lit("e")).alias("ref"))
-    return T.nearest_reference(part.select("p_partkey", F.col("p_name").alias("text")), refs).drop("text")
+    return nearest_reference(part.select("p_partkey", F.col("p_name").alias("text")), refs).drop("text")
 
 
 @query("jn8_nearest_reference_turns")
 def jn8_turns(spark, d):
     """Whole texts of conversations against whole benchmark items."""
     refs = table(spark, d, "benchmark").select(T.norm_spoken(F.col("text")).alias("ref"))
-    return T.nearest_reference(table(spark, d, "conversations").select("conv_id", "turn", "text"), refs).drop("text")
+    return nearest_reference(table(spark, d, "conversations").select("conv_id", "turn", "text"), refs).drop("text")

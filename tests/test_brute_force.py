@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanlab.operators import aggregates, diagnostics, metrics, ranks, sampling, series, signals, splits
+from spanlab.operators import aggregates, checks, diagnostics, metrics, ranks, sampling, series, signals, splits, wordings
 from spanlab.plans import registry, sampling_queries
 from spanlab.plans.signals_queries import levels
 
@@ -158,19 +158,98 @@ def test_speech_start(spark):
     assert {r["i"]: r["s"] for r in df.collect()} == {i: plain_start(v, 5, 6.0, 3, 8) for i, v in rows}
 
 
-def test_near_duplicate_maximum(spark, monkeypatch):
-    monkeypatch.setattr(diagnostics, "BLOCK", 3)
+def cos(x, y):
+    n = np.linalg.norm(x) * np.linalg.norm(y)
+    return float(np.dot(x, y) / n) if n else 0.0
+
+
+@pytest.mark.parametrize(("block", "rows", "pivots"), [(3, 7, 4), (4096, 65_536, 32)])
+def test_near_duplicate_maximum(spark, monkeypatch, block, rows, pivots):
+    for name, value in (("BLOCK", block), ("ROWS", rows), ("PIVOTS", pivots)):
+        monkeypatch.setattr(diagnostics, name, value)
     rng = np.random.default_rng(1)
-    a = [(k, i, rng.normal(size=4).tolist()) for i, k in enumerate([0] * 30 + [1] * 5 + [2])]
-    refs = [(k, 100 + i, rng.normal(size=4).tolist()) for i, k in enumerate([0] * 20 + [1] * 2)]
+    a = [(k, i, rng.normal(size=4).tolist()) for i, k in enumerate([0] * 30 + [1] * 5 + [2])] + [(0, 36, [0.0] * 4), (None, 37, [1.0] * 4)]
+    refs = [(k, 100 + i, rng.normal(size=4).tolist()) for i, k in enumerate([0] * 20 + [1] * 2)] + [(0, 130, [0.0] * 4), (0, 131, [0.0] * 4), (None, 132, [1.0] * 4)]
     schema = "k int, id long, v array<double>"
     got = {r["id"]: r["max_similarity"] for r in diagnostics.near_duplicate_max(spark.createDataFrame(a, schema), spark.createDataFrame(refs, schema), "k", "id", "v").collect()}
-    cos = lambda x, y: float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
-    assert set(got) == set(range(36)) and got[35] is None
-    for k, i, v in a[:35]:
+    assert set(got) == set(range(38)) and got[35] is None and got[37] is None
+    for k, i, v in a[:35] + a[36:37]:
         assert math.isclose(got[i], max(cos(v, w) for q, _, w in refs if q == k), abs_tol=1e-12)
 
 
+def test_pivots_leave_cells_out_and_projections_find_near_ones(spark):
+    """Rows around 40 centres: exact with a fraction of all comparisons; projections with fewer still, never too high, and at least 0.9 of the near ones."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 24))
+    schema = "k string, id long, v array<double>"
+    refs = [("x", 10_000 + i, (centres[i % 40] + 0.1 * rng.normal(size=24)).tolist()) for i in range(800)]
+    a = [("x", i, (centres[i % 40] + 0.1 * rng.normal(size=24)).tolist()) for i in range(400)]
+    rows, other = spark.createDataFrame(a, schema), spark.createDataFrame(refs, schema)
+    best = {i: max(cos(v, w) for _, _, w in refs) for _, i, v in a}
+    exact = {r["id"]: r for r in diagnostics.near_duplicate_max(rows, other, "k", "id", "v").collect()}
+    assert all(math.isclose(exact[i]["max_similarity"], best[i], abs_tol=1e-12) for i in best)
+    quick = {r["id"]: r for r in diagnostics.near_duplicate_lsh(rows, other, "k", "id", "v").collect()}
+    made = lambda told: sum(r["compared"] for r in told.values())
+    assert made(exact) < 0.4 * 400 * 800 and min(best.values()) > 0.9
+    found = [quick[i]["max_similarity"] for i in best]
+    assert all(f is None or f <= best[i] + 1e-12 for i, f in zip(best, found))
+    assert sum(f is not None and math.isclose(f, best[i], abs_tol=1e-9) for i, f in zip(best, found)) >= 0.9 * len(best)
+
+
+def test_projections_on_the_given_vectors(spark):
+    """Recall on the embeddings, which are spread wide: 4 bits, 12 tables."""
+    e = [(r["vec_id"], r["embedding"]) for r in table(spark, "embeddings").collect()]
+    refs = np.array([v for i, v in e if i % 5 == 0])
+    refs /= np.linalg.norm(refs, axis=1)[:, None]
+    best = {i: float((refs @ np.array(v)).max() / np.linalg.norm(v)) for i, v in e if i % 5}
+    got = {r["vec_id"]: r for r in registry.QUERIES["dg8_near_duplicate_lsh"](spark, SF).collect()}
+    assert set(got) == set(best) and sum(abs((got[i]["max_similarity"] or -1) - b) < 1e-6 for i, b in best.items()) >= 0.9 * len(best)
+
+
+def test_check_suite_merges_small_buffers(spark):
+    rows = [(i % 700, i, "d%03d" % (i % 9)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, v long, d string").repartition(7)
+    told = {r["check_name"]: r for r in checks.run_checks([
+        checks.Check("all", df, F.lit(True), "id", F.col("d")), checks.Check("none", df, F.lit(False), "id", F.col("d")), checks.Check("few", df, F.col("v") > 4996, "id", F.col("d")),
+        checks.Check("unknown", df, F.lit(None).cast("boolean"), "id", F.col("d")), checks.Check("other", df.where("v < 20"), F.col("v") > 8, "v", F.lit(None)),
+    ]).collect()}
+    assert (told["all"]["violations"], told["all"]["examples"], told["all"]["detail"]) == (5000, "0,1,2,3,4", min(d for i, _, d in rows if i == 0))
+    assert (told["none"]["status"], told["unknown"]["status"], told["none"]["examples"]) == ("PASS", "PASS", None)
+    assert (told["few"]["violations"], told["few"]["examples"]) == (3, "97,98,99") and (told["other"]["examples"], told["other"]["detail"]) == ("9,10,11,12,13", "")
+
+
+def test_suite_scans_a_table_once(spark):
+    df = spark.read.parquet(f"{SF}/lineitem.parquet")
+    suite = [checks.Check(f"c{k}", df, F.col("l_quantity") > k, "l_orderkey", F.lit("x")) for k in range(6)]
+    assert checks.run_checks(suite)._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+
+def test_nearest_of_many_wordings(spark):
+    """Thousands of wordings, some within reach of a text and some texts out of reach of all, ties and nulls among them."""
+    rng = random.Random(12)
+    said = lambda: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 4)))
+    refs = sorted({said() for _ in range(1800)})
+    texts = [None, "", "a", "ab"] + [said() if rng.random() < 0.4 else "".join(c for c in rng.choice(refs) if rng.random() > 0.08) for _ in range(60)]
+    got = {r["id"]: r for r in wordings.nearest_reference(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), spark.createDataFrame([(r,) for r in refs], "ref string")).collect()}
+
+    def ratio(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1] / max(len(a), len(b), 1)
+
+    reasons = set()
+    for i, t in enumerate(texts):
+        n = " ".join((t or "").split())
+        best, ref = min((ratio(n, r), r) for r in refs)
+        assert (got[i]["nearest"], got[i]["ratio"]) == (ref, best)
+        assert got[i]["reason"] == ("empty" if n == "" else "too_far" if best > 0.25 else got[i]["reason"])
+        reasons.add(got[i]["reason"])
+    assert {"empty", "too_far", "match"} <= reasons
+
+
 def test_shortcut_probe_tells_separable_classes(spark):
     rng = np.random.default_rng(3)
     rows = [(i, i // 7 % 2, (rng.normal(size=5) + (4 if i // 7 % 2 else -4)).tolist(), int(rng.integers(2))) for i in range(600)]
