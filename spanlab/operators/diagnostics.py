@@ -50,11 +50,43 @@ def cluster_bootstrap(df: DataFrame, group: str, value: str, reps: int, seed: in
     return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(q).select("mean", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
-def before_after(df: DataFrame, keys: list[str], before: str, after: str, threshold: float) -> DataFrame:
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col(after) - F.col(before)).alias("mean_change"), F.count_if(F.col(before) > threshold).alias("above_before"), F.count_if(F.col(after) > threshold).alias("above_after"))
+#: Draws that one hash gives: four hexadecimal digits each.
+DRAWS = 16
+#: The shares of a Poisson number of mean one that lie under 1, 2, ... 8.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916759850712, 0.9999897508033253)
+
+
+def poisson_bootstrap(df: DataFrame, keys: list[str], value: Column, ident: list[str], reps: int, seed: int) -> DataFrame:
+    """(keys, low, high): the 2.5 and 97.5 per cent points of the mean of ``value`` over ``reps`` replicates, interpolated.
+
+    Each row (named by ``ident``) stands in a replicate a Poisson number of times, by a hash. Replicates are sums that each task adds up for itself before they meet, so rows
+    are neither copied nor moved, whatever the number of replicates or the size of a key. Null values are left out; a replicate without rows doesn't count.
+    """
+    hashes = [F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ident], F.lit(str(k))), 256) for k in range(-(-reps // DRAWS))]
+    rows = df.where(value.isNotNull()).select(*keys, value.alias("__v"), F.array(*hashes).alias("__h"))
+    each = []
+    for r in range(reps):
+        u = F.conv(F.substring(F.get("__h", F.lit(r // DRAWS)), 4 * (r % DRAWS) + 1, 4), 16, 10).cast("long") / 65536.0
+        times = sum(((u >= e).cast("int") for e in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+        each += [F.sum(F.col("__v") * times).alias(f"__s{r}"), F.sum(times).alias(f"__n{r}")]
+    means = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"__n{r}") > 0, F.col(f"__s{r}") / F.col(f"__n{r}")) for r in range(reps)])))
+
+    def point(share: float) -> Column:
+        at = (F.size("__m") - 1) * F.lit(share)
+        low, high = F.get("__m", F.floor(at).cast("int")), F.get("__m", F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    return rows.groupBy(*keys).agg(*each).select(*keys, means.alias("__m")).select(*keys, point(0.025).alias("low"), point(0.975).alias("high"))
+
+
+def before_after(df: DataFrame, keys: list[str], before: str, after: str, threshold: float, ident: list[str], reps: int = 96, seed: int = 0) -> DataFrame:
+    """Medians before and after, the mean change with its 95 per cent interval over resampled rows, and how many lie above the threshold."""
+    change = F.col(after) - F.col(before)
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(change).alias("mean_change"), F.count_if(F.col(before) > threshold).alias("above_before"), F.count_if(F.col(after) > threshold).alias("above_after"))
     for c, name in ((before, "median_before"), (after, "median_after")):
         out = beside(out, quantiles(df, keys, c, {name: 0.5}), keys)
-    return out.select(*keys, "n", "median_before", "median_after", "mean_change", "above_before", "above_after")
+    out = beside(out, poisson_bootstrap(df, keys, change, ident, reps, seed).withColumnsRenamed({"low": "change_low", "high": "change_high"}), keys)
+    return out.select(*keys, "n", "median_before", "median_after", "mean_change", "change_low", "change_high", "above_before", "above_after")
 
 
 def ablation_delta(full: DataFrame, without: DataFrame, key: str, value: str) -> DataFrame:

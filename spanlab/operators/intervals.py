@@ -26,6 +26,7 @@ class WindowConfig:
     partial_share: float = 0.35
     partial_most: float = 0.5
     guard: int = 500
+    chunk_guard: int = 200
     hop: int = 750
     tail_share: float = 0.25
     cap: int = 700
@@ -116,15 +117,41 @@ def hop_starts(lo: Column, hi: Column, length: int, hop: int, tail: int) -> Colu
     return F.when(hi - lo < length, F.array().cast("array<bigint>")).otherwise(F.when((left > 0) & (left >= tail), F.array_append(starts, hi - length)).otherwise(starts))
 
 
-def negative_windows(files: DataFrame, spans: DataFrame, cfg: WindowConfig = WindowConfig(), held: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Windows in the free regions of each file (file_id, duration_ms) after a guard around spans; and the files that give none, with the reason."""
-    files = files.withColumn("reason", F.when(held, "held_for_review") if held is not None else F.lit(None).cast("string")).withColumn("lo", F.lit(0).cast("long"))
+def free_between(files: DataFrame, guards: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, free_start, free_end): what no guard covers of each file (key, duration_ms), by a sweep over the guards' borders.
+
+    Every guard opens at its start and closes at its end; guards of all classes are counted together, so they may lie in each other or overlap. Borders at one place are added up first, and a stretch is
+    free where the running depth behind a border is 0. Guards that reach over a file's ends are cut there.
+    """
+    inside = guards.join(files.select(key, "duration_ms"), key)
+    at = lambda c: F.least(F.greatest(F.col(c), F.lit(0)), F.col("duration_ms"))
+    inside = inside.select(key, at(start).alias("a"), at(end).alias("b")).where("b > a")
+    mark = lambda c, by: F.struct(c.cast("long").alias("t"), F.lit(by).alias("by"))
+    marks = inside.select(key, F.explode(F.array(mark(F.col("a"), 1), mark(F.col("b"), -1))).alias("m"))
+    ends = files.select(key, F.explode(F.array(mark(F.lit(0), 0), mark(F.col("duration_ms"), 0))).alias("m"))
+    borders = marks.unionByName(ends).groupBy(key, F.col("m.t").alias("t")).agg(F.sum("m.by").alias("by"))
+    w = W.partitionBy(key).orderBy("t")
+    depths = borders.withColumns({"depth": F.sum("by").over(w.rowsBetween(W.unboundedPreceding, 0)), "free_end": F.lead("t").over(w)})
+    return depths.where("depth = 0 AND free_end > t").select(key, F.col("t").alias("free_start"), "free_end")
+
+
+def negative_windows(files: DataFrame, spans: DataFrame, cfg: WindowConfig = WindowConfig(), held: Column | None = None, chunks: DataFrame | None = None, positive: Column | None = None, blocked: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Windows in the free regions of each file (file_id, duration_ms), and the files that give none, with the reason.
+
+    Guards are the spans widened by ``guard`` and, in files that are ``positive``, the speech ``chunks`` (file_id, s_ms, e_ms) widened by ``chunk_guard``. A file shorter than a window gets one
+    centred window if nothing is guarded in it. Files that are ``held`` or ``blocked`` (an unresolved recording flag) give a reason only.
+    """
+    no, yes = F.lit(False), F.lit(True)
+    files = files.withColumn("reason", F.when(no if held is None else held, "held_for_review").when(no if blocked is None else blocked, "blocked_by_flag"))
     open_files = files.where("reason IS NULL")
-    wide = spans.select("file_id", (F.col("s_ms") - cfg.guard).alias("s_ms"), (F.col("e_ms") + cfg.guard).alias("e_ms"))
-    free = subtract(open_files, wide, ["file_id"], "s_ms", "e_ms", "lo", "duration_ms")
+    wide = lambda df, by: df.select("file_id", (F.col("s_ms") - by).alias("s_ms"), (F.col("e_ms") + by).alias("e_ms"))
+    guards = wide(spans, cfg.guard)
+    if chunks is not None:
+        guards = guards.unionByName(wide(chunks.join(open_files.where(yes if positive is None else positive).select("file_id"), "file_id", "left_semi"), cfg.chunk_guard))
+    free = free_between(open_files, guards, "file_id", "s_ms", "e_ms")
     starts = hop_starts(F.col("free_start"), F.col("free_end"), cfg.length, cfg.hop, int(cfg.tail_share * cfg.length))
     regions = free.select("file_id", F.explode(starts).alias("w0")).withColumn("w1", F.col("w0") + cfg.length)
-    short = open_files.where(F.col("duration_ms") < cfg.length).join(spans.select("file_id").distinct(), "file_id", "left_anti")
+    short = open_files.where(F.col("duration_ms") < cfg.length).join(guards.select("file_id").distinct(), "file_id", "left_anti")
     short = short.select("file_id", F.floor((F.col("duration_ms") - cfg.length) / 2).alias("w0")).withColumn("w1", F.col("w0") + cfg.length)
     windows = linspace_cap(regions.unionByName(short), "file_id", ["w0"], cfg.cap)
     none = open_files.select("file_id").join(windows.select("file_id").distinct(), "file_id", "left_anti").withColumn("reason", F.lit("no_free_region"))

@@ -38,10 +38,18 @@ def dg2(spark, d):
     return D.cluster_bootstrap(items, "l_suppkey", "q", 200, 3).select("mean", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-@query("dg3_before_after", "SELECT l_returnflag, count(*) AS n, quantile_cont(b, 0.5) AS median_before, quantile_cont(a, 0.5) AS median_after, sum(a - b) / count(*)::DOUBLE AS mean_change, count_if(b > 30) AS above_before, count_if(a > 30) AS above_after FROM (SELECT l_returnflag, l_quantity::BIGINT AS b, l_quantity::BIGINT + l_linenumber AS a FROM lineitem) GROUP BY 1")
+_TIMES = " + ".join(f"(u >= {e!r}::DOUBLE)::INT" for e in D.POISSON)
+
+
+@query("dg3_before_after", f"""WITH t AS (SELECT l_returnflag, l_orderkey || '|' || l_linenumber AS id, l_quantity::BIGINT AS b, l_quantity::BIGINT + l_linenumber AS a FROM lineitem),
+    h AS (SELECT l_returnflag, a - b AS c, k * 16 AS first, sha256('3|' || id || '|' || k) AS h FROM t, range(0, 3) r(k)), d AS (SELECT l_returnflag, c, first + j AS rep, ('0x' || substr(h, 4 * j::BIGINT + 1, 4))::BIGINT / 65536.0::DOUBLE AS u FROM h, range(0, 16) x(j)),
+    m AS (SELECT l_returnflag, rep, sum(c * n)::BIGINT / sum(n)::BIGINT::DOUBLE AS m FROM (SELECT *, {_TIMES} AS n FROM d) GROUP BY 1, 2), i AS (SELECT l_returnflag, round(quantile_cont(m, 0.025), 9) AS change_low, round(quantile_cont(m, 0.975), 9) AS change_high FROM m GROUP BY 1)
+    SELECT t.l_returnflag, count(*) AS n, quantile_cont(b, 0.5) AS median_before, quantile_cont(a, 0.5) AS median_after, sum(a - b) / count(*)::DOUBLE AS mean_change, any_value(change_low) AS change_low, any_value(change_high) AS change_high, count_if(b > 30) AS above_before, count_if(a > 30) AS above_after FROM t JOIN i ON t.l_returnflag = i.l_returnflag GROUP BY 1""")
 def dg3(spark, d):
     b = F.col("l_quantity").cast("long")
-    return D.before_after(table(spark, d, "lineitem").select("l_returnflag", b.alias("b"), (b + F.col("l_linenumber")).alias("a")), ["l_returnflag"], "b", "a", 30)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", b.alias("b"), (b + F.col("l_linenumber")).alias("a"))
+    out = D.before_after(rows, ["l_returnflag"], "b", "a", 30, ["l_orderkey", "l_linenumber"], 48, 3)
+    return out.withColumns({c: F.round(c, 9) for c in ("change_low", "change_high")})
 
 
 @query("dg4_ablation_delta", sql("WITH a AS (SELECT l_suppkey, count_if(truth = pred) / count(*)::DOUBLE AS v FROM v_pred GROUP BY 1), b AS (SELECT l_suppkey, count_if(truth = pred) / count(*)::DOUBLE AS v FROM v_pred WHERE grp = 'O' GROUP BY 1) SELECT a.l_suppkey, a.v AS \"full\", b.v AS without, a.v - b.v AS \"drop\" FROM a JOIN b ON a.l_suppkey = b.l_suppkey", "v_pred"))

@@ -32,9 +32,13 @@ _UNION = "u AS (" + _MERGE.replace("v_spans", "v_in") + ")"
 
 
 def _free(where: str, lo: str, hi: str, guard: int = 0) -> str:
-    spans = f"g AS (SELECT file_id, s_ms - {guard} AS s_ms, e_ms + {guard} AS e_ms FROM v_spans WHERE {where})"
+    return f"g AS (SELECT file_id, s_ms - {guard} AS s_ms, e_ms + {guard} AS e_ms FROM v_spans WHERE {where}), {_free_of(lo, hi)}"
+
+
+def _free_of(lo: str, hi: str) -> str:
+    """What the spans of g leave free."""
     clip = _CLIP.format(lo=lo, hi=hi).replace("FROM v_spans", "FROM g")
-    return f"{spans}, {clip}, {_UNION}, m AS (SELECT file_id, s_ms, e_ms FROM u UNION ALL SELECT DISTINCT file_id, {lo}, {lo} FROM v_spans UNION ALL SELECT DISTINCT file_id, {hi}, {hi} FROM v_spans), f AS (SELECT file_id, e_ms AS free_start, lead(s_ms) OVER (PARTITION BY file_id ORDER BY s_ms, e_ms) AS free_end FROM m)"
+    return f"{clip}, {_UNION}, m AS (SELECT file_id, s_ms, e_ms FROM u UNION ALL SELECT DISTINCT file_id, {lo}, {lo} FROM v_spans UNION ALL SELECT DISTINCT file_id, {hi}, {hi} FROM v_spans), f AS (SELECT file_id, e_ms AS free_start, lead(s_ms) OVER (PARTITION BY file_id ORDER BY s_ms, e_ms) AS free_end FROM m)"
 
 
 @query("iv2_subtract", sql(f"WITH {_free('true', '21600000', '64800000')} SELECT * FROM f WHERE free_end > free_start", "v_spans"))
@@ -95,6 +99,21 @@ def wg3(spark, d):
     return windows.select("file_id", "w0", F.lit(None).cast("string").alias("reason")).unionByName(refused.select("file_id", F.lit(None).cast("long").alias("w0"), "reason"))
 
 
+_GUARDS = "g AS (SELECT file_id, s_ms - 300000 AS s_ms, e_ms + 300000 AS e_ms FROM v_spans WHERE kind = 'purchase' UNION ALL SELECT file_id, s_ms - 60000, e_ms + 60000 FROM v_spans WHERE kind = 'view' AND file_id % 3 = 0)"
+
+
+@query("wg3_negative_windows_guarded", sql(f"""WITH {_GUARDS}, {_free_of('0', '86400000')}, s AS (SELECT file_id, unnest({_NEG_STARTS.format(L=600000, H=300000, T=150000)}) AS w0 FROM f WHERE free_end > free_start AND file_id % 10 > 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY w0) - 1 AS i, count(*) OVER (PARTITION BY file_id) AS c FROM s)
+    SELECT file_id, w0, NULL AS reason FROM r WHERE c <= 100 OR i IN (SELECT (2 * j * (r.c - 1) + 99) // 198 FROM range(0, 100) t(j)) UNION ALL SELECT DISTINCT file_id, NULL, CASE WHEN file_id % 10 = 0 THEN 'held_for_review' ELSE 'blocked_by_flag' END FROM v_spans WHERE file_id % 10 < 2
+    UNION ALL SELECT DISTINCT file_id, NULL, 'no_free_region' FROM v_spans WHERE file_id % 10 > 1 AND file_id NOT IN (SELECT file_id FROM s)""", "v_spans"))
+def wg3_guarded(spark, d):
+    """Spans and, in every third file, speech chunks are guarded; a tenth of the files is held and another blocked."""
+    cfg = I.WindowConfig(length=600_000, guard=300_000, chunk_guard=60_000, hop=300_000, tail_share=0.25, cap=100)
+    spans, last = v_spans(spark, d), F.col("file_id") % 10
+    windows, refused = I.negative_windows(files(spark, d), spans.where("kind = 'purchase'"), cfg, last == 0, spans.where("kind = 'view'"), F.col("file_id") % 3 == 0, last == 1)
+    return windows.select("file_id", "w0", F.lit(None).cast("string").alias("reason")).unionByName(refused.select("file_id", F.lit(None).cast("long").alias("w0"), "reason"))
+
+
 @query("wg4_sliding_starts", "SELECT doc_id, unnest(" + _NEG_STARTS.format(L=400, H=150, T=1).replace("free_end - free_start", "n_chars").replace("free_end", "n_chars").replace("free_start", "0") + ") AS w0 FROM documents")
 def wg4(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(I.sliding_starts(F.col("n_chars"), 400, 150, True)).alias("w0"))
