@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlab.operators.intervals import union_length
 from spanlab.operators.joins import HOUR_US, one_to_one_match, points_in
-from spanlab.operators.triggers import k_of_n, refractory
+from spanlab.operators.triggers import k_of_n, refractory_levels
 
 
 def match(triggers: DataFrame, targets: DataFrame, key: str, before: int, after: int) -> tuple[DataFrame, DataFrame]:
@@ -49,10 +49,33 @@ def stream_report(streams: DataFrame, triggers: DataFrame, targets: DataFrame, k
 
 
 def sweep(scores: DataFrame, thresholds: list[float], stream: str, t: str, score: str, gap: int, k: int, n: int, tie: str) -> DataFrame:
-    """Triggers for every threshold of a short grid as one job; the threshold is a column of the key."""
-    grid = scores.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds]))).withColumn("__key", F.concat_ws("|", F.col(stream).cast("string"), F.col("threshold").cast("string")))
-    on = k_of_n(grid, "__key", t, score, F.col("threshold"), k, n, "__on", tie).where("__on")
-    return refractory(on, [stream, "threshold"], t, gap, [score, tie], tie)
+    """Triggers for every threshold: (threshold, stream, t, score, tie).
+
+    A score that sets off a threshold sets off the lower ones too, so each score says how many of them it does, in one window, and one walk finds the triggers of all.
+    """
+    ascending = sorted({float(x) for x in thresholds})
+    flags = scores
+    for i, x in enumerate(ascending):
+        flags = k_of_n(flags, stream, t, score, x, k, n, f"__on{i}", tie)
+    level = sum((F.coalesce(F.col(f"__on{i}"), F.lit(False)).cast("int") for i in range(1, len(ascending))), F.coalesce(F.col("__on0"), F.lit(False)).cast("int"))
+    cands = flags.select(stream, t, score, tie, level.alias("__level")).where("__level > 0")
+    told = refractory_levels(cands, [stream], t, gap, [score, tie], len(ascending), tie)
+    return told.select(F.get(F.array(*[F.lit(x) for x in ascending]), F.col("level")).alias("threshold"), *[c for c in told.columns if c != "level"])
+
+
+def threshold_curve(scores: DataFrame, thresholds: list[float], streams: DataFrame, targets: DataFrame, key: str, t: str, score: str, tie: str, gap: int, k: int, n: int, before: int, after: int) -> DataFrame:
+    """False accepts an hour against the miss rate: what ``stream_report`` tells of all streams (key, exposure), for each threshold, and ``miss_rate``.
+
+    Only triggers, targets (key, target_id, s, e) and streams stand once for each threshold; scores are walked once for all of them. Thresholds without a trigger have their row too.
+    """
+    grid = F.explode(F.array(*[F.lit(float(x)) for x in sorted({float(x) for x in thresholds})])).alias("threshold")
+    at = F.concat_ws("|", F.col("threshold").cast("string"), F.col(key).cast("string")).alias("__at")
+    found = sweep(scores, thresholds, key, t, score, gap, k, n, tie).select(at, F.col(t).alias("t"), F.col(tie).alias("trigger_id"))
+    wanted = targets.select("*", grid).select(at, "target_id", "s", "e")
+    exposed = streams.select("*", grid).select(at, "threshold", "exposure")
+    triggers, hits = match(found, wanted, "__at", before, after)
+    told = stream_report(exposed.withColumn("threshold", F.col("threshold").cast("string")), triggers, hits, "__at", ["threshold"]).where("dimension = 'threshold'")
+    return told.select(F.col("value").cast("double").alias("threshold"), "targets", "hits", "false_accepts", "duplicates", "exposure", "detection_rate", (1 - F.col("detection_rate")).alias("miss_rate"), "fa_per_hour")
 
 
 def outcome(want: Column, got: Column, rejected: str = "unknown") -> Column:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType
 
 
 def smooth(df: DataFrame, stream: str, t: str, score: str, k: int, into: str, tie: str | None = None) -> DataFrame:
@@ -33,34 +34,52 @@ def refractory(cands: DataFrame, streams: list[str], t: str, gap: int, payload:
     islands there, and islands are dealt to tasks apart. Inside an island a walk over sorted batches leaps from each kept one to the first that
     is far enough behind it: it holds one time, however long the island is.
     """
+    return refractory_levels(cands.withColumn("__level", F.lit(1)), streams, t, gap, payload, 1, tie).drop("level")
+
+
+def refractory_levels(cands: DataFrame, streams: list[str], t: str, gap: int, payload: list[str], levels: int, tie: str | None = None) -> DataFrame:
+    """The same for ``levels`` detectors at once, of which a candidate counts for the first ``__level``: the kept ones of each, with their ``level`` from 0.
+
+    Whoever counts for a level counts for those below it, so islands of the lowest one part all others too, and one walk holds the last kept time of every level. Candidates
+    are neither copied nor moved once a level.
+    """
     order = [x for x in (t, tie) if x]
     cols = [*streams, *order, *[c for c in payload if c not in order]]
     w = W.partitionBy(*streams).orderBy(*order)
     fresh = F.when(F.coalesce(F.col(t) - F.lag(t).over(w) >= gap, F.lit(True)), 1).otherwise(0)
-    isles = cands.select(*cols).withColumn("__first", fresh).withColumn("__island", F.sum("__first").over(w))
+    isles = cands.select(*cols, F.col("__level").cast("int").alias("__level")).withColumn("__first", fresh).withColumn("__island", F.sum("__first").over(w))
     dealt = isles.repartition(*streams, "__island").sortWithinPartitions(*streams, "__island", *order)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last: list = [None] * levels
         for b in batches:
-            times = b.column(b.schema.get_field_index(t)).to_numpy(zero_copy_only=False)
-            heads = np.flatnonzero(b.column(b.schema.get_field_index("__first")).to_numpy(zero_copy_only=False))
-            kept: list[int] = []
-            # Rows before the first head go on with the island of the batch before.
-            for k, (at, end) in enumerate(zip(np.append(0, heads), np.append(heads, len(times)))):
-                if k:
-                    last = None
-                while at < end:
-                    if last is not None:
-                        at += np.searchsorted(times[at:end], last + gap)
-                        if at >= end:
-                            break
-                    kept.append(at)
-                    last = times[at]
-                    at += 1
-            yield b.take(pa.array(kept, pa.int64())).select(cols)
-
-    return dealt.mapInArrow(walk, dealt.select(*cols).schema)
+            column = lambda name: b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+            every, island, reach = column(t), np.cumsum(column("__first")), column("__level")
+            kept, told = [], []
+            for level in range(levels):
+                mine = np.flatnonzero(reach > level)
+                times, heads = every[mine], island[mine]
+                # Rows before the first head (island 0) go on with the island of the batch before.
+                edges = np.flatnonzero(np.diff(heads)) + 1
+                for at, end in zip(np.append(0, edges), np.append(edges, len(times))):
+                    if at < end and heads[at]:
+                        last[level] = None
+                    while at < end:
+                        if last[level] is not None:
+                            at += np.searchsorted(times[at:end], last[level] + gap)
+                            if at >= end:
+                                break
+                        kept.append(mine[at])
+                        told.append(level)
+                        last[level] = times[at]
+                        at += 1
+                # An island may go on in the next batch without this level's rows in it: what was kept in an older one is over.
+                if len(island) and island[-1] and (not len(heads) or heads[-1] != island[-1]):
+                    last[level] = None
+            out = b.take(pa.array(kept, pa.int64())).select(cols)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(told, pa.int32())], names=[*cols, "level"])
+
+    return dealt.mapInArrow(walk, dealt.select(*cols).schema.add("level", IntegerType()))
 
 
 def detect(scores: DataFrame, stream: str, t: str, score: str, threshold: float, gap: int, k: int = 1, n: int = 1, smoothing: int = 1, tie: str | None = None) -> DataFrame:

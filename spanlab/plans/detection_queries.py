@@ -61,15 +61,27 @@ def dt4(spark, d):
     return D.stream_report(exposed(spark, d), t, g, "stream_id", ["condition", "set_name"])
 
 
-@query("dt5_sweep", sql("""WITH g AS (SELECT unnest([40.0, 60.0, 80.0])::DOUBLE AS threshold), f AS (SELECT s.*, threshold, sum((score >= threshold)::INT) OVER (PARTITION BY stream_id, threshold ORDER BY t_us, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS above FROM v_scores s, g),
-    c AS (SELECT *, row_number() OVER (PARTITION BY stream_id, threshold ORDER BY t_us, event_id) AS n FROM f WHERE score >= threshold AND above >= 2),
-    w AS (SELECT stream_id, threshold, n, t_us AS last, true AS hit FROM c WHERE n = 1 UNION ALL SELECT c.stream_id, c.threshold, c.n, CASE WHEN c.t_us - w.last >= 43200000000 THEN c.t_us ELSE w.last END, c.t_us - w.last >= 43200000000 FROM w JOIN c ON c.stream_id = w.stream_id AND c.threshold = w.threshold AND c.n = w.n + 1)
-    SELECT threshold, count(*) AS triggers FROM w WHERE hit GROUP BY 1""", "v_scores").replace("WITH v_scores", "WITH RECURSIVE v_scores"))
+_GRID = """g AS (SELECT unnest([40.0, 60.0, 80.0, 99.9])::DOUBLE AS threshold), fl AS (SELECT s.*, threshold, sum((score >= threshold)::INT) OVER (PARTITION BY stream_id, threshold ORDER BY t_us, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS above FROM v_scores s, g),
+    c AS (SELECT *, row_number() OVER (PARTITION BY stream_id, threshold ORDER BY t_us, event_id) AS n FROM fl WHERE score >= threshold AND above >= 2),
+    w AS (SELECT stream_id, threshold, n, event_id, t_us, t_us AS last, true AS hit FROM c WHERE n = 1 UNION ALL SELECT c.stream_id, c.threshold, c.n, c.event_id, c.t_us, CASE WHEN c.t_us - w.last >= 43200000000 THEN c.t_us ELSE w.last END, c.t_us - w.last >= 43200000000 FROM w JOIN c ON c.stream_id = w.stream_id AND c.threshold = w.threshold AND c.n = w.n + 1)"""
+
+
+@query("dt5_sweep", sql(f"WITH {_GRID} SELECT threshold, count(*) AS triggers FROM w WHERE hit GROUP BY 1", "v_scores").replace("WITH v_scores", "WITH RECURSIVE v_scores"))
 def dt5(spark, d):
-    s = D.sweep(v_scores(spark, d), [40, 60, 80], "stream_id", "t_us", "score", HALF_DAY, 2, 3, "event_id")
+    s = D.sweep(v_scores(spark, d), [40, 60, 80, 99.9], "stream_id", "t_us", "score", HALF_DAY, 2, 3, "event_id")
     return s.groupBy("threshold").agg(F.count("*").alias("triggers"))
 
 
+@query("dt5_threshold_curve", sql(f"""WITH {_EXPOSED}, {_GRID}, t AS (SELECT threshold, stream_id, t_us, event_id FROM w WHERE hit), k AS (SELECT g.threshold, v.stream_id, v.target_id, t.event_id, row_number() OVER (PARTITION BY g.threshold, v.stream_id, v.target_id ORDER BY t.t_us, t.event_id) AS n
+        FROM v_targets v CROSS JOIN g LEFT JOIN t ON t.threshold = g.threshold AND t.stream_id = v.stream_id AND t.t_us BETWEEN v.s_us AND v.e_us + 43200000000),
+    h AS (SELECT threshold, count(*) AS targets, count(event_id) AS hits FROM k WHERE n = 1 GROUP BY 1), y AS (SELECT t.threshold, t.event_id, EXISTS (SELECT 1 FROM v_targets v WHERE v.stream_id = t.stream_id AND t.t_us BETWEEN v.s_us AND v.e_us + 43200000000) AS inside, t.event_id IN (SELECT event_id FROM k WHERE n = 1 AND k.threshold = t.threshold AND event_id IS NOT NULL) AS hit FROM t),
+    z2 AS (SELECT threshold, count_if(NOT inside) AS fa, count_if(inside AND NOT hit) AS du FROM y GROUP BY 1), e AS (SELECT sum(exposure)::BIGINT AS exposure FROM x)
+    SELECT h.threshold, targets, hits, coalesce(fa, 0) AS false_accepts, coalesce(du, 0) AS duplicates, exposure, hits / targets::DOUBLE AS detection_rate, 1 - hits / targets::DOUBLE AS miss_rate, coalesce(fa, 0) / (exposure / 3600000000.0::DOUBLE) AS fa_per_hour FROM h LEFT JOIN z2 ON h.threshold = z2.threshold, e""", "v_targets", "v_streams", "v_scores").replace("WITH v_targets_raw", "WITH RECURSIVE v_targets_raw", 1))
+def dt5_curve(spark, d):
+    g = v_targets(spark, d).select("stream_id", "target_id", F.col("s_us").alias("s"), F.col("e_us").alias("e"))
+    return D.threshold_curve(v_scores(spark, d), [40, 60, 80, 99.9], exposed(spark, d), g, "stream_id", "t_us", "score", "event_id", HALF_DAY, 2, 3, 0, HALF_DAY)
+
+
 @query("dt7_outcome", sql("SELECT CASE WHEN truth = pred THEN 'correct' WHEN truth = 'unknown' THEN 'false_action' WHEN pred = 'unknown' THEN 'asks_again' ELSE 'wrong' END AS outcome, count(*) AS n FROM v_pred GROUP BY 1", "v_pred"))
 def dt7(spark, d):
     return v_pred(spark, d).groupBy(D.outcome(F.col("truth"), F.col("pred")).alias("outcome")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanlab.operators import aggregates, checks, diagnostics, metrics, ranks, sampling, series, signals, splits, wordings
+from spanlab.operators import aggregates, checks, detection, diagnostics, metrics, ranks, sampling, series, signals, splits, triggers, wordings
 from spanlab.plans import registry, sampling_queries
 from spanlab.plans.signals_queries import levels
 
@@ -206,6 +206,52 @@ def test_projections_on_the_given_vectors(spark):
     assert set(got) == set(best) and sum(abs((got[i]["max_similarity"] or -1) - b) < 1e-6 for i, b in best.items()) >= 0.9 * len(best)
 
 
+def test_sweep_walks_all_thresholds_at_once(spark):
+    """Each threshold's triggers are those of a detector of its own, with islands that go on over small batches."""
+    rng = random.Random(5)
+    rows = [(s, i * 7 + rng.randrange(5), rng.choice([0.2, 0.5, 0.51, 0.8, 0.95, None]), i) for s in "ab" for i in range(700)] + [("c", 3, 0.4, 1)]
+    df = spark.createDataFrame(rows, "s string, t long, p double, i long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {tuple(r) for r in detection.sweep(df, [0.8, 0.5, 0.9, 2.0], "s", "t", "p", 40, 2, 4, "i").select("threshold", "s", "t", "i").collect()}
+        want = {(x, *tuple(r)) for x in (0.5, 0.8, 0.9, 2.0) for r in triggers.detect(df, "s", "t", "p", x, 40, 2, 4, tie="i").select("s", "t", "i").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = set()
+    for x in (0.5, 0.8, 0.9, 2.0):
+        for s in "abc":
+            mine, last = sorted((t, i, p) for k, t, p, i in rows if k == s), None
+            for at, (t, i, p) in enumerate(mine):
+                near = [q for _, _, q in mine[max(0, at - 3) : at + 1]]
+                if p is not None and p >= x and sum(q is not None and q >= x for q in near) >= 2 and (last is None or t - last >= 40):
+                    plain.add((x, s, t, i))
+                    last = t
+    assert got == want == plain and len({r[0] for r in got}) == 3
+
+
+def test_owner_buckets_refuse_overlap_and_gaps(spark):
+    pool = spark.createDataFrame([("a", "x", 1), ("b", None, 2)], "kind string, source string, id int")
+    owners = [("a", "x", "one"), ("b", None, "two"), ("a", "x", "one"), ("c", "x", "two")]
+    frame = lambda rows: spark.createDataFrame(rows, "kind string, source string, bucket string")
+    assert {r["id"]: r["bucket"] for r in sampling.owner_buckets(pool, frame(owners), ["kind", "source"]).collect()} == {1: "one", 2: "two"}
+    with pytest.raises(ValueError, match="several"):
+        sampling.owner_buckets(pool, frame([*owners, ("a", "x", "two")]), ["kind", "source"])
+    with pytest.raises(ValueError, match="no bucket"):
+        sampling.owner_buckets(pool, frame(owners[:1]), ["kind", "source"])
+
+
+def test_draws_without_replacement_take_the_smallest_keys(spark):
+    rows = [(i % 3 if i % 7 else None, i, float(i % 11)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "b int, id long, w double")
+    quotas = spark.createDataFrame([(0, 100), (1, 5000), (2, 0)], "b int, quota long")
+    got = {}
+    for r in sampling.without_replacement(df, quotas, "b", "id", F.col("w"), 2, 5).collect():
+        got.setdefault(r["b"], set()).add(r["id"])
+    key = lambda i, w: -math.log(max(int(digest(5, 2, i)[:12], 16) / 2**48, 2.0**-49)) / w
+    ranked = lambda b: [i for _, i in sorted((key(i, w), i) for x, i, w in rows if x == b and w > 0)]
+    assert got == {0: set(ranked(0)[:100]), 1: set(ranked(1))}
+
+
 def test_check_suite_merges_small_buffers(spark):
     rows = [(i % 700, i, "d%03d" % (i % 9)) for i in range(5000)]
     df = spark.createDataFrame(rows, "id long, v long, d string").repartition(7)
