@@ -3,14 +3,15 @@
 A document's size is its number of words (null text: 0). Sources in code point order, null last, weigh 5, 2, 1,
 repeating, and share 150 % of all sizes; a source's target stops at twice its size and the excess is shared
 again by weight. Whole passes over a source come first; what is left of its budget is fitted over counts
-of documents by exact size, with bounded-knapsack passes for the last part, and seeded hashes choose the documents of
+of documents by exact size, as near as any choice comes (bounded knapsack over all sums of the last part, or of all documents where that isn't met), and seeded hashes choose the documents of
 each size. A document is taken 0, 1 or 2 times. Empty tables give empty results; documents of size 0 are never taken. Rows with a null
 doc_id are documents like others; equal rows are chosen apart. Very long texts only add a size, and other columns are not read.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from math import gcd, isqrt
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 SEED = 17
 SALTS = 256
-#: Sums that one knapsack pass tells apart; larger remainders are fitted in units first.
-SUMS = 1 << 17
+#: Documents of the largest size that the last part of a budget holds at most before all of its sums are tried.
+NEAR = 4
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -48,9 +49,10 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 
 
 def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each size to take, so that their words come as near ``budget`` as they can, from below or at it.
+    """How many documents of each size to take, so that their words come as near ``budget`` from below, or to it, as any choice of documents can.
 
-    An equal share of every size comes first, then single documents, largest first, and last bounded-knapsack passes over what is left.
+    An equal share of every size comes first, then single documents, largest first, until less than NEAR of the largest are left, and all sums of what is left are tried. That meets the budget, or the
+    largest multiple of the sizes' common divisor below it, wherever documents are many. Where it doesn't, all sums of all documents up to the budget are tried instead.
     """
     total = sum(s * n for s, n in zip(sizes, counts))
     if budget >= total:
@@ -59,48 +61,53 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
         return [0] * len(sizes)
     take = [n * budget // total for n in counts]
     left = budget - sum(s * n for s, n in zip(sizes, take))
-    order = sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=lambda i: -sizes[i])
-    floor = min(SUMS, 4 * max(sizes))
+    order = sorted((i for i in range(len(sizes)) if sizes[i] > 0 and counts[i] > 0), key=lambda i: -sizes[i])
+    step = gcd(*[sizes[i] for i in order])
     for i in order:
-        more = min(counts[i] - take[i], max(0, left - floor) // sizes[i])
+        more = min(counts[i] - take[i], max(0, left - NEAR * sizes[order[0]]) // sizes[i])
         take[i] += more
         left -= more * sizes[i]
-    while True:
-        # A remainder with more sums than the table holds is fitted in units, rounded up, and what that leaves in smaller ones.
-        unit = -(-left // SUMS) if left else 1
-        room = [(i, -(-sizes[i] // unit), counts[i] - take[i]) for i in order if sizes[i] <= left and counts[i] > take[i]]
-        # In units, a size that just fits may seem too large: then the largest document that fits is taken.
-        for i, k in _knapsack(room, left // unit) or [(i, 1) for i, _, _ in room[: unit > 1]]:
-            take[i] += k
-            left -= k * sizes[i]
-        if unit == 1 or not any(sizes[i] <= left and counts[i] > take[i] for i in order):
-            return take
-
-
-def _knapsack(room: list[tuple[int, int, int]], most: int) -> list[tuple[int, int]]:
-    """(item, number) of items (item, size, copies) whose sizes add up to the largest reachable sum up to ``most``.
-
-    Sums are bits of one number. The table holds, for each sum, the step that first reached it; sums before a step are reached without
-    it, so no step is taken twice. Items are offered until ``most`` itself is reached.
+    for i, k in _knapsack([(i, sizes[i], counts[i] - take[i]) for i in order], left, step):
+        take[i] += k
+        left -= k * sizes[i]
+    if left < step:
+        return take
+    take = [0] * len(sizes)
+    for i, k in _knapsack([(i, sizes[i], counts[i]) for i in order], budget, step):
+        take[i] += k
+    return take
+
+
+def _knapsack(room: list[tuple[int, int, int]], most: int, step: int) -> list[tuple[int, int]]:
+    """(item, number) of items (item, size, copies) whose sizes add up to the largest reachable sum up to ``most``; all sums are multiples of ``step``.
+
+    Copies are split into powers of two, and the reachable sums are bits of one number, which each part shifts on. Every so many parts the number is kept; on the way back the
+    numbers between two kept ones are made again, and a part is taken where its sum can't be reached without it. Parts are offered until ``most``, or what is next to it, is reached.
     """
-    reach, mask, steps = 1, (1 << (most + 1)) - 1, []
-    via = np.full(most + 1, -1, np.int32)
+    most //= step
+    parts = []
     for i, size, free in room:
-        k = 1
-        while free > 0 and k * size <= most and not reach >> most & 1:
+        k, size = 1, size // step
+        while free > 0 and k * size <= most:
             k = min(k, free)
-            fresh = (reach << (k * size)) & mask & ~reach
-            if fresh:
-                bits = np.unpackbits(np.frombuffer(fresh.to_bytes(most // 8 + 1, "little"), np.uint8), bitorder="little")
-                via[np.flatnonzero(bits)] = len(steps)
-                steps.append((i, k, size))
-                reach |= fresh
+            parts.append((i, k, k * size))
             free, k = free - k, 2 * k
+    every = max(1, isqrt(len(parts)))
+    reach, mask, kept, used = 1, (1 << (most + 1)) - 1, [], 0
+    while used < len(parts) and not reach >> most & 1:
+        if used % every == 0:
+            kept.append(reach)
+        reach |= (reach << parts[used][2]) & mask
+        used += 1
     at, out = reach.bit_length() - 1, []
-    while at:
-        i, k, size = steps[via[at]]
-        out.append((i, k))
-        at -= k * size
+    for first in range((used - 1) // every * every, -1, -every) if used else ():
+        before = [kept[first // every]]
+        for i, k, words in parts[first : min(first + every, used) - 1]:
+            before.append(before[-1] | (before[-1] << words) & mask)
+        for (i, k, words), without in zip(reversed(parts[first : min(first + every, used)]), reversed(before)):
+            if not without >> at & 1:
+                out.append((i, k))
+                at -= words
     return out
 
 

@@ -221,18 +221,21 @@ def test_fit_counts_reaches_the_budget():
         assert all(0 <= t <= c for t, c in zip(take, counts)) and 0 <= budget - used <= max(sizes)
 
 
-def test_fit_counts_beyond_the_table(monkeypatch):
-    """Long documents take part in the fit, and nothing that still fits is left out."""
-    assert mixing.fit_counts([400_000, 1_000_000], [1, 3], 1_500_000) == [1, 1]
-    monkeypatch.setattr(mixing, "SUMS", 64)
-    random.seed(4)
-    for _ in range(200):
-        sizes = sorted(random.sample(range(1, 5000), random.randint(1, 12)))
-        counts = [random.randint(1, 6) for _ in sizes]
+@pytest.mark.parametrize(("largest", "most"), [(60, 4), (5000, 3), (300_000, 2)])
+def test_fit_counts_equals_an_exhaustive_subset_sum(largest, most):
+    """Small and large sizes, few and many copies: no choice of documents comes nearer."""
+    assert mixing.fit_counts([60_000, 130_000, 130_001], [1, 1, 1], 260_001) == [0, 1, 1] and mixing.fit_counts([400_000, 1_000_000], [1, 3], 1_500_000) == [1, 1]
+    random.seed(largest)
+    for _ in range(150):
+        sizes = sorted(random.sample(range(1, largest), random.randint(1, 8)))
+        counts = [random.randint(0, most) for _ in sizes]
         budget = random.randint(0, sum(s * n for s, n in zip(sizes, counts)))
+        sums = {0}
+        for s, n in zip(sizes, counts):
+            sums = {x + k * s for x in sums for k in range(n + 1)}
         take = mixing.fit_counts(sizes, counts, budget)
-        left = budget - sum(s * n for s, n in zip(sizes, take))
-        assert left >= 0 and not any(s <= left and t < c for s, t, c in zip(sizes, take, counts))
+        assert all(0 <= t <= c for t, c in zip(take, counts))
+        assert sum(s * t for s, t in zip(sizes, take)) == max(x for x in sums if x <= budget)
 
 
 def test_fit_counts_many_sizes():
