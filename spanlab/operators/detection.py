@@ -89,9 +89,10 @@ def duration_limits(captures: DataFrame, limits: list[int], start: str, length:
     return captures.withColumn("limit", F.explode(F.array(*[F.lit(x).cast("long") for x in limits]))).withColumn("cut", cut).withColumn("is_cut", F.col("cut") < F.col(length))
 
 
-def per_event_outcomes(events: DataFrame, kind: str, woke: Column, correct: Column, rejected: Column) -> DataFrame:
-    n = F.count_if(woke)
+def per_event_outcomes(events: DataFrame, kind: str, woke: Column, correct: Column, rejected: Column, hours: Column) -> DataFrame:
+    """By kind of event: how many woke the detector and what came of it, and over the ``hours`` that the events took: wakes and actions (woken and not rejected) an hour."""
+    n, acted, told = F.count_if(woke), F.count_if(woke & ~rejected), F.sum(hours)
     return events.groupBy(kind).agg(
         F.count("*").alias("events"), n.alias("woke"), (n / F.count("*")).alias("woke_rate"), F.count_if(woke & correct).alias("correct"), F.count_if(woke & rejected).alias("rejected"), F.count_if(woke & ~correct & ~rejected).alias("wrong"),
-        (F.count_if(woke & correct) / F.count("*")).alias("end_to_end"),
+        (F.count_if(woke & correct) / F.count("*")).alias("end_to_end"), F.when(told > 0, n / told).alias("wakes_per_hour"), F.when(told > 0, acted / told).alias("actions_per_hour"),
     )

@@ -51,18 +51,19 @@ def choose_threshold(df: DataFrame, category: str, subset: str, excluded: list,
 
 
 def rate_table(df: DataFrame, groups: list[str], hit: Column, score: str) -> DataFrame:
-    """n, k (hits), rate and score statistics by each column and their combination; a column that isn't grouped by shows null and its flag 0."""
+    """n, k (hits), rate with its 95 per cent interval (Wilson's) and score statistics by each column and their combination; a column that isn't grouped by shows null and its flag 0."""
     flags = [f"by_{g}" for g in groups]
     cells = df.groupBy(*groups, score).agg(F.count("*").alias("__n"), F.count_if(hit).alias("__k"))
     sets = F.explode(F.array(*[F.struct(*[F.lit(mask >> i & 1).alias(f) for i, f in enumerate(flags)]) for mask in range(1, 1 << len(groups))])).alias("by")
     wide = cells.select(score, "__n", "__k", *groups, sets).select(score, "__n", "__k", "by.*", *[F.when(F.col(f"by.{f}") == 1, F.col(g)).alias(g) for g, f in zip(groups, flags)])
     keys = [*groups, *flags]
-    told = wide.groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum("__k").alias("k"), (F.sum("__k") / F.sum("__n")).alias("rate"), F.max(score).alias("max_score"))
+    told = wide.groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum("__k").alias("k"), (F.sum("__k") / F.sum("__n")).alias("rate"), (F.sum(F.col(score) * F.col("__n")) / F.sum(F.when(F.col(score).isNotNull(), F.col("__n")))).alias("mean_score"), F.max(score).alias("max_score"))
+    told = told.withColumn("__ci", wilson_ci(F.col("k"), F.col("n"))).withColumns({"low": F.col("__ci.low"), "high": F.col("__ci.high")}).drop("__ci")
     p99 = quantiles(wide, keys, score, {"p99": 0.99}, "__n").withColumnsRenamed({k: f"__{k}" for k in keys})
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return told.join(p99, on, "left").select(*groups, *flags, "n", "k", "rate", "max_score", "p99")
+    return told.join(p99, on, "left").select(*groups, *flags, "n", "k", "rate", "low", "high", "mean_score", "max_score", "p99")
 
 
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)
@@ -248,12 +249,26 @@ def classification_report(df: DataFrame, truth: str, pred: str, group: str, unkn
     base = df.select(truth, pred, F.explode(F.array(F.lit("ALL"), F.col(group))).alias("grp"))
     cells = base.groupBy("grp", truth, pred).agg(F.count("*").alias("n"))
     side = F.explode(F.array(F.struct(F.col(truth).alias("cls"), F.lit("t").alias("s")), F.struct(F.col(pred).alias("cls"), F.lit("p").alias("s")))).alias("x")
-    n = cells.select("grp", side, "n", (F.col(truth) == F.col(pred)).alias("ok")).groupBy("grp", "x.cls").agg(F.sum(F.when(F.col("x.s") == "t", F.col("n")).otherwise(0)).alias("support"), F.sum(F.when(F.col("x.s") == "p", F.col("n")).otherwise(0)).alias("predicted"), F.sum(F.when(F.col("ok") & (F.col("x.s") == "t"), F.col("n")).otherwise(0)).alias("tp"))
+    n = cells.select("grp", side, "n", (F.col(truth) == F.col(pred)).alias("ok")).groupBy("grp", "x.cls").agg(F.sum(F.when(F.col("x.s") == "t", F.col("n")).otherwise(0)).alias("support"), F.sum(F.when(F.col("x.s") == "p", F.col("n")).otherwise(0)).alias("predicted"), F.sum(F.when(F.coalesce("ok", F.lit(False)) & (F.col("x.s") == "t"), F.col("n")).otherwise(0)).alias("tp"))
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp = F.col("tp")
     return n.select("grp", "cls", "support", safe(tp, F.col("predicted")).alias("precision"), safe(tp, F.col("support")).alias("recall"), safe(2 * tp, F.col("support") + F.col("predicted")).alias("f1"), safe(5 * tp, 4 * F.col("support") + F.col("predicted")).alias("f2"))
 
 
+def macro_report(df: DataFrame, truth: str, pred: str, group: str, unknown: str) -> DataFrame:
+    """Overall (ALL) and by group: n, accuracy, balanced accuracy, macro precision, recall, F1 and F2, and rows without a response.
+
+    Classes count alike. Balanced accuracy is the mean recall of the classes that occur; macro figures are means over the classes that occur or are predicted. A null prediction is no
+    response: a wrong row, and no class.
+    """
+    classes = classification_report(df, truth, pred, group, unknown).where("cls IS NOT NULL")
+    mean = lambda c: F.avg(c).alias(f"macro_{c}")
+    macro = classes.groupBy("grp").agg(F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"), *[mean(c) for c in ("precision", "recall", "f1", "f2")])
+    base = df.select(truth, pred, F.explode(F.array(F.lit("ALL"), F.col(group))).alias("grp"))
+    rows = base.groupBy("grp").agg(F.count("*").alias("n"), (F.count_if(F.col(truth) == F.col(pred)) / F.count("*")).alias("accuracy"), F.count_if(F.col(pred).isNull()).alias("no_response"))
+    return rows.join(macro, "grp")
+
+
 def error_summary(df: DataFrame, truth: str, pred: str, group: str, unknown: str) -> DataFrame:
     """Overall (ALL) and by group: accuracy, false accept, false reject and misfire rates."""
     base = df.select(truth, pred, F.explode(F.array(F.lit("ALL"), F.col(group))).alias("grp"))

@@ -239,9 +239,24 @@ def relabel_ladder(clips: DataFrame, rules: list[tuple[str, Column]], drop: list
     return told.where("dropped IS NULL").drop("dropped"), told.where("dropped IS NOT NULL").drop("rule", "label")
 
 
-def slots_to_label(hours: Column, minutes: Column, seconds: Column) -> Column:
-    only = F.coalesce(hours, F.lit(0)) + F.coalesce(seconds, F.lit(0)) == 0
-    return F.when(only & minutes.isin(1, 5, 10), F.concat(F.lit("TIMER_"), minutes.cast("string"), F.lit("M"))).otherwise("unknown")
+#: Minutes of timers and (half of the day, hour, minute) of alarms that have labels.
+TIMERS = (1, 5, 10)
+ALARMS = (("AM", 6, 0), ("AM", 7, 0), ("PM", 9, 0))
+
+
+def slots_to_label(semantics: Column) -> Column:
+    """The label of parsed semantics (intent, slots of hours, minutes, seconds, am_or_pm, alarm_hour and alarm_minute): a timer of whole minutes or an alarm that has one, else ``unknown``. A null slot is 0 or not given."""
+    s = semantics["slots"]
+    none = lambda c: F.coalesce(c, F.lit(0)) == 0
+    timer = (semantics["intent"] == "SetTimer") & none(s["hours"]) & none(s["seconds"]) & s["minutes"].isin(*TIMERS)
+    out = F.when(timer, F.concat(F.lit("TIMER_"), s["minutes"].cast("string"), F.lit("M")))
+    for half, hour, minute in ALARMS:
+        out = out.when((semantics["intent"] == "SetAlarm") & (s["am_or_pm"] == half) & (s["alarm_hour"] == hour) & (s["alarm_minute"] == minute), f"ALARM_{hour}{half}")
+    return out.otherwise("unknown")
+
+
+#: The schema of such semantics, for JSON texts.
+SEMANTICS = "intent string, slots struct<hours:long,minutes:long,seconds:long,am_or_pm:string,alarm_hour:long,alarm_minute:long>"
 
 
 def label_from_command_slot(df: DataFrame, label_map: DataFrame, command: str, slot: str, fixed: list[str]) -> DataFrame:

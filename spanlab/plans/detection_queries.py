@@ -93,7 +93,8 @@ def dt8(spark, d):
     return D.duration_limits(c, [1000, 3000, 5000], "start", "length").groupBy("limit").agg(F.count_if("is_cut").alias("cut"), F.sum("cut").alias("kept"))
 
 
-@query("me19_per_event_outcomes", "SELECT event_type, count(*) AS events, count_if(w) AS woke, count_if(w) / count(*)::DOUBLE AS woke_rate, count_if(w AND c) AS correct, count_if(w AND r) AS rejected, count_if(w AND NOT c AND NOT r) AS wrong, count_if(w AND c) / count(*)::DOUBLE AS end_to_end FROM (SELECT event_type, value > 20 AS w, k % 3 = 0 AS c, k % 3 = 1 AS r FROM (SELECT *, regexp_extract(props, '[0-9]+')::BIGINT AS k FROM events)) GROUP BY 1")
+@query("me19_per_event_outcomes", "SELECT event_type, count(*) AS events, count_if(w) AS woke, count_if(w) / count(*)::DOUBLE AS woke_rate, count_if(w AND c) AS correct, count_if(w AND r) AS rejected, count_if(w AND NOT c AND NOT r) AS wrong, count_if(w AND c) / count(*)::DOUBLE AS end_to_end, round(count_if(w) / (sum(k + 1) / 60.0::DOUBLE), 9) AS wakes_per_hour, round(count_if(w AND NOT r) / (sum(k + 1) / 60.0::DOUBLE), 9) AS actions_per_hour FROM (SELECT event_type, k, value > 20 AS w, k % 3 = 0 AS c, k % 3 = 1 AS r FROM (SELECT *, regexp_extract(props, '[0-9]+')::BIGINT AS k FROM events)) GROUP BY 1")
 def me19(spark, d):
     k = prop_k()
-    return D.per_event_outcomes(table(spark, d, "events"), "event_type", F.col("value") > 20, k % 3 == 0, k % 3 == 1)
+    out = D.per_event_outcomes(table(spark, d, "events"), "event_type", F.col("value") > 20, k % 3 == 0, k % 3 == 1, (k + 1) / 60)
+    return out.withColumns({c: F.round(c, 9) for c in ("wakes_per_hour", "actions_per_hour")})

@@ -7,18 +7,24 @@ from pyspark.sql import functions as F
 from spanlab.plans.registry import query
 from spanlab.plans.views import table
 from spanlab.sources import tables as S
-from spanlab.sources.shared import fresh_path
+from spanlab.sources.shared import fresh_path, settled
 
 
 @query("src1_repeated_keys", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def src1(spark, d):
-    items = S.require_columns(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+    """The line items as tab-separated text, read with a schema and required columns."""
+    path = fresh_path(spark, "lines")
+    table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").write.option("sep", "\t").option("header", True).csv(path)
+    items = S.read_table(spark, path, "l_orderkey long, l_linenumber int, l_returnflag string", ["l_orderkey", "l_linenumber"], sep="\t")
     return S.repeated_keys(items, "l_orderkey")
 
 
 @query("src2_json_lines", "SELECT event_id, regexp_extract(props, '[0-9]+')::BIGINT AS k FROM events")
 def src2(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k long").alias("p")).select("event_id", "p.k")
+    """The events as lines of JSON, read with a schema."""
+    path = fresh_path(spark, "json")
+    table(spark, d, "events").select("event_id", F.from_json("props", "k long").alias("props")).write.json(path)
+    return S.read_json_lines(spark, path, "event_id long, props struct<k:long>").select("event_id", "props.k")
 
 
 @query("src3_parquet_batches", "SELECT p_partkey, 'part' AS split FROM part")
@@ -79,7 +85,15 @@ def src7(spark, d):
     return out.unionByName(kept.groupBy("list_name", "split").agg(F.count("*").alias("left_out")).withColumn("pattern", F.lit("kept")))
 
 
-@query("snk2_append_rows", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+@query("snk2_append_rows", "WITH p AS (SELECT DISTINCT l_partkey, l_returnflag FROM lineitem WHERE l_returnflag IN ('R', 'A')) SELECT 'written' AS step, l_partkey FROM p GROUP BY l_partkey UNION ALL SELECT 'second', l_partkey FROM p WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT l_partkey FROM p WHERE l_returnflag = 'R')")
 def snk2(spark, d):
-    new = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey")
-    return S.new_rows(new, table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
+    """Parts of returned items are written, those of accepted ones appended, and both once more: what the second call added, and what stands there in the end."""
+    path = fresh_path(spark, "appended")
+    part = lambda flag: table(spark, d, "lineitem").where(F.col("l_returnflag") == flag).select("l_partkey")
+    S.append_rows(part("R"), path, "l_partkey")
+    before = settled(spark.read.parquet(path), "first")
+    S.append_rows(part("A"), path, "l_partkey")
+    S.append_rows(part("A").unionByName(part("R")), path, "l_partkey")
+    written = spark.read.parquet(path)
+    second = written.join(before, "l_partkey", "left_anti")
+    return written.select(F.lit("written").alias("step"), "l_partkey").unionByName(second.select(F.lit("second").alias("step"), "l_partkey"))

@@ -63,12 +63,12 @@ def triggers(spark, d):
 
 
 @query("jn7_knn_band_join", """WITH p AS (SELECT p_partkey, p_size::BIGINT AS x, floor(p_retailprice)::BIGINT % 60 AS y FROM part), m AS (SELECT a.p_partkey AS a_id, b.p_partkey AS b_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2
-    FROM p a JOIN p b ON b.p_partkey % 4 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36 WHERE a.p_partkey % 4 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS rank FROM m)
+    FROM p a JOIN p b ON b.p_partkey % 2 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36 WHERE a.p_partkey % 2 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS rank FROM m)
     SELECT a_id, b_id, d2, rank FROM k WHERE rank <= 5""")
 def jn7(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("x"), (F.floor("p_retailprice") % 60).alias("y"))
-    a = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = p.where("p_partkey % 4 = 1").select(F.col("p_partkey").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    a = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
     return J.knn_band_join(a, b, [], 5, 6)
 
 

@@ -47,9 +47,14 @@ def me4(spark, d):
     return M.choose_threshold(v_policy(spark, d), "category", "subset", [3], "score", 0.01, 3000)
 
 
-@query("me5_rate_table", sql("SELECT category, subset, by_category, by_subset, n, k, k / n::DOUBLE AS rate, max_score FROM (SELECT category, subset, 1 - grouping(category) AS by_category, 1 - grouping(subset) AS by_subset, count(*) AS n, count_if(score > 60000) AS k, max(score) AS max_score FROM v_policy GROUP BY CUBE (category, subset)) WHERE by_category = 1 OR by_subset = 1", "v_policy"))
+_WILSON = "((k / n::DOUBLE + {z2} / (2 * n)) {sign} {z} * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + {z2} / (4.0::DOUBLE * n * n))) / (1 + {z2} / n)"
+_LOW, _HIGH = (_WILSON.format(sign=s, z=f"{M.Z95!r}::DOUBLE", z2=f"{M.Z95 * M.Z95!r}::DOUBLE") for s in "-+")
+
+
+@query("me5_rate_table", sql(f"SELECT category, subset, by_category, by_subset, n, k, k / n::DOUBLE AS rate, round({_LOW}, 9) AS low, round({_HIGH}, 9) AS high, round(mean_score, 6) AS mean_score, max_score FROM (SELECT category, subset, 1 - grouping(category) AS by_category, 1 - grouping(subset) AS by_subset, count(*) AS n, count_if(score > 60000) AS k, avg(score) AS mean_score, max(score) AS max_score FROM v_policy GROUP BY CUBE (category, subset)) WHERE by_category = 1 OR by_subset = 1", "v_policy"))
 def me5(spark, d):
-    return M.rate_table(v_policy(spark, d), ["category", "subset"], F.col("score") > 60000, "score").drop("p99")
+    out = M.rate_table(v_policy(spark, d), ["category", "subset"], F.col("score") > 60000, "score").drop("p99")
+    return out.withColumns({"low": F.round("low", 9), "high": F.round("high", 9), "mean_score": F.round("mean_score", 6)})
 
 
 @query("me6_proportion_ci")
@@ -108,6 +113,15 @@ def me12(spark, d):
     return M.classification_report(v_pred(spark, d), "truth", "pred", "grp", "unknown")
 
 
+@query("me12_macro_report", sql("""WITH p AS (SELECT truth, CASE WHEN p >= 0.1 THEN pred END AS pred, grp FROM v_pred), b AS (SELECT truth, pred, grp FROM p UNION ALL SELECT truth, pred, 'ALL' FROM p), c AS (SELECT DISTINCT grp, truth AS cls FROM b UNION SELECT DISTINCT grp, pred FROM b WHERE pred IS NOT NULL),
+    n AS (SELECT c.grp, cls, count_if(truth = cls)::DOUBLE AS s, count_if(coalesce(pred = cls, false))::DOUBLE AS q, count_if(truth = cls AND coalesce(pred = cls, false))::DOUBLE AS tp FROM c JOIN b ON b.grp = c.grp GROUP BY 1, 2), m AS (SELECT grp, avg(CASE WHEN s > 0 THEN tp / s END) AS balanced_accuracy, avg(CASE WHEN q > 0 THEN tp / q ELSE 0 END) AS macro_precision, avg(CASE WHEN s > 0 THEN tp / s ELSE 0 END) AS macro_recall,
+    avg(CASE WHEN s + q > 0 THEN 2 * tp / (s + q) ELSE 0 END) AS macro_f1, avg(CASE WHEN 4 * s + q > 0 THEN 5 * tp / (4 * s + q) ELSE 0 END) AS macro_f2 FROM n GROUP BY 1), t AS (SELECT grp, count(*) AS n, count_if(coalesce(truth = pred, false)) / count(*)::DOUBLE AS accuracy, count_if(pred IS NULL) AS no_response FROM b GROUP BY 1)
+    SELECT t.*, round(balanced_accuracy, 9) AS balanced_accuracy, round(macro_precision, 9) AS macro_precision, round(macro_recall, 9) AS macro_recall, round(macro_f1, 9) AS macro_f1, round(macro_f2, 9) AS macro_f2 FROM t JOIN m ON t.grp = m.grp""", "v_pred"))
+def me12_macro(spark, d):
+    out = M.macro_report(v_pred(spark, d).withColumn("pred", F.when(F.col("p") >= 0.1, F.col("pred"))), "truth", "pred", "grp", "unknown")
+    return out.withColumns({c: F.round(c, 9) for c in ("balanced_accuracy", "macro_precision", "macro_recall", "macro_f1", "macro_f2")})
+
+
 @query("me12_error_summary", sql("""WITH b AS (SELECT truth, pred, grp FROM v_pred UNION ALL SELECT truth, pred, 'ALL' FROM v_pred) SELECT grp, count(*) AS n, count_if(truth = pred) / count(*)::DOUBLE AS accuracy, CASE WHEN count_if(truth = 'unknown') > 0 THEN count_if(truth = 'unknown' AND pred <> 'unknown') / count_if(truth = 'unknown')::DOUBLE END AS false_accept,
     CASE WHEN count_if(truth <> 'unknown') > 0 THEN count_if(truth <> 'unknown' AND pred = 'unknown') / count_if(truth <> 'unknown')::DOUBLE END AS false_reject, CASE WHEN count_if(truth <> 'unknown') > 0 THEN count_if(truth <> 'unknown' AND pred <> 'unknown' AND pred <> truth) / count_if(truth <> 'unknown')::DOUBLE END AS misfire FROM b GROUP BY 1""", "v_pred"))
 def me12_errors(spark, d):

@@ -184,9 +184,13 @@ def an14(spark, d):
     return S.relabel_ladder(c, rules, [("ambiguous", F.length("n") < 20)])[0].select("conv_id", "turn", "rule", "label")
 
 
-@query("an15_slots_to_label", "SELECT event_id, CASE WHEN user_id % 2 = 0 AND k % 12 IN (1, 5, 10) THEN 'TIMER_' || (k % 12) || 'M' ELSE 'unknown' END AS label FROM (SELECT *, regexp_extract(props, '[0-9]+')::BIGINT AS k FROM events)")
+@query("an15_slots_to_label", "SELECT event_id, CASE WHEN event_type = 'view' AND user_id % 2 = 0 AND k % 12 IN (1, 5, 10) THEN 'TIMER_' || (k % 12) || 'M' WHEN event_type = 'click' AND k % 7 = 0 AND user_id % 2 = 0 AND k % 12 IN (6, 7) THEN 'ALARM_' || (k % 12) || 'AM' WHEN event_type = 'click' AND k % 7 = 0 AND user_id % 2 = 1 AND k % 12 = 9 THEN 'ALARM_9PM' ELSE 'unknown' END AS label FROM (SELECT *, regexp_extract(props, '[0-9]+')::BIGINT AS k FROM events)")
 def an15(spark, d):
-    return table(spark, d, "events").select("event_id", S.slots_to_label(F.col("user_id") % 2, prop_k() % 12, F.lit(0)).alias("label"))
+    """Views set timers and clicks set alarms: their semantics as JSON texts, read back."""
+    k, odd = prop_k(), F.col("user_id") % 2
+    slots = F.struct(F.when(odd == 1, odd).alias("hours"), F.when(F.col("event_type") == "view", k % 12).alias("minutes"), F.when(odd == 0, "AM").otherwise("PM").alias("am_or_pm"), (k % 12).alias("alarm_hour"), (k % 7).alias("alarm_minute"))
+    said = F.to_json(F.struct(F.when(F.col("event_type") == "view", "SetTimer").when(F.col("event_type") == "click", "SetAlarm").alias("intent"), slots.alias("slots")))
+    return table(spark, d, "events").select("event_id", said.alias("said")).select("event_id", S.slots_to_label(F.from_json("said", S.SEMANTICS)).alias("label"))
 
 
 @query("an16_label_from_command_slot", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'P' WHEN lower(o_orderpriority) = '1-urgent' THEN o_orderstatus || '_URGENT' WHEN lower(o_orderpriority) = '5-low' AND o_orderstatus = 'F' THEN 'F_LOW' ELSE 'unknown' END AS label FROM orders")

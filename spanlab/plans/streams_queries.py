@@ -77,11 +77,13 @@ def stm2_device(spark, d):
     return S.run_to_table(S.device_sessions(rows, "stream_id", "ts", 60, 2, 3, CAPTURE), "stm2_device")
 
 
-@query("stm4_running_metrics", "SELECT user_id, n, false_accepts FROM (SELECT user_id, count(*) AS n, count_if(event_type = 'error') AS false_accepts FROM events GROUP BY 1)")
+@query("stm4_running_metrics", "SELECT user_id, count(*) AS n, count_if(event_type = 'error') AS false_accepts, round(max((epoch_us(ts) - 1704067200000000) / 3600000000.0::DOUBLE), 9) AS hours, round(count_if(event_type = 'error') / max((epoch_us(ts) - 1704067200000000) / 3600000000.0::DOUBLE), 9) AS fa_per_hour FROM events GROUP BY 1")
 def stm4(spark, d):
-    rows = _stream(spark, d, "events")
-    out = S.running_metrics(rows, "user_id", F.col("event_type") == "error", F.lit(720.0))
-    return S.run_to_table(out, "stm4", "complete").select("user_id", "n", "false_accepts")
+    """Hours of a stream are those from the clock's start to its newest row."""
+    hours = (micros("ts") - 1_704_067_200_000_000) / 3_600_000_000
+    out = S.running_metrics(_stream(spark, d, "events"), "user_id", F.col("event_type") == "error", hours)
+    told = S.run_to_table(out, "stm4", "complete")
+    return told.withColumns({c: F.round(c, 9) for c in ("hours", "fa_per_hour")})
 
 
 @query("stm5_dedupe_by_seq", "SELECT DISTINCT user_id FROM events")
