@@ -29,24 +29,42 @@ def number_words(n: int) -> str:
     return TENS[n // 10 - 2] + (f" {ONES[n % 10]}" if n % 10 else "")
 
 
+# What is said otherwise than written, as (pattern, replacement) in the order that they are put in.
+SAID = (("%", " percent "), ("°", " degrees "), ("([0-9])([a-z])", "$1 $2"), (r"\b([0-9]{1,2}):00\b", "$1"), (r"\b([0-9]{1,2}):([0-9]{2})\b", "$1 $2"), (r"\b(a|p)\.?\s?m\.?\b", "$1 m"))
+PIECES = "([0-9A-Za-z_]+|[^0-9A-Za-z_]+)"
+
+
 def norm_spoken(c: Column) -> Column:
     """A text as it is said: signs, clock times, and whole numbers up to 100 as words; letters only.
 
     A digit parts from a letter behind it; ``am`` and ``pm`` are said letter by letter wherever they stand.
     """
-    c = F.regexp_replace(F.regexp_replace(F.lower(c), "%", " percent "), "°", " degrees ")
-    c = F.regexp_replace(c, "([0-9])([a-z])", "$1 $2")
-    c = F.regexp_replace(F.regexp_replace(c, r"\b([0-9]{1,2}):00\b", "$1"), r"\b([0-9]{1,2}):([0-9]{2})\b", "$1 $2")
-    c = F.regexp_replace(c, r"\b(a|p)\.?\s?m\.?\b", "$1 m")
+    c = F.lower(c)
+    for pattern, said in SAID:
+        c = F.regexp_replace(c, pattern, said)
     named = F.create_map(*[F.lit(x) for n in range(101) for x in (str(n), number_words(n))])
     # Words and what lies between them, so that a number is told by its borders alone.
-    pieces = F.regexp_extract_all(c, F.lit(r"([0-9A-Za-z_]+|[^0-9A-Za-z_]+)"), F.lit(1))
+    pieces = F.regexp_extract_all(c, F.lit(PIECES), F.lit(1))
     c = F.array_join(F.transform(pieces, lambda w: F.when(w.rlike("^[0-9]+$"), F.coalesce(F.try_element_at(named, F.regexp_replace(w, "^0+(?=.)", "")), w)).otherwise(w)), "")
     for short, full in CONTRACTIONS.items():
         c = F.replace(c, F.lit(short), F.lit(full))
     return F.btrim(F.regexp_replace(c, "[^a-z]+", " "), F.lit(" "))
 
 
+def spoken_sql(c: str) -> str:
+    """``norm_spoken`` of a column as a text of Spark's SQL."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    c = f"lower({c})"
+    for pattern, said in SAID:
+        c = f"regexp_replace({c}, {quoted(pattern)}, {quoted(said)})"
+    named = ", ".join(f"'{n}', '{number_words(n)}'" for n in range(101))
+    number = f"coalesce(try_element_at(map({named}), regexp_replace(w, '^0+(?=.)', '')), w)"
+    c = f"array_join(transform(regexp_extract_all({c}, {quoted(PIECES)}, 1), w -> CASE WHEN w RLIKE '^[0-9]+$' THEN {number} ELSE w END), '')"
+    for short, full in CONTRACTIONS.items():
+        c = f"replace({c}, {quoted(short)}, {quoted(full)})"
+    return f"trim(regexp_replace({c}, '[^a-z]+', ' '))"
+
+
 def edit_ratio(a: Column, b: Column, mode: str = "max") -> Column:
     """Levenshtein distance over the longer text's length (``max``) or the second's (``ref``), 1 at least."""
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from spanlab.functions.text import spoken_sql
+
 
 def score_with(make: Callable[[], Callable[[np.ndarray], np.ndarray]]):
     """A column function from feature arrays to scores. ``make`` loads the user's scorer once in each worker; the scorer takes a matrix."""
@@ -55,8 +57,9 @@ class ExpandWindows:
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``overlaps``, ``edit_ratio``, ``norm_basic`` and the table function ``expand_windows`` known to SQL."""
+    """Make ``overlaps``, ``edit_ratio``, ``norm_basic``, ``norm_spoken`` and the table function ``expand_windows`` known to SQL."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION overlaps(a0 BIGINT, a1 BIGINT, b0 BIGINT, b1 BIGINT) RETURNS BOOLEAN RETURN least(a1, b1) - greatest(a0, b0) > 0")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION edit_ratio(a STRING, b STRING) RETURNS DOUBLE RETURN levenshtein(coalesce(a, ''), coalesce(b, '')) / greatest(length(coalesce(a, '')), length(coalesce(b, '')), 1)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION norm_basic(a STRING) RETURNS STRING RETURN trim(regexp_replace(lower(a), '[^a-z0-9]+', ' '))")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION norm_spoken(a STRING) RETURNS STRING RETURN {spoken_sql('a')}")
     spark.udtf.register("expand_windows", F.udtf(ExpandWindows, returnType="w0: bigint"))

@@ -100,8 +100,10 @@ def positive_windows(spans: DataFrame, files: DataFrame, cfg: WindowConfig = Win
     return per_span.where("reason IS NULL").drop("reason"), per_span.where("reason IS NOT NULL AND reason <> 'fallback_not_needed'")
 
 
-def partial_windows(spans: DataFrame, cfg: WindowConfig = WindowConfig()) -> DataFrame:
-    """Windows that end inside the head or begin inside the tail of a span, covering a fixed share of it."""
+def partial_windows(spans: DataFrame, cfg: WindowConfig = WindowConfig(), verified: Column | None = None, allowed: Column | None = None) -> DataFrame:
+    """Windows that end inside the head or begin inside the tail of a span, covering a fixed share of it. Only spans whose bounds are ``verified`` and whose source is ``allowed`` have them."""
+    for rule in (verified, allowed):
+        spans = spans if rule is None else spans.where(rule)
     part = F.floor((F.col("e_ms") - F.col("s_ms")) * cfg.partial_share)
     out = spans.select("file_id", "span_id", "s_ms", "e_ms", F.explode(F.array(F.lit("head"), F.lit("tail"))).alias("side"))
     w0 = F.when(F.col("side") == "head", F.col("s_ms") + part - cfg.length).otherwise(F.col("e_ms") - part)

@@ -45,6 +45,13 @@ def best_overlap(truth: DataFrame, found: DataFrame, keys: list[str], width: int
     return truth.join(best, [*keys, "t_id"], "left").select(*keys, "t_id", (-F.col("b.neg")).alias("f_id"), "b.iou", "b.start_error", "b.end_error")
 
 
+def without_truth(truth: DataFrame, found: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Per key: detections, and those of them that overlap no truth span."""
+    met = overlap_join(truth, found, keys, ("t0", "t1"), ("f0", "f1"), width).select(*keys, "f_id").distinct().withColumn("__met", F.lit(True))
+    told = found.join(met, [*keys, "f_id"], "left")
+    return told.groupBy(*keys).agg(F.count("*").alias("detections"), F.count_if(F.col("__met").isNull()).alias("without_truth"))
+
+
 def attribute(triggers: DataFrame, events: DataFrame, key: str, window: int, otherwise: Column) -> DataFrame:
     """The event (event_id, e0, e1) that overlaps [t - window, t] most; ties go to the earlier start, then id; none gives ``otherwise``."""
     spans = triggers.withColumn("w0", F.col("t") - window)

@@ -8,6 +8,7 @@ from spanlab.functions import udfs as U
 from spanlab.operators import diagnostics as D
 from spanlab.plans.intervals_queries import _NEG_STARTS
 from spanlab.plans.registry import query
+from spanlab.plans.text_queries import _spoken_sql
 from spanlab.plans.views import sql, table, v_pred, v_spans
 
 _AUC = "WITH c AS (SELECT p, count_if(s) AS a, count_if(NOT s) AS b FROM {t} GROUP BY 1), r AS (SELECT *, sum(b) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS under FROM c) SELECT round(sum(a * (2 * coalesce(under, 0) + b))::BIGINT / (2 * sum(a)::BIGINT * sum(b)::BIGINT)::DOUBLE, 12) AS auc FROM r"
@@ -69,10 +70,15 @@ def dg6(spark, d):
     return D.cluster_two(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query("dg7_position_uniformity", sql("SELECT kind, count(*) AS n, round(quantile_cont(x, 0.25), 9) AS q1, round(quantile_cont(x, 0.5), 9) AS q2, round(quantile_cont(x, 0.75), 9) AS q3 FROM (SELECT kind, s_ms / 86400000.0::DOUBLE AS x FROM v_spans) GROUP BY 1", "v_spans"))
+_TAIL = " + ".join(f"({2 * (-1) ** (k - 1)}) * exp(-2.0::DOUBLE * {k * k} * l * l)" for k in range(1, 21))
+
+
+@query("dg7_position_uniformity", sql(f"""WITH x AS (SELECT kind, s_ms / 86400000.0::DOUBLE AS x FROM v_spans), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY x) AS i, count(*) OVER (PARTITION BY kind) AS n FROM x),
+    k AS (SELECT kind, count(*) AS n, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3, max(greatest(i / n::DOUBLE - x, x - (i - 1) / n::DOUBLE)) AS ks FROM r GROUP BY 1), l AS (SELECT *, (sqrt(n) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n)) * ks AS l FROM k)
+    SELECT kind, n, round(q1, 9) AS q1, round(q2, 9) AS q2, round(q3, 9) AS q3, round(ks, 9) AS ks, round(CASE WHEN l < 0.3 THEN 1 ELSE greatest(least({_TAIL}, 1), 0) END, 9) AS p_value FROM l""", "v_spans"))
 def dg7(spark, d):
     out = D.position_uniformity(v_spans(spark, d), ["kind"], F.col("s_ms") / 86_400_000.0)
-    return out.select("kind", "n", *[F.round(q, 9).alias(q) for q in ("q1", "q2", "q3")])
+    return out.select("kind", "n", *[F.round(q, 9).alias(q) for q in ("q1", "q2", "q3", "ks", "p_value")])
 
 
 @query("dg8_near_duplicate_max", "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.label, a.vec_id, round(max(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))), 9) AS max_similarity FROM e a JOIN e b ON a.label = b.label AND b.vec_id % 5 = 0 WHERE a.vec_id % 5 > 0 GROUP BY 1, 2")
@@ -116,3 +122,13 @@ def udtf2(spark, d):
     U.register(spark)
     v_spans(spark, d).createOrReplaceTempView("__udtf_spans")
     return spark.sql("SELECT a.span_id, overlaps(a.s_ms, a.e_ms, b.s_ms, b.e_ms) AS met, edit_ratio(a.kind, b.kind) AS ratio FROM __udtf_spans a JOIN __udtf_spans b ON a.file_id = b.file_id AND b.span_id = a.span_id + 150")
+
+
+@query("udtf2_norm_spoken", f"SELECT o_orderkey, {_spoken_sql('said')} AS said FROM (SELECT o_orderkey, 'It''s ' || (o_orderkey % 130) || '% at ' || (o_orderkey % 12 + 1) || ':00pm, ' || o_orderpriority AS said FROM orders)")
+def udtf2_spoken(spark, d):
+    """Sentences with numbers, signs and clock times, by the SQL function."""
+    U.register(spark)
+    k = F.col("o_orderkey")
+    said = F.concat(F.lit("It's "), k % 130, F.lit("% at "), k % 12 + 1, F.lit(":00pm, "), F.col("o_orderpriority"))
+    table(spark, d, "orders").select("o_orderkey", said.alias("said")).createOrReplaceTempView("__spoken")
+    return spark.sql("SELECT o_orderkey, norm_spoken(said) AS said FROM __spoken")

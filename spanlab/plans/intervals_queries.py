@@ -87,6 +87,12 @@ def wg2(spark, d):
     return I.partial_windows(short_spans(spark, d))
 
 
+@query("wg2_partial_windows_verified", sql(f"WITH {_SHORT}, t AS (SELECT *, unnest(['head', 'tail']) AS side FROM v_s WHERE e_ms - s_ms < 1400 AND file_id % 4 <> 1), w AS (SELECT *, CASE side WHEN 'head' THEN s_ms + floor((e_ms - s_ms) * 0.35::DOUBLE)::BIGINT - 1500 ELSE e_ms - floor((e_ms - s_ms) * 0.35::DOUBLE)::BIGINT END AS w0 FROM t) SELECT file_id, span_id, side, w0, w0 + 1500 AS w1 FROM w WHERE greatest(0, least(w0 + 1500, e_ms) - greatest(w0, s_ms)) / (e_ms - s_ms)::DOUBLE <= 0.5", "v_spans"))
+def wg2_verified(spark, d):
+    """Short spans count as verified, and three files of four as allowed sources."""
+    return I.partial_windows(short_spans(spark, d), verified=F.col("e_ms") - F.col("s_ms") < 1400, allowed=F.col("file_id") % 4 != 1)
+
+
 _NEG_STARTS = "CASE WHEN free_end - free_start < {L} THEN [] ELSE list_concat(list_transform(range(0, (free_end - free_start - {L}) // {H} + 1), lambda i: free_start + i * {H}), CASE WHEN (free_end - free_start - {L}) % {H} > 0 AND (free_end - free_start - {L}) % {H} >= {T} THEN [free_end - {L}] ELSE [] END) END"
 
 

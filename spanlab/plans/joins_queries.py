@@ -62,6 +62,14 @@ def triggers(spark, d):
     return detect(v_scores(spark, d), "stream_id", "t_us", "score", 60, 43_200_000_000, k=2, n=3, tie="event_id")
 
 
+@query("jn5_detections_without_truth", sql("SELECT b.file_id, count(*) AS detections, count_if(NOT EXISTS (SELECT 1 FROM v_spans a WHERE a.kind = 'purchase' AND a.file_id = b.file_id AND least(a.e_ms, b.e_ms) > greatest(a.s_ms, b.s_ms))) AS without_truth FROM v_spans b WHERE b.kind = 'click' GROUP BY 1", "v_spans"))
+def jn5_without(spark, d):
+    s = v_spans(spark, d)
+    t = s.where("kind = 'purchase'").select("file_id", F.col("span_id").alias("t_id"), F.col("s_ms").alias("t0"), F.col("e_ms").alias("t1"))
+    f = s.where("kind = 'click'").select("file_id", F.col("span_id").alias("f_id"), F.col("s_ms").alias("f0"), F.col("e_ms").alias("f1"))
+    return J.without_truth(t, f, ["file_id"], 3_600_000)
+
+
 @query("jn7_knn_band_join", """WITH p AS (SELECT p_partkey, p_size::BIGINT AS x, floor(p_retailprice)::BIGINT % 60 AS y FROM part), m AS (SELECT a.p_partkey AS a_id, b.p_partkey AS b_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2
     FROM p a JOIN p b ON b.p_partkey % 2 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36 WHERE a.p_partkey % 2 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS rank FROM m)
     SELECT a_id, b_id, d2, rank FROM k WHERE rank <= 5""")

@@ -12,12 +12,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
     Where it is unset, a cluster gets a folder in the warehouse, which its members share as they share tables; only where driver and
-    executors are one process (master ``local``) is it a temporary folder of the machine.
+    executors are one process (master ``local``) is it a temporary folder of the machine. A cluster whose warehouse is a local folder is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         alone = spark.sparkContext.master.split("[")[0] == "local"
         found = tempfile.mkdtemp(prefix="spanlab-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/spanlab-checkpoints"
+        if not alone and found.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is on each machine's own disk")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
