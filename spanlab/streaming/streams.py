@@ -25,15 +25,15 @@ LATE = "10 seconds"
 
 #: Where stateful processors keep their state: on executors' disks, with a changelog in the checkpoint.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-#: Waiting rows share a state entry by the time that this many microseconds cut.
-BUCKET_US = 10_000_000
 
 
 def _timer(handle: StatefulProcessorHandle, at_ms: int, now_ms: int) -> None:
-    """One timer at a time: those that wait are dropped for the new one."""
-    for old in list(handle.listTimers()):
-        handle.deleteTimer(old)
-    handle.registerTimer(max(at_ms, now_ms + 1))
+    """One timer at a time, the earliest asked for."""
+    at_ms, set_ = max(at_ms, now_ms + 1), [t for t in handle.listTimers() if t > now_ms]
+    if not set_ or at_ms < min(set_):
+        for old in set_:
+            handle.deleteTimer(old)
+        handle.registerTimer(at_ms)
 
 
 def _micros_since(size: str) -> int:
@@ -58,23 +58,28 @@ class PaneWindows(StatefulProcessor):
         self.early = handle.getListState("early", "t long, value double")
         self.panes = handle.getMapState("panes", "pane long", "n long, total double, top double")
 
-    def _put(self, origin: int, times: np.ndarray, values: np.ndarray) -> None:
+    def _add(self, panes: dict, origin: int, times: np.ndarray, values: np.ndarray) -> set[int]:
+        """Put rows into ``panes`` and tell which of them changed."""
+        touched = set()
         for pane, mine in pd.DataFrame({"v": values}).groupby((times - origin) // self.pane)["v"]:
-            old = self.panes.getValue((int(pane),)) if self.panes.containsKey((int(pane),)) else (0, 0.0, -inf)
-            self.panes.updateValue((int(pane),), (old[0] + len(mine), old[1] + float(mine.sum()), max(old[2], float(mine.max()))))
+            old = panes.get(int(pane), (0, 0.0, -inf))
+            panes[int(pane)] = (old[0] + len(mine), old[1] + float(mine.sum()), max(old[2], float(mine.max())))
+            touched.add(int(pane))
+        return touched
 
     def handleInputRows(self, key, rows, timerValues):
         now = timerValues.getCurrentWatermarkInMs()
         got = pd.concat(list(rows))
         times, values = got["t"].to_numpy(np.int64), got["value"].to_numpy(float)
         head = self.head.get()
-        if head is not None:
-            self._put(head[0], times, values)
-            self._wait(head, now)
-        else:
-            first = min([int(times.min()), *[r[0] for r in self.early.get()]])
+        if head is None:
             self.early.appendList(list(zip(times.tolist(), values.tolist())))
-            _timer(self.handle, first // 1000 + 1, now)
+            _timer(self.handle, int(times.min()) // 1000 + 1, now)
+        else:
+            panes = {k[0]: v for k, v in self.panes.iterator()}
+            for p in self._add(panes, head[0], times, values):
+                self.panes.updateValue((p,), panes[p])
+            self._wait(head, now)
         return iter(())
 
     def _wait(self, head, now: int) -> None:
@@ -83,13 +88,14 @@ class PaneWindows(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
         head = self.head.get()
+        panes = {k[0]: v for k, v in self.panes.iterator()} if head is not None else {}
+        written, touched = set(panes), set()
         if head is None:
             times, values = (np.array(x) for x in zip(*self.early.get()))
             self.early.clear()
             head = (int(times.min()), 0)
-            self._put(head[0], times, values)
+            touched = self._add(panes, head[0], times, values)
         origin, following = head
-        panes = {k[0]: v for k, v in self.panes.iterator()}
         per, step, done = self.size // self.pane, self.slide // self.pane, following
         told = []
         if panes:
@@ -99,12 +105,14 @@ class PaneWindows(StatefulProcessor):
                 mine = [panes[p] for p in range(w * step, w * step + per) if p in panes]
                 start = origin + w * self.slide
                 told.append((key[0], start, start + self.size, sum(m[0] for m in mine), sum(m[1] for m in mine), max(m[2] for m in mine)))
-            for p in [p for p in panes if p < done * step]:
-                self.panes.removeKey((p,))
-                del panes[p]
+        left = {p for p in panes if p >= done * step}
+        for p in written - left:
+            self.panes.removeKey((p,))
+        for p in touched & left:
+            self.panes.updateValue((p,), panes[p])
         self.head.update((origin, done))
-        if panes:
-            self._wait((origin, max(done, (min(panes) - per) // step)), now)
+        if left:
+            self._wait((origin, max(done, (min(left) - per) // step)), now)
         if told:
             yield pd.DataFrame(told, columns=["key", "w_start", "w_end", "n", "total", "max_value"])
 
@@ -147,7 +155,8 @@ def sliding_windows(rows: DataFrame, key: str, ts: str, size: str, slide: str, v
 class InOrder(StatefulProcessor):
     """The rows of one key, in the order of time, through ``step`` once the watermark has passed them.
 
-    Waiting rows stand in state by stretches of BUCKET_US, so a batch touches only the stretches that its rows fall in; ``own`` is what ``step`` carries on.
+    A batch appends its rows to those that wait and reads none of them; when the watermark passes the first, those that it has passed go on and the rest, no more than
+    the rows within the allowed lateness, is put back. ``own`` is what ``step`` carries on.
     """
 
     def __init__(self, names: list[str], kinds: list[str], step: Callable, start: Callable, kept: str, out: list[str]):
@@ -156,36 +165,26 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.own = handle.getValueState("own", self.kept)
-        self.waiting = handle.getMapState("waiting", "bucket long", ", ".join(f"h{i} array<{k}>" for i, k in enumerate(self.kinds)))
+        self.waiting = handle.getListState("waiting", ", ".join(f"h{i} array<{k}>" for i, k in enumerate(self.kinds)))
 
     def handleInputRows(self, key, rows, timerValues):
         got = pd.concat(list(rows))
         columns = [got[n].to_numpy() for n in self.names]
-        bucket = columns[0] // BUCKET_US
-        for b in np.unique(bucket).tolist():
-            mine = bucket == b
-            old = self.waiting.getValue((b,)) if self.waiting.containsKey((b,)) else [[]] * len(columns)
-            self.waiting.updateValue((b,), tuple([*o, *c[mine].tolist()] for o, c in zip(old, columns)))
-        first = min(k[0] for k in self.waiting.keys())
-        _timer(self.handle, min(self.waiting.getValue((first,))[0]) // 1000 + 1, timerValues.getCurrentWatermarkInMs())
+        self.waiting.appendValue(tuple(c.tolist() for c in columns))
+        _timer(self.handle, int(columns[0].min()) // 1000 + 1, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
-        buckets = sorted(k[0] for k in self.waiting.keys())
-        passed = [b for b in buckets if b * BUCKET_US < mark * 1000]
-        held = [np.concatenate(c) for c in zip(*[[np.asarray(x) for x in self.waiting.getValue((b,))] for b in passed])]
+        held = [np.concatenate(c) for c in zip(*[[np.asarray(x) for x in part] for part in self.waiting.get()])]
         order = np.lexsort([*held[:0:-1], held[0]])
         held = [h[order] for h in held]
         ready = int(np.searchsorted(held[0], mark * 1000, "left"))
-        for b in passed:
-            self.waiting.removeKey((b,))
         if ready < len(held[0]):
-            # Only the stretch that the watermark stands in can have a rest.
-            self.waiting.updateValue((passed[-1],), tuple(h[ready:].tolist() for h in held))
-        left = [int(held[0][ready])] if ready < len(held[0]) else [min(self.waiting.getValue((b,))[0]) for b in buckets if b not in passed][:1]
-        if left:
-            _timer(self.handle, left[0] // 1000 + 1, mark)
+            self.waiting.put([tuple(h[ready:].tolist() for h in held)])
+            _timer(self.handle, int(held[0][ready]) // 1000 + 1, mark)
+        else:
+            self.waiting.clear()
         own = self.own.get()
         own, told = self.step(list(own) if own is not None else self.start(), [h[:ready] for h in held])
         self.own.update(tuple(own))
