@@ -11,7 +11,10 @@ aligned by longest common subsequence, and shared lines are deleted:
 
 Then what markup names as boilerplate goes too, since menus and adverts can be new on every page: navigation, headers, footers, sidebars,
 notices, forms and reader comments. A class, id or role names boilerplate when a whole name of it does; inside an article only those of
-containers count, so headings and paragraphs stay whatever they are called.
+containers count, so headings and paragraphs stay whatever they are called, unless a class or role calls them adverts.
+
+Tags are read in one pass, so time is linear in the length of a page however broken it is. A stray quote ends with its tag; a tag that never ends takes the rest
+of the page, as in browsers, and no part of a tag becomes text.
 
 Lines outside an article stay where neither differencing nor markup deletes them: an article element can be a teaser or
 the first of several sections. Null and empty pages give an empty text, an empty table an empty result; a null url is a host of its own;
@@ -23,7 +26,7 @@ from __future__ import annotations
 import html
 import re
 import struct
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,15 +52,19 @@ BESIDE = frozenset(
     "list section area box wrap wrapper container block inner outer item items bar site page global main thread form button buttons link links slot unit "
     "top bottom left right js copyright legal posts trail primary secondary fixed sticky mobile desktop google dfp region zone holder panel".split()
 )
-#: Elements whose names count inside an article, and words that don't count there: they may be an article's own heading.
+#: Words that name an advert, which count on any element.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored".split())
+#: Elements whose other names count inside an article, and words that don't count there: they may be an article's own heading.
 CONTAINERS = frozenset("div section ul ol dl table span figure".split())
 HEADING = frozenset(("header", "masthead"))
 #: Elements that an open p ends at, and those that end an open element of their own kind.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_KEY = re.compile(r"[\s/]*(>|[^\s/>][^\s/>=]*)")
+_VALUE = re.compile(r"\s*=\s*([\"']?)")
+_BARE = re.compile(r"[^\s>]*")
 _NAME = re.compile(r"[a-z0-9]+")
 _PIECES = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)([^?#]*)")
@@ -69,28 +76,74 @@ SPREAD = 4
 KEPT_ROWS = 256
 
 
-def _boilerplate(name: str, attributes: str, zone: int) -> bool:
+def _boilerplate(name: str, attributes: dict[str, str], zone: int) -> bool:
     """Whether an element's class, role or id names boilerplate: a name made of such words, and of words that go with them, only."""
-    if zone == HELD and name not in CONTAINERS:
-        return False
-    named = NAMED - HEADING if zone == HELD else NAMED
-    for m in _ATTRIBUTE.finditer(attributes):
-        if zone == HELD and name == "section" and m[1].lower() == "id":
+    named = NAMED if zone != HELD else NAMED - HEADING if name in CONTAINERS else ADVERTS
+    for key in ("class", "id", "role"):
+        if zone == HELD and name not in CONTAINERS - {"section"} and key == "id":
             continue  # made of its heading
-        for value in (m[2] or m[3] or m[4] or "").split():
+        for value in attributes.get(key, "").split():
             words = [w for w in _NAME.findall(_PIECES.sub(" ", value).lower()) if w.isalpha()]
             if not named.isdisjoint(words) and all(w in named or w in BESIDE for w in words):
                 return True
     return False
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, dict[str, str], bool]]:
+    """(start, end, name, is an end tag, attributes, closes itself) of each tag of a page, in one pass; comments have an empty name.
+
+    Quotes open a value right behind ``=`` only, so stray ones end with their tag. A quote that is never closed doesn't count, and a tag that never ends
+    takes the rest of the page. The caller may ``send`` a place to go on from.
+    """
+    last = {c: page.rfind(c) for c in "\"'>"}
+    at = page.find("<")
+    while at >= 0:
+        m = _TAG.match(page, at)
+        if m is None:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2)
+                end = end + 3 if end >= 0 else len(page)
+            elif page[at + 1 : at + 2] in ("!", "?", "/") and at < last[">"]:
+                end = page.find(">", at) + 1
+            else:
+                at = page.find("<", at + 1)
+                continue
+            sent = yield at, end, "", False, {}, False
+        else:
+            end, attributes, alone = m.end(), {}, False
+            while True:
+                key = _KEY.match(page, end) if end <= last[">"] else None
+                if key is None:
+                    end = len(page)
+                    break
+                if key[1] == ">":
+                    end, alone = key.end(), key.end() - key.start() > 1 and page[key.end() - 2] == "/"
+                    break
+                end = key.end()
+                value = _VALUE.match(page, end)
+                told = ""
+                if value:
+                    end, quote = value.end(), value[1]
+                    if quote and end <= last[quote]:
+                        close = page.find(quote, end)
+                        told, end = page[end:close], close + 1
+                    else:
+                        bare = _BARE.match(page, end)
+                        told, end = bare[0], bare.end()
+                attributes.setdefault(key[1].lower(), html.unescape(told) if "&" in told else told)
+            sent = yield at, end, m[1].lower(), page[at + 1] == "/", attributes, alone
+        at = page.find("<", end if sent is None else sent)
+
+
 def page_lines(page: str | None) -> list[tuple[int, str]]:
     """(zone, text) for each block of a page, in order: SHOWN, HELD in its article, or DROPPED by its markup."""
     page = page or ""
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     open_tags: list[tuple[str, int]] = []  # names and the zone outside them
-    zone, at, size = SHOWN, 0, len(page)
+    opened: Counter = Counter()  # how many of each name are open
+    zone, at, go_on = SHOWN, 0, None
+    tags = _tags(page)
 
     def flush() -> None:
         if parts:
@@ -99,31 +152,32 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
                 out.append((zone, text))
             parts.clear()
 
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            parts.append(page[at:])
+    while True:
+        try:
+            start, end, name, closing, attributes, alone = tags.send(go_on)
+        except StopIteration:
             break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        go_on = None
+        if start > at:
+            parts.append(page[at:start])
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
+        if closing:
             if name == "br":
                 parts.append(" ")
-            k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name), None)
-            if k is not None:
+            if opened[name]:
+                k = next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name)
                 if name not in INLINE or open_tags[k][1] != zone:
                     flush()
                 zone = open_tags[k][1]
+                opened.subtract(t for t, _ in open_tags[k:])
                 del open_tags[k:]
             continue
         if name in UNSEEN:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else size
+            if not alone:
+                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
+                at = go_on = page.find(">", close.end()) + 1 or len(page) if close else len(page)
             continue
         if name == "br":
             parts.append(" ")
@@ -136,20 +190,24 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
             flush()
             closes = ("p",) if name in ENDS_P else ()
             closes += ENDS_OWN.get(name, ())
-            while open_tags and (open_tags[-1][0] in closes or closes and open_tags[-1][0] in INLINE and any(t in closes for t, _ in open_tags)):
-                zone = open_tags.pop()[1]
+            while open_tags and (open_tags[-1][0] in closes or open_tags[-1][0] in INLINE and any(opened[t] for t in closes)):
+                gone, zone = open_tags.pop()
+                opened[gone] -= 1
         inner = zone
         if zone != DROPPED:
             # A header inside an article is often its heading; outside it is the site's.
-            if name in APART and not (name == "header" and zone == HELD) or _boilerplate(name, m[3], zone) and name not in ("html", "body", "article", "main"):
+            if name in APART and not (name == "header" and zone == HELD) or _boilerplate(name, attributes, zone) and name not in ("html", "body", "article", "main"):
                 inner = DROPPED
-            elif name in ARTICLE or 'itemprop="articlebody"' in m[3].lower():
+            elif name in ARTICLE or attributes.get("itemprop", "").lower() == "articlebody":
                 inner = HELD
         if inner != zone and name in INLINE:
             flush()
-        if not m[3].endswith("/"):
+        if not alone:
             open_tags.append((name, zone))
+            opened[name] += 1
             zone = inner
+    if at < len(page):
+        parts.append(page[at:])
     flush()
     return out
 

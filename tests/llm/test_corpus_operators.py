@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -371,6 +372,26 @@ def test_html_query_matches_brute_force(spark):
     assert len(got) == len(pages) and all(r["text"] == brute_article(pages[r["page_id"]]["html"]) and r["url"] == pages[r["page_id"]]["url"] for r in got)
 
 
+def test_html_broken_tags():
+    lines = lambda page: [t for z, t in html_extract.page_lines(page) if z != html_extract.DROPPED]
+    assert lines('<article><p class="a"">Hello</p><p title=\'it\'s\'>you</p><input value=">">x</article>') == ["Hello", "you", "x"]
+    assert lines('<p>1 < 2 <a href="x>never</p><p>closed</p>') == ["1 < 2 never", "closed"]
+    assert lines('<script>if(a<b)"</scripts>"</script >z<b a=c/>y<!-- > -->x<p') == ["zyx"] and lines("a <b c=") == ["a"]
+    assert lines("<article><p>x</p><p class='ad'>Buy</p><a class=sponsored href=/>now</a><p class='notice' id='ad'>y</p></article>") == ["x", "y"]
+    rng = random.Random(3)
+    for _ in range(300):
+        told = lines("".join(rng.choice(["<p", "<a", "</p", ">", '"', "'", "=", " ", "w", "/", "class", "</", "<!--", "-->", "<b>"]) for _ in range(60)) + '"\'-->>done')
+        assert not any(re.search("</?[pab]", t) for t in told)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "</p>", "<p><b>", "<a b='", "<script></script ", "<svg></svg ", "<!--", "<a x" + " " * 50, "&", "<a =\"'"])
+def test_html_pages_take_linear_time(piece):
+    """A megabyte of broken markup; a quadratic scan takes hours."""
+    begun = time.monotonic()
+    html_extract.page_lines("<div>" * 20_000 + "<b>" + piece * (1_000_000 // len(piece)) + "</p>" * 20_000)
+    assert time.monotonic() - begun < 20
+
+
 def test_html_long_pages(spark):
     lines = [f"<p>line {i % 97}</p>" for i in range(20_000)]
     rows = [(i, f"http://a.org/{i}", "".join(lines) + f"<p>own {i}</p>") for i in range(2)]
