@@ -8,6 +8,7 @@ position) stays, so one document keeps a passage that many repeat; every other p
 Lines of fewer than three words stay. A null site counts as one site of its own, a null text as empty. Rows with a
 null doc_id stay as they are. Equal rows are treated alike; rows that share a doc_id with another text are kept apart. An empty table
 gives an empty result; columns of ``docs`` other than doc_id, text and the site pass through whatever their names, but for ``into``.
+Texts may be as long as a row can be: time is linear in their lines.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.llm.common import hot_keys, read_table, salted_join, saved, text_of, word_array
+from spanlab.llm.common import free_names, hot_keys, let, read_table, salted_join, saved, text_of, word_array
 
 #: (least number of words, distinct sites): the last row that fits holds.
 SPREAD = ((3, 5), (10, 3), (50, 2))
@@ -70,19 +71,21 @@ def line_dedup(docs: DataFrame, site: str = "source", spread=SPREAD, into: str =
     """``docs`` with text cleaned and a struct ``into`` of n_lines, n_removed, removed_words and left (any words left)."""
     lines, places, hot = boilerplate(docs, site, spread)
     again = salted_join(places, lines, KEY, hot, ["doc_id", "pos"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-    gone = again.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("__gone"), F.collect_set(F.struct("pos", "words")).alias("__places"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone", "__places")
+    ident, hashed, at, held = free_names(docs, "__id", "__hash", "__gone", "__places")
+    gone = again.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias(at), F.collect_set(F.struct("pos", "words")).alias(held))
+    gone = gone.select(F.col("doc_id").alias(ident), F.col("text_hash").alias(hashed), at, held)
     text = text_of()
-    out = docs.join(gone, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left").drop("__id", "__hash")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n"))
+    out = docs.join(gone, (docs["doc_id"] == F.col(ident)) & (F.xxhash64(text) == F.col(hashed)), "left").drop(ident, hashed)
+    # array_except goes through a hash set, so a text with many lines of which many go takes linear time.
+    left = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(at)), lambda i: F.get(ls, i))
+    kept = F.when(F.col(at).isNull(), F.col("text")).otherwise(let(F.split(text, "\n"), lambda ls: F.array_join(left(ls), "\n")))
     told = F.struct(
         F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.aggregate("__places", F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0)).cast("long").alias("removed_words"),
+        F.coalesce(F.size(at), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0)).cast("long").alias("removed_words"),
         (F.length(F.translate(F.coalesce(kept, F.lit("")), BLANK, "")) > 0).alias("left"),
     )
-    out = out.withColumns({into: told, "text": kept}).drop("__gone", "__places")
-    return out
+    return out.withColumns({into: told, "text": kept}).drop(at, held)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

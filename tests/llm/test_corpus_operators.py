@@ -446,6 +446,30 @@ def test_cotraining_awkward_rows(spark):
     assert cotraining.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_stages_with_helper_names_as_columns(spark):
+    """Columns called like the helpers, null ids and extra columns together: same rows, and the columns keep their values."""
+    docs = documents(spark)
+    names = ["__id", "__HASH", "__gone", "__places", "__q", "__l", "__text", "__row", "__proof", "__times", "__n"]
+    extra = docs.withColumns({c: F.concat(F.lit(c), F.coalesce("source", F.lit("?"))) for c in names})
+    told = lambda df: sorted(map(repr, df.select(docs.columns).collect()))
+    for stage in (corpus_pipeline.quality, corpus_pipeline.lines, corpus_pipeline.near):
+        after = stage(spark, extra, "")
+        assert after.columns == extra.columns and told(after) == told(stage(spark, docs, ""))
+        assert after.where(F.col("__id") != F.concat(F.lit("__id"), F.coalesce("source", F.lit("?")))).count() == 0
+    mixed = corpus_pipeline.mixture(spark, extra, "")
+    assert mixed.columns == extra.columns and mixed.where(~F.col("__n").startswith("__n")).count() == 0
+    check_mixture(docs.collect(), mixed.select(docs.columns).collect())
+
+
+def test_line_dedup_of_many_lines(spark):
+    """A text of 40,000 lines of which 20,000 go."""
+    shared = [f"shared notice number {i} here" for i in range(20_000)]
+    long = "\n".join(x for i, s in enumerate(shared) for x in (s, f"own{i}"))
+    rows = [(1, "\n".join(shared), "a"), *((2 + i, "\n".join(shared), s) for i, s in enumerate("bcd")), (9, long, "e")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id = 9").first()
+    assert got["text"] == "\n".join(f"own{i}" for i in range(20_000)) and got["lines"]["n_removed"] == 20_000
+
+
 def check_mixture(before, after):
     """Whole rows, each up to twice, and every source near its target by brute force: within its longest document."""
     count = lambda r: len(re.findall(SPACES, r["text"] or ""))
