@@ -2,12 +2,13 @@
 
 The text view has hashed words and word pairs, as shares of all of them, and a few statistics; the metadata view has language, source and length. A logistic
 model of each view is fitted on a bounded sample of labelled documents; over ROUNDS rounds each model gives the unlabelled documents
-of the pool that it is most sure of to the other as pseudo-labels. Both are calibrated on held-out labels, combined on
-others, and one native projection scores every document.
+that it is most sure of to the other as pseudo-labels. Both are calibrated on held-out labels, combined on
+others, and every document is scored.
 
-Bounds: the fit takes up to SAMPLE labelled rows and a pool of up to POOL unlabelled ones, both by hashed doc_id. A model looks at a row at a time, so scoring all
-unlabelled rows and then drawing the pool by hash would give the same pool. The driver holds a matrix of 4 bytes for each of these rows and
-features, whatever the size of the table; sampling error is all that the bounds cost. Scores cover all rows.
+Views of all documents are written once. In a round both models score every unlabelled row; a histogram of their log-odds gives the cuts behind which the surest
+GIVEN of all unlabelled rows lie, and rows behind a cut are labelled, equally sure ones alike. What a row was given in earlier rounds follows from the models and cuts
+of those rounds, so nothing is kept for a row. Bounds: only what a fit takes is bounded, by SAMPLE labelled rows and FITTED pseudo-labelled ones for each view, both by a hash
+of doc_id and text. The driver holds a matrix of 4 bytes for each of these rows and features, and histograms of BINS numbers, whatever the size of the table. Texts may be very long.
 
 Documents with several label rows take the largest
 label; labels other than 0 and 1, or null, are left out. Without labels of both kinds every score is 1, and an empty table has none.
@@ -17,6 +18,7 @@ columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,17 +26,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.llm.common import let, read_table, text_of, word_array
+from spanlab.llm.common import let, read_table, saved, text_of, word_array
 from spanlab.llm.quality_rules import text_statistics
 
-SAMPLE, POOL = 20_000, 40_000
+SAMPLE, FITTED = 20_000, 40_000
 ROUNDS = 3
-#: Share of the pool that a model labels with each kind in a round, and how sure it must be.
+#: Share of all unlabelled rows that a model labels with each kind in a round, and how sure it must be.
 GIVEN, SURE = 0.05, 0.95
 #: Features of hashed words and word pairs.
 HASHED = 256
 THRESHOLD = 0.5
 PARTS = 1_000_000
+#: Log-odds up to REACH either way are counted in bins of 1/64.
+REACH = 35
+BINS = 2 * REACH * 64 + 1
 # The languages with a feature of their own.
 LANGUAGES = ("en", "fr", "de", "es")
 BUCKETS = 8
@@ -125,61 +130,156 @@ def _raw(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def cotrain(views: list[np.ndarray], labels: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """Fit both views. labels: 0, 1 or -1 for the pool; held: 1 for rows kept for calibration, 2 for those kept for the combination."""
-    spread = [v.std(axis=0, dtype=float) for v in views]
-    scale = [(v.mean(axis=0, dtype=float), np.where(s > 1e-9, s, 1.0)) for v, s in zip(views, spread)]
-    scaled = [((v - m) / s).astype(np.float32) for v, (m, s) in zip(views, scale)]
-    known, check, both = ((labels >= 0) & (held == k) for k in range(3))
-    if any(len(set(labels[x])) < 2 for x in (known, check, both)):
+@dataclass
+class Round:
+    """Scaled weights of both views, and the bins of log-odds from which on (up to which) each gives label 1 (0) to the other."""
+
+    weights: list[np.ndarray]
+    high: list[int] = field(default_factory=list)
+    low: list[int] = field(default_factory=list)
+
+
+def _bins(raw: np.ndarray) -> np.ndarray:
+    return np.floor((np.clip(raw, -REACH, REACH) + REACH) * 64).astype(int)
+
+
+def pseudo_labels(views: list[np.ndarray], rounds: list[Round]) -> list[np.ndarray]:
+    """What unlabelled rows were given in these rounds, for each view: 1, 0, or -1 where nothing."""
+    own = [np.full(len(v), -1) for v in views]
+    for turn in rounds:
+        for k, (x, w) in enumerate(zip(views, turn.weights)):
+            at, free = _bins(_raw(w, x)), own[1 - k] < 0
+            own[1 - k][free & (at >= turn.high[k])] = 1
+            own[1 - k][free & (at <= turn.low[k])] = 0
+    return own
+
+
+def cuts(counts: np.ndarray, given: int) -> tuple[int, int]:
+    """(high, low): bins behind which the ``given`` surest rows of each kind lie, none less sure than SURE."""
+    sure = int(_bins(np.array([np.log(SURE / (1 - SURE))]))[0]) + 1
+    up, down = np.cumsum(counts[::-1]), np.cumsum(counts)
+    high = BINS - 1 - int(np.searchsorted(up, given)) if up[-1] >= given else 0
+    low = int(np.searchsorted(down, given)) if down[-1] >= given else BINS - 1
+    return max(high, sure), min(low, BINS - 1 - sure)
+
+
+def views(docs: DataFrame) -> DataFrame:
+    """doc_id, part (of PARTS, by hash), text and page: both views of each row, as arrays."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+
+    @F.pandas_udf("array<float>")
+    def joined(stats: pd.Series, grams: pd.Series) -> pd.Series:
+        return pd.Series([np.append(s, np.bincount(g, minlength=HASHED) / max(1, len(g))).astype(np.float32) for s, g in zip(stats, grams)])
+
+    page = page_view(F.col("lang"), F.col("source"), F.coalesce("n_chars", F.length(text_of())))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS))
+    told = docs.select("doc_id", part.alias("part"), text_view(text_of()).alias("v"), page.cast("array<float>").alias("page"))
+    return told.select("doc_id", "part", joined("v.stats", "v.grams").alias("text"), "page")
+
+
+def _matrix(column) -> np.ndarray:
+    return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 1), np.float32)
+
+
+def _fetched(rows: DataFrame, *also: str) -> pd.DataFrame:
+    """A bounded draw of rows on the driver, in an order of its own, so that reruns fit the same matrix."""
+    found = rows.select("doc_id", "text", "page", *also).toArrow().to_pandas(integer_object_nulls=True)
+    order = sorted(found.index, key=lambda i: (found["doc_id"][i] or 0, found["text"][i].tobytes(), found["page"][i].tobytes()))
+    return found.iloc[order].reset_index(drop=True)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", fitted: int = FITTED, rounds: int = ROUNDS, viewed: DataFrame | None = None) -> Model | None:
+    """Fit both views. ``viewed``: the written ``views`` of ``docs``, where there are some."""
+    viewed = saved(views(docs), "views") if viewed is None else viewed
+    clean = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    cut = min(PARTS, PARTS * sample // max(1, clean.count()))
+    held = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(6))
+    found = _fetched(viewed.where(F.col("part") < cut).join(clean, "doc_id").withColumn("held", F.when(held < 2, held + 1).otherwise(0).cast("int")), "label", "held")
+    held, given_labels = found["held"].to_numpy(), found["label"].to_numpy()
+    known, check, both = (held == k for k in range(3))
+    if any(len(set(given_labels[x])) < 2 for x in (known, check, both)):
         return None
-    given = max(1, int(GIVEN * (labels < 0).sum()))
-    own = [np.where(known, labels, -1) for _ in views]
-    fitted: list[np.ndarray | None] = [None] * len(views)
+    raw = [_matrix(found["text"]), _matrix(found["page"])]
+    spread = [v.std(axis=0, dtype=float) for v in raw]
+    scale = [(v.mean(axis=0, dtype=float), np.where(s > 1e-9, s, 1.0)) for v, s in zip(raw, spread)]
+    scaled = [(v - m) / s for v, (m, s) in zip(raw, scale)]
+    free = viewed.join(clean.select("doc_id"), "doc_id", "left_anti")
+    if rounds:
+        free = saved(free, "unlabelled")
+
+    def counted(done: list[Round], weights: list[np.ndarray]) -> np.ndarray:
+        """For each view, how many rows that it may still give stand in each bin."""
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((2, BINS), int)
+            for b in batches:
+                if len(b):
+                    x = [(_matrix(b[c]) - m) / s for c, (m, s) in zip(("text", "page"), scale)]
+                    own = pseudo_labels(x, done)
+                    for k in range(2):
+                        total[k] += np.bincount(_bins(_raw(weights[k], x[k]))[own[1 - k] < 0], minlength=BINS)
+            at = np.nonzero(total)
+            yield pd.DataFrame({"k": at[0], "bin": at[1], "n": total[at]})
+
+        out = np.zeros((2, BINS), int)
+        for r in free.select("text", "page").mapInPandas(count, "k long, bin long, n long").groupBy("k", "bin").agg(F.sum("n").alias("n")).collect():  # 2 * BINS at most
+            out[r["k"], r["bin"]] = r["n"]
+        return out
+
+    def taught(done: list[Round], share: int) -> DataFrame:
+        """The rows of a draw by hash that have pseudo-labels, with those for each view."""
+
+        def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    own = pseudo_labels([(_matrix(b[c]) - m) / s for c, (m, s) in zip(("text", "page"), scale)], done)
+                    b = b.assign(own0=own[0], own1=own[1])
+                    yield b[(own[0] >= 0) | (own[1] >= 0)]
+
+        drawn = free.where(F.col("part") < share).select("doc_id", "text", "page")
+        return drawn.mapInPandas(give, "doc_id long, text array<float>, page array<float>, own0 long, own1 long")
+
+    done: list[Round] = []
+    weights: list = [None, None]
+    more: pd.DataFrame | None = None
+    stood = 0  # pseudo-labels of both views
     for turn in range(rounds + 1):
-        fitted = [fit_logistic(x[y >= 0], y[y >= 0], start=w) for x, y, w in zip(scaled, own, fitted)]
+        for k in range(2):
+            x, y = scaled[k][known], given_labels[known]
+            if more is not None and len(more):
+                own = more[f"own{k}"].to_numpy()
+                m, s = scale[k]
+                x = np.vstack([x, ((_matrix(more[("text", "page")[k]]) - m) / s)[own >= 0]])
+                y = np.append(y, own[own >= 0])
+            weights[k] = fit_logistic(x, y, start=weights[k])
         if turn == rounds:
             break
-        for k, w in enumerate(fitted):
-            other = 1 - k
-            free = np.flatnonzero((labels < 0) & (own[other] < 0))
-            p = sigmoid(_raw(w, scaled[k][free]))
-            for kind, sure in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:given]
-                own[other][free[best[sure[best] >= SURE]]] = kind
+        counts = counted(done, weights)
+        if turn == 0:
+            given = max(1, int(GIVEN * counts[0].sum()))
+        limits = [cuts(c, given) for c in counts]
+        done.append(Round([w.copy() for w in weights], [x[0] for x in limits], [x[1] for x in limits]))
+        stood += int(sum(c[high:].sum() + c[: low + 1].sum() for c, (high, low) in zip(counts, limits)))
+        more = _fetched(taught(done, min(PARTS, PARTS * fitted // max(1, stood))), "own0", "own1")
     model, logits = Model(), []
-    for x, w, (m, s) in zip(scaled, fitted, scale):
-        raw = _raw(w, x[check])
-        model.calibration.append(fit_logistic(raw[:, None], labels[check], ridge=1e-4))
+    for x, w, (m, s) in zip(scaled, weights, scale):
+        model.calibration.append(fit_logistic(_raw(w, x[check])[:, None], given_labels[check], ridge=1e-4))
         model.weights.append(np.append(w[:-1] / s, w[-1] - (w[:-1] * m / s).sum()))
         logits.append(_raw(w, x[both]) * model.calibration[-1][0] + model.calibration[-1][1])
-    model.combination = fit_logistic(np.stack(logits, axis=1), labels[both], ridge=1e-4)
+    model.combination = fit_logistic(np.stack(logits, axis=1), given_labels[both], ridge=1e-4)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", pool: int = POOL) -> Model | None:
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    clean = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
-    cut = min(PARTS, PARTS * sample // max(1, clean.count()))
-    share = min(PARTS, PARTS * pool // max(1, docs.count()))
-    chosen = docs.where(part < max(cut, share)).join(clean.where(part < max(cut, share)), "doc_id", "left").where(F.when(F.col("label").isNull(), part < share).otherwise(part < cut))
+def score_views(viewed: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """What ``score_documents`` gives, from written views, so texts are not read once more."""
 
-    @F.pandas_udf("array<float>")
-    def shares(grams: pd.Series) -> pd.Series:
-        return pd.Series([(np.bincount(g, minlength=HASHED) / max(1, len(g))).astype(np.float32) for g in grams])
+    @F.pandas_udf("text_score double, page_score double, score double")
+    def scored(text: pd.Series, page: pd.Series) -> pd.DataFrame:
+        odds = [_raw(w, _matrix(v)) * c[0] + c[1] for v, w, c in zip((text, page), model.weights, model.calibration)]
+        a, b, c = model.combination
+        return pd.DataFrame({"text_score": sigmoid(odds[0]), "page_score": sigmoid(odds[1]), "score": sigmoid(odds[0] * a + odds[1] * b + c)})
 
-    page = page_view(F.col("lang"), F.col("source"), F.coalesce("n_chars", F.length(text_of())))
-    viewed = chosen.select("doc_id", "label", text_view(text_of()).alias("v"), page.alias("page"))
-    held = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(6))
-    kept = viewed.select("doc_id", F.coalesce("label", F.lit(-1)).alias("label"), F.when(held < 2, held + 1).otherwise(0).cast("int").alias("held"), F.col("v.stats").cast("array<float>").alias("stats"), shares("v.grams").alias("grams"), F.col("page").cast("array<float>").alias("page"))
-    rows = kept.toArrow()  # bounded by SAMPLE and POOL
-    if not rows.num_rows:
-        return None
-    matrix = {c: rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) for c in ("stats", "grams", "page")}
-    text = np.hstack([matrix["stats"], matrix["grams"]])
-    order = np.lexsort([*text[:, : STATISTICS + 8].T, rows.column("doc_id").to_numpy()])  # reruns fit the same matrix
-    return cotrain([text[order], matrix["page"][order]], rows.column("label").to_numpy()[order], rows.column("held").to_numpy()[order])
+    return viewed.select("doc_id", scored("text", "page").alias("s")).select("doc_id", "s.*", (F.col("s.score") >= threshold).alias("kept"))
 
 
 def score_documents(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -198,4 +298,6 @@ def score_documents(docs: DataFrame, model: Model | None, threshold: float = THR
 
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    return score_documents(docs, train(docs, read_table(spark, sf_dir, "labels")))
+    viewed = saved(views(docs), "views")
+    model = train(docs, read_table(spark, sf_dir, "labels"), viewed=viewed)
+    return score_documents(docs, None) if model is None else score_views(viewed, model)

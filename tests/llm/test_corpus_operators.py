@@ -434,6 +434,43 @@ def test_cotraining_sees_content(spark):
     assert len(told) == 300 and sum(r["kept"] == (r["doc_id"] % 2 == 1) for r in told) > 285
 
 
+def test_cotraining_cuts_and_pseudo_labels():
+    """Cuts by histogram against a sort; what a row was given does not change later, and each view teaches the other."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 6, (5000, 2))
+    counts = np.bincount(cotraining._bins(x[:, 0]), minlength=cotraining.BINS)
+    high, low = cotraining.cuts(counts, 250)
+    bins = cotraining._bins(x[:, 0])
+    by_sort = np.sort(bins)
+    assert high == by_sort[-250] and low == by_sort[249] and (cotraining.sigmoid(x[bins >= high, 0]) >= cotraining.SURE).all()
+    weak_high, weak_low = cotraining.cuts(np.bincount(cotraining._bins(x[:, 0] / 20), minlength=cotraining.BINS), 250)
+    assert not ((cotraining._bins(x[:, 0] / 20) >= weak_high) | (cotraining._bins(x[:, 0] / 20) <= weak_low)).any()
+    views, w = [x[:, :1], x[:, 1:]], np.array([1.0, 0.0])
+    first = cotraining.Round([w, w], [high, high], [low, low])
+    given = cotraining.pseudo_labels(views, [first])
+    assert (given[1][bins >= high] == 1).all() and (given[1][bins <= low] == 0).all() and (given[1] >= 0).sum() == ((bins >= high) | (bins <= low)).sum()
+    later = cotraining.pseudo_labels(views, [first, cotraining.Round([-w, -w], [high, high], [low, low])])
+    assert all((b[a >= 0] == a[a >= 0]).all() for a, b in zip(given, later))
+
+
+def test_cotraining_mends_a_view(spark):
+    """Words of one half of the vocabulary carry no label in text; the metadata view teaches the text view what they mean, from rows all over the table."""
+    rng = random.Random(8)
+    seen = ["alpha beta gamma".split(), "kappa theta omega".split()]
+    other = ["stone river cloud".split(), "plane metal glass".split()]
+    rows = [(i, " ".join(rng.choice((seen if i < 200 else other)[i % 2]) for _ in range(40)), ("en", "fr")[i % 2], "s", 200) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    right = {}
+    for rounds in (0, 3):
+        told = cotraining.score_documents(docs, cotraining.train(docs, labels, rounds=rounds)).where("doc_id >= 200").collect()
+        right[rounds] = sum((r["text_score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in told) / len(told)
+    assert right[3] > 0.95 and right[3] >= right[0]
+    model = cotraining.train(docs, labels)
+    ways = [{r["doc_id"]: r["score"] for r in f.collect()} for f in (cotraining.score_documents(docs, model), cotraining.score_views(cotraining.views(docs), model))]
+    assert ways[0].keys() == ways[1].keys() and all(abs(ways[0][i] - ways[1][i]) < 1e-3 for i in ways[0])
+
+
 def test_cotraining_awkward_rows(spark):
     docs = documents(spark).withColumn("label", F.lit("clash"))
     assert cotraining.train(docs.limit(0), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")) is None
