@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from spanlab.operators.intervals import union_length
 from spanlab.operators.joins import HOUR_US, one_to_one_match, points_in
-from spanlab.operators.triggers import k_of_n, refractory_levels
+from spanlab.operators.ranks import looking_back
+from spanlab.operators.triggers import reaching, refractory_levels
 
 
 def match(triggers: DataFrame, targets: DataFrame, key: str, before: int, after: int) -> tuple[DataFrame, DataFrame]:
@@ -54,12 +55,10 @@ def sweep(scores: DataFrame, thresholds: list[float], stream: str, t: str, score
     A score that sets off a threshold sets off the lower ones too, so each score says how many of them it does, in one window, and one walk finds the triggers of all.
     """
     ascending = sorted({float(x) for x in thresholds})
-    flags = scores
-    for i, x in enumerate(ascending):
-        flags = k_of_n(flags, stream, t, score, x, k, n, f"__on{i}", tie)
+    flags = looking_back(scores, [stream], t, n - 1, lambda window: {f"__on{i}": reaching(score, x, k, n, window) for i, x in enumerate(ascending)}, [tie])
     level = sum((F.coalesce(F.col(f"__on{i}"), F.lit(False)).cast("int") for i in range(1, len(ascending))), F.coalesce(F.col("__on0"), F.lit(False)).cast("int"))
     cands = flags.select(stream, t, score, tie, level.alias("__level")).where("__level > 0")
-    told = refractory_levels(cands, [stream], t, gap, [score, tie], len(ascending), tie)
+    told = refractory_levels(cands, [stream], t, gap, [score, tie], len(ascending), tie, counted=scores)
     return told.select(F.get(F.array(*[F.lit(x) for x in ascending]), F.col("level")).alias("threshold"), *[c for c in told.columns if c != "level"])
 
 

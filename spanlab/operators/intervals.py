@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from spanlab.functions.keys import uniform
 from spanlab.operators.joins import overlap_join
+from spanlab.operators.ranks import looking_back
 from spanlab.operators.series import linspace_cap, merge_intervals
 
 
@@ -46,20 +47,19 @@ def clipped(spans: DataFrame, start: str, end: str, lo: Column, hi: Column) -> D
 
 
 def subtract(ranges: DataFrame, spans: DataFrame, keys: list[str], start: str, end: str, lo: str, hi: str) -> DataFrame:
-    """The free parts (free_start, free_end) of [lo, hi] of each row of ``ranges``, in order; keys without spans are free as a whole."""
+    """The free parts (free_start, free_end) of [lo, hi] of each row of ``ranges`` (one a key), in order; keys without spans are free as a whole."""
     inside = clipped(spans.select(*keys, start, end).join(ranges.select(*keys, lo, hi), keys), start, end, F.col(lo), F.col(hi))
-    merged = merge_intervals(inside.select(*keys, start, end), keys, start, end)
+    merged = merge_intervals(inside.select(*keys, start, end), keys, start, end, counted=spans)
     # Marks at both ends turn every gap into the step from one row to the next.
     ends = ranges.select(*keys, F.explode(F.array(F.struct(F.col(lo).alias(start), F.col(lo).alias(end)), F.struct(F.col(hi).alias(start), F.col(hi).alias(end)))).alias("x")).select(*keys, "x.*")
-    w = W.partitionBy(*keys).orderBy(start, end)
-    steps = merged.select(*keys, start, end).unionByName(ends).withColumn("free_end", F.lead(start).over(w))
-    return steps.select(*keys, F.col(end).alias("free_start"), "free_end").where("free_end > free_start")
+    steps = looking_back(merged.select(*keys, start, end).unionByName(ends), keys, start, 1, lambda window: {"free_start": F.lag(end).over(window())}, [end], counted=spans.select(*keys).unionByName(ends.select(*keys)))
+    return steps.select(*keys, "free_start", F.col(start).alias("free_end")).where("free_end > free_start")
 
 
 def union_length(ranges: DataFrame, spans: DataFrame, keys: list[str], start: str, end: str, lo: str, hi: str) -> DataFrame:
-    """``covered``: the length of the spans' union inside [lo, hi]; 0 for keys without spans."""
+    """``covered``: the length of the spans' union inside [lo, hi] of each row of ``ranges`` (one a key); 0 for keys without spans."""
     inside = clipped(spans.select(*keys, start, end).join(ranges.select(*keys, lo, hi), keys), start, end, F.col(lo), F.col(hi))
-    merged = merge_intervals(inside.select(*keys, start, end), keys, start, end).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias("covered"))
+    merged = merge_intervals(inside.select(*keys, start, end), keys, start, end, counted=spans).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias("covered"))
     return ranges.join(merged, keys, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
 
 

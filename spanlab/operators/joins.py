@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from spanlab.operators.ranks import islands
+
 
 def lookup_join(df: DataFrame, dim: DataFrame, key: str, required: list[str] = ()) -> DataFrame:
     """Left join on a key that must be unique in ``dim``; a missing match fails the job where ``required`` columns come out null."""
@@ -91,10 +93,7 @@ def one_to_one_match(expected: DataFrame, observed: DataFrame, key: str, lo: int
     one; only waiting zones are in memory. One row per expected event, o_id null where it has none.
     """
     zones = expected.select(key, "e_id", (F.col("a") - lo).alias("z0"), (F.col("b") + hi).alias("z1"))
-    order = W.partitionBy(key).orderBy("z0", "e_id")
-    before = F.max("z1").over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(before.isNull() | (before < F.col("z0")), 1).otherwise(0)
-    zones = zones.withColumn("f", fresh).withColumn("island", F.sum("f").over(order)).drop("f")
+    zones = islands(zones, [key], "z0", F.col("z1"), lambda before: before.isNull() | (before < F.col("z0")), ["e_id"], counted=expected).drop("begins")
     inside = points_in(observed.select(key, "t", "o_id"), "t", zones, "z0", "z1", [key], width or max(lo + hi, HOUR_US)).select(key, "island", "t", "o_id").distinct()
     rows = zones.select(key, "island", F.col("z0").alias("at"), F.lit(0).alias("kind"), F.col("e_id").alias("id"), "z1")
     rows = rows.unionByName(inside.select(key, "island", F.col("t").alias("at"), F.lit(1).alias("kind"), F.col("o_id").alias("id"), F.lit(None).cast("long").alias("z1")))

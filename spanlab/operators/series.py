@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanlab.operators.ranks import cumulative
+from spanlab.operators.ranks import cumulative, islands, looking_back
 
 
 def sessionize(df: DataFrame, key: str, t: str, gap: int, tie: str) -> DataFrame:
     """``session`` from 0: a new one starts when more than ``gap`` has passed."""
-    w = W.partitionBy(key).orderBy(t, tie)
-    fresh = F.when(F.col(t) - F.lag(t).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("__f", fresh).withColumn("session", F.sum("__f").over(w)).drop("__f")
+    return islands(df, [key], t, F.col(t), lambda last: F.col(t) - last > gap, [tie]).drop("begins").withColumnRenamed("island", "session")
 
 
 def head_per_group(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
@@ -38,36 +36,31 @@ def running_precision(df: DataFrame, keys: list[str], score: str, tie: list[str]
 
 def gaps_between(df: DataFrame, key: str, start: str, end: str, tie: str) -> DataFrame:
     """Per key: rows and the largest gap between a row's end and the next one's start."""
-    w = W.partitionBy(key).orderBy(start, tie)
-    return df.withColumn("__g", F.col(start) - F.lag(end).over(w)).groupBy(key).agg(F.count("*").alias("n"), F.max("__g").alias("max_gap"))
+    told = looking_back(df, [key], start, 1, lambda window: {"__g": F.col(start) - F.lag(end).over(window())}, [tie])
+    return told.groupBy(key).agg(F.count("*").alias("n"), F.max("__g").alias("max_gap"))
 
 
 def min_spacing(df: DataFrame, key: str, t: str) -> DataFrame:
-    w = W.partitionBy(key).orderBy(t)
-    return df.withColumn("__g", F.col(t) - F.lag(t).over(w)).groupBy(key).agg(F.min("__g").alias("min_spacing"))
+    told = looking_back(df, [key], t, 1, lambda window: {"__g": F.col(t) - F.lag(t).over(window())})
+    return told.groupBy(key).agg(F.min("__g").alias("min_spacing"))
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """The union of intervals per key as intervals of their own; ones that touch are joined."""
-    w = W.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    isles = df.withColumn("__f", fresh).withColumn("__i", F.sum("__f").over(w))
-    return isles.groupBy(*keys, "__i").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__i")
+def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, counted: DataFrame | None = None) -> DataFrame:
+    """The union of intervals per key as intervals of their own; ones that touch are joined. ``counted``: a table known to hold no fewer rows of each key."""
+    isles = islands(df, keys, start, F.col(end), lambda reach: reach.isNull() | (F.col(start) > reach), [end], counted)
+    return isles.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
 def longest_run(df: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:
-    w = W.partitionBy(key).orderBy(*order)
-    both = W.partitionBy(key, "__on").orderBy(*order)
-    runs = df.withColumn("__on", flag).withColumn("__i", F.row_number().over(w)).withColumn("__r", F.col("__i") - F.row_number().over(both))
-    sizes = runs.groupBy(key, "__on", "__r").agg(F.count("*").alias("__n"))
-    return sizes.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("__on"), F.col("__n"))), F.lit(0)).alias("longest"))
+    """``longest``: the most rows of a key that stand one behind another with the flag set. Rows of one run have as many rows without it ahead of them."""
+    runs = cumulative(df.withColumn("__off", (~F.coalesce(flag, F.lit(False))).cast("int")), [key], order[0], ["__off"], tie=order[1:])
+    sizes = runs.groupBy(key, "before___off").agg(F.count_if(F.col("__off") == 0).alias("__n"))
+    return sizes.groupBy(key).agg(F.max("__n").alias("longest"))
 
 
 def linspace_cap(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """Up to n rows of each key, evenly spaced by index with both ends, each once."""
-    w = W.partitionBy(key)
-    numbered = df.withColumn("__i", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("__c", F.count("*").over(w))
+    numbered = cumulative(df.withColumn("__one", F.lit(1)), [key], order[0], ["__one"], tie=order[1:]).drop("__one").withColumnsRenamed({"before___one": "__i", "all___one": "__c"})
     # Index i is taken when i is j * (c - 1) / (n - 1), rounded half up, of some j: of the least j that reaches i - 1/2, if it stays under i + 1/2.
     j = F.expr(f"((2 * __i - 1) * {n - 1} + 2 * (__c - 1) - 1) div (2 * greatest(__c - 1, 1))")
     taken = (F.col("__i") == 0) | ((2 * j * (F.col("__c") - 1) < (2 * F.col("__i") + 1) * (n - 1)) & (j <= n - 1))

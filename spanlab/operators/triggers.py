@@ -2,52 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.types import IntegerType
 
+from spanlab.operators.ranks import islands, looking_back
+
 
 def smooth(df: DataFrame, stream: str, t: str, score: str, k: int, into: str, tie: str | None = None) -> DataFrame:
     """Causal mean over the last k scores, fewer at the start."""
-    w = W.partitionBy(stream).orderBy(*[x for x in (t, tie) if x]).rowsBetween(-(k - 1), 0)
-    return df.withColumn(into, F.avg(score).over(w))
+    return looking_back(df, [stream], t, k - 1, lambda window: {into: F.avg(score).over(window(-(k - 1), 0))}, [tie] if tie else [])
 
 
-def k_of_n(df: DataFrame, stream: str, t: str, score: str, threshold: float | Column, k: int, n: int, into: str, tie: str | None = None) -> DataFrame:
-    """True where the score reaches the threshold and at least k of the last n scores do."""
+def reaching(score: str, threshold: float | Column, k: int, n: int, window: Callable) -> Column:
+    """True where the score reaches the threshold and at least k of the last n scores of its ``window`` do."""
     if not 1 <= k <= n:
         raise ValueError(f"1 <= k <= n expected, not k={k}, n={n}")
-    w = W.partitionBy(stream).orderBy(*[x for x in (t, tie) if x]).rowsBetween(-(n - 1), 0)
     reached = (F.col(score) >= threshold).cast("int")
-    return df.withColumn(into, (reached == 1) & (F.sum(reached).over(w) >= k))
+    return (reached == 1) & (F.sum(reached).over(window(-(n - 1), 0)) >= k)
 
 
-def refractory(cands: DataFrame, streams: list[str], t: str, gap: int, payload: list[str], tie: str | None = None) -> DataFrame:
+def k_of_n(df: DataFrame, stream: str, t: str, score: str, threshold: float | Column, k: int, n: int, into: str, tie: str | None = None) -> DataFrame:
+    """``into``: whether the score reaches the threshold and at least k of the last n scores do."""
+    return looking_back(df, [stream], t, n - 1, lambda window: {into: reaching(score, threshold, k, n, window)}, [tie] if tie else [])
+
+
+def refractory(cands: DataFrame, streams: list[str], t: str, gap: int, payload: list[str], tie: str | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Keep a candidate when at least ``gap`` has passed since the last one that was kept.
 
     A candidate that comes ``gap`` or more after the one before it is always kept, whatever happened earlier, so candidates fall into
     islands there, and islands are dealt to tasks apart. Inside an island a walk over sorted batches leaps from each kept one to the first that
     is far enough behind it: it holds one time, however long the island is.
     """
-    return refractory_levels(cands.withColumn("__level", F.lit(1)), streams, t, gap, payload, 1, tie).drop("level")
+    return refractory_levels(cands.withColumn("__level", F.lit(1)), streams, t, gap, payload, 1, tie, counted).drop("level")
 
 
-def refractory_levels(cands: DataFrame, streams: list[str], t: str, gap: int, payload: list[str], levels: int, tie: str | None = None) -> DataFrame:
+def refractory_levels(cands: DataFrame, streams: list[str], t: str, gap: int, payload: list[str], levels: int, tie: str | None = None, counted: DataFrame | None = None) -> DataFrame:
     """The same for ``levels`` detectors at once, of which a candidate counts for the first ``__level``: the kept ones of each, with their ``level`` from 0.
 
     Whoever counts for a level counts for those below it, so islands of the lowest one part all others too, and one walk holds the last kept time of every level. Candidates
-    are neither copied nor moved once a level.
+    are neither copied nor moved once a level. A stream with many candidates is dealt to ranges of time before (``counted``: the rows that candidates were chosen from).
     """
     order = [x for x in (t, tie) if x]
     cols = [*streams, *order, *[c for c in payload if c not in order]]
-    w = W.partitionBy(*streams).orderBy(*order)
-    fresh = F.when(F.coalesce(F.col(t) - F.lag(t).over(w) >= gap, F.lit(True)), 1).otherwise(0)
-    isles = cands.select(*cols, F.col("__level").cast("int").alias("__level")).withColumn("__first", fresh).withColumn("__island", F.sum("__first").over(w))
+    far = lambda last: F.coalesce(F.col(t) - last >= gap, F.lit(True))
+    isles = islands(cands.select(*cols, F.col("__level").cast("int").alias("__level")), streams, t, F.col(t), far, order[1:], counted).withColumnsRenamed({"island": "__island", "begins": "__first"})
     dealt = isles.repartition(*streams, "__island").sortWithinPartitions(*streams, "__island", *order)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +87,11 @@ def refractory_levels(cands: DataFrame, streams: list[str], t: str, gap: int, pa
 
 def detect(scores: DataFrame, stream: str, t: str, score: str, threshold: float, gap: int, k: int = 1, n: int = 1, smoothing: int = 1, tie: str | None = None) -> DataFrame:
     """Triggers of every stream: stream, t, score and the tie key."""
-    used = score
-    if smoothing > 1:
-        scores, used = smooth(scores, stream, t, score, smoothing, "__smooth", tie), "__smooth"
-    flagged = k_of_n(scores, stream, t, used, threshold, k, n, "__on", tie).where("__on")
-    return refractory(flagged.withColumn(score, F.col(used)), [stream], t, gap, [x for x in (score, tie) if x], tie)
+    used = "__smooth" if smoothing > 1 else score
+
+    def told(window: Callable) -> dict[str, Column]:
+        smoothed = {used: F.avg(score).over(window(-(smoothing - 1), 0))} if smoothing > 1 else {}
+        return {**smoothed, "__on": reaching(used, threshold, k, n, window)}
+
+    flagged = looking_back(scores, [stream], t, smoothing + n - 2, told, [tie] if tie else []).where("__on")
+    return refractory(flagged.withColumn(score, F.col(used)), [stream], t, gap, [x for x in (score, tie) if x], tie, counted=scores)

@@ -1,6 +1,7 @@
 """Registered queries without SQL against plain Python over the given tables, and properties of the two that fit models."""
 
 import hashlib
+import itertools
 import math
 import random
 import statistics
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanlab.operators import aggregates, checks, detection, diagnostics, metrics, ranks, sampling, series, signals, splits, triggers, wordings
+from spanlab.operators import aggregates, checks, detection, diagnostics, intervals, joins, metrics, ranks, sampling, series, signals, splits, triggers, wordings
 from spanlab.plans import registry, sampling_queries
 from spanlab.plans.signals_queries import levels
 
@@ -323,6 +324,7 @@ def test_two_clusters(spark):
 def test_running_totals_over_ranges(spark, monkeypatch):
     """Null keys, ties and few values, with many small ranges."""
     monkeypatch.setattr(ranks, "CHUNKS", 9)
+    monkeypatch.setattr(ranks, "ROWS", 20)
     rng = random.Random(8)
     rows = [(rng.choice([None, "a", "b"]), rng.choice([1.5, 2.5, None, rng.random() * 9]), i, rng.randrange(5)) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, x double, id long, w long")
@@ -336,6 +338,74 @@ def test_running_totals_over_ranges(spark, monkeypatch):
         assert math.isclose(told[k]["p50"], statistics.median(mine)) and math.isclose(told[k]["p10"], float(np.percentile(mine, 10))) and told[k]["n"] == len(mine)
 
 
+@pytest.mark.parametrize("most", [7, 1 << 20])
+def test_one_busy_key_in_ranges(spark, monkeypatch, most):
+    """Sessions, runs, rolling columns, merged intervals, free parts and triggers of a key that holds most rows, dealt to ranges and pieces or not."""
+    monkeypatch.setattr(ranks, "ROWS", most)
+    rng = random.Random(5)
+    rows = sorted({(rng.choice([None, "a", "b", "b", "b", "b"]), rng.randrange(900), i) for i in range(220)}, key=lambda r: (r[0] or "", r[1], r[2]))
+    rows = [(k, t, i, rng.randrange(10) / 8, t + rng.randrange(1, 9)) for k, t, i in rows]
+    df = spark.createDataFrame(rows, "k string, t long, id long, x double, e long")
+    by_key = {k: [r for r in rows if r[0] == k] for k in (None, "a", "b")}
+
+    def want(tell):
+        return {r[2]: v for mine in by_key.values() for r, v in zip(mine, tell(mine))}
+
+    def told(frame, col):
+        return {r["id"]: r[col] for r in frame.collect()}
+
+    sessions = lambda mine: itertools.accumulate((int(i > 0 and mine[i][1] - mine[i - 1][1] > 6) for i in range(len(mine))))
+    assert told(series.sessionize(df, "k", "t", 6, "id"), "session") == want(sessions)
+    smooth = lambda mine: [sum(r[3] for r in mine[max(0, i - 3):i + 1]) / len(mine[max(0, i - 3):i + 1]) for i in range(len(mine))]
+    assert told(triggers.smooth(df, "k", "t", "x", 4, "s", "id"), "s") == want(smooth)
+    flags = lambda v: [v[i] >= 0.5 and sum(y >= 0.5 for y in v[max(0, i - 2):i + 1]) >= 2 for i in range(len(v))]
+    assert told(triggers.k_of_n(df, "k", "t", "x", 0.5, 2, 3, "on", "id"), "on") == want(lambda mine: flags([r[3] for r in mine]))
+    kept = []
+    for mine in by_key.values():
+        last = None
+        for r, on in zip(mine, flags(smooth(mine))):
+            if on and (last is None or r[1] - last >= 15):
+                kept.append(r[2])
+                last = r[1]
+    assert sorted(r["id"] for r in triggers.detect(df, "k", "t", "x", 0.5, 15, 2, 3, 4, "id").collect()) == sorted(kept)
+    runs = {k: max((len(list(g)) for on, g in itertools.groupby(r[3] > 0.5 for r in mine) if on), default=0) for k, mine in by_key.items()}
+    assert {r["k"]: r["longest"] for r in series.longest_run(df, "k", ["t", "id"], F.col("x") > 0.5).collect()} == runs
+    gaps = {k: (len(mine), max(b[1] - a[4] for a, b in itertools.pairwise(mine))) for k, mine in by_key.items()}
+    assert {r["k"]: (r["n"], r["max_gap"]) for r in series.gaps_between(df, "k", "t", "e", "id").collect()} == gaps
+    spacing = {k: min(b[1] - a[1] for a, b in itertools.pairwise(mine)) for k, mine in by_key.items()}
+    assert {r["k"]: r["min_spacing"] for r in series.min_spacing(df, "k", "t").collect()} == spacing
+    picked = {r[2] for mine in by_key.values() for r in (mine if len(mine) <= 20 else [mine[i] for i in {(2 * j * (len(mine) - 1) + 19) // 38 for j in range(20)}])}
+    assert {r["id"] for r in series.linspace_cap(df, "k", ["t", "id"], 20).collect()} == picked
+    union = {k: [] for k in by_key}
+    for k, mine in by_key.items():
+        for r in mine:
+            if union[k] and r[1] <= union[k][-1][1]:
+                union[k][-1][1] = max(union[k][-1][1], r[4])
+            else:
+                union[k].append([r[1], r[4]])
+    merged = series.merge_intervals(df.withColumn("x", F.lit(0)), ["k"], "t", "e").collect()
+    assert sorted((str(r["k"]), r["t"], r["e"]) for r in merged) == sorted((str(k), *x) for k, found in union.items() for x in found)
+    whole = spark.createDataFrame([("a", 10, 880), ("b", 10, 880)], "k string, lo long, hi long")
+    free = {(r["k"], r["free_start"], r["free_end"]) for r in intervals.subtract(whole, df, ["k"], "t", "e", "lo", "hi").collect()}
+    covered = {r["k"]: r["covered"] for r in intervals.union_length(whole, df, ["k"], "t", "e", "lo", "hi").collect()}
+    for k in ("a", "b"):
+        taken = {x for a, b in union[k] for x in range(max(a, 10), min(b, 880))}
+        assert covered[k] == len(taken)
+        assert {x for key, a, b in free if key == k for x in range(a, b)} == set(range(10, 880)) - taken
+        assert all((k, b, c) not in free for key, a, b in free if key == k for c in range(b, 881))
+
+
+def test_matching_of_one_busy_stream(spark, monkeypatch):
+    """Zones of one stream in ranges are matched as in one window."""
+    rng = random.Random(12)
+    targets = spark.createDataFrame([("s", i, t, t + rng.randrange(5)) for i, t in enumerate(rng.randrange(3000) for _ in range(150))], "k string, e_id long, a long, b long")
+    seen = spark.createDataFrame([("s", rng.randrange(3000), i) for i in range(170)], "k string, t long, o_id long")
+    told = lambda: sorted(map(str, joins.one_to_one_match(targets, seen, "k", 2, 9).collect()))
+    plain = told()
+    monkeypatch.setattr(ranks, "ROWS", 11)
+    assert told() == plain and sum("o_id=None" not in r for r in plain) > 60
+
+
 @pytest.mark.parametrize("c, n", [(5, 5), (6, 5), (7, 3), (100, 20), (21, 20), (9, 1), (1000, 7)])
 def test_even_picks(spark, c, n):
     got = sorted(r["i"] for r in series.linspace_cap(spark.range(c).select(F.col("id").alias("i"), F.lit(1).alias("k")), "k", ["i"], n).collect())
