@@ -63,16 +63,38 @@ def attribute(triggers: DataFrame, events: DataFrame, key: str, window: int, oth
     return triggers.join(best, [key, "trigger_id"], "left").withColumn("cause", F.coalesce((-F.col("b.e")).cast("string"), otherwise)).drop("b")
 
 
+#: Halvings of the radius that cells of ``knn_band_join`` may go through.
+HALVINGS = 8
+
+
 def knn_band_join(a: DataFrame, b: DataFrame, keys: list[str], k: int, radius: float) -> DataFrame:
-    """Up to k nearest rows of b (b_id, bx, by) within a radius of each row of a (a_id, ax, ay), by cells as wide as the radius."""
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    cell = lambda x: F.floor(F.col(x) / radius)
-    left = a.withColumn("__n", F.explode(near)).withColumn("__x", cell("ax") + F.col("__n.i")).withColumn("__y", cell("ay") + F.col("__n.j")).drop("__n")
-    right = b.withColumn("__x", cell("bx")).withColumn("__y", cell("by"))
+    """Up to k nearest rows of b (b_id, bx, by) within a radius of each row of a (a_id, ax, ay); ties go by b_id. Rows without a coordinate meet nothing.
+
+    Each distinct place of a asks once, and of the rows of b at one place only the k smallest b_id count. Cells are as wide as the radius, or half, a quarter, ... of it: a place asks
+    in the smallest ones of which its own holds k rows. Those lie within 1.42 widths, so the two cells around it on each side have all that are as near. Where no cell is that full,
+    a place asks the cells next to its own, as wide as the radius. So what a place is compared with follows k, not the number of rows that a radius holds,
+    until more than k different places lie within 1/256 of a radius.
+    """
+    cell = lambda x, level: F.floor(F.col(x) / (F.lit(float(radius)) / F.pow(F.lit(2.0), level)))
+    each = F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))).alias("__l")
+    at_a, at_b = [*keys, "ax", "ay"], [*keys, "bx", "by"]
+    places = a.select(*at_a).where("ax IS NOT NULL AND ay IS NOT NULL").distinct()
+    first = F.row_number().over(W.partitionBy(*at_b).orderBy("b_id"))
+    rows = b.select(*at_b, "b_id").where("bx IS NOT NULL AND by IS NOT NULL").withColumn("__n", first).where(F.col("__n") <= k).drop("__n")
+    posted = rows.select("*", each).withColumns({"__x": cell("bx", F.col("__l")), "__y": cell("by", F.col("__l"))})
+    on = [*keys, "__l", "__x", "__y"]
+    full = posted.where("__l > 0").groupBy(*on).count().where(F.col("count") >= k).drop("count")
+    tried = places.select("*", each).withColumns({"__x": cell("ax", F.col("__l")), "__y": cell("ay", F.col("__l"))})
+    level = tried.join(full, on, "left_semi").groupBy(*at_a).agg(F.max("__l").alias("__l"))
+    # Keys may be null in a place, as everywhere: those meet nothing, here or in the join of cells.
+    asked = places.join(level, at_a, "left").withColumn("__l", F.coalesce("__l", F.lit(0)))
+    wide = F.when(F.col("__l") > 0, 2).otherwise(1)
+    steps = lambda: F.explode(F.sequence(-wide, wide))
+    asks = asked.withColumn("__i", steps()).withColumn("__j", steps()).withColumns({"__x": cell("ax", F.col("__l")) + F.col("__i"), "__y": cell("ay", F.col("__l")) + F.col("__j")}).drop("__i", "__j")
     d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-    met = left.join(right, [*keys, "__x", "__y"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    w = W.partitionBy("a_id").orderBy("d2", "b_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "a_id", "b_id", "d2", "rank")
+    met = asks.join(posted, on).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    near = met.withColumn("rank", F.row_number().over(W.partitionBy(*at_a).orderBy("d2", "b_id"))).where(F.col("rank") <= k)
+    return a.join(near.select(*at_a, "b_id", "d2", "rank"), at_a).select(*keys, "a_id", "b_id", "d2", "rank")
 
 
 def points_in(points: DataFrame, t: str, zones: DataFrame, z0: str, z1: str, keys: list[str], width: int) -> DataFrame:

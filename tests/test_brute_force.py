@@ -395,6 +395,23 @@ def test_one_busy_key_in_ranges(spark, monkeypatch, most):
         assert all((k, b, c) not in free for key, a, b in free if key == k for c in range(b, 881))
 
 
+@pytest.mark.parametrize("k, radius", [(1, 2.0), (5, 3.0), (40, 50.0)])
+def test_nearest_rows_in_cells(spark, k, radius):
+    """A dense heap, repeated places, lonely rows and borders of cells against all distances; rows without a coordinate meet nothing."""
+    rng = random.Random(k)
+    heap = lambda n, wide: [(rng.gauss(0, wide), rng.gauss(0, wide)) for _ in range(n)]
+    left = heap(60, 0.02) + heap(40, 4) + [(1.0, 1.0)] * 5 + [(90.0, 90.0), (-2.0, 0.0), (None, 1.0)]
+    right = heap(150, 0.02) + heap(60, 4) + [(1.0, 1.0)] * 50 + [(0.0, 0.0), (2.0, 0.0), (1.0, None)]
+    a = [(i, "ab"[i % 2], *p) for i, p in enumerate(left)]
+    b = [(i, "ab"[i % 3 > 0], *p) for i, p in enumerate(right)]
+    want = set()
+    for i, key, x, y in a:
+        dist = sorted(((x - bx) * (x - bx) + (y - by) * (y - by), j) for j, other, bx, by in b if key == other and None not in (x, y, bx, by))
+        want |= {(i, j, n) for n, (d, j) in enumerate([c for c in dist if c[0] <= radius * radius][:k], 1)}
+    got = joins.knn_band_join(spark.createDataFrame(a, "a_id long, g string, ax double, ay double"), spark.createDataFrame(b, "b_id long, g string, bx double, by double"), ["g"], k, radius)
+    assert {(r["a_id"], r["b_id"], r["rank"]) for r in got.collect()} == want
+
+
 def test_matching_of_one_busy_stream(spark, monkeypatch):
     """Zones of one stream in ranges are matched as in one window."""
     rng = random.Random(12)
