@@ -185,8 +185,18 @@ def calibrate(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def transcript_verdict(target: Column, heard: Column, end: Column, duration: Column, worst: float = 0.25, edge: float = 0.15) -> Column:
-    cut = target.startswith(heard) & (F.length(heard) < F.length(target)) | (duration - end < edge)
-    return F.when(heard == "", "empty").when(edit_ratio(heard, target) <= worst, "complete").when(cut, "cut_off").otherwise("other")
+    """``empty``, ``complete`` within an edit ratio of ``worst``, ``cut_off`` where the target goes on or the clip ends, else ``other``.
+
+    What is heard as the target begins lies as far from it as their lengths do, and texts further apart in length than ``worst`` allows can't be within it; only the others are measured, in the
+    band that it allows.
+    """
+    begins, apart = target.startswith(heard), F.abs(F.length(heard) - F.length(target))
+    whole = F.greatest(F.length(heard), F.length(target), F.lit(1))
+    most = F.floor(worst * whole).cast("int")
+    d = F.when(begins | (apart > most), apart).otherwise(F.call_function("levenshtein", heard, target, most))
+    within = F.coalesce((d >= 0) & (d <= most) & (d / whole <= worst), F.lit(False))
+    cut = begins & (F.length(heard) < F.length(target)) | (duration - end < edge)
+    return F.when(heard == "", "empty").when(within, "complete").when(cut, "cut_off").otherwise("other")
 
 
 def best_subspan(words: DataFrame, keys: list[str], target: Column, longest: int = 12, worst: float = 0.2) -> DataFrame:
