@@ -50,20 +50,27 @@ def choose_threshold(df: DataFrame, category: str, subset: str, excluded: list,
     return threshold_at_fpr(pooled, ["pool"], score, target).withColumn("operating", F.max("boundary").over(W.partitionBy()))
 
 
-def rate_table(df: DataFrame, groups: list[str], hit: Column, score: str) -> DataFrame:
-    """n, k (hits), rate with its 95 per cent interval (Wilson's) and score statistics by each column and their combination; a column that isn't grouped by shows null and its flag 0."""
+def rate_table(df: DataFrame, groups: list[str], hit: Column, score: str, p99: bool = True) -> DataFrame:
+    """n, k (hits), rate with its 95 per cent interval (Wilson's) and score statistics by each column and their combination; a column that isn't grouped by shows null and its flag 0.
+
+    Rows are summed by the columns in each task before any set of them is made, so counts, mean and maximum need no memory that grows with the scores; ``p99``, the exact one, counts distinct scores.
+    """
     flags = [f"by_{g}" for g in groups]
-    cells = df.groupBy(*groups, score).agg(F.count("*").alias("__n"), F.count_if(hit).alias("__k"))
     sets = F.explode(F.array(*[F.struct(*[F.lit(mask >> i & 1).alias(f) for i, f in enumerate(flags)]) for mask in range(1, 1 << len(groups))])).alias("by")
-    wide = cells.select(score, "__n", "__k", *groups, sets).select(score, "__n", "__k", "by.*", *[F.when(F.col(f"by.{f}") == 1, F.col(g)).alias(g) for g, f in zip(groups, flags)])
+    wide = lambda cells, *cols: cells.select(*cols, *groups, sets).select(*cols, "by.*", *[F.when(F.col(f"by.{f}") == 1, F.col(g)).alias(g) for g, f in zip(groups, flags)])
     keys = [*groups, *flags]
-    told = wide.groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum("__k").alias("k"), (F.sum("__k") / F.sum("__n")).alias("rate"), (F.sum(F.col(score) * F.col("__n")) / F.sum(F.when(F.col(score).isNotNull(), F.col("__n")))).alias("mean_score"), F.max(score).alias("max_score"))
+    sums = df.groupBy(*groups).agg(F.count("*").alias("__n"), F.count_if(hit).alias("__k"), F.count(score).alias("__m"), F.sum(score).alias("__s"), F.max(score).alias("__top"))
+    told = wide(sums, "__n", "__k", "__m", "__s", "__top").groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum("__k").alias("k"), (F.sum("__k") / F.sum("__n")).alias("rate"), F.try_divide(F.sum("__s"), F.sum("__m")).alias("mean_score"), F.max("__top").alias("max_score"))
     told = told.withColumn("__ci", wilson_ci(F.col("k"), F.col("n"))).withColumns({"low": F.col("__ci.low"), "high": F.col("__ci.high")}).drop("__ci")
-    p99 = quantiles(wide, keys, score, {"p99": 0.99}, "__n").withColumnsRenamed({k: f"__{k}" for k in keys})
+    cols = [*groups, *flags, "n", "k", "rate", "low", "high", "mean_score", "max_score"]
+    if not p99:
+        return told.select(*cols)
+    cells = df.groupBy(*groups, score).agg(F.count("*").alias("__n"))
+    high = quantiles(wide(cells, score, "__n"), keys, score, {"p99": 0.99}, "__n").withColumnsRenamed({k: f"__{k}" for k in keys})
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return told.join(p99, on, "left").select(*groups, *flags, "n", "k", "rate", "low", "high", "mean_score", "max_score", "p99")
+    return told.join(high, on, "left").select(*cols, "p99")
 
 
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)

@@ -53,7 +53,7 @@ _LOW, _HIGH = (_WILSON.format(sign=s, z=f"{M.Z95!r}::DOUBLE", z2=f"{M.Z95 * M.Z9
 
 @query("me5_rate_table", sql(f"SELECT category, subset, by_category, by_subset, n, k, k / n::DOUBLE AS rate, round({_LOW}, 9) AS low, round({_HIGH}, 9) AS high, round(mean_score, 6) AS mean_score, max_score FROM (SELECT category, subset, 1 - grouping(category) AS by_category, 1 - grouping(subset) AS by_subset, count(*) AS n, count_if(score > 60000) AS k, avg(score) AS mean_score, max(score) AS max_score FROM v_policy GROUP BY CUBE (category, subset)) WHERE by_category = 1 OR by_subset = 1", "v_policy"))
 def me5(spark, d):
-    out = M.rate_table(v_policy(spark, d), ["category", "subset"], F.col("score") > 60000, "score").drop("p99")
+    out = M.rate_table(v_policy(spark, d), ["category", "subset"], F.col("score") > 60000, "score", p99=False)
     return out.withColumns({"low": F.round("low", 9), "high": F.round("high", 9), "mean_score": F.round("mean_score", 6)})
 
 
