@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -145,15 +145,21 @@ def position_uniformity(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
 BLOCK, ROWS = 4096, 65_536
 #: References of a key that others are dealt by.
 PIVOTS = 32
+#: References that projections are looked up in at once, blocks of rows at least where there are rows for them, rows of one at least, and products at a time.
+PART, LOTS, FEW, PRODUCTS = 65_536, 24, 2048, 1 << 22
 
 
-def _compared(rows: DataFrame, refs: DataFrame, ident: str) -> DataFrame:
-    """(ident, max_similarity, compared) of rows (k, ident, v) against all references (k, v) of their k, unit vectors all: the largest product, and how many were made.
+def _all_products(matrix: np.ndarray) -> Callable:
+    return lambda mine: ((mine @ matrix.T).max(axis=1), np.full(len(mine), len(matrix)))
 
-    References are dealt to blocks of about BLOCK and rows to blocks of about ROWS of a k; a pair of blocks is one matrix product for each batch of rows. A row may
-    stand under several k.
+
+def _compared(rows: DataFrame, refs: DataFrame, ident: str, meet: Callable = _all_products, block: int | None = None, lot: int | None = None) -> DataFrame:
+    """(ident, max_similarity, compared) of rows (k, ident, v) against references (k, v) of their k, unit vectors all: the largest product, and how many were made.
+
+    References are dealt to blocks of about ``block`` (BLOCK) and rows to blocks of about ``lot`` (ROWS) of a k; a pair of blocks is one matrix product for each batch of rows, or what ``meet`` makes
+    of the references: a function from rows to their largest products and how many. A row may stand under several k.
     """
-    blocks = refs.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__n")).join(rows.groupBy("k").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("__m")), "k")
+    blocks = refs.groupBy("k").agg(F.ceil(F.count("*") / (block or BLOCK)).cast("int").alias("__n")).join(rows.groupBy("k").agg(F.ceil(F.count("*") / (lot or ROWS)).cast("int").alias("__m")), "k")
     kinds = dict(rows.dtypes)
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = rows.join(blocks, "k").select("k", each("__n").alias("__block"), F.lit(1).alias("__side"), F.col(ident).alias("__id"), "v", F.pmod(F.xxhash64(ident), F.col("__m")).cast("int").alias("__salt"))
@@ -161,7 +167,7 @@ def _compared(rows: DataFrame, refs: DataFrame, ident: str) -> DataFrame:
     dealt = left.unionByName(right).repartition("k", "__block", "__salt").sortWithinPartitions("k", "__block", "__salt", "__side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, held, matrix = None, [], None
+        where, held, met = None, [], None
         for b in batches:
             at = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist()))
             sides, vectors = b.column(2).to_pylist(), b.column(4)
@@ -172,14 +178,16 @@ def _compared(rows: DataFrame, refs: DataFrame, ident: str) -> DataFrame:
                     j += 1
                 mine = vectors.slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1)
                 if at[i] != where:
-                    where, held, matrix = at[i], [], None
+                    where, held, met = at[i], [], None
                 if sides[i] == 0:
-                    held, matrix = [*held, mine], None
+                    held, met = [*held, mine], None
                 elif held:
-                    matrix = np.concatenate(held) if matrix is None else matrix
-                    kept += range(i, j)
-                    best.append((mine @ matrix.T).max(axis=1))
-                    made += [len(matrix)] * (j - i)
+                    met = meet(np.concatenate(held)) if met is None else met
+                    most, times = met(mine)
+                    some = np.flatnonzero(times)
+                    kept += (i + some).tolist()
+                    best.append(most[some])
+                    made += times[some].tolist()
                 i = j
             told = b.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([told.column(3), pa.array(np.concatenate(best) if best else np.zeros(0)), pa.array(made, pa.int64())], names=[ident, "s", "c"])
@@ -225,20 +233,48 @@ def near_duplicate_lsh(a: DataFrame, refs: DataFrame, key: str, ident: str, vect
 
     A vector has ``bits`` signs of random projections in each of ``tables``. A row looks under its own signs and under those with one of its ``probes`` least certain ones turned round. A
     reference at an angle of 20 degrees (0.94) has all 12 signs, or all but a probed one, in half of the tables, so 12 tables miss one of some thousands.
+
+    A row goes once to each PART of its key's references, where the codes are worked out, and not once to each code. Only where a key has more parts than a row has codes is it dealt by code.
     """
 
-    @F.pandas_udf("array<array<long>>")
-    def codes(vectors: pd.Series, asks: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        matrix = np.stack(vectors.to_numpy())
+    def signs(matrix: np.ndarray, asks: bool) -> np.ndarray:
+        """The codes of each vector in each table: its own, and where it asks those with a sign turned round."""
         planes = np.random.default_rng(seed).normal(size=(matrix.shape[1], tables * bits))
         said = (matrix @ planes).reshape(len(matrix), tables, bits)
         weight = np.int64(1) << np.arange(bits, dtype=np.int64)
         own = ((said >= 0) * weight).sum(axis=2)
-        turned = own[:, :, None] ^ weight[np.argsort(np.abs(said), axis=2)[:, :, :probes]]
-        every = np.concatenate([own[:, :, None], turned], axis=2)
-        return pd.Series([e.tolist() if ask else e[:, :1].tolist() for e, ask in zip(every, asks)])
+        if not asks:
+            return own[:, :, None]
+        return np.concatenate([own[:, :, None], own[:, :, None] ^ weight[np.argsort(np.abs(said), axis=2)[:, :, :probes]]], axis=2)
+
+    def probed(matrix: np.ndarray) -> Callable:
+        """References in the order of their codes, by table; rows meet those under the codes that they ask for."""
+        codes = signs(matrix, False)[:, :, 0]
+        order = np.argsort(codes, axis=0, kind="stable")
+
+        def met(mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            asked = signs(mine, True)
+            most, made = np.full(len(mine), -np.inf), np.zeros(len(mine), np.int64)
+            for t in range(tables):
+                wanted = asked[:, t].ravel()
+                by, here = np.argsort(wanted, kind="stable"), codes[order[:, t], t]
+                code, first = np.unique(wanted[by], return_index=True)
+                ends, lo, hi = [*first[1:].tolist(), len(by)], np.searchsorted(here, code, "left"), np.searchsorted(here, code, "right")
+                for c in np.flatnonzero(hi > lo).tolist():
+                    rows, refs = by[first[c] : ends[c]] // asked.shape[2], matrix[order[lo[c] : hi[c], t]]
+                    for k in range(0, len(rows), step := max(1, PRODUCTS // len(refs))):
+                        few = rows[k : k + step]
+                        most[few] = np.maximum(most[few], (mine[few] @ refs.T).max(axis=1))
+                    made[rows] += len(refs)
+            return most, made
+
+        return met
+
+    @F.pandas_udf("array<array<long>>")
+    def codes(vectors: pd.Series, asks: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        return pd.Series([e.tolist() if ask else e[:, :1].tolist() for e, ask in zip(signs(np.stack(vectors.to_numpy()), True), asks)])
 
     def dealt(df: DataFrame, *cols: str, asks: bool) -> DataFrame:
         coded = df.select("key", *cols, "v", F.posexplode(codes("v", F.lit(asks))).alias("table", "codes"))
@@ -246,5 +282,11 @@ def near_duplicate_lsh(a: DataFrame, refs: DataFrame, key: str, ident: str, vect
         return coded.select(F.concat_ws(":", F.col("key").cast("string"), "table", F.col("code").cast("string")).alias("k"), *cols, "v")
 
     unit = lambda df, *cols: df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *cols, vec_normalize(F.col(vector)).alias("v"))
-    best = _compared(dealt(unit(a, ident), ident, asks=True), dealt(unit(refs).distinct(), asks=False), ident)
+    largest = lambda df: df.groupBy(key).count().where(F.col(key).isNotNull()).agg(F.max("count")).first()[0] or 0
+    rows, others = unit(a, ident), unit(refs).distinct()
+    if -(-largest(refs) // PART) < tables * (1 + probes):
+        lot = max(FEW, min(ROWS, -(-largest(a) // LOTS)))
+        best = _compared(rows.withColumnRenamed("key", "k"), others.withColumnRenamed("key", "k"), ident, probed, PART, lot)
+    else:
+        best = _compared(dealt(rows, ident, asks=True), dealt(others, asks=False), ident)
     return a.select(key, ident).join(best, ident, "left").select(key, ident, "max_similarity", F.coalesce("compared", F.lit(0)).alias("compared"))
