@@ -282,6 +282,48 @@ def test_shard_equals_full_scoring(first, few, dense, monkeypatch):
         assert [i for i, _ in got] == [i for _, i in want] and np.allclose([s for _, s in got], [-s for s, _ in want], atol=2e-6)
 
 
+@pytest.mark.parametrize("dense, room, run", [(1 / 16, 10**7, 10**6), (2, 10**7, 500), (0, 10**7, 10**6), (1 / 16, 5000, 500)])
+def test_batches_equal_full_scoring(dense, room, run, monkeypatch):
+    """A batch against several shards and scores of every document: copies, ties, counts over 16 bits, terms that no document has, and a shard without documents."""
+    for name, value in (("DENSE", dense), ("ROOM", room), ("RUN", run), ("BATCH", 7), ("FEW_TERMS", 3)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng = random.Random(room)
+    bags = {i: Counter(min(int(rng.expovariate(0.05)), 400) for _ in range(rng.randint(0, 40))) if i % 7 else Counter({i % 3: 2, 5: 1}) for i in range(900)}
+    bags[11][5] = 70_000
+    weights = [{t: rng.choice([0.01, 0.5, 3.0, 9.0]) * rng.random() for t in rng.sample(range(450), rng.randint(1, 120) if i % 5 else 2)} for i in range(40)] + [{1000: 1.0}]
+    asked = topk_search.Asked(10)
+    for i, w in enumerate(weights):
+        asked.add(i, -i, np.array(list(w), np.int64).tobytes(), np.array(list(w.values())).tobytes())
+    for part in ([i for i in bags if i % 3 == 1], [], [i for i in bags if i % 3 == 0], [i for i in bags if i % 3 == 2]):
+        shard = topk_search.Shard(20.0)
+        for i in part:
+            terms, counts = np.array(sorted(bags[i]), np.int64), np.array([bags[i][t] for t in sorted(bags[i])])
+            shard.add(i, sum(bags[i].values()), terms.tobytes(), counts.astype(np.uint16 if counts.max(initial=0) < 65536 else np.int32).tobytes())
+        asked.ask(shard)
+    got = defaultdict(list)
+    for row in (r for b in asked.best() for r in b.to_pylist()):
+        assert row["said"] == -row["query_id"]
+        got[row["query_id"]].append((row["doc_id"], row["score"]))
+    for q, w in enumerate(weights):
+        want = sorted((-round(s, 6), i) for i, b in bags.items() for s in [sum(x * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / 20.0)) for t, x in w.items() if t in b)] if s > 0)[:10]
+        assert [i for i, _ in got[q]] == [i for _, i in want] and np.allclose([s for _, s in got[q]], [-s for s, _ in want], atol=2e-6)
+
+
+def test_queries_are_copied_once_for_several_shards(spark, monkeypatch):
+    """Queries are copied to lots of several shards, not to each shard, and meet every document."""
+    docs = spark.createDataFrame([(i, words(30 + i % 40, i % 25)) for i in range(300)], "doc_id long, text string")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    postings = sum(len(set(topk_search.words_of(t))) for _, t in rows)
+    copies, queries = [], topk_search._queries
+    monkeypatch.setattr(topk_search, "_queries", lambda asked, df, n, lots: copies.append(lots) or queries(asked, df, n, lots))
+    got = defaultdict(list)
+    for r in topk_search.search(docs, docs.where("doc_id % 9 = 0"), shard_size=postings // 60).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    assert copies[0] <= 60 / 4 + 1
+    for q, hits in brute_search(rows, [(i, t) for i, t in rows if i % 9 == 0]).items():
+        assert [i for i, _ in got[q]] == [i for i, _ in hits] and np.allclose([s for _, s in got[q]], [s for _, s in hits], atol=2e-6)
+
+
 def test_search_awkward_rows(spark):
     """Rows without an id count nowhere; texts under one id are queries of their own, and equal rows are one query and several documents."""
     docs = spark.createDataFrame([(1, "a b c", 0), (1, "a b c", 0), (1, "d e", 0), (None, "a a a", 0), (2, "a", 0), (3, None, 0), (4, "x " * 70_000 + "a", 0)], "doc_id long, text string, score int")
